@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from raglens.llm.common import materialise
 
 #: Characters of an anchor, and of its inner substrings.
-K, S = 16, 5
+K, S = 20, 5
 #: Documents of a range of ids that are sorted together, on average, and most such ranges.
 RANGE_DOCS, RANGES = 512, 4096
 #: Hexadecimal digits of an anchor in the fingerprint.
@@ -41,17 +41,15 @@ def anchors(text: Column) -> Column:
     last = K - S  # place of the last inner substring
 
     def chosen(h: Column) -> Column:
-        def closed(i: Column) -> Column:
-            first, end = F.get(h, i), F.get(h, i + last)
-            low = F.least(first, end)
-            test = F.lit(True)
-            for j in range(1, last):
-                test = test & (low <= F.get(h, i + j))
-            return test
-
-        pos = F.filter(F.sequence(F.lit(0), F.size(h) - 1 - last), closed)
-        mixed = lambda p: F.transform(p, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + S), F.get(h, i + last - 1), F.get(h, i + last)))
-        return _let(pos, lambda p: F.struct(p.alias("pos"), mixed(p).alias("hash")))
+        def place(low: Column, i: Column) -> Column:
+            test = low <= F.get(h, i + last - 1)
+            for j in range(last - 2, 0, -1):  # the first comparison that fails ends the test
+                test = (low <= F.get(h, i + j)) & test
+            return F.when(test, i)
+
+        edges = F.zip_with(F.slice(h, F.lit(1), F.size(h) - last), F.slice(h, F.lit(1 + last), F.size(h) - last), lambda x, y: F.least(x, y))
+        mixed = lambda p: F.transform(p, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + S), F.get(h, i + 2 * S), F.get(h, i + last)))
+        return _let(F.array_compact(F.transform(edges, place)), lambda p: F.struct(p.alias("pos"), mixed(p).alias("hash")))
 
     none = F.struct(F.array().cast("array<int>").alias("pos"), F.array().cast("array<bigint>").alias("hash"))
     return F.when(F.length(text) < K, none).otherwise(_let(hashes, chosen))
