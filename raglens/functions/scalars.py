@@ -1,0 +1,104 @@
+"""Column functions: tokens, cost, ratios, text and evaluation scalars. All are built-in
+expressions, which the optimizer sees through. Unmeasured stays NULL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Fixed stop words of the content-word measure.
+STOP_WORDS = "a an the and or of to in on is are was were be it for with as at by from this that".split()
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """part / whole; 0.0 where there is no whole."""
+    return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
+
+
+def finite(x: Column) -> Column:
+    """A number or NULL: NaN and infinities aren't numbers."""
+    x = x.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def clamp01(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(finite(x), F.lit(0.0))))
+
+
+def estimate_tokens(text: Column) -> Column:
+    """Digit runs, Latin runs, other characters one by one; CJK characters one each; a run of
+    more than 16 characters counts once for each four, rounded up."""
+    cjk = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]"
+    rest = F.regexp_replace(text, cjk, " ")
+    pieces = F.regexp_extract_all(rest, F.lit(r"(?U)\d+|[A-Za-z]+|[^\s]"), F.lit(0))
+    count = F.aggregate(pieces, F.lit(0).cast("long"), lambda n, p: n + F.when(F.length(p) > 16, F.ceil(F.length(p) / 4)).otherwise(F.lit(1)))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("long")).otherwise(count + F.regexp_count(text, F.lit(cjk)))
+
+
+def call_cost(input_tokens: Column, output_tokens: Column, in_price: Column, out_price: Column, is_local: Column) -> Column:
+    """Price of a call, 8 digits; 0 for local and unknown models."""
+    cost = input_tokens / 1000.0 * in_price + output_tokens / 1000.0 * out_price
+    return F.when(F.coalesce(is_local, F.lit(True)), 0.0).otherwise(F.round(cost, 8))
+
+
+def cost_label(known: Column, is_local: Column) -> Column:
+    return F.when(~known, "unpriced").when(is_local, "local").otherwise("simulated")
+
+
+def token_efficiency(input_tokens: Column, context_tokens: Column, output_tokens: Column, duplicate_ratio: Column) -> Column:
+    """Score of 0 to 100 out of duplication, output yield and context share."""
+    gain = F.when(input_tokens <= 0, 1.0).otherwise(F.least(F.lit(1.0), output_tokens / input_tokens / 0.25))
+    share = ratio(context_tokens.cast("double"), input_tokens)
+    room = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - share) / 0.4))
+    return 100.0 * (0.40 * (1 - duplicate_ratio) + 0.25 * gain + 0.35 * room)
+
+
+def wasted_tokens(input_tokens: Column, context_tokens: Column, output_tokens: Column, duplicate_ratio: Column) -> Column:
+    waste = F.floor(context_tokens * duplicate_ratio) + F.greatest(F.lit(0).cast("long"), context_tokens - 4 * output_tokens)
+    return F.least(input_tokens, waste).cast("long")
+
+
+def chunk_external_id(source: Column, content_hash: Column, index: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", source, content_hash, index.cast("string")), 256), 1, 16)
+
+
+def words(text: Column) -> Column:
+    """Word tokens, lower-cased, Unicode."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def content_words(text: Column) -> Column:
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
+    return F.array_except(F.array_distinct(found), F.array(*map(F.lit, STOP_WORDS)))
+
+
+def coverage(needle: Column, hay: Column) -> Column:
+    """Share of the words of needle that hay has; 0.0 for no words."""
+    return F.when(F.size(needle) == 0, 0.0).otherwise(F.size(F.array_intersect(needle, hay)) / F.size(needle))
+
+
+def claims(answer: Column) -> Column:
+    """Sentences and lines of an answer, of two characters at least."""
+    parts = F.split(answer, r"(?<=[.!?])[ \t]+|[\r\n]+")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= 2)
+
+
+def citation_markers(answer: Column) -> Column:
+    """Markers in brackets, [3], [S3] and [1, 3], and after source= or doc:, in their order."""
+    raw = F.regexp_extract_all(answer, F.lit(r"(?i)\[\s*(?:source|doc(?:ument)?)\s*[:=]\s*([^\]]+)\]|\(\s*(?:source|doc(?:ument)?)\s*[:=]\s*([^)]+)\)|\[((?:[A-Za-z]{0,3}\d+)(?:\s*,\s*[A-Za-z]{0,3}\d+)*)\]"), F.lit(0))
+    inner = F.transform(raw, lambda m: F.regexp_replace(m, r"(?i)^[\[(]\s*(?:(?:source|doc(?:ument)?)\s*[:=]\s*)?|[\])]$", ""))
+    each = F.flatten(F.transform(inner, lambda m: F.split(m, r"\s*,\s*")))
+    return F.transform(each, lambda t: F.lower(F.regexp_replace(F.trim(t), r"^[A-Za-z]{0,3}(\d+)$", "$1")))
+
+
+def unit_interval(x: Column) -> Column:
+    """A judge's number: 0 to 1 as it is, whole 2 to 100 as per cent, anything else NULL."""
+    v = finite(x)
+    return F.when((v >= 0) & (v <= 1), v).when((v > 1) & (v <= 100) & (v == F.floor(v)), v / 100)
+
+
+def shared_cosine(a: Column, b: Column) -> Column:
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    size = norm(a) * norm(b)
+    return F.when(size > 0, dot / size).otherwise(0.0)
