@@ -162,7 +162,7 @@ def model_comparison(calls: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def last_call_per_trace(calls: DataFrame) -> DataFrame:
-    w = Window.partitionBy("trace_id").orderBy(F.desc("created_at"), F.desc("call_no"))
+    w = Window.partitionBy("trace_id").orderBy(F.desc("created_at"), F.desc("call_no"), "model", "provider")
     return calls.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("trace_id", "call_no", "model", "provider", "created_at")
 
 
