@@ -245,5 +245,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that hold no item, all columns."""
     for items in slices(benchmark):
-        docs = docs.withColumn("_hits", hits(docs.sparkSession, items, text)).where(F.size("_hits.items") == 0).drop("_hits")
+        docs = docs.where(F.size(hits(docs.sparkSession, items, text)["items"]) == 0)
     return docs

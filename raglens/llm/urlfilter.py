@@ -136,6 +136,6 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, listed=LISTED) -> Dat
     held = cascade(universe, names)
     blocked = F.exists(domains(F.col("host")), lambda d: held.has(d))
     out = pages.withColumns({"host": host, "path": path})
-    out = out.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_r.verdict"), F.when(blocked, "block").otherwise("allow"))
-    return out.withColumns({"rule": F.col("_r.rule"), "verdict": verdict}).drop("_r")
+    rule = rule_of(F.col("host"), F.col("path"), rules)
+    verdict = F.coalesce(rule["verdict"], F.when(blocked, "block").otherwise("allow"))
+    return out.withColumns({"rule": rule["rule"], "verdict": verdict})
