@@ -6,8 +6,9 @@ relations and skipping.
 2. Index lists. A set's prefix under one global order of shingles - the frequent ones last,
    all others by hash - is indexed with its positions. Two sets that link share a shingle of
    both prefixes, and their sizes differ by the threshold's factor at most. Within a list,
-   sorted by size, runs of sets that differ by less than that factor form candidate groups;
-   everything else of the list is skipped.
+   sorted by size, only the sets of a run, which differ by less than that factor, meet;
+   everything else of the list is skipped. Sets that share as many lists as a link needs form
+   candidate groups.
 3. Answers. Sets of a candidate group meet in one task (large groups in pairs of blocks). A
    local index skips whole blocks of list entries whose size or position can't reach the
    required overlap. The overlaps of the first set of a family are counted from the lists; a
@@ -37,6 +38,8 @@ from raglens.llm.common import binary_texts, connected_components, materialise,
 FREQUENT_SHARE, FREQUENT_LEAST = 0.0003, 3
 #: Most frequent shingles that are told apart; the rest of them keep the order by hash.
 FREQUENT_KEPT = 200_000
+#: Sets of a run of an index list that meet in pairs.
+RUN = 16
 #: Sets of one candidate group that meet in a task.
 BLOCK = 768
 #: Entries of a list that are skipped together.
@@ -132,13 +135,31 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def candidate_links(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: in each index list, sorted by size, every set with the first one of its run."""
+    """a, b: sets that may link. Sets in short runs of the index lists meet in pairs; a pair is
+    kept if the lists that both are in are as many as a link needs: a link of sets of na <= nb
+    shares needed(na, nb) + 1 - ceil(num / den * nb) prefix shingles at least. The sets of a run
+    of more than RUN all go to its first one."""
     entries = reps.select("rep", "n", F.explode("prefix").alias("t"))
     w = Window.partitionBy("t").orderBy("n", "rep")
     before = F.lag("n").over(w)
     e = entries.withColumn("first", F.when(before.isNull() | (den * before < num * F.col("n")), F.col("rep")))
     e = e.withColumn("first", F.last("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.where("first <> rep").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    e = e.withColumn("near", F.collect_list(F.struct("rep", "n", "first")).over(w.rowsBetween(-RUN, -1))).where("first <> rep")
+    e = e.withColumn("near", F.filter("near", lambda x: x["first"] == F.col("first")))
+
+    def pair(a, b, nb, star):
+        return F.struct(a.alias("a"), b.alias("b"), nb.alias("nb"), star.alias("star"))
+
+    first, yes = F.col("first"), F.lit(True)
+    pairs = F.transform("near", lambda x: pair(F.col("rep"), x["rep"], x["n"], F.lit(False)))
+    own = F.array(pair(F.col("rep"), first, F.col("n"), yes))
+    others = F.transform(F.filter("near", lambda x: x["rep"] != first), lambda x: pair(x["rep"], first, F.col("n"), yes))
+    # the run's entry number RUN + 1 also sends those before it
+    met = F.when(F.size("near") < RUN, pairs).when(F.get("near", F.lit(0))["rep"] == first, F.concat(others, own)).otherwise(own)
+    met = e.select("n", F.explode(met).alias("x")).select("n", "x.*")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("star").alias("star"), F.max("n").alias("na"), F.max("nb").alias("nb"))
+    least = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den) - 1e-9) + 1 - F.ceil(num * F.greatest("na", "nb") / den - 1e-9)
+    return met.where(F.col("star") | (F.col("c") >= least)).select("a", "b")
 
 
 class LocalJoin:
