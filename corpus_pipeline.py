@@ -3,7 +3,7 @@ benchmark decontamination, mixing. Each stage works on all rows that its predece
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raglens.llm import decontaminate, jaccard, langid, mixing, toxicity
@@ -37,10 +37,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: every document that it takes, with how often (copies) and the words taken."""
-    plan = materialise(mixing.mix(docs).select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "copies"), "mixture")
-    kept = plan.where("copies > 0").groupBy("_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("copies").alias("copies"))
-    out = docs.join(kept, docs.doc_id == kept["_id"]).drop("_id")
+    """The mixture: every document that it takes, with how often (copies) and the words taken.
+    Rows that share id, source and size are numbered, so that each gets its own copies."""
+    key = F.struct("doc_id", "source", "size")
+    plan = mixing.mix(docs).withColumn("_k", key).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("copies")))
+    plan = plan.where("copies > 0").select("_k", "_n", "source_size", "target", "copies")
+    rows = docs.select(COLUMNS).withColumn("size", mixing.word_count(F.col("text"))).withColumn("_k", key)
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("text")))
+    out = rows.join(plan, ["_k", "_n"]).drop("_k", "_n")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
