@@ -4,11 +4,12 @@ relations and skipping.
 1. Sets. Every text becomes the set of its shingle hashes. Identical sets form one class;
    only the class's smallest id goes on, its copies take over its answers.
 2. Index lists. A set's prefix under one global order of shingles - the frequent ones last,
-   all others by hash - is indexed with its positions. Two sets that link share a shingle of
-   both prefixes, and their sizes differ by the threshold's factor at most. Within a list,
-   sorted by size, only the sets of a run, which differ by less than that factor, meet;
-   everything else of the list is skipped. Sets that share as many lists as a link needs form
-   candidate groups.
+   all others by hash - is indexed. For thresholds of 0.8 or more a list belongs to two
+   neighbouring shingles: of the gaps between the shingles that two linked sets share, one
+   of the first D + 1 is empty in both, D being the shingles that only one of them has; and
+   both prefixes hold it. Below 0.8 a list belongs to one shingle. Within a list, sorted by
+   size, only the sets of a run, which differ by less than the threshold's factor, meet;
+   everything else of the list is skipped.
 3. Answers. Sets of a candidate group meet in one task (large groups in pairs of blocks). A
    local index skips whole blocks of list entries whose size or position can't reach the
    required overlap. The overlaps of the first set of a family are counted from the lists; a
@@ -74,6 +75,25 @@ def needed(nx, ny, num: int, den: int):
     return -(-(num * (nx + ny)) // (num + den))
 
 
+def neighbours(num: int, den: int) -> bool:
+    """Whether lists belong to two neighbouring shingles: linked sets that differ share two
+    shingles more, at least, than they have of their own."""
+    return 5 * num >= 4 * den
+
+
+def lists_of(order: _Order, s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The index lists that a set is in. With o shared shingles of sizes n and m, the empty gap
+    ends before place D + 2 + (n - o) = 2n + m - 3o + 2, which is 2 * (n - m) + 2 at most for
+    the smallest m that links."""
+    own = len(s) - -(-num * len(s) // den)  # shingles that a linked set may lack
+    if not neighbours(num, den):
+        return order.prefix(s, own + 1)
+    if not own and den * len(s) // num == len(s):
+        return s[:0]  # only equal sets link with it
+    p = order.prefix(s, 2 * own + 3)
+    return mix(p[:-1] ^ mix(p[1:] + _C[1]))
+
+
 def _frequent(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
@@ -125,7 +145,7 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             sets = shingle_sets(binary_texts(b.column("text")), words)
             sums = [(s.sum(dtype=np.uint64), mix(s ^ _C[0]).sum(dtype=np.uint64)) for s in sets]
             n = [len(s) for s in sets]
-            prefix = [signed(o.prefix(s, len(s) - -(-num * len(s) // den) + 1)) if len(s) else None for s in sets]
+            prefix = [signed(lists_of(o, s, num, den)) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array([x[k] for x in sums], np.uint64).view(np.int64)) for k in (0, 1)), pa.array(prefix, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "s1", "s2", "prefix"],
@@ -135,10 +155,10 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
 
 def candidate_links(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: sets that may link. Sets in short runs of the index lists meet in pairs; a pair is
-    kept if the lists that both are in are as many as a link needs: a link of sets of na <= nb
-    shares needed(na, nb) + 1 - ceil(num / den * nb) prefix shingles at least. The sets of a run
-    of more than RUN all go to its first one."""
+    """a, b: sets that may link. Sets in short runs of the index lists meet in pairs; the sets of
+    a run of more than RUN all go to its first one. Where a list belongs to one shingle, a pair
+    is kept if the lists that both are in are as many as a link needs: a link of sets of
+    na <= nb shares needed(na, nb) + 1 - ceil(num / den * nb) prefix shingles at least."""
     entries = reps.select("rep", "n", F.explode("prefix").alias("t"))
     w = Window.partitionBy("t").orderBy("n", "rep")
     before = F.lag("n").over(w)
@@ -159,7 +179,8 @@ def candidate_links(reps: DataFrame, num: int, den: int) -> DataFrame:
     met = e.select("n", F.explode(met).alias("x")).select("n", "x.*")
     met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("star").alias("star"), F.max("n").alias("na"), F.max("nb").alias("nb"))
     least = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den) - 1e-9) + 1 - F.ceil(num * F.greatest("na", "nb") / den - 1e-9)
-    return met.where(F.col("star") | (F.col("c") >= least)).select("a", "b")
+    enough = F.lit(1) if neighbours(num, den) else least
+    return met.where(F.col("star") | (F.col("c") >= enough)).select("a", "b")
 
 
 class LocalJoin:
