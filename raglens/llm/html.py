@@ -172,7 +172,7 @@ def main_nodes(root: Node) -> list[Node]:
     for k in top.parent.kids:
         if k is top:
             out.append(best)
-        elif not isinstance(k, str) and not k.cut and k.tag == best.tag and k.density >= threshold > 0 and k.tag not in INLINE:
+        elif not isinstance(k, str) and not k.cut and k.tag == best.tag and k.density >= threshold and k.tag not in INLINE:
             out.append(max(_order(k), key=lambda x: (x.sum, x is k)) if k.tag not in MAIN else k)
     return out
 
