@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from raglens.llm.common import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE_END = re.compile(r"[.!?;:\n]")
+CLAUSE_ENDS = ".!?;:\n"
+CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
 #: Fixed word lists of the closed-class transducers.
 NEGATION = frozenset("not no never isn't aren't don't nicht kein keine nie pas jamais no nunca".split())
 REPORTED = frozenset("said says wrote called quoted claimed allegedly sagte dit dijo".split())
@@ -103,10 +104,10 @@ class Grammar:
                 start = end - n + 1
                 if start < done or (start and (low[start - 1].isalpha())):
                     continue
-                s = max((m.end() for m in CLAUSE_END.finditer(low, max(0, start - 400), start)), default=max(0, start - 400))
+                s = 1 + max(low.rfind(c, max(done, 0), start) for c in CLAUSE_ENDS)
                 m = CLAUSE_END.search(low, end)
                 e = m.start() if m else len(low)
-                s = max(s, done)
+                s = max(s, done, 0)
                 for kind, w in self.walk(low[s:e]):
                     out[i, kind] += w
                 done = e
