@@ -9,7 +9,9 @@ relations and skipping.
    of the first D + 1 is empty in both, D being the shingles that only one of them has; and
    both prefixes hold it. Below 0.8 a list belongs to one shingle. Within a list, sorted by
    size, only the sets of a run, which differ by less than the threshold's factor, meet;
-   everything else of the list is skipped.
+   everything else of the list is skipped. A pair goes on only if the sets' histograms -
+   how many of their shingles fall into each range of hashes - allow a link: their distance
+   is never more than the number of shingles that only one of the sets has.
 3. Answers. Sets of a candidate group meet in one task (large groups in pairs of blocks). A
    local index skips whole blocks of list entries whose size or position can't reach the
    required overlap. The overlaps of the first set of a family are counted from the lists; a
@@ -43,6 +45,8 @@ FREQUENT_KEPT = 200_000
 RUN = 16
 #: Sets of one candidate group that meet in a task.
 BLOCK = 768
+#: Bits of a shingle's hash that choose its place in a histogram.
+RANGE_BITS = 6
 #: Entries of a list that are skipped together.
 SKIP = 64
 
@@ -70,6 +74,11 @@ def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     return out
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """How many of the shingles fall into each range of hashes."""
+    return np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS).astype(np.int32)
+
+
 def needed(nx, ny, num: int, den: int):
     """The least overlap of sets of these sizes with overlap / union >= num / den."""
     return -(-(num * (nx + ny)) // (num + den))
@@ -134,7 +143,7 @@ class _Order:
 
 
 def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (size of the set), s1, s2 (128 bits that identify the set), prefix."""
+    """doc_id, n (size of the set), s1, s2 (128 bits that identify the set), prefix, hist."""
     spark = docs.sparkSession
     top = docs.select("text").mapInArrow(lambda it: _frequent(it, words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT_KEPT).toPandas()
     order = spark.sparkContext.broadcast(_Order(top))
@@ -146,19 +155,22 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             sums = [(s.sum(dtype=np.uint64), mix(s ^ _C[0]).sum(dtype=np.uint64)) for s in sets]
             n = [len(s) for s in sets]
             prefix = [signed(lists_of(o, s, num, den)) if len(s) else None for s in sets]
+            hist = [histogram(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array([x[k] for x in sums], np.uint64).view(np.int64)) for k in (0, 1)), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "s1", "s2", "prefix"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array([x[k] for x in sums], np.uint64).view(np.int64)) for k in (0, 1)), pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.list_(pa.int32()))],
+                names=["doc_id", "n", "s1", "s2", "prefix", "hist"],
             )
 
-    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, prefix array<long>, hist array<int>")
 
 
 def candidate_links(reps: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: sets that may link. Sets in short runs of the index lists meet in pairs; the sets of
     a run of more than RUN all go to its first one. Where a list belongs to one shingle, a pair
     is kept if the lists that both are in are as many as a link needs: a link of sets of
-    na <= nb shares needed(na, nb) + 1 - ceil(num / den * nb) prefix shingles at least."""
+    na <= nb shares needed(na, nb) + 1 - ceil(num / den * nb) prefix shingles at least. Pairs
+    that met directly also need histograms that allow a link; those with a run's first set
+    stay, for they stand for the run's other pairs too."""
     entries = reps.select("rep", "n", F.explode("prefix").alias("t"))
     w = Window.partitionBy("t").orderBy("n", "rep")
     before = F.lag("n").over(w)
@@ -180,7 +192,13 @@ def candidate_links(reps: DataFrame, num: int, den: int) -> DataFrame:
     met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("star").alias("star"), F.max("n").alias("na"), F.max("nb").alias("nb"))
     least = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den) - 1e-9) + 1 - F.ceil(num * F.greatest("na", "nb") / den - 1e-9)
     enough = F.lit(1) if neighbours(num, den) else least
-    return met.where(F.col("star") | (F.col("c") >= enough)).select("a", "b")
+    met = materialise(met.where(F.col("star") | (F.col("c") >= enough)).select("a", "b", "na", "nb", "star"), "pairs")
+    both = F.col("na") + F.col("nb")
+    spare = both - 2 * F.ceil(num * both / (num + den) - 1e-9)
+    apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    direct = met.where("not star")  # a set has at most RUN of them to a list, so no key is hot
+    direct = direct.join(reps.select(F.col("rep").alias("a"), F.col("hist").alias("ha")), "a").join(reps.select(F.col("rep").alias("b"), F.col("hist").alias("hb")), "b")
+    return direct.where(apart <= spare).select("a", "b").unionByName(met.where("star").select("a", "b"))
 
 
 class LocalJoin:
@@ -314,7 +332,7 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = materialise(set_table(docs, words, num, den), "sets")
-    reps = materialise(table.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix")), "classes")
+    reps = materialise(table.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("hist", "doc_id").alias("hist")), "classes")
     groups = materialise(connected_components(candidate_links(reps, num, den)), "groups")
     one = docs.where("doc_id is not null")
     links = verified_links(one, groups, words, num, den)
