@@ -1,18 +1,21 @@
-"""LM scoring by a hierarchical Pitman-Yor model over word classes.
-
-Every text is its words and one end token. Counts of all training tokens are gathered in
-Spark and kept as a table. The most frequent words are a class each, all others share one;
-there is a restaurant for each preceding class, its dishes are the classes, and all of these
-restaurants share one parent, whose base is uniform. A sweep of the Gibbs sampler runs over
-the restaurants in parallel: the customers of a dish leave and are seated again, one after
-the other (a dish of very many customers in growing groups), given all other tables; the new
-tables are the parent's customers, which is seated in its turn. The predictive probabilities
-of the sweeps after the first ones are averaged. A word of the shared class has the class's
-probability times its smoothed share of it, so the probabilities of all words sum to one.
-
-Broadcast are the counts of the most frequent words (bounded) and the classes' averaged
-matrix (bounded); the counts of all other words, which grow with the corpus, meet their
-occurrences in a join.
+"""LM scoring by a hierarchical Pitman-Yor model over words.
+
+Every text is its words and one end token. There is a restaurant for each preceding word, its
+dishes are all words, and all restaurants share one parent over the whole vocabulary, whose
+base is uniform over the words of the training texts and one that stands for all others. The
+restaurants are a table (context u, word w, customers c, tables t) that grows with the corpus.
+A sweep of the Gibbs sampler runs over its rows in parallel: the customers of a dish leave and
+are seated again, one after the other (a dish of very many customers in growing groups), given
+all other tables; the new tables are the parent's customers, which is seated in its turn. A
+row needs only its context's number of tables and its word's probability in the parent, so
+the rows of a large context are dealt over many tasks. A dish of one customer has one table in
+every sweep and is only counted. The predictive probabilities of the sweeps after the first
+ones are averaged, exactly, for pairs seen and not seen; for each preceding word, seen or
+not, those of all words sum to one.
+
+Broadcast are the counts of the most frequent words and the probabilities of the most frequent
+pairs, and in joins the rows of the most frequent words (all bounded); everything else, which
+grows with the corpus, meets its occurrences in a join.
 
 Defined results: a null text is empty, which leaves the end token. Without training rows
 every count is 0. Rows with a null id are scored and not learned from. Repeated rows are
@@ -20,7 +23,6 @@ learned from, and scored, as often as they occur."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm.common import binary_texts, materialise, signed, small_batches, text_slices, word_hashes
+from raglens.llm.common import binary_texts, materialise, mix, signed, small_batches, text_slices, word_hashes
 
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Words with a class of their own; words whose counts are broadcast.
-CLASSES, BROADCAST = 1024, 100_000
+#: Bounds nothing any more (the model has no classes); the name stays for those who set it.
+CLASSES = 1024
+#: Words, and pairs of words, that are broadcast; all others are joined.
+BROADCAST = 100_000
 #: Discount and strength of the context restaurants and of their parent.
 CONTEXT, PARENT = (0.75, 1.0), (0.5, 1.0)
 SWEEPS, BURN_IN = 6, 2
@@ -49,6 +53,43 @@ def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(len(at))
 
 
+def _before(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The token before each token; the end token at a text's start."""
+    out = np.empty_like(h)
+    out[1:] = h[:-1]
+    out[at[:-1]] = END
+    return out
+
+
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts by the keys, the last one first, and where the runs of equal keys start."""
+    by = np.lexsort(keys)
+    new = np.ones(len(by), bool)
+    if len(by):
+        new[1:] = np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)
+    return by, np.flatnonzero(new)
+
+
+def _pairs_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def report() -> pa.RecordBatch:
+        u, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        by, new = _grouped(w, u)
+        return pa.RecordBatch.from_arrays([pa.array(signed(u[by][new])), pa.array(signed(w[by][new])), pa.array(np.diff(np.append(new, len(by))))], names=["u", "w", "c"])
+
+    for b in text_slices(batches, "text"):
+        h, at = token_hashes(binary_texts(b.column("text")))
+        held.append((_before(h, at), h))
+        size += len(h)
+        if size >= HELD:
+            yield report()
+            held, size = [], 0
+    if held:
+        yield report()
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     size = 0
@@ -69,11 +110,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield report()
 
 
-def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float, theta: float, rng: np.random.Generator, total: np.ndarray | int | None = None) -> np.ndarray:
     """Seats the customers c of every dish anew, given the tables t of the others; returns
-    the tables of each dish."""
+    the tables of each dish. `total`: all tables of each dish's restaurant, else those of t."""
     out = (c > 0).astype(np.int64)  # the first customer opens a table
-    others = t.sum() - t
+    others = (t.sum() if total is None else total) - t
     j = 1
     live = np.flatnonzero(c > 1)
     while len(live):
@@ -87,121 +128,108 @@ def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float, theta: float,
 
 
 @dataclass
-class Classes:
-    """Sorted hashes of the frequent words with their counts, and the class of each (-1: shared)."""
+class Near:
+    """Sorted keys of the most frequent words or pairs, with a value of each."""
 
-    keys: np.ndarray
-    counts: np.ndarray
-    cls: np.ndarray
-    n: int  # own classes; the shared class is number n
-    end: int  # class of the end token
+    keys: list[np.ndarray]  # the last one sorted first
+    value: np.ndarray
 
     @classmethod
-    def of(cls, rows) -> Classes:
-        h = np.asarray(rows["h"], np.int64).view(np.uint64)
-        c = np.asarray(rows["c"], np.int64)
-        top = np.argsort(h != END, kind="stable")  # the end token first
-        h, c = h[top], c[top]
-        n = min(CLASSES, len(h))
-        own = np.where(np.arange(len(h)) < n, np.arange(len(h)), n)
-        by = np.argsort(h)
-        return cls(h[by], c[by], own[by], n, 0 if n and h[0] == END else n)
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and count of tokens; count -1 for words that aren't among the frequent ones."""
-        if not len(self.keys):
-            return np.full(len(h), self.n), np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        good = self.keys[at] == h
-        return np.where(good, self.cls[at], self.n), np.where(good, self.counts[at], -1)
+    def of(cls, pdf, names: list[str], value: str) -> Near:
+        keys = [np.asarray(pdf[x], np.int64).view(np.uint64) for x in names]
+        joint = keys[0] if len(keys) == 1 else mix(keys[0]) * np.uint64(3) + keys[1]
+        by = np.argsort(joint)
+        return cls([joint[by], *(k[by] for k in keys)], np.asarray(pdf[value])[by])
 
+    def look(self, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the keys are among these, and their values (0 where they aren't)."""
+        joint = keys[0] if len(keys) == 1 else mix(keys[0]) * np.uint64(3) + keys[1]
+        if not len(self.value):
+            return np.zeros(len(joint), bool), np.zeros(len(joint))
+        at = np.minimum(np.searchsorted(self.keys[0], joint), len(self.value) - 1)
+        good = np.all([x[at] == k for x, k in zip(self.keys[1:], keys)], axis=0)
+        return good, np.where(good, self.value[at], 0)
 
-def _pairs(h: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of the token before each token (the end token's at a start), own class, count."""
-    cls, count = classes.look(h)
-    prev = np.empty_like(cls)
-    prev[1:] = cls[:-1]
-    prev[at[:-1]] = classes.end
-    return prev, cls, count
 
+def _met(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left join right by a word; rows of the words of `hot` (h) meet a broadcast table."""
+    hot = F.broadcast(hot.withColumnRenamed("h", key))
+    common = left.join(F.broadcast(right.join(hot, key, "left_semi")), key)
+    return common.unionByName(left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, how), allowMissingColumns=True)
 
-def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
 
+@dataclass
+class Model:
+    """pairs: u, w, c, seen (customers less the mean discount of their tables);
+    contexts: u, n (customers), pull (what each kept sweep leaves to the parent);
+    words: w, base (the parent's probability in each kept sweep); new: that of unseen words."""
 
-def _unpack(b: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
-
+    pairs: DataFrame
+    contexts: DataFrame
+    words: DataFrame
+    new: list[float]
 
-def restaurants(train: DataFrame, classes: Classes) -> DataFrame:
-    """u, c: the customers of every context restaurant, by dish."""
-    side = classes.n + 1
-    held = train.sparkSession.sparkContext.broadcast(classes)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(side * side, np.int64)
-        for b in text_slices(batches, "text"):
-            h, at = token_hashes(binary_texts(b.column("text")))
-            prev, cls, _ = _pairs(h, at, held.value)
-            total += np.bincount(prev * side + cls, minlength=side * side)
-        rows = total.reshape(side, side)
-        some = np.flatnonzero(rows.any(axis=1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([_pack(rows[u]) for u in some], pa.binary())], names=["u", "c"])
+def sample(pairs: DataFrame, hot: DataFrame, v: int, seed: int = 11) -> Model:
+    """Fits the model to pairs (u, w, c) of v distinct words; hot (h): frequent words."""
+    d, theta = CONTEXT
+    once = F.count_if(F.col("c") == 1)
+    contexts = materialise(pairs.groupBy("u").agg(F.sum("c").alias("n"), once.alias("n1"), F.count("*").alias("total"), F.array().cast("array<double>").alias("pull")), "contexts")
+    words = materialise(pairs.groupBy("w").agg(once.alias("n1"), F.lit(0).cast("long").alias("top"), F.lit(1.0 / (v + 1)).alias("p"), F.array().cast("array<double>").alias("base")), "words")
+    state = materialise(pairs.where("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept")), "seats")
+    new: list[float] = []
+    root_total = None
 
-    def added(pdf):
-        import pandas as pd
+    def seated(sweep: int, level: int, names: tuple[str, ...]):
+        """A function for mapInArrow that replaces the column of tables, names[1]."""
+        count, tables, total, base, strengths = *names, CONTEXT if level == 0 else PARENT
 
-        return pd.DataFrame({"u": [pdf["u"].iloc[0]], "c": [_pack(np.sum([_unpack(x) for x in pdf["c"]], axis=0))]})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
 
-    parts = train.select("text").mapInArrow(cells, "u long, c binary").withColumn("part", F.spark_partition_id() % 16)
-    return parts.groupBy("u", "part").applyInPandas(added, "u long, c binary").groupBy("u").applyInPandas(added, "u long, c binary")
+            rng = np.random.default_rng([seed, sweep, level, TaskContext.get().partitionId()])
+            for b in batches:
+                c, t, n, p = (b.column(x).to_numpy(zero_copy_only=False) for x in (count, tables, total, base))
+                yield b.set_column(b.schema.get_field_index(tables), tables, pa.array(seat(c, t, p, *strengths, rng, total=n)))
 
+        return run
 
-def sample(customers: DataFrame, side: int, seed: int = 11) -> np.ndarray:
-    """log10 of the averaged predictive probabilities, a row for each preceding class."""
-    d, theta = CONTEXT
-    state = materialise(customers.select("u", "c", F.lit(None).cast("binary").alias("t"), F.lit(None).cast("binary").alias("p")), "seats")
-    parent = np.full(side, 1.0 / side)
-    rng = np.random.default_rng(seed)
-    root_tables = np.zeros(side, np.int64)
-    shares = np.zeros(side)
     for sweep in range(SWEEPS):
-        base, keep = parent.copy(), sweep >= BURN_IN
-
-        def swept(batches: Iterator[pa.RecordBatch], base=base, keep=keep, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                us, ts, ps = b.column("u").to_pylist(), [], []
-                for u, c, t, p in zip(us, *(b.column(x).to_pylist() for x in ("c", "t", "p"))):
-                    c = _unpack(c)
-                    t = (c > 0).astype(np.int64) if t is None else _unpack(t)
-                    t = seat(c, t, base, d, theta, np.random.default_rng([seed, sweep, u]))
-                    ts.append(_pack(t))
-                    if keep:
-                        now = (c - d * t + (theta + d * t.sum()) * base) / (theta + c.sum())
-                        p = _pack(now if p is None else now + _unpack(p, np.float64))
-                    ps.append(p)
-                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("c"), pa.array(ts, pa.binary()), pa.array(ps, pa.binary())], names=["u", "c", "t", "p"])
-
-        def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(side, np.int64)
-            for b in batches:
-                for t in b.column("t").to_pylist():
-                    total += _unpack(t)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["t"])
-
-        state = materialise(state.mapInArrow(swept, "u long, c binary, t binary, p binary"), "seats")
-        seats = [np.frombuffer(r["t"], np.int64) for r in state.select("t").mapInArrow(tables, "t binary").collect()]
-        r = np.sum(seats, axis=0) if seats else np.zeros(side, np.int64)
-        root_tables = seat(r, root_tables if sweep else (r > 0).astype(np.int64), np.full(side, 1.0 / side), *PARENT, rng)
-        parent = (r - PARENT[0] * root_tables + (PARENT[1] + PARENT[0] * root_tables.sum()) / side) / (PARENT[1] + r.sum())
+        keep = sweep >= BURN_IN
+        asked = _met(_met(state, contexts.select("u", "total"), "u", hot), words.select("w", "p"), "w", hot).select("u", "w", "c", "t", "kept", "total", "p")
+        asked = asked.mapInArrow(seated(sweep, 0, ("c", "t", "total", "p")), asked.schema)
+        state = materialise(asked.select("u", "w", "c", "t", (F.col("kept") + (F.col("t") if keep else 0)).alias("kept")), "seats")
+        # the tables are the parent's customers
+        each = state.groupBy("w").agg(F.sum("t").alias("more"))
+        words = words.join(each, "w", "left").select("w", "n1", "base", (F.col("n1") + F.coalesce("more", F.lit(0))).alias("r"), F.col("top"))
+        if root_total is None:
+            words = words.withColumn("top", F.lit(1).cast("long"))
+            root_total = v
+        words = words.withColumns({"root": F.lit(root_total).cast("long"), "flat": F.lit(1.0 / (v + 1))})
+        words = materialise(words.mapInArrow(seated(sweep, 1, ("r", "top", "root", "flat")), words.schema), "words")
+        facts = words.agg(F.sum("r").alias("r"), F.sum("top").alias("t")).first()
+        r, root_total = int(facts["r"] or 0), int(facts["t"] or 0)
+        left = (PARENT[1] + PARENT[0] * root_total) / (v + 1)
+        p = (F.col("r") - PARENT[0] * F.col("top") + left) / (PARENT[1] + r)
+        words = words.select("w", "n1", "top", p.alias("p"), (F.concat("base", F.array(p)) if keep else F.col("base")).alias("base"))
+        # the pull on the parent that goes with it
+        each = state.groupBy("u").agg(F.sum("t").alias("more"))
+        total = F.col("n1") + F.coalesce("more", F.lit(0))
+        contexts = contexts.join(each, "u", "left").select("u", "n", "n1", total.alias("total"), "pull")
         if keep:
-            shares += parent
-    kept = SWEEPS - BURN_IN
-    out = np.tile(shares / kept, (side, 1))  # a context never seen is its parent
-    for row in state.select("u", "p").collect():
-        out[row["u"]] = _unpack(row["p"], np.float64) / kept
-    return np.log10(out)
+            contexts = contexts.withColumn("pull", F.concat("pull", F.array(theta + d * F.col("total"))))
+            new.append(left / (PARENT[1] + r))
+        contexts = materialise(contexts, "contexts")
+    each = F.col("kept") / float(SWEEPS - BURN_IN)
+    tables = state.select("u", "w", "c", (F.col("c") - d * each).alias("seen"))
+    single = pairs.where("c = 1").select("u", "w", "c", F.lit(1.0 - d).alias("seen"))
+    return Model(single.unionByName(tables), contexts.select("u", "n", "pull"), words.select("w", "base"), new)
+
+
+def _log(seen: Column, n: Column, pull: Column, base: Column) -> Column:
+    """log10 of the averaged predictive probability of a word after a word."""
+    mixed = F.aggregate(F.zip_with(pull, base, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / float(SWEEPS - BURN_IN)
+    return F.log10((seen + mixed) / (CONTEXT[1] + n))
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -210,47 +238,53 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
-    train = docs.where("not held_out")
-    vocab = materialise(train.select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
+    train = docs.where("not held_out").select("text")
+    vocab = materialise(train.mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
     facts = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(facts["n"] or 0), int(facts["v"])
-    classes = Classes.of(vocab.orderBy(F.desc("c"), "h").limit(BROADCAST).toPandas())
-    side = classes.n + 1
-    matrix = sample(restaurants(train, classes), side)
-    own = classes.cls < classes.n
-    n_shared, v_shared = n - int(classes.counts[own].sum()), v - int(own.sum())
+    frequent = materialise(vocab.orderBy(F.desc("c"), "h").limit(BROADCAST), "frequent")
+    hot = frequent.select("h")
+    pairs = materialise(train.mapInArrow(_pairs_counted, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c")), "pairs")
+    model = sample(pairs, hot, v)
+    seen = _met(_met(model.pairs, model.contexts, "u", hot), model.words, "w", hot)
+    seen = materialise(seen.select("u", "w", "c", _log(F.col("seen"), F.col("n"), F.col("pull"), F.col("base")).alias("log")), "seen")
+    often = seen.orderBy(F.desc("c"), "u", "w").limit(BROADCAST).toPandas()
     base_of = np.log10(n + 0.5 * (v + 1))
-    shared_of = np.log10(n_shared + 0.5 * (v_shared + 1))
-    held = spark.sparkContext.broadcast((classes, matrix))
+    held = spark.sparkContext.broadcast((Near.of(frequent.toPandas(), ["h"], "c"), Near.of(often, ["u", "w"], "log")))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, matrix = held.value
+        words, pairs = held.value
+        lists = lambda own, n, *xs: [pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)).astype(np.int32)), pa.array(x)) for x in xs]
         for b in text_slices(batches, "text"):
             h, at = token_hashes(binary_texts(b.column("text")))
-            prev, cls, count = _pairs(h, at, classes)
-            near = count >= 0
-            log = np.where(near, np.log10(np.maximum(count, 0) + 0.5), 0.0)
-            shared = cls == classes.n
-            base = np.add.reduceat(log, at[:-1]) - base_of * np.diff(at)
-            model = np.add.reduceat(matrix[prev, cls] + np.where(shared & near, log - shared_of, 0.0), at[:-1])
+            u, own = _before(h, at), np.repeat(np.arange(b.num_rows), np.diff(at))
+            near, count = words.look(h)
+            base = np.add.reduceat(np.where(near, np.log10(count + 0.5), 0.0), at[:-1]) - base_of * np.diff(at)
             known = np.add.reduceat(near.astype(np.int64), at[:-1])
-            far, times = [], []
-            for s, e in zip(at, at[1:]):
-                x, k = np.unique(signed(h[s:e][~near[s:e]]), return_counts=True)
-                far.append(x)
-                times.append(k.astype(np.int32))
+            met, log = pairs.look(u, h)
+            by, new = _grouped(x := h[~near], o := own[~near])
+            far = lists(o[by][new], b.num_rows, signed(x[by][new]), np.diff(np.append(new, len(by))).astype(np.int32))
+            by, new = _grouped(y := h[~met], x := u[~met], o := own[~met])
+            rest = lists(o[by][new], b.num_rows, signed(x[by][new]), signed(y[by][new]), np.diff(np.append(new, len(by))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(model), pa.array(far, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "far", "times"],
+                [b.column("doc_id"), b.column("held_out"), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(np.add.reduceat(log, at[:-1])), *far, *rest],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "far", "times", "u", "w", "k"],
             )
 
     id_type = dict(docs.dtypes)["doc_id"]
-    near = materialise(docs.mapInArrow(scored, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, model double, far array<long>, times array<int>"), "near")
-    near = near.withColumn("row", F.monotonically_increasing_id())
+    near = docs.mapInArrow(scored, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, model double, far array<long>, times array<int>, u array<long>, w array<long>, k array<int>")
+    near = materialise(near.withColumn("row", F.monotonically_increasing_id()), "near")
     far = near.select("row", F.explode(F.arrays_zip("far", "times")).alias("x")).select("row", F.col("x.far").alias("h"), F.col("x.times").alias("k"))
     # only words seen in training meet; all others count 0, log10(0.5)
     met = far.join(vocab, "h").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum("k").alias("met"))
-    out = near.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x).alias("away")).join(met, "row", "left")
+    bigrams = near.select("row", F.explode(F.arrays_zip("u", "w", "k")).alias("x")).select("row", "x.*").join(seen.select("u", "w", "log"), ["u", "w"], "left")
+    bigrams = materialise(bigrams.select("row", "u", "w", "k", "log"), "bigrams")
+    # pairs that training hasn't: by their context, if it has that, and their word, if it has that
+    others = _met(_met(bigrams.where("log is null").drop("log"), model.contexts, "u", hot, "left"), model.words, "w", hot, "left")
+    never = F.array(*(F.lit(x) for x in [CONTEXT[1]] * (SWEEPS - BURN_IN))), F.array(*(F.lit(x) for x in model.new))
+    others = others.select("row", "k", _log(F.lit(0.0), F.coalesce("n", F.lit(0)), F.coalesce("pull", never[0]), F.coalesce("base", never[1])).alias("log"))
+    model_sum = bigrams.where("log is not null").select("row", "k", "log").unionByName(others).groupBy("row").agg(F.sum(F.col("k") * F.col("log")).alias("rest"))
+    out = near.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x).alias("away")).join(met, "row", "left").join(model_sum, "row", "left")
     found = F.coalesce("met", F.lit(0))
     more = F.coalesce("more", F.lit(0.0)) + (F.col("away") - found) * F.lit(float(np.log10(0.5)))
     return out.select(
@@ -260,7 +294,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
         (F.col("n_known") + found).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("model") + more - F.col("away") * F.lit(float(shared_of))).alias("score"),
+        (F.col("model") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
 
 

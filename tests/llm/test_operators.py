@@ -325,6 +325,34 @@ def test_lm_probabilities_sum_to_one(spark, monkeypatch):
     assert 0 < total < 1
 
 
+@pytest.mark.parametrize("few", [100_000, 3])
+def test_lm_learns_contexts_of_rare_words(spark, monkeypatch, few):
+    """1,500 words of equal frequency, each always followed by the same one: every context
+    counts, and the probabilities of all words after a context sum to one."""
+    monkeypatch.setattr(lm, "BROADCAST", few)
+    n = 1500
+    train = [(i, " ".join(f"{x}{i}" for _ in range(3) for x in "ab")) for i in range(n)]
+    ask = [(10_000 + i, f"a{i} b{i}") for i in range(n)] + [(20_000 + i, f"a{i} b{(i + 1) % n}") for i in range(n)]
+    docs = spark.createDataFrame(train + ask, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, F.col("doc_id") >= 10_000).collect()}
+    assert len(got) == len(docs.collect())
+    assert all(got[10_000 + i] > got[20_000 + i] + 1.5 for i in range(n))
+
+
+def test_lm_words_after_a_word_sum_to_one(spark):
+    """After every context, one never seen included, the words seen in training and one new."""
+    counts = [(u, w, 1 + (u * w) % 4 * 7) for u in range(12) for w in range(12) if (u + w) % 3]
+    pairs = spark.createDataFrame(counts, "u long, w long, c long")
+    model = lm.sample(pairs, spark.createDataFrame([(3,), (5,)], "h long"), 12)
+    base = {r["w"]: r["base"] for r in model.words.collect()} | {99: model.new}
+    seen = {(r["u"], r["w"]): r["seen"] for r in model.pairs.collect()}
+    contexts = {r["u"]: (r["n"], r["pull"]) for r in model.contexts.collect()} | {99: (0, [lm.CONTEXT[1]] * 4)}
+    assert len(base) == len(contexts) == 13 and len(seen) == len(counts)
+    for u, (n, pull) in contexts.items():
+        p = [(seen.get((u, w), 0.0) + np.mean(np.array(pull) * base[w])) / (lm.CONTEXT[1] + n) for w in base]
+        assert min(p) > 0 and sum(p) == pytest.approx(1, rel=1e-9)
+
+
 def test_seating_keeps_bounds():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 100_000])
