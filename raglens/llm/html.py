@@ -4,7 +4,8 @@ A page is parsed into a tree, whose boilerplate subtrees (menus, headers, footer
 notices, adverts, forms, scripts, reader comments) are cut. For every node the density of
 characters per tag is adjusted by its share of link text; a node's density sum is that of its
 children. The node of the largest sum is taken, and with it all siblings on the way up to the
-body that reach the least density of that way. Its blocks, in page order, are the text.
+body, of any tag and whole, that reach the least density of that way; a heading goes with the
+node that follows it. Their blocks, in page order, are the text.
 
 Defined results: a null, empty or tag-only page has the empty text. Markup is never dropped
 for size. Unclosed and cut-off tags end with the page."""
@@ -31,6 +32,7 @@ CUT = frozenset("script style head title noscript template iframe object svg can
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words of class, id and role that mark boilerplate.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar rail menu nav navbar navigation breadcrumb breadcrumbs "
@@ -163,18 +165,17 @@ def main_nodes(root: Node) -> list[Node]:
     for x in path:  # an article's sections and headings belong together
         if x.tag in MAIN:
             best = x
-    if best.parent is None:
-        return [best]
-    out = []
-    top = best
-    while top.parent is not None and top.parent.parent is not None and top.parent.tag not in ("body", "html"):
-        top = top.parent
-    for k in top.parent.kids:
-        if k is top:
-            out.append(best)
-        elif not isinstance(k, str) and not k.cut and k.tag == best.tag and k.density >= threshold and k.tag not in INLINE:
-            out.append(max(_order(k), key=lambda x: (x.sum, x is k)) if k.tag not in MAIN else k)
-    return out
+    kept = [best]
+    x = best
+    while x.parent is not None:
+        kids = [k for k in x.parent.kids if not isinstance(k, str) and not k.cut]
+        at = kids.index(x)
+        take = [k is x or (k.density >= threshold and (k.tag in (x.tag, best.tag) or k.link_chars < k.chars)) for k in kids]
+        for i in range(len(kids) - 2, -1, -1):  # a heading goes with what it heads
+            take[i] = take[i] or (take[i + 1] and kids[i].tag in HEADINGS)
+        kept = [k for k, t in zip(kids[:at], take) if t] + kept + [k for k, t in zip(kids[at + 1 :], take[at + 1 :]) if t]
+        x = x.parent
+    return kept
 
 
 def _blocks(node: Node, out: list[str], held: list[str]) -> None:
@@ -204,6 +205,8 @@ def main_text(html: str | None) -> str:
     held: list[str] = []
     for node in main_nodes(parse(html)):
         _blocks(node, out, held)
+        if node.tag in INLINE:
+            _blocks(Node("div", None, False), out, held)
     return "\n".join(out)
 
 

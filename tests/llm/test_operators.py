@@ -217,6 +217,21 @@ def test_html_odd(page, text):
     assert html.main_text(page) == text
 
 
+def prose(name, n):
+    return [f"Paragraph {i} of the {name} says in plain words what it has to say, and that isn't short." for i in range(n)]
+
+
+@pytest.mark.parametrize("open_,close", [("<div>", "</div>"), ("", ""), ("<div><div>", "</div></div>")])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_html_keeps_siblings_on_the_way_up(open_, close, tag):
+    """Pages without article or main: no section, lead or heading beside the chosen node is lost."""
+    first, second = prose("first", 10), prose("second", 8)
+    lead = "A lead of one paragraph, which stands beside the sections and is long enough to be one of them, as it says much."
+    p = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    page = f"<html><body><nav><a href=/>Home</a></nav>{open_}<h1>Title</h1><p>{lead}</p><div>{p(first)}</div><h2>More</h2><{tag}>{p(second)}</{tag}><ul><li><a href=/x>Elsewhere</a></li><li><a href=/y>Another page</a></li></ul>{close}<footer>foot</footer></body></html>"
+    assert html.main_text(page).split("\n") == ["Title", lead, *first, "More", *second]
+
+
 def test_html_query(spark):
     got = queries.op4_html_extraction(spark, AT).toPandas()
     assert len(got) == spark.read.parquet(f"{AT}/pages.parquet").count()
