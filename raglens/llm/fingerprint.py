@@ -7,7 +7,8 @@ sequence of the anchors' hashes, and the fingerprint of an edited text is put to
 the anchors of its parts and those across the seam.
 
 Defined results: a null text is the empty text. The empty text has the empty fingerprint; a
-text of less than k characters has one anchor, the hash of the whole text. Likeness is the
+text without a syncmer (all of less than k characters, and some of up to a few times k) has
+one anchor, the hash of the whole text. Likeness is the
 Dice measure of the distinct anchors, 1 for two empty fingerprints. Rows of equal id follow
 each other by their text; rows with a null id come last."""
 
@@ -56,8 +57,10 @@ def anchors(text: Column) -> Column:
 
 
 def sketch(text: Column, found: Column) -> Column:
-    """The distinct anchors array<bigint> in their order, from anchors()["hash"]."""
-    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).when(F.length(text) < K, F.array(F.xxhash64(text))).otherwise(found)
+    """The anchors array<bigint> of a text in their order, from anchors()["hash"]: where a
+    text that isn't empty has none, the hash of the whole text."""
+    none = F.array().cast("array<bigint>")
+    return F.when(F.length(text) == 0, none).otherwise(_let(found, lambda f: F.when(F.size(f) == 0, F.array(F.xxhash64(text))).otherwise(f)))
 
 
 def fingerprint(hashes: Column) -> Column:

@@ -451,6 +451,20 @@ def test_fingerprints(spark):
     assert all(len(x) == 1 for x in same.values())
 
 
+def test_fingerprints_of_texts_without_syncmers(spark):
+    """Texts of 20 to 60 characters, many of which have no syncmer, are told apart."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefghij "), n)) for n in [*range(20, 61)] * 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bare = docs.where(F.size(fingerprint.anchors(F.col("text"))["hash"]) == 0).count()
+    got = fingerprint.compare(docs).collect()
+    assert bare > 20 and len(got) == len(texts)
+    assert all(r["fingerprint"] and r["edited_fingerprint"] and r["near_next"] < 1 and r["near_edited"] < 1 for r in got)
+    assert len({r["fingerprint"] for r in got}) == len(texts)
+    same = spark.createDataFrame([(1, texts[0]), (2, texts[0])], "doc_id long, text string")
+    assert all(r["near_next"] == 1.0 for r in fingerprint.compare(same).collect())
+
+
 def test_fingerprints_odd(odd, nothing):
     got = fingerprint.compare(odd).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in ODD)
