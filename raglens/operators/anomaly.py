@@ -41,55 +41,148 @@ def severity(dev: Column) -> Column:
     return F.when(dev >= 1, "high").when(dev >= 0.5, "medium").otherwise("low")
 
 
-def _tree(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple | int:
-    if depth == 0 or len(x) <= 1 or (x.max(0) == x.min(0)).all():
-        return len(x)
-    f = rng.choice(np.flatnonzero(x.max(0) > x.min(0)))
-    cut = rng.uniform(x[:, f].min(), x[:, f].max())
-    left = x[:, f] < cut
-    return f, cut, _tree(x[left], depth - 1, rng), _tree(x[~left], depth - 1, rng)
+#: Distinct points of a node that one task grows on alone.
+LOCAL = 8192
 
 
-def _c(n: float) -> float:
+def _c(n: np.ndarray) -> np.ndarray:
     """Mean path length of an unsuccessful search among n points."""
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    n = np.asarray(n, float)
+    many = np.maximum(n, 3)
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(many - 1) + 0.5772156649) - 2 * (many - 1) / many))
 
 
-def _depths(tree, x: np.ndarray) -> np.ndarray:
+def _splits(lo: np.ndarray, hi: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A random feature of those with a range, and a random cut in it, for every node."""
+    r = rng.random(lo.shape)
+    f = np.where(hi > lo, r, -1.0).argmax(1)
+    at = np.arange(len(f))
+    return f, lo[at, f] + rng.random(len(f)) * (hi[at, f] - lo[at, f])
+
+
+def _paths(x: np.ndarray, m: np.ndarray, depth: int, most: int, rng: np.random.Generator) -> np.ndarray:
+    """Path lengths of points that occur m times each, in a node at `depth` that grows to its end."""
     out = np.zeros(len(x))
-    stack = [(tree, np.arange(len(x)), 0)]
-    while stack:
-        node, at, depth = stack.pop()
-        if not isinstance(node, tuple):
-            out[at] = depth + _c(node)
-            continue
-        f, cut, left, right = node
-        go = x[at, f] < cut
-        stack += [(left, at[go], depth + 1), (right, at[~go], depth + 1)]
+    live, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+    while len(live):
+        by = np.argsort(node, kind="stable")
+        live, node = live[by], node[by]
+        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        node = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
+        lo, hi, n = np.minimum.reduceat(x[live], first), np.maximum.reduceat(x[live], first), np.add.reduceat(m[live], first)
+        grows = (hi > lo).any(1) & (depth < most)
+        f, cut = _splits(lo, hi, rng)
+        ends = ~grows[node]
+        out[live[ends]] = depth + _c(n)[node[ends]]
+        live, node = live[~ends], node[~ends]
+        node = 2 * node + (x[live, f[node]] >= cut[node])
+        depth += 1
     return out
 
 
-def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int = 100, sample: int = 256, contamination: float = 0.02, seed: int = 42) -> DataFrame:
-    """key, score (higher: more anomalous), flagged. Fitted on a sample of the published size
-    per tree, drawn by a hash; every row is scored. Fewer than 10 rows score 0."""
+class _Top:
+    """The upper part of a tree: feature (-1: not split), cut and left child (the right one
+    follows) of every node, its depth, and the path length where it is a leaf (else NaN)."""
+
+    def __init__(self) -> None:
+        self.f, self.cut, self.kid, self.depth, self.path = [-1], [0.0], [0], [0], [np.nan]
+
+    def split(self, node: int, f: int, cut: float) -> list[int]:
+        at = len(self.f)
+        self.f[node], self.cut[node], self.kid[node] = f, cut, at
+        for xs, new in ((self.f, -1), (self.cut, 0.0), (self.kid, 0), (self.depth, self.depth[node] + 1), (self.path, np.nan)):
+            xs += [new, new]
+        return [at, at + 1]
+
+    def nodes(self, x: np.ndarray) -> np.ndarray:
+        """The lowest node of each point."""
+        f, cut, kid = np.array(self.f), np.array(self.cut), np.array(self.kid)
+        node, live = np.zeros(len(x), np.int64), np.arange(len(x) if f[0] >= 0 else 0)
+        while len(live):
+            at = node[live]
+            node[live] = kid[at] + (x[live, f[at]] >= cut[at])
+            live = live[f[node[live]] >= 0]
+        return node
+
+
+def _grown(points: DataFrame, names: list[str], n: int, most: int, trees: int, rng: np.random.Generator) -> list[_Top]:
+    """The upper parts of all trees, level by level from the ranges and counts of their nodes,
+    down to nodes of at most LOCAL distinct points."""
+    forest, k = [_Top() for _ in range(trees)], len(names)
+    asked = {(t, 0) for t in range(trees)}
+    columns = [*(f"lo{i}" for i in range(k)), *(f"hi{i}" for i in range(k))]
+    while asked:
+        held = points.sparkSession.sparkContext.broadcast((forest, {t: np.array(sorted(v for s, v in asked if s == t)) for t in {s for s, _ in asked}}))
+
+        def facts(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            grown, open_ = held.value
+            for pdf in batches:
+                x, m = pdf[names].to_numpy(), pdf["m"].to_numpy()
+                for t, some in open_.items():
+                    node = grown[t].nodes(x)
+                    at = np.flatnonzero(np.isin(node, some))
+                    if not len(at):
+                        continue
+                    at = at[np.argsort(node[at], kind="stable")]
+                    first = np.flatnonzero(np.concatenate(([True], node[at][1:] != node[at][:-1])))
+                    ranges = np.hstack([np.minimum.reduceat(x[at], first), np.maximum.reduceat(x[at], first)])
+                    out = pd.DataFrame(ranges, columns=columns)
+                    yield out.assign(tree=t, node=node[at][first], n=np.add.reduceat(m[at], first), points=np.diff(np.append(first, len(at))))
+
+        rows = points.mapInPandas(facts, ", ".join([*(f"{c} double" for c in columns), "tree int, node long, n long, points long"]))
+        low, high = [F.min(c).alias(c) for c in columns[:k]], [F.max(c).alias(c) for c in columns[k:]]
+        found = rows.groupBy("tree", "node").agg(*low, *high, F.sum("n").alias("n"), F.sum("points").alias("points")).toPandas().sort_values(["tree", "node"])
+        asked = set()
+        lo, hi = found[columns[:k]].to_numpy(), found[columns[k:]].to_numpy()
+        f, cut = _splits(lo, hi, rng)
+        for i, (t, v, count, size) in enumerate(zip(found["tree"], found["node"], found["n"], found["points"])):
+            top = forest[t]
+            if top.depth[v] >= most or size <= 1:
+                top.path[v] = top.depth[v] + float(_c(count))
+            elif size > LOCAL:
+                asked |= {(t, kid) for kid in top.split(v, int(f[i]), float(cut[i]))}
+    return forest
+
+
+def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int = 100, contamination: float = 0.02, seed: int = 42) -> DataFrame:
+    """key, score (higher: more anomalous), flagged. Every tree is fitted on all rows and cut
+    at a depth of log2 of their number; rows of equal features count as often as they occur.
+    The upper levels are grown from node statistics, the nodes below them each in a task.
+    Fewer than 10 rows score 0."""
     spark = rows.sparkSession
-    x = rows.select(F.col(key).alias("k"), *(F.coalesce(finite(F.col(f)), F.lit(0.0)).alias(f) for f in features))
+    names = [f"_x{i}" for i in range(len(features))]
+    x = rows.select(F.col(key).alias("k"), *(F.coalesce(finite(F.col(f)), F.lit(0.0)).cast("double").alias(c) for f, c in zip(features, names)))
     n = x.count()
-    schema = f"{key} {dict(rows.dtypes)[key]}, score double"
     if n < 10:
         return x.select(F.col("k").alias(key), F.lit(0.0).alias("score"), F.lit(False).alias("flagged"))
-    share = min(1.0, 8 * sample * 4 / n)
-    pool = x.where(F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("k").limit(8 * sample * 8).toPandas()[features].to_numpy()
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(pool))
-    forest = spark.sparkContext.broadcast(([_tree(pool[rng.choice(len(pool), size, replace=False)], int(np.ceil(np.log2(max(2, size)))), rng) for _ in range(trees)], _c(size)))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grown, norm = forest.value
-        for pdf in batches:
-            m = pdf[features].to_numpy()
-            yield pd.DataFrame({key: pdf["k"], "score": 2.0 ** (-np.mean([_depths(t, m) for t in grown], axis=0) / norm)})
+    points = x.groupBy(*names).agg(F.count("*").alias("m")).persist()
+    most = int(np.ceil(np.log2(n)))
+    forest = spark.sparkContext.broadcast(_grown(points, names, n, most, trees, np.random.default_rng(seed)))
+    typed = ", ".join(f"{c} double" for c in names)
 
-    s = x.mapInPandas(scored, schema)
+    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every point's path in trees where that ends above, and its node in the others."""
+        for pdf in batches:
+            v = pdf[names].to_numpy()
+            ended = np.zeros(len(v))
+            for t, top in enumerate(forest.value):
+                node = top.nodes(v)
+                path = np.array(top.path)[node]
+                on = np.isnan(path)
+                ended += np.where(on, 0.0, path)
+                yield pdf[on].assign(tree=t, node=node[on], path=0.0)
+            yield pdf.assign(tree=-1, node=0, path=ended)
+
+    def finished(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t, node = int(at[0]), int(at[1])
+        pdf = pdf.sort_values(names)
+        depth = forest.value[t].depth[node]
+        return pdf[names].assign(path=_paths(pdf[names].to_numpy(), pdf["m"].to_numpy(), depth, most, np.random.default_rng([seed, t, node])))
+
+    parts = points.mapInPandas(routed, f"{typed}, m long, tree int, node long, path double")
+    below = parts.where("tree >= 0").groupBy("tree", "node").applyInPandas(finished, f"{typed}, path double")
+    paths = parts.where("tree < 0").select(*names, "path").unionByName(below).groupBy(*names).agg(F.sum("path").alias("path"))
+    s = x.join(paths, names).select(F.col("k").alias(key), F.pow(F.lit(2.0), -F.round(F.col("path") / trees / float(_c(n)), 12)).alias("score"))
+    s = s.persist()
     cut = s.agg(F.percentile_approx("score", 1 - contamination, 100_000).alias("_cut"))
     return s.join(F.broadcast(cut)).select(key, "score", (F.col("score") > F.col("_cut")).alias("flagged"))

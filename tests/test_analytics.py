@@ -4,12 +4,13 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from raglens.functions import scalars as fn
-from raglens.operators import evaluation, retrieval
+from raglens.operators import anomaly, evaluation, retrieval
 from raglens.operators.chunking import split
 from raglens.plans import registry
 from raglens.streaming import ingest
@@ -125,3 +126,20 @@ def test_stream_upsert(spark, tmp_path):
     q = ingest.upsert_stream(stream, spark, str(tmp_path / "out"), ["id"], ["at"], str(tmp_path / "cp"))
     q.awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()] == [(1, "b", 2)]
+
+
+@pytest.mark.parametrize("local", [8192, 500])
+def test_isolation_forest_sees_every_row(spark, monkeypatch, local):
+    """20,000 rows, of which a few equal ones and one lone row lie apart: trees of all rows
+    give each its path length, whatever part of the tree is grown in one task."""
+    monkeypatch.setattr(anomaly, "LOCAL", local)
+    n = 20_000
+    rows = spark.range(n).select("id", F.when(F.col("id") == 7, 1e6).otherwise((F.col("id") * 7919 % n).cast("double")).alias("a"), (F.col("id") % 50).cast("double").alias("b"))
+    got = {r["id"]: r for r in anomaly.isolation_forest(rows, ["a", "b"], "id", trees=20).collect()}
+    assert len(got) == n and got[7]["flagged"] and max(got.values(), key=lambda r: r["score"])["id"] == 7
+    assert 0.01 < sum(r["flagged"] for r in got.values()) / n <= 0.0201
+    # a tree over all rows is deeper than one over 256: inner rows lie below log2(256) + c(n / 256)
+    paths = sorted(-np.log2(r["score"]) * float(anomaly._c(n)) for r in got.values())
+    assert paths[n // 2] > 12
+    again = {r["id"]: r["score"] for r in anomaly.isolation_forest(rows.repartition(7), ["a", "b"], "id", trees=20).collect()}
+    assert again == pytest.approx({i: r["score"] for i, r in got.items()}, rel=1e-9)
