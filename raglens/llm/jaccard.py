@@ -7,20 +7,25 @@ relations and skipping.
    all others by hash - is indexed. For thresholds of 0.8 or more a list belongs to two
    neighbouring shingles: of the gaps between the shingles that two linked sets share, one
    of the first D + 1 is empty in both, D being the shingles that only one of them has; and
-   both prefixes hold it. Below 0.8 a list belongs to one shingle. Within a list, sorted by
-   size, only the sets of a run, which differ by less than the threshold's factor, meet;
-   everything else of the list is skipped. A pair goes on only if the sets' histograms -
-   how many of their shingles fall into each range of hashes - allow a link: their distance
-   is never more than the number of shingles that only one of the sets has.
-3. Answers. Sets of a candidate group meet in one task (large groups in pairs of blocks). A
-   local index skips whole blocks of list entries whose size or position can't reach the
-   required overlap. The overlaps of the first set of a family are counted from the lists; a
-   highly similar set's overlaps are derived from them, reading only the lists of the few
-   shingles in which the two differ. A task returns a spanning forest of its links.
-4. Components of those links.
-
-The frequent shingles come from all rows: every window of rows reports its own frequent
-ones. The order affects only the work, never the result.
+   both prefixes hold it. Below 0.8 a list belongs to one shingle. A list is sorted by size
+   and falls into runs, between which sizes alone rule out a link.
+3. Families. Every set goes to the one hub of its lists, the first set of a run, that sizes
+   and histograms - how many of the shingles fall into each range of hashes, whose distance
+   is never more than the number of shingles that only one set has - leave as a partner and
+   that it shares the most lists with. The sets of a hub meet in tasks of bounded size, each
+   with the hub. There a local index skips whole blocks of list entries whose size or
+   position can't reach the required overlap, and a set's overlaps are derived from those of
+   a highly similar reference set, one of which is held for each family, by reading only the
+   lists of the few shingles in which the two differ. Sets already connected aren't compared.
+4. The rest. Within a hub of several tasks, the sets that aren't connected with it meet all
+   others. Sets of different hubs meet by their lists, again in bounded tasks that skip
+   blocks by size and position; what histograms leave of these pairs, and isn't connected
+   yet, is verified.
+5. Components of the links found; only true links enter them.
+
+So a family's sets are sent once, however large it is, but for its few outliers. The frequent
+shingles come from all rows: every window of rows reports its own frequent ones. The order
+affects only the work, never the result.
 
 Defined results: null and empty texts, and texts without words, have the empty set and link
 with nothing, nor with each other. Rows with a null id come back with a null component.
@@ -32,23 +37,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raglens.llm.common import binary_texts, connected_components, materialise, mix, signed, small_batches, text_slices, word_hashes
+from raglens.llm.common import binary_texts, connected_components, materialise, mix, signed, text_slices, word_hashes
 
 #: A shingle is frequent if it is in this share of the documents of a window of rows.
 FREQUENT_SHARE, FREQUENT_LEAST = 0.0003, 3
 #: Most frequent shingles that are told apart; the rest of them keep the order by hash.
 FREQUENT_KEPT = 200_000
-#: Sets of a run of an index list that meet in pairs.
-RUN = 16
-#: Sets of one candidate group that meet in a task.
-BLOCK = 768
+#: Shingles of the sets that meet in a task, about.
+ELEMENTS = 1 << 20
+#: Entries of an index list that meet in a task.
+ENTRIES = 4096
+#: Slots in which index lists are counted; those of slots with more than HOT entries (and
+#: many times the mean) are dealt over several tasks.
+SLOTS, HOT = 1 << 16, 1 << 16
+#: Rows of a class beyond which its label is broadcast instead of joined by key.
+LARGE_CLASS = 1_000_000
 #: Bits of a shingle's hash that choose its place in a histogram.
 RANGE_BITS = 6
 #: Entries of a list that are skipped together.
 SKIP = 64
+#: Reference sets whose overlaps a task holds.
+REFS = 64
 
 _C = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -74,9 +86,10 @@ def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def histogram(s: np.ndarray) -> np.ndarray:
-    """How many of the shingles fall into each range of hashes."""
-    return np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS).astype(np.int32)
+def histogram(s: np.ndarray) -> bytes:
+    """How many of the shingles (255 at most) fall into each range of hashes."""
+    n = np.bincount((s >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS)
+    return np.minimum(n, 255).astype(np.uint8).tobytes()
 
 
 def needed(nx, ny, num: int, den: int):
@@ -157,58 +170,79 @@ def set_table(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             prefix = [signed(lists_of(o, s, num, den)) if len(s) else None for s in sets]
             hist = [histogram(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array([x[k] for x in sums], np.uint64).view(np.int64)) for k in (0, 1)), pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.list_(pa.int32()))],
+                [b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(np.array([x[k] for x in sums], np.uint64).view(np.int64)) for k in (0, 1)), pa.array(prefix, pa.list_(pa.int64())), pa.array(hist, pa.binary())],
                 names=["doc_id", "n", "s1", "s2", "prefix", "hist"],
             )
 
-    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, prefix array<long>, hist array<int>")
-
-
-def candidate_links(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: sets that may link. Sets in short runs of the index lists meet in pairs; the sets of
-    a run of more than RUN all go to its first one. Where a list belongs to one shingle, a pair
-    is kept if the lists that both are in are as many as a link needs: a link of sets of
-    na <= nb shares needed(na, nb) + 1 - ceil(num / den * nb) prefix shingles at least. Pairs
-    that met directly also need histograms that allow a link; those with a run's first set
-    stay, for they stand for the run's other pairs too."""
-    entries = reps.select("rep", "n", F.explode("prefix").alias("t"))
-    w = Window.partitionBy("t").orderBy("n", "rep")
+    return docs.mapInArrow(rows, "doc_id long, n long, s1 long, s2 long, prefix array<long>, hist binary")
+
+
+def possible(na, nb, ha: np.ndarray, hb: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and histograms leave a link of sets, row by row."""
+    apart = np.abs(ha.astype(np.int16) - hb.astype(np.int16)).sum(axis=-1)
+    return (den * np.minimum(na, nb) >= num * np.maximum(na, nb)) & (apart <= na + nb - 2 * needed(na, nb, num, den))
+
+
+def shared_entries(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """t, pos, n, rep, run: the entries of index lists that share their run with others; run
+    is the first set, as struct(n, rep), of the run. Lists of crowded slots are dealt over
+    several parts, each with runs of its own; these have a `top`, the list's first set."""
+    entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "t"))
+    slot = F.pmod("t", F.lit(SLOTS)).cast("int").alias("slot")
+    counts = materialise(entries.groupBy(slot).agg(F.count("*").alias("c")), "slots")
+    mean = counts.agg(F.avg("c").alias("m")).first()["m"] or 0
+    most = max(HOT, 4 * int(mean))
+    crowded = counts.where(F.col("c") > most).select("slot", F.ceil(F.col("c") / most).alias("parts"))
+    hot = crowded.count() > 0  # at most SLOTS / 4 slots are
+    if hot:
+        entries = entries.withColumn("slot", slot).join(F.broadcast(crowded), "slot", "left")
+        part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.lit(-1))
+        entries = entries.select("rep", "n", "pos", "t", part.cast("int").alias("part"))
+    w = Window.partitionBy("t", *["part"] * hot).orderBy("n", "rep")
     before = F.lag("n").over(w)
-    e = entries.withColumn("first", F.when(before.isNull() | (den * before < num * F.col("n")), F.col("rep")))
-    e = e.withColumn("first", F.last("first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("near", F.collect_list(F.struct("rep", "n", "first")).over(w.rowsBetween(-RUN, -1))).where("first <> rep")
-    e = e.withColumn("near", F.filter("near", lambda x: x["first"] == F.col("first")))
-
-    def pair(a, b, nb, star):
-        return F.struct(a.alias("a"), b.alias("b"), nb.alias("nb"), star.alias("star"))
-
-    first, yes = F.col("first"), F.lit(True)
-    pairs = F.transform("near", lambda x: pair(F.col("rep"), x["rep"], x["n"], F.lit(False)))
-    own = F.array(pair(F.col("rep"), first, F.col("n"), yes))
-    others = F.transform(F.filter("near", lambda x: x["rep"] != first), lambda x: pair(x["rep"], first, F.col("n"), yes))
-    # the run's entry number RUN + 1 also sends those before it
-    met = F.when(F.size("near") < RUN, pairs).when(F.get("near", F.lit(0))["rep"] == first, F.concat(others, own)).otherwise(own)
-    met = e.select("n", F.explode(met).alias("x")).select("n", "x.*")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("star").alias("star"), F.max("n").alias("na"), F.max("nb").alias("nb"))
-    least = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den) - 1e-9) + 1 - F.ceil(num * F.greatest("na", "nb") / den - 1e-9)
-    enough = F.lit(1) if neighbours(num, den) else least
-    met = materialise(met.where(F.col("star") | (F.col("c") >= enough)).select("a", "b", "na", "nb", "star"), "pairs")
-    both = F.col("na") + F.col("nb")
-    spare = both - 2 * F.ceil(num * both / (num + den) - 1e-9)
-    apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    direct = met.where("not star")  # a set has at most RUN of them to a list, so no key is hot
-    direct = direct.join(reps.select(F.col("rep").alias("a"), F.col("hist").alias("ha")), "a").join(reps.select(F.col("rep").alias("b"), F.col("hist").alias("hb")), "b")
-    return direct.where(apart <= spare).select("a", "b").unionByName(met.where("star").select("a", "b"))
+    e = entries.withColumn("run", F.when(before.isNull() | (den * before < num * F.col("n")), F.struct("n", "rep")))
+    e = e.withColumn("run", F.last("run", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("next", F.lead("run.rep").over(w))
+    alone = (F.col("run.rep") == F.col("rep")) & ~F.coalesce(F.col("next") == F.col("run.rep"), F.lit(False))
+    if not hot:
+        return e.where(~alone).select("t", "pos", "n", "rep", "run", F.col("run").alias("top"))
+    e = materialise(e.where(~alone | (F.col("part") >= 0)).select("t", "pos", "n", "rep", "run", "part"), "parts")
+    tops = e.where("part >= 0").groupBy("t").agg(F.min("run").alias("top"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return e.where("part < 0").select("t", "pos", "n", "rep", "run", F.col("run").alias("top")).unionByName(e.where("part >= 0").join(tops, "t").select("t", "pos", "n", "rep", "run", "top"))
+
+
+def hubs(reps: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+    """rep, n, hub of every set with a hub other than itself. Of the first sets of its runs
+    that may link with it, it is the smallest of those that it shares most lists with (a
+    quarter of the most, at least)."""
+    star = shared.where(F.col("run.rep") != F.col("rep")).select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("run.rep").alias("b"), F.col("run.n").alias("nb"))
+    over = shared.where((F.col("run.rep") == F.col("rep")) & (F.col("top.rep") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("top.rep").alias("b"), F.col("top.n").alias("nb"))
+    pairs = star.unionByName(over).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c")).where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    side = lambda r, n, h: reps.select(F.col("rep").alias(r), F.col("n").alias(n), F.col("hist").alias(h))
+    pairs = pairs.join(side("a", "na", "ha"), ["a", "na"]).join(side("b", "nb", "hb"), ["b", "nb"])
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ha, hb = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(x.num_rows, -1) for k in ("ha", "hb"))
+            na, nb = (x.column(k).to_numpy() for k in ("na", "nb"))
+            yield x.select(["a", "na", "b", "nb", "c"]).filter(pa.array(possible(na, nb, ha, hb, num, den)))
+
+    pairs = pairs.mapInArrow(tested, "a long, na long, b long, nb long, c long")
+    best = pairs.groupBy(F.col("a").alias("rep"), F.col("na").alias("n")).agg(F.sort_array(F.collect_list(F.struct("nb", "b", "c"))).alias("x"))
+    most = F.array_max(F.transform("x", lambda e: e["c"]))
+    return best.select("rep", "n", F.get(F.filter("x", lambda e: 4 * e["c"] >= most), F.lit(0))["b"].alias("hub"))
 
 
 class LocalJoin:
-    """Links among the sets of one candidate group, smallest sets first."""
+    """Links among the sets of one task, smallest sets first. side: sets of one side aren't
+    compared; label: sets of one label are connected already."""
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None) -> None:
+    def __init__(self, sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, label: np.ndarray | None = None) -> None:
         self.num, self.den = num, den
         self.by = np.argsort([len(s) for s in sets], kind="stable")
         sets = [sets[i] for i in self.by]
         self.side = None if side is None else side[self.by]
+        self.label = np.arange(len(sets)) if label is None else np.unique(label, return_inverse=True)[1][self.by]
         self.n = np.array([len(s) for s in sets], np.int64)
         keys, inv, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         rank = np.argsort(np.argsort(df, kind="stable"), kind="stable")  # rare shingles first
@@ -220,131 +254,287 @@ class LocalJoin:
         o = np.argsort(flat, kind="stable")  # lists by shingle, in each the smaller sets first
         self.own, self.pos = own[o], pos[o]
         self.at = np.searchsorted(flat[o], np.arange(len(keys) + 1))
-        self.parent = np.arange(len(sets))
-
-    def find(self, a: int) -> int:
-        while self.parent[a] != a:
-            self.parent[a] = self.parent[self.parent[a]]
-            a = self.parent[a]
-        return a
+        # blocks of a list: first entry, and the most that any entry leaves for an overlap
+        per = -(-np.diff(self.at) // SKIP)
+        self.block_at = np.concatenate(([0], np.cumsum(per)))
+        self.starts = np.repeat(self.at[:-1], per) + SKIP * _ragged(per)
+        self.ends = np.minimum(self.starts + SKIP, np.repeat(self.at[1:], per))
+        self.room = np.maximum.reduceat(self.n[self.own] - self.pos, self.starts)
+        self.refs: dict[int, np.ndarray] = {}
+        self.ref_of = np.full(len(sets), -1)
 
     def overlaps(self, tokens: np.ndarray) -> np.ndarray:
         """How many of the tokens each set has."""
-        lists = [self.own[self.at[t] : self.at[t + 1]] for t in tokens]
-        return np.bincount(np.concatenate(lists), minlength=len(self.n)) if lists else np.zeros(len(self.n), np.int64)
+        n = self.at[tokens + 1] - self.at[tokens]
+        entries = np.repeat(self.at[tokens], n) + _ragged(n)
+        return np.bincount(self.own[entries], minlength=len(self.n))
 
     def probe(self, x: int) -> np.ndarray:
-        """Smaller sets that size and position leave as candidates of x."""
-        n = self.n[x]
-        size = n - -(-self.num * n // self.den) + 1
+        """Smaller sets, not connected with x, that size and position leave as candidates."""
+        n = int(self.n[x])
+        tokens = self.sets[x][: n - -(-self.num * n // self.den) + 1]
         lo = np.searchsorted(self.n, -(-self.num * n // self.den))
-        found = []
-        for i, t in enumerate(self.sets[x][:size]):
-            s, e = self.at[t], self.at[t + 1]
-            s, e = s + np.searchsorted(self.own[s:e], lo), s + np.searchsorted(self.own[s:e], x)
-            while s < e:
-                stop = min(e, s + SKIP)
-                own, pos = self.own[s:stop], self.pos[s:stop]
-                left = 1 + min(n - i - 1, int((self.n[own[-1]] - pos.min() - 1)))
-                if left >= needed(n, self.n[own[0]], self.num, self.den):  # else the whole block is skipped
-                    ny = self.n[own]
-                    found.append(own[1 + np.minimum(n - i - 1, ny - pos - 1) >= needed(n, ny, self.num, self.den)])
-                s = stop
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        per = self.block_at[tokens + 1] - self.block_at[tokens]
+        block = np.repeat(self.block_at[tokens], per) + _ragged(per)
+        place = np.repeat(np.arange(len(tokens)), per)
+        first, last = self.own[self.starts[block]], self.own[self.ends[block] - 1]
+        least = needed(n, self.n[np.maximum(first, lo)], self.num, self.den)
+        good = (last >= lo) & (first < x) & (np.minimum(n - place, self.room[block]) >= least)
+        block, place = block[good], place[good]  # all others are skipped whole
+        per = self.ends[block] - self.starts[block]
+        entry = np.repeat(self.starts[block], per) + _ragged(per)
+        place = np.repeat(place, per)
+        own = self.own[entry]
+        ny = self.n[own]
+        good = (own >= lo) & (own < x) & (self.label[own] != self.label[x])
+        good &= np.minimum(n - place, ny - self.pos[entry]) >= needed(n, ny, self.num, self.den)
+        if self.side is not None:
+            good &= self.side[own] != self.side[x]
+        return np.unique(own[good])
+
+    def _join(self, x: int, y: int, out: list[tuple[int, int]]) -> None:
+        a, b = sorted((self.label[x], self.label[y]))
+        if a != b:
+            self.label[self.label == b] = a
+            out.append((int(self.by[x]), int(self.by[y])))
+
+    def _linked(self, x: int, y: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+        return self.den * overlap >= self.num * (self.n[x] + self.n[y] - overlap)
 
     def links(self) -> list[tuple[int, int]]:
-        """A spanning forest of the links, as indexes of the sets given."""
-        out = []
-        ref: int | None = None
-        ref_overlaps = None
+        """Links that connect all sets that links connect, as indexes of the sets given."""
+        out: list[tuple[int, int]] = []
         for x in range(len(self.n)):
             cand = self.probe(x)
-            if self.side is not None and len(cand):
-                cand = cand[self.side[cand] != self.side[x]]
             if not len(cand):
                 continue
-            overlap = None
-            if ref is not None:
-                more = np.setdiff1d(self.sets[x], self.sets[ref], assume_unique=True)
-                less = np.setdiff1d(self.sets[ref], self.sets[x], assume_unique=True)
-                if 3 * (len(more) + len(less)) <= 2 * self.n[x]:  # derived from a similar set's answers
-                    overlap = ref_overlaps + self.overlaps(more) - self.overlaps(less)
-            if overlap is None:
+            ref = int(self.ref_of[cand[-1]])
+            if ref < 0:
+                ref = int(cand[-1])
+            more = np.setdiff1d(self.sets[x], self.sets[ref], assume_unique=True)
+            shared = int(self.n[x]) - len(more)
+            less = int(self.n[ref]) - shared
+            allowed = self.side is None or self.side[ref] != self.side[x]
+            if allowed and self._linked(x, ref, shared):
+                self._join(x, ref, out)
+                cand = cand[self.label[cand] != self.label[x]]
+            self.ref_of[x] = ref
+            if not len(cand):
+                continue
+            if 3 * (len(more) + less) <= 2 * self.n[x]:  # derived from a similar set's answers
+                if ref not in self.refs:
+                    self.refs[ref] = self.overlaps(self.sets[ref])
+                gone = np.setdiff1d(self.sets[ref], self.sets[x], assume_unique=True)
+                overlap = self.refs[ref] + self.overlaps(more) - self.overlaps(gone)
+            else:
                 overlap = self.overlaps(self.sets[x])
-                ref, ref_overlaps = x, overlap
-            o, ny = overlap[cand], self.n[cand]
-            for y in cand[self.den * o >= self.num * (self.n[x] + ny - o)]:
-                a, b = self.find(x), self.find(int(y))
-                if a != b:
-                    self.parent[max(a, b)] = min(a, b)
-                    out.append((int(self.by[x]), int(self.by[y])))
+                self.refs[x], self.ref_of[x] = overlap, x
+            while len(self.refs) > REFS:
+                del self.refs[next(iter(self.refs))]
+            for y in cand[self._linked(x, cand, overlap[cand])]:
+                self._join(x, int(y), out)
         return out
 
 
-def _joined(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The links of every group of rows (g, i, j, doc_id, blk, items), which come sorted by group."""
-    key, held = None, []
+def _ragged(n: np.ndarray) -> np.ndarray:
+    """0 .. n[0] - 1, 0 .. n[1] - 1, and so on."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _joined(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The links of every task's rows (g, i, j, side, label, doc_id, text), which come sorted."""
+    key, held, seen = None, [], set()
 
     def solve() -> list[tuple[int, int]]:
-        if len(held) < 2:
-            return []
         ids = [h[0] for h in held]
-        sets = [np.frombuffer(h[2], np.uint64) for h in held]
-        side = None if key[1] == key[2] else np.array([h[1] for h in held])
-        return [(ids[a], ids[b]) for a, b in LocalJoin(sets, num, den, side).links()]
+        side = np.array([h[1] for h in held])
+        label = np.array([h[2] for h in held])
+        if len(held) < 2 or (label == label[0]).all():
+            return []
+        side = None if (side == 0).all() else side
+        return [(ids[a], ids[b]) for a, b in LocalJoin([h[3] for h in held], num, den, side, label).links()]
 
-    for b in batches:
+    def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for b in text_slices(batches, "text"):
         out: list[tuple[int, int]] = []
-        cols = [b.column(c).to_pylist() for c in ("g", "i", "j", "doc_id", "blk", "items")]
-        for g, i, j, d, blk, items in zip(*cols):
+        sets = shingle_sets(binary_texts(b.column("text")), words)
+        for g, i, j, d, side, label, s in zip(*(b.column(c).to_pylist() for c in ("g", "i", "j", "doc_id", "side", "label")), sets):
             if (g, i, j) != key:
                 out += solve()
                 key, held = (g, i, j), []
-            held.append((d, blk, items))
+            if not held or held[-1][0] != d:
+                seen = set()
+            if (mark := (side, label, hash(s.tobytes()))) not in seen:  # rows of one id and set come once
+                seen.add(mark)
+                held.append((d, side, label, s))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield batch(out)
     if out := solve():
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
-def verified_links(docs: DataFrame, groups: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) of each candidate group (node, root), a spanning forest of them."""
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "root").select(F.col("node").alias("doc_id"), F.col("root").alias("g"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("blk"))
-    texts = docs.join(placed, "doc_id")
+        yield batch(out)
+
+
+def verified(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the sets that `placed` (doc_id, g, i, j, side, label) sends to the
+    same task (g, i, j)."""
+    rows = docs.join(placed, "doc_id").select("g", "i", "j", "doc_id", "side", "label", "text")
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id", "side", "label")
+    return materialise(rows.mapInArrow(lambda it: _joined(it, words, num, den), "a long, b long"), "found")
+
+
+def _tasks(size: Column) -> Column:
+    return F.ceil(size / ELEMENTS).cast("int")
+
+
+def family_links(docs: DataFrame, hub: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what links connect among the sets of each hub."""
+    groups = materialise(hub.groupBy("hub").agg(_tasks(F.sum("n")).alias("tasks")), "groups")
+    spread = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("i")
+    centre = groups.select(F.col("hub").alias("g"), spread, F.col("hub").alias("doc_id"))
+    own = F.pmod(F.xxhash64("rep"), F.col("tasks").cast("long")).cast("int")
+    members = materialise(hub.join(groups, "hub").select(F.col("hub").alias("g"), own.alias("i"), F.col("rep").alias("doc_id"), "n", "tasks"), "members")
+    zero = F.lit(0)
+    placed = members.select("g", "i", "doc_id").unionByName(centre).select("doc_id", "g", "i", zero.alias("j"), zero.alias("side"), F.col("doc_id").alias("label"))
+    first = verified(docs, placed, words, num, den)
+    large = members.where("tasks > 1")
+    if large.isEmpty():
+        return first
+    roots = materialise(connected_components(first, "family"), "roots").withColumnRenamed("node", "doc_id")
+    centres = roots.select(F.col("doc_id").alias("g"), F.col("root").alias("main"))
+    large = large.join(roots, "doc_id", "left").join(centres, "g", "left").select("g", "i", "doc_id", "n", "tasks", F.coalesce("root", "doc_id").alias("label"), F.coalesce("main", "g").alias("main"))
+    large = materialise(large, "large")
+    away = large.where("label <> main")
+    counts = away.groupBy("g").agg(_tasks(F.sum("n")).alias("outs"))
+    away = away.join(counts, "g").withColumn("o", F.pmod(F.xxhash64("doc_id"), F.col("outs").cast("long")).cast("int"))
+    one = away.select("doc_id", "g", F.col("o").alias("i"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("j"), F.lit(1).alias("side"), "label")
+    all_ = large.join(counts, "g").select("doc_id", "g", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("o"), F.col("i").alias("j"), F.lit(2).alias("side"), "label").withColumnRenamed("o", "i")
+    return first.unionByName(verified(docs, one.unionByName(all_), words, num, den))
+
+
+def _met(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that may link, of the entries (t, i, j, rep, n, pos, blk, comp, hub, hist) of
+    each task, which come sorted by task and size."""
+    key, held = None, []
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "text"):
-            items = [s.tobytes() for s in shingle_sets(binary_texts(b.column("text")), words)]
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("blocks"), b.column("blk"), b.column("doc_id"), pa.array(items, pa.binary())], names=["g", "blocks", "blk", "doc_id", "items"])
+    def solve() -> tuple[np.ndarray, np.ndarray]:
+        cols = [np.concatenate([h[k] for h in held]) for k in range(7)]
+        rep, n, pos, blk, comp, hub, hist = cols
+        found = []
+        for s in range(0, len(rep), SKIP):
+            x = slice(s, min(s + SKIP, len(rep)))
+            # a block is skipped whole if none of its sizes can link with any of x's
+            hi = x.stop
+            lo = np.searchsorted(n, -(-num * int(n[s]) // den))
+            for e in range(int(lo), hi, 8 * SKIP):
+                y = slice(e, min(e + 8 * SKIP, hi))
+                # of the places before a shared list, and of those behind it, each difference counts
+                apart = np.abs(pos[x, None] - pos[None, y]) + np.abs((n - pos)[x, None] - (n - pos)[None, y])
+                spare = n[x, None] + n[None, y] - 2 * needed(n[x, None], n[None, y], num, den)
+                good = (apart <= spare) & (comp[x, None] != comp[None, y]) & (hub[x, None] != hub[None, y])
+                good &= np.arange(x.start, x.stop)[:, None] > np.arange(y.start, y.stop)[None]
+                if key[1] != key[2]:
+                    good &= blk[x, None] != blk[None, y]
+                p, q = np.nonzero(good)
+                p, q = p + x.start, q + y.start
+                for k in range(0, len(p), 1 << 16):
+                    a, b = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+                    ok = possible(n[a], n[b], hist[a], hist[b], num, den)
+                    found.append((rep[a[ok]], rep[b[ok]]))
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    held = texts.select("g", "blocks", "blk", "doc_id", "text").mapInArrow(sets, "g long, blocks int, blk int, doc_id long, items binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    pairs = held.select("g", "blk", "doc_id", "items", other).select("g", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "doc_id", "blk", "items")
-    pairs = pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id")
-    return pairs.mapInArrow(lambda it: _joined(it, num, den), "a long, b long")
+    for b in batches:
+        if not b.num_rows:
+            continue
+        out = []
+        task = np.column_stack([b.column(c).to_numpy() for c in ("t", "i", "j")])
+        hist = np.frombuffer(b"".join(b.column("hist").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        cols = [*(b.column(c).to_numpy() for c in ("rep", "n", "pos", "blk", "comp", "hub")), hist]
+        cuts = [0, *(np.flatnonzero((task[1:] != task[:-1]).any(axis=1)) + 1).tolist(), len(task)]
+        for s, e in zip(cuts, cuts[1:]):
+            if key != tuple(task[s]):
+                if held:
+                    out.append(solve())
+                key, held = tuple(task[s]), []
+            held.append([c[s:e] for c in cols])
+        if sum(len(x[0]) for x in out):
+            yield batch(out)
+    if held and len((last := solve())[0]):
+        yield batch([last])
+
+
+def distant_links(docs: DataFrame, reps: DataFrame, shared: DataFrame, hub: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links between sets of different hubs that `links` doesn't connect yet."""
+    roots = connected_components(links, "apart").withColumnRenamed("node", "rep")
+    about = reps.select("rep", "n", "hist").join(roots, "rep", "left").join(hub, ["rep", "n"], "left")
+    about = materialise(about.select("rep", "n", "hist", F.coalesce("root", "rep").alias("comp"), F.coalesce("hub", "rep").alias("hub")), "about")
+    named = shared.select("t", "pos", "n", "rep").join(about.select("rep", "n", "comp", "hub"), ["rep", "n"])
+    facts = named.groupBy("t").agg(F.count("*").alias("c"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("hub").alias("h1"), F.max("hub").alias("h2"))
+    facts = facts.where("c1 <> c2 and h1 <> h2").select("t", F.ceil(F.col("c") / ENTRIES).cast("int").alias("blocks"))
+    open_ = materialise(named.join(facts, "t"), "open").join(about.select("rep", "n", "hist"), ["rep", "n"])
+    open_ = open_.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    sent = open_.select("t", "rep", "n", F.col("pos").cast("long").alias("pos"), "blk", "comp", "hub", "hist", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    sent = sent.select("t", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "rep", "n", "pos", "blk", "comp", "hub", "hist")
+    sent = sent.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n", "rep")
+    pairs = materialise(sent.mapInArrow(lambda it: _met(it, num, den), "a long, b long").distinct(), "distant")
+    comp = about.select("rep", "comp").distinct()
+    # a set's pairs with one component: the first of them is tried, then what is still apart
+    pairs = pairs.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
+    pairs = materialise(pairs.withColumn("first", F.row_number().over(Window.partitionBy("ca", "cb").orderBy("a", "b")) == 1), "apart")
+    found = _pair_links(docs, pairs.where("first"), words, num, den)
+    near = connected_components(found.select(F.col("a"), F.col("b")).join(comp.withColumnRenamed("rep", "a"), "a").withColumnRenamed("comp", "ca").join(comp.withColumnRenamed("rep", "b"), "b").select(F.col("ca").alias("a"), F.col("comp").alias("b")), "nearer")
+    near = materialise(near, "nearer")
+    rest = pairs.where("not first").join(near.select(F.col("node").alias("ca"), F.col("root").alias("ra")), "ca", "left").join(near.select(F.col("node").alias("cb"), F.col("root").alias("rb")), "cb", "left")
+    rest = rest.where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb"))
+    return found.unionByName(_pair_links(docs, rest, words, num, den))
+
+
+def _pair_links(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The links among pairs (a, b): all b of an a meet it, in tasks of bounded size."""
+    pairs = materialise(pairs.select("a", "b"), "asked")
+    part = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / 512).cast("int")
+    rows = pairs.withColumn("i", part)
+    ends = rows.select("a", "i").distinct().select(F.col("a").alias("doc_id"), F.col("a").alias("g"), "i", F.lit(1).alias("side"))
+    others = rows.select(F.col("b").alias("doc_id"), F.col("a").alias("g"), "i", F.lit(2).alias("side"))
+    placed = ends.unionByName(others).select("doc_id", "g", "i", F.lit(0).alias("j"), "side", F.col("doc_id").alias("label"))
+    return verified(docs, placed, words, num, den)
 
 
 def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the components of the links
     overlap / union >= num / den of the rows' shingle sets."""
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = materialise(set_table(docs, words, num, den), "sets")
-    reps = materialise(table.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("hist", "doc_id").alias("hist")), "classes")
-    groups = materialise(connected_components(candidate_links(reps, num, den)), "groups")
-    one = docs.where("doc_id is not null")
-    links = verified_links(one, groups, words, num, den)
-    same_id = table.where("doc_id is not null and n > 0").groupBy("s1", "s2", "n", "doc_id").agg(F.lit(1).alias("one"))
-    classes = reps.select("s1", "s2", "n", "rep")
-    copies = same_id.join(classes, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return finish(table, links, copies)
-
-
-def finish(table: DataFrame, links: DataFrame, copies: DataFrame) -> DataFrame:
-    roots = connected_components(links.unionByName(copies), "links")
-    return table.join(roots, table.doc_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    full = table.where("n > 0 and doc_id is not null")
+    reps = materialise(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("hist", "doc_id").alias("hist")), "classes")
+    shared = materialise(shared_entries(reps, num, den), "shared")
+    hub = materialise(hubs(reps, shared, num, den), "hubs")
+    # the text of a class is that of its smallest id; of rows that share an id, one of the class
+    own = table.where("n > 0").select("doc_id", "s1", "s2", "n").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1")
+    links = materialise(family_links(docs, hub, words, num, den), "links")
+    links = materialise(links.unionByName(distant_links(docs, reps, shared, hub, links, words, num, den)), "links")
+    return finish(table, reps.select("s1", "s2", "n", "rep", "rows"), links, own)
+
+
+def finish(table: DataFrame, classes: DataFrame, links: DataFrame, several: DataFrame) -> DataFrame:
+    """Labels every row. several: ids that have more than one set, whose classes belong together."""
+    key = ["s1", "s2", "n"]
+    rows = table.select("doc_id", "n", "s1", "s2")
+    mixed = materialise(rows.join(several.select("doc_id"), "doc_id", "left_semi").distinct().join(classes.select(*key, "rep"), key).select("doc_id", "rep"), "mixed")
+    joint = mixed.join(mixed.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    roots = materialise(connected_components(links.unionByName(joint), "links"), "roots")
+    label = classes.join(roots, classes.rep == roots.node, "left").select(*key, "rows", F.coalesce("root", "rep").alias("root"))
+    label = materialise(label, "labels")
+    # classes of very many rows are few, as no more of them fit into the table
+    large = label.where(F.col("rows") > LARGE_CLASS).drop("rows")
+    wide = rows.join(F.broadcast(large), key, "left")
+    done, rest = wide.where("root is not null"), wide.where("root is null").drop("root")
+    found = done.unionByName(rest.join(label.where(F.col("rows") <= LARGE_CLASS).drop("rows"), key, "left"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def distinct_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, **columns: str) -> DataFrame:

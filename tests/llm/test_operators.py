@@ -121,13 +121,34 @@ def test_jaccard_brute_force(spark, k, num, den):
 
 def test_jaccard_hot_group_in_blocks(spark, monkeypatch):
     """A group of many near copies, dealt in many blocks, gives the same components."""
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "ELEMENTS", 1000)
     base = [f"v{i}" for i in range(120)]
     docs = [(i, " ".join(base[:60] + [f"u{i}"] + base[60:])) for i in range(50)] + near_docs(60, 9)
     got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == components(docs, 3, 9, 10)
 
 
+def test_jaccard_crowded_lists_and_interleaved_families(spark, monkeypatch):
+    """Lists dealt over parts, long classes, and three families of equal sizes between whose
+    sets others lie at the threshold: the same components as by all pairs."""
+    for name, value in (("HOT", 10), ("ENTRIES", 8), ("ELEMENTS", 3000), ("LARGE_CLASS", 2), ("REFS", 2), ("SKIP", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(5)
+    docs = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(90)]
+        for i in range(40):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                w[int(rng.integers(len(w)))] = f"n{rng.integers(50)}"
+            docs.append((3 * i + f, " ".join(w)))
+    docs += [(1000 + i, docs[0][1]) for i in range(5)] + [(2000, docs[1][1]), (2000, docs[2][1]), (2000, None)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    want = components(docs[:-3], 3, 9, 10)
+    joint = {want[docs[1][0]], want[docs[2][0]]}  # the id 2000 has a set of each
+    assert got == {i: min(joint) if c in joint else c for i, c in want.items()} | {2000: min(joint)}
+
+
 def test_jaccard_odd(odd, nothing):
     got = jaccard.join(odd).collect()
     assert len(got) == len(ODD)
