@@ -17,10 +17,10 @@ relations and skipping.
    position can't reach the required overlap, and a set's overlaps are derived from those of
    a highly similar reference set, one of which is held for each family, by reading only the
    lists of the few shingles in which the two differ. Sets already connected aren't compared.
-4. The rest. Within a hub of several tasks, the sets that aren't connected with it meet all
-   others. Sets of different hubs meet by their lists, again in bounded tasks that skip
-   blocks by size and position; what histograms leave of these pairs, and isn't connected
-   yet, is verified.
+4. The rest. Sets that didn't meet and aren't connected meet by their lists, again in bounded
+   tasks that skip blocks by size and position and test histograms. Components that may be
+   linked form pools, and in each the sets outside of its largest component are joined with
+   all of its sets in such tasks.
 5. Components of the links found; only true links enter them.
 
 So a family's sets are sent once, however large it is, but for its few outliers. The frequent
@@ -387,65 +387,51 @@ def _tasks(size: Column) -> Column:
     return F.ceil(size / ELEMENTS).cast("int")
 
 
-def family_links(docs: DataFrame, hub: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect what links connect among the sets of each hub."""
+def placed_at_hubs(hub: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where sets meet first, as verified() takes it, and the cell (rep, n, cell) of each set:
+    sets of one cell were compared."""
     groups = materialise(hub.groupBy("hub").agg(_tasks(F.sum("n")).alias("tasks")), "groups")
-    spread = F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("i")
-    centre = groups.select(F.col("hub").alias("g"), spread, F.col("hub").alias("doc_id"))
+    centre = groups.select(F.col("hub").alias("g"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("i"), F.col("hub").alias("doc_id"))
     own = F.pmod(F.xxhash64("rep"), F.col("tasks").cast("long")).cast("int")
-    members = materialise(hub.join(groups, "hub").select(F.col("hub").alias("g"), own.alias("i"), F.col("rep").alias("doc_id"), "n", "tasks"), "members")
+    members = hub.join(groups, "hub").select(F.col("hub").alias("g"), own.alias("i"), F.col("rep").alias("doc_id"), "n")
     zero = F.lit(0)
     placed = members.select("g", "i", "doc_id").unionByName(centre).select("doc_id", "g", "i", zero.alias("j"), zero.alias("side"), F.col("doc_id").alias("label"))
-    first = verified(docs, placed, words, num, den)
-    large = members.where("tasks > 1")
-    if large.isEmpty():
-        return first
-    roots = materialise(connected_components(first, "family"), "roots").withColumnRenamed("node", "doc_id")
-    centres = roots.select(F.col("doc_id").alias("g"), F.col("root").alias("main"))
-    large = large.join(roots, "doc_id", "left").join(centres, "g", "left").select("g", "i", "doc_id", "n", "tasks", F.coalesce("root", "doc_id").alias("label"), F.coalesce("main", "g").alias("main"))
-    large = materialise(large, "large")
-    away = large.where("label <> main")
-    counts = away.groupBy("g").agg(_tasks(F.sum("n")).alias("outs"))
-    away = away.join(counts, "g").withColumn("o", F.pmod(F.xxhash64("doc_id"), F.col("outs").cast("long")).cast("int"))
-    one = away.select("doc_id", "g", F.col("o").alias("i"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("j"), F.lit(1).alias("side"), "label")
-    all_ = large.join(counts, "g").select("doc_id", "g", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("o"), F.col("i").alias("j"), F.lit(2).alias("side"), "label").withColumnRenamed("o", "i")
-    return first.unionByName(verified(docs, one.unionByName(all_), words, num, den))
+    return placed, members.select(F.col("doc_id").alias("rep"), "n", F.xxhash64("g", "i").alias("cell"))
 
 
 def _met(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs that may link, of the entries (t, i, j, rep, n, pos, blk, comp, hub, hist) of
-    each task, which come sorted by task and size."""
+    """rep, n, comp, low of the sets that may link with one of another component: of the
+    entries (t, i, j, rep, n, pos, blk, comp, cell, hist) of each task, which come sorted by
+    task and size. A task joins components into pieces by such pairs; low is the least
+    component of a piece, and of two components of one piece no further pairs are sought."""
     key, held = None, []
 
-    def solve() -> tuple[np.ndarray, np.ndarray]:
-        cols = [np.concatenate([h[k] for h in held]) for k in range(7)]
-        rep, n, pos, blk, comp, hub, hist = cols
-        found = []
+    def solve() -> pa.RecordBatch:
+        rep, n, pos, blk, comp, cell, hist = (np.concatenate([h[k] for h in held]) for k in range(7))
+        names, which = np.unique(comp, return_inverse=True)
+        piece = np.arange(len(names))
         for s in range(0, len(rep), SKIP):
-            x = slice(s, min(s + SKIP, len(rep)))
-            # a block is skipped whole if none of its sizes can link with any of x's
-            hi = x.stop
-            lo = np.searchsorted(n, -(-num * int(n[s]) // den))
-            for e in range(int(lo), hi, 8 * SKIP):
-                y = slice(e, min(e + 8 * SKIP, hi))
-                # of the places before a shared list, and of those behind it, each difference counts
-                apart = np.abs(pos[x, None] - pos[None, y]) + np.abs((n - pos)[x, None] - (n - pos)[None, y])
-                spare = n[x, None] + n[None, y] - 2 * needed(n[x, None], n[None, y], num, den)
-                good = (apart <= spare) & (comp[x, None] != comp[None, y]) & (hub[x, None] != hub[None, y])
-                good &= np.arange(x.start, x.stop)[:, None] > np.arange(y.start, y.stop)[None]
+            x = np.arange(s, min(s + SKIP, len(rep)))
+            # blocks of sizes that can't link with any of x's are skipped whole
+            for e in range(int(np.searchsorted(n, -(-num * int(n[s]) // den))), int(x[-1]) + 1, 8 * SKIP):
+                y = np.arange(e, min(e + 8 * SKIP, int(x[-1]) + 1))
+                good = (piece[which[x]][:, None] != piece[which[y]][None]) & (cell[x][:, None] != cell[y][None]) & (x[:, None] > y[None])
                 if key[1] != key[2]:
-                    good &= blk[x, None] != blk[None, y]
+                    good &= blk[x][:, None] != blk[y][None]
                 p, q = np.nonzero(good)
-                p, q = p + x.start, q + y.start
-                for k in range(0, len(p), 1 << 16):
-                    a, b = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
-                    ok = possible(n[a], n[b], hist[a], hist[b], num, den)
-                    found.append((rep[a[ok]], rep[b[ok]]))
-        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-
-    def batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                p, q = p + s, q + e
+                # before a shared list and behind it, each difference of places counts
+                apart = np.abs(pos[p] - pos[q]) + np.abs((n - pos)[p] - (n - pos)[q])
+                near = apart <= n[p] + n[q] - 2 * needed(n[p], n[q], num, den)
+                p, q = p[near], q[near]
+                ok = possible(n[p], n[q], hist[p], hist[q], num, den)
+                for c, d in np.unique(np.column_stack([which[p[ok]], which[q[ok]]]), axis=0).tolist():
+                    low, high = sorted((piece[c], piece[d]))
+                    piece[piece == high] = low
+        joint = np.bincount(piece, minlength=len(names))[piece] > 1
+        of = joint[which]
+        cols = [rep[of], n[of], comp[of], names[piece[which[of]]]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["rep", "n", "comp", "low"])
 
     for b in batches:
         if not b.num_rows:
@@ -453,7 +439,7 @@ def _met(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.R
         out = []
         task = np.column_stack([b.column(c).to_numpy() for c in ("t", "i", "j")])
         hist = np.frombuffer(b"".join(b.column("hist").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-        cols = [*(b.column(c).to_numpy() for c in ("rep", "n", "pos", "blk", "comp", "hub")), hist]
+        cols = [*(b.column(c).to_numpy() for c in ("rep", "n", "pos", "blk", "comp", "cell")), hist]
         cuts = [0, *(np.flatnonzero((task[1:] != task[:-1]).any(axis=1)) + 1).tolist(), len(task)]
         for s, e in zip(cuts, cuts[1:]):
             if key != tuple(task[s]):
@@ -461,47 +447,41 @@ def _met(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.R
                     out.append(solve())
                 key, held = tuple(task[s]), []
             held.append([c[s:e] for c in cols])
-        if sum(len(x[0]) for x in out):
-            yield batch(out)
-    if held and len((last := solve())[0]):
-        yield batch([last])
+        if out:
+            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(x.num_rows for x in out) else out[0]
+    if held:
+        yield solve()
 
 
-def distant_links(docs: DataFrame, reps: DataFrame, shared: DataFrame, hub: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links between sets of different hubs that `links` doesn't connect yet."""
+def distant_links(docs: DataFrame, reps: DataFrame, shared: DataFrame, cells: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links between sets of different cells that `links` doesn't connect yet. Components
+    that may be linked form pools; of a pool, the sets outside of its largest component meet
+    all of its sets."""
     roots = connected_components(links, "apart").withColumnRenamed("node", "rep")
-    about = reps.select("rep", "n", "hist").join(roots, "rep", "left").join(hub, ["rep", "n"], "left")
-    about = materialise(about.select("rep", "n", "hist", F.coalesce("root", "rep").alias("comp"), F.coalesce("hub", "rep").alias("hub")), "about")
-    named = shared.select("t", "pos", "n", "rep").join(about.select("rep", "n", "comp", "hub"), ["rep", "n"])
-    facts = named.groupBy("t").agg(F.count("*").alias("c"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("hub").alias("h1"), F.max("hub").alias("h2"))
+    about = reps.select("rep", "n", "hist").join(roots, "rep", "left").join(cells, ["rep", "n"], "left")
+    about = materialise(about.select("rep", "n", "hist", F.coalesce("root", "rep").alias("comp"), F.coalesce("cell", "rep").alias("cell")), "about")
+    named = shared.select("t", "pos", "n", "rep").join(about.select("rep", "n", "comp", "cell"), ["rep", "n"])
+    facts = named.groupBy("t").agg(F.count("*").alias("c"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("cell").alias("h1"), F.max("cell").alias("h2"))
     facts = facts.where("c1 <> c2 and h1 <> h2").select("t", F.ceil(F.col("c") / ENTRIES).cast("int").alias("blocks"))
     open_ = materialise(named.join(facts, "t"), "open").join(about.select("rep", "n", "hist"), ["rep", "n"])
     open_ = open_.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-    sent = open_.select("t", "rep", "n", F.col("pos").cast("long").alias("pos"), "blk", "comp", "hub", "hist", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    sent = sent.select("t", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "rep", "n", "pos", "blk", "comp", "hub", "hist")
+    sent = open_.select("t", "rep", "n", F.col("pos").cast("long").alias("pos"), "blk", "comp", "cell", "hist", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    sent = sent.select("t", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "rep", "n", "pos", "blk", "comp", "cell", "hist")
     sent = sent.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n", "rep")
-    pairs = materialise(sent.mapInArrow(lambda it: _met(it, num, den), "a long, b long").distinct(), "distant")
-    comp = about.select("rep", "comp").distinct()
-    # a set's pairs with one component: the first of them is tried, then what is still apart
-    pairs = pairs.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
-    pairs = materialise(pairs.withColumn("first", F.row_number().over(Window.partitionBy("ca", "cb").orderBy("a", "b")) == 1), "apart")
-    found = _pair_links(docs, pairs.where("first"), words, num, den)
-    near = connected_components(found.select(F.col("a"), F.col("b")).join(comp.withColumnRenamed("rep", "a"), "a").withColumnRenamed("comp", "ca").join(comp.withColumnRenamed("rep", "b"), "b").select(F.col("ca").alias("a"), F.col("comp").alias("b")), "nearer")
-    near = materialise(near, "nearer")
-    rest = pairs.where("not first").join(near.select(F.col("node").alias("ca"), F.col("root").alias("ra")), "ca", "left").join(near.select(F.col("node").alias("cb"), F.col("root").alias("rb")), "cb", "left")
-    rest = rest.where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb"))
-    return found.unionByName(_pair_links(docs, rest, words, num, den))
-
-
-def _pair_links(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The links among pairs (a, b): all b of an a meet it, in tasks of bounded size."""
-    pairs = materialise(pairs.select("a", "b"), "asked")
-    part = F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / 512).cast("int")
-    rows = pairs.withColumn("i", part)
-    ends = rows.select("a", "i").distinct().select(F.col("a").alias("doc_id"), F.col("a").alias("g"), "i", F.lit(1).alias("side"))
-    others = rows.select(F.col("b").alias("doc_id"), F.col("a").alias("g"), "i", F.lit(2).alias("side"))
-    placed = ends.unionByName(others).select("doc_id", "g", "i", F.lit(0).alias("j"), "side", F.col("doc_id").alias("label"))
-    return verified(docs, placed, words, num, den)
+    found = materialise(sent.mapInArrow(lambda it: _met(it, num, den), "rep long, n long, comp long, low long").distinct(), "open")
+    pools = materialise(connected_components(found.select(F.col("comp").alias("a"), F.col("low").alias("b")), "pools"), "pools")
+    sets = found.select("rep", "n", "comp").distinct().join(pools.select(F.col("node").alias("comp"), F.col("root").alias("g")), "comp")
+    sizes = sets.groupBy("g", "comp").agg(F.sum("n").alias("s"))
+    main = sizes.groupBy("g").agg(F.max(F.struct("s", "comp"))["comp"].alias("main"), _tasks(F.sum("s")).alias("tasks"))
+    sets = materialise(sets.join(main, "g"), "pooled")
+    away = F.col("comp") != F.col("main")
+    outs = sets.where(away).groupBy("g").agg(_tasks(F.sum("n")).alias("outs"))
+    sets = sets.join(outs, "g")
+    dealt = lambda c: F.pmod(F.xxhash64("rep"), F.col(c).cast("long")).cast("int")
+    every = lambda c, name: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name)
+    one = sets.where(away & ((F.col("outs") > 1) | (F.col("tasks") > 1))).select(F.col("rep").alias("doc_id"), "g", dealt("outs").alias("i"), every("tasks", "j"), F.lit(1).alias("side"), F.col("comp").alias("label"))
+    all_ = sets.select(F.col("rep").alias("doc_id"), "g", every("outs", "i"), dealt("tasks").alias("j"), F.when((F.col("outs") > 1) | (F.col("tasks") > 1), 2).otherwise(0).alias("side"), F.col("comp").alias("label"))
+    return verified(docs, one.unionByName(all_), words, num, den)
 
 
 def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -514,9 +494,10 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int
     shared = materialise(shared_entries(reps, num, den), "shared")
     hub = materialise(hubs(reps, shared, num, den), "hubs")
     # the text of a class is that of its smallest id; of rows that share an id, one of the class
-    own = table.where("n > 0").select("doc_id", "s1", "s2", "n").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1")
-    links = materialise(family_links(docs, hub, words, num, den), "links")
-    links = materialise(links.unionByName(distant_links(docs, reps, shared, hub, links, words, num, den)), "links")
+    own = table.where("doc_id is not null").select("doc_id", "s1", "s2", "n").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1")
+    placed, cells = placed_at_hubs(hub)
+    links = verified(docs, placed, words, num, den)
+    links = links.unionByName(distant_links(docs, reps, shared, cells, links, words, num, den))
     return finish(table, reps.select("s1", "s2", "n", "rep", "rows"), links, own)
 
 
@@ -527,13 +508,18 @@ def finish(table: DataFrame, classes: DataFrame, links: DataFrame, several: Data
     mixed = materialise(rows.join(several.select("doc_id"), "doc_id", "left_semi").distinct().join(classes.select(*key, "rep"), key).select("doc_id", "rep"), "mixed")
     joint = mixed.join(mixed.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     roots = materialise(connected_components(links.unionByName(joint), "links"), "roots")
-    label = classes.join(roots, classes.rep == roots.node, "left").select(*key, "rows", F.coalesce("root", "rep").alias("root"))
+    label = classes.join(roots, classes.rep == roots.node, "left").select(*key, "rep", "rows", F.coalesce("root", "rep").alias("root"))
     label = materialise(label, "labels")
+    # a row without words has the component of its id's other rows
+    of_id = mixed.join(label.select("rep", "root"), "rep").groupBy("doc_id").agg(F.min("root").alias("root"))
+    bare = rows.where("n = 0").join(of_id, "doc_id", "left").select("doc_id", *key, "root")
+    rows = rows.where("n > 0")
     # classes of very many rows are few, as no more of them fit into the table
-    large = label.where(F.col("rows") > LARGE_CLASS).drop("rows")
+    large = label.where(F.col("rows") > LARGE_CLASS).select(*key, "root")
     wide = rows.join(F.broadcast(large), key, "left")
     done, rest = wide.where("root is not null"), wide.where("root is null").drop("root")
-    found = done.unionByName(rest.join(label.where(F.col("rows") <= LARGE_CLASS).drop("rows"), key, "left"))
+    small = label.where(F.col("rows") <= LARGE_CLASS).select(*key, "root")
+    found = done.unionByName(rest.join(small, key, "left")).unionByName(bare)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
