@@ -3,6 +3,7 @@ batches and vectorised hashing of words."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,14 +18,13 @@ CHUNK_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is
-    unset (tests, local mode) a folder of this machine."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset,
+    a session of one process (tests) takes a folder of its own; a cluster has no other."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_shared_dir", None)
     if not at:
-        at = getattr(spark, "_raglens_dir", None)
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="raglens-")
-            spark._raglens_dir = at
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = spark._shared_dir = f"file://{tempfile.mkdtemp(prefix='raglens-')}"
     return at.rstrip("/")
 
 
@@ -41,9 +41,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Fewer rows to an Arrow batch, so that batches of long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialise() wrote and that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if path.startswith(("file:", "hdfs:")) or "://" in path:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """All rows, or if they are more than `most` about that many, chosen by a hash of the id."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / n)))
 
 
 def crc_mod(id_col: str, n: int):

@@ -5,13 +5,15 @@ letters and digits as one space. An item of m bytes occurs in a text if a stretc
 is within k = floor(edits * m) edit operations of it. Such a stretch shares m + 1 - q - k * q
 q-grams with the item, all in k + 1 neighbouring diagonals. So a task looks up every q-gram of
 its texts among those of the items, counts what falls into overlapping bands of 2 * (k + 1)
-diagonals, and aligns, within the band, only where a count meets that bound. Texts are taken
-whole.
+diagonals, and aligns, within the band, only where a count meets that bound. Items too short
+for the bound at the usual q are sought with a smaller one. Texts are taken whole.
 
-The items' q-grams are broadcast in slices of bounded size; more items take more slices.
+The items' q-grams are broadcast in slices of bounded size, one after the other; more items
+take more slices, each with one more pass over the texts.
 
 Defined results: null and empty texts hold no item; null and empty items occur nowhere; equal
-items are each reported. Items too short for the bound are sought exactly."""
+items are each reported, items with a null id too. Items of fewer than 10 bytes admit no edit;
+those shorter than q are sought as whole words. Repeated rows are each judged."""
 
 from __future__ import annotations
 
@@ -23,9 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm.common import CHUNK_BYTES, small_batches
+from raglens.llm.common import CHUNK_BYTES, materialise
 
-Q = 8
+#: Characters of a q-gram: usually, and for items below SHORT bytes, whose bound needs it.
+Q, SHORT_Q, SHORT = 8, 4, 40
 EDITS = 0.10
 #: Bytes of items in one broadcast slice.
 SLICE_BYTES = 4 << 20
@@ -45,11 +48,11 @@ def folded(a: np.ndarray) -> np.ndarray:
     return a[keep]
 
 
-def grams(a: np.ndarray) -> np.ndarray:
-    """The q-grams of bytes as 64-bit words."""
-    if len(a) < Q:
+def grams(a: np.ndarray, q: int = Q) -> np.ndarray:
+    """The q-grams of bytes, of 8 or 4, as 64-bit words."""
+    if len(a) < q:
         return np.zeros(0, np.uint64)
-    return np.lib.stride_tricks.as_strided(a[: len(a)].view(np.uint8), (len(a) - Q + 1, Q), (1, 1)).copy().view("<u8").ravel()
+    return np.lib.stride_tricks.sliding_window_view(a, q).copy().view(f"<u{q}").ravel().astype(np.uint64)
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,19 +87,22 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, mos
 
 @dataclass
 class Items:
-    ids: list[int]
+    """Items of one slice, all sought with q-grams of one q."""
+
+    ids: list[int | None]
     texts: list[np.ndarray]
+    q: int = Q
 
     def __post_init__(self) -> None:
+        q = self.q
         self.m = np.array([len(t) for t in self.texts], np.int64)
-        k = np.floor(EDITS * self.m).astype(np.int64)
-        self.k = np.maximum(0, np.minimum(k, (self.m - Q) // Q))
-        self.bound = self.m + 1 - Q - self.k * Q
+        self.k = np.floor(EDITS * self.m + 1e-9).astype(np.int64)
+        self.bound = self.m + 1 - q - self.k * q
         long = [i for i in range(len(self.texts)) if self.bound[i] >= 1]
         self.short = [i for i in range(len(self.texts)) if self.bound[i] < 1 and self.m[i]]
-        all_grams = np.concatenate([grams(self.texts[i]) for i in long]) if long else np.zeros(0, np.uint64)
-        own = np.concatenate([np.full(self.m[i] - Q + 1, i) for i in long]) if long else np.zeros(0, np.int64)
-        off = np.concatenate([np.arange(self.m[i] - Q + 1) for i in long]) if long else np.zeros(0, np.int64)
+        all_grams = np.concatenate([grams(self.texts[i], q) for i in long]) if long else np.zeros(0, np.uint64)
+        own = np.concatenate([np.full(self.m[i] - q + 1, i) for i in long]) if long else np.zeros(0, np.int64)
+        off = np.concatenate([np.arange(self.m[i] - q + 1) for i in long]) if long else np.zeros(0, np.int64)
         by = np.argsort(all_grams, kind="stable")
         self.own, self.off = own[by], off[by]
         self.keys, self.first, self.count = np.unique(all_grams[by], return_index=True, return_counts=True)
@@ -109,7 +115,7 @@ class Items:
 
     def candidates(self, buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Rows (text, item, band) whose count meets the item's bound."""
-        v = grams(buf)
+        v = grams(buf, self.q)
         pos = np.flatnonzero(self.sieve[self._slot(v)]) if len(self.keys) else np.zeros(0, np.int64)
         if not len(pos):
             return np.zeros((0, 3), np.int64)
@@ -117,6 +123,8 @@ class Items:
         at[at == len(self.keys)] = 0
         good = self.keys[at] == v[pos]
         pos, at = pos[good], at[good]
+        if not len(pos):
+            return np.zeros((0, 3), np.int64)
         n = self.count[at]
         hit = np.repeat(pos, n)
         place = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -197,33 +205,35 @@ class Items:
                 out[i][item] = min(edits, out[i].get(item, k))
 
 
-def slices(benchmark: DataFrame, text: str = "text", id_col: str = "item_id") -> list[Items]:
-    """The items in slices of about SLICE_BYTES, read one slice's rows after the other."""
-    out, ids, texts, held = [], [], [], 0
-    for r in benchmark.select(F.col(id_col).alias("i"), F.col(text).alias("t")).where("t is not null and i is not null").orderBy("i").toLocalIterator():
-        a = folded(np.frombuffer(r["t"].encode("utf-8", "surrogatepass"), np.uint8))
-        a = a[1:] if len(a) and a[0] == 32 else a
-        a = a[:-1] if len(a) and a[-1] == 32 else a
-        ids.append(r["i"])
-        texts.append(a)
-        held += len(a)
-        if held >= SLICE_BYTES:
-            out.append(Items(ids, texts))
-            ids, texts, held = [], [], 0
-    return [*out, Items(ids, texts)] if ids else out
+def slices(benchmark: DataFrame, text: str = "text", id_col: str = "item_id") -> Iterator[Items]:
+    """The items in slices of about SLICE_BYTES by a hash of the text; only one slice at a
+    time is held by the driver."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text).alias("t")).where("t is not null")
+    total = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
+    parts = -(-int(total) // SLICE_BYTES)
+    for k in range(parts):
+        tiers: dict[int, tuple[list, list]] = {}
+        for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).orderBy("i", "t").collect():
+            a = folded(np.frombuffer(r["t"].encode("utf-8", "surrogatepass"), np.uint8))
+            a = a[1:] if len(a) and a[0] == 32 else a
+            a = a[:-1] if len(a) and a[-1] == 32 else a
+            ids, texts = tiers.setdefault(SHORT_Q if 10 <= len(a) < SHORT else Q, ([], []))
+            ids.append(r["i"])
+            texts.append(a)
+        for q, (ids, texts) in sorted(tiers.items()):
+            yield Items(ids, texts, q)
 
 
 def hits(spark: SparkSession, items: Items, text: str | Column = "text") -> Column:
-    """A struct column (items array<long>, edits array<long>) of a text column."""
-    small_batches(spark)
+    """A struct column (items array<long>, edits array<long>, bytes array<long>) of a text column."""
     held = spark.sparkContext.broadcast(items)
 
-    @F.pandas_udf("items array<long>, edits array<long>")
+    @F.pandas_udf("items array<long>, edits array<long>, bytes array<long>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = held.value
         for texts in batches:
-            m = held.value
-            rows = [sorted((m.ids[i], e) for i, e in x.items()) for x in m.find(texts.tolist())]
-            yield pd.DataFrame({"items": [[i for i, _ in r] for r in rows], "edits": [[e for _, e in r] for r in rows]})
+            rows = [sorted(x.items()) for x in m.find(texts.tolist())]
+            yield pd.DataFrame({"items": [[m.ids[i] for i, _ in r] for r in rows], "edits": [[e for _, e in r] for r in rows], "bytes": [[int(m.m[i]) for i, _ in r] for r in rows]})
 
     return found(F.col(text) if isinstance(text, str) else text)
 
@@ -235,9 +245,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str
     out = None
     for items in slices(benchmark):
         h = docs.select(F.col(id_col).cast("long").alias("doc_id"), hits(spark, items, text).alias("h")).where(F.size("h.items") > 0)
-        sizes = spark.createDataFrame(list(zip(items.ids, items.m.tolist())), "item_id long, item_bytes long").distinct()
-        rows = h.select("doc_id", F.explode(F.arrays_zip("h.items", "h.edits")).alias("x")).select("doc_id", F.col("x.items").alias("item_id"), F.col("x.edits").alias("edits"))
-        rows = rows.join(F.broadcast(sizes), "item_id").select("doc_id", "item_id", "edits", "item_bytes", (1 - F.col("edits") / F.col("item_bytes")).alias("similarity"))
+        rows = h.select("doc_id", F.explode(F.arrays_zip("h.items", "h.edits", "h.bytes")).alias("x"))
+        rows = rows.select("doc_id", F.col("x.items").alias("item_id"), F.col("x.edits").alias("edits"), F.col("x.bytes").alias("item_bytes"))
+        rows = materialise(rows.withColumn("similarity", 1 - F.col("edits") / F.col("item_bytes")), "leaks")
         out = rows if out is None else out.unionByName(rows)
     return spark.createDataFrame([], schema) if out is None else out
 

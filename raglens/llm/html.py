@@ -21,8 +21,6 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm.common import small_batches
-
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 #: Fixed sets of HTML element names.
@@ -212,7 +210,6 @@ def main_text(html: str | None) -> str:
 
 def extract(spark: SparkSession, html: str | Column = "html") -> Column:
     """A string column with the main text of an HTML column."""
-    small_batches(spark, 256)
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -6,7 +6,8 @@ buckets. The log-probability matrix is broadcast and batches of texts are scored
 hash every n-gram, gather its matrix rows, sum by text. Texts are taken whole.
 
 Defined results: a null text, an empty one and one without any letter give `und` with
-score 0. Equal texts give equal results; rows are never dropped, repeated rows stay."""
+score 0. Of labels of equal probability the first in order is predicted. Equal texts give
+equal results; rows are never dropped, repeated rows stay."""
 
 from __future__ import annotations
 
@@ -20,36 +21,41 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm.common import mix, small_batches
+from raglens.llm.common import mix, sampled
 
 LETTER = regex.compile(r"\p{L}")
-#: Characters hashed at once.
-PART = 1 << 20
+#: Characters hashed at once, and matrix entries gathered at once.
+PART, GATHER = 1 << 20, 1 << 23
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about PART characters."""
+def _parts(windows: list[tuple[str, int]], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of windows of about `most` characters."""
     s, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > PART:
+    for i, (t, _) in enumerate(windows):
+        if held and held + len(t) > most:
             yield s, i
             s, held = i, 0
         held += len(t)
-    if s < len(texts):
-        yield s, len(texts)
-
-
-def _windows(text: str, orders: int) -> list[str]:
-    """A very long text in parts that overlap by orders - 1, each n-gram starting in one."""
-    return [text[i : i + 4 * PART + orders - 1] for i in range(0, max(1, len(text)), 4 * PART)] if len(text) > 4 * PART else [text]
-
-
-def gram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of the texts (lower-cased, a space at both ends): one row per
-    order; 2**bits where the n-gram would run over its text's end. Also each text's start."""
-    padded = [f" {t.lower()} " for t in texts]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    starts = np.concatenate(([0], np.cumsum([len(t) for t in padded])))
+    if s < len(windows):
+        yield s, len(windows)
+
+
+def _windows(text: str, orders: int, size: int) -> list[tuple[str, int]]:
+    """The text, lower-cased and with a space at both ends, in windows: characters, and how
+    many of them start an n-gram there. Each n-gram starts in one window."""
+    t = f" {text.lower()} "
+    return [(t[i : i + size + orders - 1], min(size, len(t) - i)) for i in range(0, len(t), size)]
+
+
+def gram_buckets(windows: list[tuple[str, int]], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every n-gram of the windows: one row per order; 2**bits where an n-gram would
+    run over its text's end or starts in the next window. Also each window's start."""
+    codes = np.frombuffer("".join(t for t, _ in windows).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t, _ in windows])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    place = np.arange(len(codes)) - np.repeat(starts[:-1], sizes)
+    late = place >= np.repeat([n for _, n in windows], sizes)
+    left = np.repeat(sizes, sizes) - place
     out = np.empty((len(orders), len(codes)), np.int32)
     for row, n in enumerate(orders):
         h = codes + np.uint64(n << 40)
@@ -57,9 +63,7 @@ def gram_buckets(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[
             h = h * np.uint64(0x100000001B3)
             h[:-j] += codes[j:]
         out[row] = (mix(h) >> np.uint64(64 - bits)).astype(np.int32)
-        for j in range(1, n):
-            at = starts[1:] - j
-            out[row][at[at >= starts[:-1]]] = 1 << bits
+        out[row][late | (left < n)] = 1 << bits
     return out, starts[:-1]
 
 
@@ -77,12 +81,13 @@ class LanguageModel:
         total = np.tile(self.prior, (len(texts), 1))
         has = [t is not None and LETTER.search(t) is not None for t in texts]
         flat, own = [], []
+        most = max(1 << 12, min(PART, GATHER // len(self.labels)))
         for i, t in enumerate(texts):
             if has[i]:
-                for w in _windows(t, max(self.orders)):
-                    flat.append(w)
-                    own.append(i)
-        for s, e in _parts(flat):
+                w = _windows(t, max(self.orders), most)
+                flat += w
+                own += [i] * len(w)
+        for s, e in _parts(flat, most):
             buckets, starts = gram_buckets(flat[s:e], self.orders, self.bits)
             for row in buckets:
                 np.add.at(total, np.array(own[s:e]), np.add.reduceat(self.logp[row], starts, axis=0))
@@ -96,15 +101,10 @@ class LanguageModel:
 
 def fit(train: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", max_rows: int = 20_000, bits: int = 16, orders: tuple[int, ...] = (1, 2, 3), alpha: float = 0.5) -> LanguageModel:
     """Fits on at most about max_rows labelled rows (the documented bound), drawn by a hash
-    of id and text; rows with a null label or text are left out. Without any, the model
-    knows no label and predicts `und`."""
-    spark: SparkSession = train.sparkSession
-    small_batches(spark)
+    of the id; rows with a null label or text are left out. Without any, the model knows no
+    label and predicts `und`."""
     rows = train.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.col(id_col).alias("id"))
-    n = rows.select("label").count()
-    share = min(1.0, max_rows / max(1, n))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
+    rows = sampled(rows, "id", max_rows)
     size = (1 << bits) + 1
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,12 +112,13 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", id_col: str =
         docs: dict[str, int] = {}
         for pdf in batches:
             for lab, part in pdf.groupby("label"):
-                texts = [w for t in part["text"] for w in _windows(t, max(orders))]
+                texts = [w for t in part["text"] for w in _windows(t, max(orders), PART)]
                 acc = sums.setdefault(lab, np.zeros(size, np.int64))
                 docs[lab] = docs.get(lab, 0) + len(part)
-                for s, e in _parts(texts):
+                for s, e in _parts(texts, PART):
                     acc += np.bincount(gram_buckets(texts[s:e], orders, bits)[0].ravel(), minlength=size)
-        yield pd.DataFrame({"label": list(sums), "docs": [docs[k] for k in sums], "counts": [zlib.compress(v.tobytes()) for v in sums.values()]}, columns=["label", "docs", "counts"])
+        if sums:  # a part without rows reports nothing
+            yield pd.DataFrame({"label": list(sums), "docs": [docs[k] for k in sums], "counts": [zlib.compress(v.tobytes()) for v in sums.values()]})
 
     parts = rows.select("label", "text").repartition(12).mapInPandas(count, "label string, docs long, counts binary").collect()
     labels = sorted({r["label"] for r in parts})
@@ -135,7 +136,6 @@ def fit(train: DataFrame, text: str = "text", label: str = "lang", id_col: str =
 
 def predict(spark: SparkSession, model: LanguageModel, text: str | Column = "text") -> Column:
     """A struct column (lang_pred string, score double) of a text column."""
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

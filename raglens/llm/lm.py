@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm.common import binary_texts, materialise, mix, signed, small_batches, text_slices, word_hashes
+from raglens.llm.common import binary_texts, materialise, mix, signed, text_slices, word_hashes
 
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -236,7 +236,6 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row;
     rows for which held_out is false are learned from."""
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
     train = docs.where("not held_out").select("text")
     vocab = materialise(train.mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")

@@ -62,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = crc_mod("doc_id", 4) == 2
-    grammar = toxicity.fit(docs.join(labels.where(~held_out), "doc_id"))
+    grammar = toxicity.fit(toxicity.labelled(docs, labels.where(~held_out)))
     scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(spark, grammar).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raglens.llm.common import materialise, scratch, small_batches, text_slices
+from raglens.llm.common import materialise, scratch, text_slices
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of archive that a reading task owns, and most bytes of one file (about).
@@ -83,7 +83,6 @@ def write(pages: DataFrame, folder: str | None = None, html: str = "html", id_co
     """Writes the pages' archives into a folder that all executors reach (a URI; by default
     one of the shared folder) and returns their table: path, size, records."""
     spark = pages.sparkSession
-    small_batches(spark, 256)
     folder = folder or scratch(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
     shared = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")

@@ -5,7 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -68,6 +68,36 @@ def test_language_id_odd(spark, odd, nothing):
     assert nothing.select(langid.predict(spark, model)).count() == 0
 
 
+def test_language_id_brute_force(spark, monkeypatch):
+    """The model's predictions and scores are those of naive Bayes counted out n-gram by
+    n-gram, with windows of a few characters as with whole texts."""
+    train = [(i, " ".join(["the old house", "das alte haus", "la maison vieille"][i % 3].split()[: 1 + i % 3]) + f" {i}", "en de fr".split()[i % 3]) for i in range(30)]
+    ask = ["the haus", "Maison DAS", "old " * 50, "é", "x"]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), bits=20)
+
+    def grams(t):
+        t = f" {t.lower()} "
+        return [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+
+    count, docs = defaultdict(Counter), Counter()
+    for _, t, lang in train:
+        count[lang].update(grams(t))
+        docs[lang] += 1
+    want = []
+    for t in ask:
+        z = {c: np.log(docs[c] / 30) + sum(np.log((count[c][g] + 0.5) / (sum(count[c].values()) + 0.5 * 2**20)) for g in grams(t)) for c in count}
+        top = max(z.values())
+        want.append((max(sorted(z), key=z.get), 1 / sum(np.exp(v - top) for v in z.values())))
+    for size in (1 << 20, 1 << 12):
+        monkeypatch.setattr(langid, "PART", size)
+        names, scores = model.score(ask)
+        assert names == [n for n, _ in want] and scores == pytest.approx([p for _, p in want], rel=1e-6)
+    long = "the old house in the rain " * 2000
+    monkeypatch.setattr(langid, "GATHER", 3 << 12)
+    assert model.score([long])[0] == ["en"]
+    assert sum((b != 1 << 20).sum() for b in langid.gram_buckets(langid._windows(long, 3, 1000), (1, 2, 3), 20)[0]) == len(grams(long))
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -285,7 +315,7 @@ def test_decontamination_brute_force(spark):
     rng = np.random.default_rng(1)
     alphabet = list("abcdefghijklmnopqrstuvwxyz   ")
     make = lambda n: "".join(rng.choice(alphabet, n)).strip() or "a"
-    items = [(i, make(int(rng.integers(40, 120)))) for i in range(8)] + [(90, None), (91, ""), (92, "Tiny")]
+    items = [(i, make(int(rng.integers(*((40, 120) if i < 5 else (12, 40)))))) for i in range(8)] + [(90, None), (91, ""), (92, "Tiny")]
     docs = []
     for i in range(40):
         body = make(150)
@@ -302,13 +332,22 @@ def test_decontamination_brute_force(spark):
     for d, t in docs:
         for i, item in items[:8]:
             b = fold(item).strip()
-            k = min(len(b) // 10, (len(b) - decontaminate.Q) // decontaminate.Q)
-            yes, edits = within(b, fold(t), k)
+            yes, edits = within(b, fold(t), len(b) // 10)
             if yes:
                 want[d, i] = edits
     assert got == want
 
 
+def test_decontamination_of_single_texts():
+    """Texts whose q-grams hit the sieve but no item, each alone in its batch."""
+    rng = np.random.default_rng(6)
+    items = decontaminate.Items([1], [np.frombuffer(b"the quick brown fox jumps over the lazy dog and runs away", np.uint8)])
+    items.sieve[:] = True
+    texts = ["".join(rng.choice(list("abcdefgh "), 300)) for _ in range(200)]
+    assert all(items.find([t]) == [{}] for t in texts)
+    assert items.find(["x The quick, brown fox jumps over the lazy dog and runs away!"]) == [{0: 0}]
+
+
 def test_decontamination_query(spark):
     """Every verbatim passage is found."""
     got = {(r["doc_id"], r["item_id"]) for r in queries.op5_decontamination(spark, MORE).collect()}
@@ -321,6 +360,9 @@ def test_decontamination_query(spark):
 def test_decontamination_odd(spark, odd, nothing):
     bench = spark.createDataFrame([(1, "word " * 20), (2, None), (None, "a")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(odd, bench).collect()} == {(7, 1)}
+    unnamed = spark.createDataFrame([(None, "one")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(odd, unnamed).collect()} == {(4, None)}
+    assert decontaminate.clean(odd, unnamed).count() == len(ODD) - 2
     kept = decontaminate.clean(odd, bench)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 1
     assert {r["_hits"] for r in kept.select("_hits").collect()} == {"y"}
@@ -560,14 +602,56 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_clauses():
-    g = toxicity.Grammar(words={"idiot": 3.0}, coef=np.array([2.0, 0.1, 0.2, 1.0, 2.0, -4.0]))
+    g = toxicity.Grammar(words={"idiot": 3.0}, coef=np.array([1.0, 2.0, 0.1, 0.2, 1.0, 2.0, 0.0, 0.1, -4.0]))
     plain, aimed, negated, said, none = g.score(["an idiot.", "you idiot!", "he is not an idiot.", "she said idiot.", "a fine day"])
     assert aimed > plain > said > negated > none
     assert list(g.score([None, ""])) == pytest.approx([none, none])
+    # words with apostrophes are whole, and a target may follow
+    assert list(g.score(["he isn't an idiot", "he isn\u2019t an idiot"])) == pytest.approx([negated, negated])
+    assert g.score(["what an idiot he is"])[0] == pytest.approx(aimed) and g.score(["you're an idiot"])[0] == pytest.approx(aimed)
+    assert g.score(["l'idiot"])[0] == pytest.approx(plain)
     # a negation of another clause doesn't count
     assert g.score(["no. you idiot"])[0] == pytest.approx(aimed)
 
 
+def test_toxicity_composition_brute_force():
+    """On all clauses of up to 5 symbols and many of 6 to 9, the composed machine's best path is
+    the best of what the five transducers do one after the other; long gaps may be shortened."""
+    machine = toxicity.composed()
+    rng = np.random.default_rng(0)
+
+    def rewritten(t, s):
+        """Every string that a transducer writes for s, with its weights by place."""
+        paths = [(q, "", ()) for q in t.start]
+        for x in s:
+            paths = [(to, out + y, (*ws, w)) for q, out, ws in paths for y, w, to in t.arcs.get(q, {}).get(x, ())]
+        return [(out, ws) for q, out, ws in paths if q in t.final]
+
+    def brute(s):
+        every = [(s, (0.0,) * len(s))]
+        for t in toxicity.PARTS:
+            every = [(out, tuple(a + b for a, b in zip(ws, more))) for x, ws in every for out, more in rewritten(t, x)]
+        return every
+
+    strings = ["".join(x) for n in range(6) for x in product(toxicity.SYMBOLS if n < 5 else "oNRTK2", repeat=n)]
+    strings += ["".join(rng.choice(list(toxicity.SYMBOLS), n)) for n in (6, 7, 8, 9) for _ in range(300)]
+    for s in strings:
+        every = brute(s)
+        best = machine.best(s)
+        assert every and best[0] == pytest.approx(max(sum(ws) for _, ws in every))
+        assert ("".join(y for y, _ in best[1]), tuple(w for _, w in best[1])) in every
+        gap = s.replace("oo", "ooooo")
+        kinds = lambda b: [x for x in b[1] if x[0] != "-"]
+        assert kinds(machine.best(gap)) == kinds(machine.best(re.sub("o{3,}", "oo", gap)))
+
+
+def test_toxicity_fit_takes_conflicting_and_repeated_labels(spark):
+    rows = [(i, "you vile blork person", 1) for i in range(10)] + [(20 + i, f"a vile blork {i}", 1) for i in range(10)] + [(40 + i, f"a fine day {i}", 0) for i in range(30)] + [(90, "you vile blork person", 0)]
+    a, b = (toxicity.fit(spark.createDataFrame(x, "doc_id long, text string, toxic int")) for x in (rows, rows[::-1]))
+    assert a.words == b.words and set(a.words) == {"vile", "blork"} and list(a.coef) == pytest.approx(list(b.coef))
+    assert a.score(["vile"])[0] > a.score(["fine"])[0]
+
+
 def test_toxicity_odd(spark, odd, nothing):
     g = toxicity.fit(nothing.withColumn("toxic", F.lit(1)))
     got = odd.select(toxicity.score(spark, g).alias("s")).collect()
