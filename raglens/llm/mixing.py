@@ -6,15 +6,16 @@ taken T / S times: the whole part for certain, the fraction as a probability in
 of fractional documents of a source move word mass from one to the other, in a random
 direction that keeps every expectation, until one of the two is integral. A reduction tree
 does so: a group of some hundred documents leaves one residual, the groups' residuals pair in
-the next level, and the source's last residual goes to its nearer integer. So the words taken
-of a source differ from its target by half the last residual's size at most.
+the next level, and the source's last residual is drawn. So the words taken of a source differ
+from its target by less than the last residual's size.
 
-Random numbers are hashes of ids, so reruns agree. Groups are dealt by hash; none grows with
-its source.
+Random numbers are hashes of ids and texts, so reruns agree. Groups are dealt by hash; none
+grows with its source, for rows that are equal in id, source, size and text enter as one unit:
+of m such rows floor(m * p) are rounded up for certain, and one has the fraction left.
 
 Defined results: a null text has size 0; the null source is a source like others, the last in
-order; documents of size 0 are taken 0 words. Repeated rows are taken separately. Empty
-tables give no rows."""
+order; documents of size 0 are taken 0 words. Repeated rows, and rows with a null id, have
+copies of their own. Empty tables give no rows."""
 
 from __future__ import annotations
 
@@ -35,8 +36,8 @@ def word_count(text: str | Column) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """source, n, source_size, target of each source of (source, size)."""
-    s = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    """source, n, source_size, target of each source of (source, size, rows)."""
+    s = sized.groupBy("source").agg(F.sum("rows").alias("n"), F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.asc_nulls_last("source"))  # one row per source, as in the next windows
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
     s = s.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
@@ -53,16 +54,19 @@ def _random(a: Column, b: Column, seed: int) -> Column:
 
 
 def _paired(group: Column, seed: int) -> Column:
-    """Folds an array of struct(doc_id, size, whole, p) into struct(cur, done): every pair
-    leaves one fractional member in cur and one integral member in done."""
-    unit = "struct<doc_id:bigint,size:bigint,whole:bigint,p:double>"
+    """Folds an array of struct(key, size, p) into struct(cur, done): every pair leaves one
+    fractional member in cur and one integral member in done."""
+    unit = "struct<key:bigint,size:bigint,p:double>"
     start = F.struct(F.element_at(group, 1).alias("cur"), F.array().cast(f"array<{unit}>").alias("done"))
 
+    def member(x: Column, p: Column) -> Column:
+        return F.struct(x["key"].alias("key"), x["size"].alias("size"), p.alias("p"))
+
     def step(acc: Column, e: Column) -> Column:
         i = acc["cur"]
         up = F.least((1 - i["p"]) * i["size"], e["p"] * e["size"])  # mass that i can take from e
         down = F.least(i["p"] * i["size"], (1 - e["p"]) * e["size"])
-        takes = (up + down <= 0) | (_random(i["doc_id"], e["doc_id"], seed) * (up + down) < down)
+        takes = (up + down <= 0) | (_random(i["key"], e["key"], seed) * (up + down) < down)
         made = F.struct(up.alias("up"), down.alias("down"), takes.alias("takes"))
 
         def settled(m: Column) -> Column:
@@ -71,8 +75,8 @@ def _paired(group: Column, seed: int) -> Column:
             pe = e["p"] - moved / e["size"]
             # which of the two has become integral
             i_done = F.when(m["takes"], m["up"] >= (1 - i["p"]) * i["size"]).otherwise(m["down"] >= i["p"] * i["size"])
-            one = F.struct(i["doc_id"].alias("doc_id"), i["size"].alias("size"), i["whole"].alias("whole"), F.when(i_done, F.when(m["takes"], 1.0).otherwise(0.0)).otherwise(pi).alias("p"))
-            two = F.struct(e["doc_id"].alias("doc_id"), e["size"].alias("size"), e["whole"].alias("whole"), F.when(i_done, pe).otherwise(F.when(m["takes"], 0.0).otherwise(1.0)).alias("p"))
+            one = member(i, F.when(i_done, F.when(m["takes"], 1.0).otherwise(0.0)).otherwise(pi))
+            two = member(e, F.when(i_done, pe).otherwise(F.when(m["takes"], 0.0).otherwise(1.0)))
             return F.struct(F.when(i_done, two).otherwise(one).alias("cur"), F.array_append(acc["done"], F.when(i_done, one).otherwise(two)).cast(f"array<{unit}>").alias("done"))
 
         return F.element_at(F.transform(F.array(made), settled), 1)
@@ -80,34 +84,56 @@ def _paired(group: Column, seed: int) -> Column:
     return F.aggregate(F.slice(group, F.lit(2), F.greatest(F.size(group) - 1, F.lit(0))), start, step)
 
 
-def copies(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of sized (doc_id,
-    source, size): how often the mixture holds it."""
-    goals = materialise(targets(sized, weights, share, most), "targets")
-    facts = goals.agg(F.count("*").alias("sources"), F.max("n").alias("largest")).first()
-    side = F.broadcast(goals) if facts["sources"] <= FEW_SOURCES else goals
-    rows = sized.join(side.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate))
-    keep = ["source", "source_size", "target"]
-    unit = F.struct("doc_id", "size", "whole", "p")
-    at_once = (F.col("size") <= 0) | (F.col("p") <= 0)
-    settled = rows.where(at_once).select(*keep, "doc_id", "size", F.col("whole").alias("copies"))
-    level = rows.where(~at_once).withColumn("groups", F.ceil(F.col("n") / GROUP).cast("long")).select(*keep, "groups", unit.alias("u"))
-    left, k = int(facts["largest"] or 0), 0
+def rounded(units: DataFrame, largest: int, seed: int) -> DataFrame:
+    """source, key, up (0 or 1) of fractional units (source, n, key, size, p), whose keys are
+    distinct in their source: the reduction tree. n: rows of the source, largest: most of them."""
+    level = units.select("source", F.ceil(F.col("n") / GROUP).cast("long").alias("groups"), F.struct("key", "size", "p").alias("u"))
+    settled, left, k = None, largest, 0
     while left > 1:
         left = -(-left // GROUP)
-        dealt = level.withColumn("g", F.pmod(F.xxhash64("u.doc_id", "u.size", F.lit(seed + 2 * k)), F.col("groups")))
-        folded = dealt.groupBy(*keep, "groups", "g").agg(F.sort_array(F.collect_list(F.struct(F.col("u.size").alias("s"), "u")), asc=False).alias("us")).select(*keep, "groups", _paired(F.col("us.u"), seed + 2 * k + 1).alias("f"))
+        dealt = level.withColumn("g", F.pmod(F.xxhash64("u.key", F.lit(seed + 2 * k)), F.col("groups")))
+        us = F.sort_array(F.collect_list(F.struct(F.col("u.size").alias("s"), "u")), asc=False).alias("us")
+        folded = dealt.groupBy("source", "groups", "g").agg(us).select("source", "groups", _paired(F.col("us.u"), seed + 2 * k + 1).alias("f"))
         folded = materialise(folded, f"mix{k}")
-        settled = settled.unionByName(folded.select(*keep, F.explode("f.done").alias("u")).select(*keep, "u.doc_id", "u.size", (F.col("u.whole") + F.col("u.p").cast("long")).alias("copies")))
-        level = folded.select(*keep, F.ceil(F.col("groups") / GROUP).cast("long").alias("groups"), F.col("f.cur").alias("u"))
+        done = folded.select("source", F.explode("f.done").alias("u")).select("source", "u.key", F.col("u.p").cast("long").alias("up"))
+        settled = done if settled is None else settled.unionByName(done)
+        level = folded.select("source", F.ceil(F.col("groups") / GROUP).cast("long").alias("groups"), F.col("f.cur").alias("u"))
         k += 1
-    last = level.select(*keep, "u.*").select(*keep, "doc_id", "size", (F.col("whole") + (F.col("p") >= 0.5).cast("long")).alias("copies"))
-    return settled.unionByName(last).select("doc_id", "source", "size", "source_size", "target", "copies")
+    last = level.select("source", "u.key", (_random(F.col("u.key"), F.col("u.size"), seed - 1) < F.col("u.p")).cast("long").alias("up"))
+    return last if settled is None else settled.unionByName(last)
+
+
+def mixed(rows: DataFrame, id_col: str = "doc_id", source: str = "source", size: str = "size", text: str | None = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 20) -> DataFrame:
+    """rows, all columns, with source_size, target and copies: how often the mixture holds a
+    row. Columns of these three names are replaced."""
+    mark = F.xxhash64(text) if text is not None else F.lit(0).cast("long")
+    plain = rows.select(F.col(source).alias("source"), F.col(size).cast("long").alias("size"), F.col(id_col).alias("id"), mark.alias("mark"))
+    keys = materialise(plain.groupBy("source", "size", "id", "mark").agg(F.count("*").alias("rows")), "keys")
+    goals = keys.select("source", (F.col("size") * F.col("rows")).alias("size"), "rows")
+    goals = materialise(targets(goals, weights, share, most), "targets")
+    facts = goals.agg(F.count("*").alias("sources"), F.max("n").alias("largest")).first()
+    side = F.broadcast(goals) if facts["sources"] <= FEW_SOURCES else goals
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    units = keys.join(side.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    units = units.withColumn("whole", F.floor(rate).cast("long")).withColumn("p", (rate - F.floor(rate)) * F.col("rows"))
+    units = units.withColumns({"certain": F.floor("p").cast("long"), "p": F.when(F.col("size") > 0, F.col("p") - F.floor("p")).otherwise(0.0), "key": F.xxhash64("id", "size", "mark")})
+    # two units of one key, which is a matter of chance, enter as one
+    open_ = units.where("p > 0").groupBy("source", "n", "key", "size").agg(F.first("p").alias("p"), F.count("*").alias("units"))
+    up = rounded(open_.select("source", "n", "key", "size", "p"), int(facts["largest"] or 0), seed)
+    up = up.select(F.col("source").alias("_s"), F.col("key").alias("_k"), "up")
+    units = units.join(up, (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    plan = units.select(F.struct("source", "size", "id", "mark").alias("_key"), F.col("rows").alias("_rows"), F.col("whole").alias("_whole"), F.col("certain").alias("_certain"), F.coalesce("up", F.lit(0)).alias("_up"), F.col("source_size").alias("_size"), F.col("target").alias("_target"))
+    key = F.struct(F.col(source).alias("source"), F.col(size).cast("long").alias("size"), F.col(id_col).alias("id"), mark.alias("mark"))
+    # the join and the numbering are one shuffle of the rows
+    out = rows.withColumn("_key", key).join(plan, "_key")
+    place = F.when(F.col("_rows") == 1, 1).otherwise(F.row_number().over(Window.partitionBy("_key").orderBy("_rows")))
+    copies = F.col("_whole") + F.when(place <= F.col("_certain"), 1).when(place == F.col("_certain") + 1, F.col("_up")).otherwise(0)
+    out = out.withColumns({"source_size": F.col("_size"), "target": F.col("_target"), "copies": copies.cast("long")})
+    return out.drop("_key", "_rows", "_whole", "_certain", "_up", "_size", "_target")
 
 
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
-    """copies() of documents, whose size is their number of words."""
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    return copies(materialise(sized, "sizes"), **how)
+    """doc_id, source, size, source_size, target, copies of documents, whose size is their
+    number of words."""
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("mark"))
+    return mixed(materialise(sized, "sizes"), text="mark", **how).drop("mark")

@@ -240,12 +240,24 @@ def test_mixing_meets_targets(spark):
 def test_mixing_is_unbiased(spark):
     """Over many seeds a document is taken as often as its probability says."""
     sized = spark.createDataFrame([(i, "a", 10 + i % 7) for i in range(40)], "doc_id long, source string, size long")
-    runs = [mixing.copies(sized, share=0.5, seed=s).select("doc_id", "copies").toPandas().set_index("doc_id")["copies"] for s in range(40, 56)]
+    runs = [mixing.mixed(sized, text=None, share=0.5, seed=s).select("doc_id", "copies").toPandas().set_index("doc_id")["copies"] for s in range(40, 56)]
     assert np.mean(runs, axis=0).mean() == pytest.approx(0.5, abs=0.05)
     assert 0 < np.mean(runs, axis=0).min() and np.mean(runs, axis=0).max() < 1
 
 
+def test_mixing_of_repeated_rows(spark):
+    """A third of all rows are one row, or share a null id and a size: none is lost, and the
+    words taken still come near the target."""
+    rows = [(1, "a", "w " * 10)] * 60 + [(None, "a", "w " * 9 + str(i)) for i in range(60)] + [(i, "b", "x y z") for i in range(100, 160)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), share=0.7).toPandas()
+    assert len(got) == len(rows) and got["copies"].between(0, 2).all()
+    for _, part in got.groupby("source"):
+        assert abs((part["copies"] * part["size"]).sum() - part["target"].iloc[0]) <= part["size"].max()
+
+
 def test_mixing_odd(odd, nothing):
+    got = mixing.mixed(odd.withColumns({"size": F.lit(3), "copies": F.lit("x")})).collect()
+    assert len(got) == len(ODD) and {r["h"] for r in got} == {"x"} and all(0 <= r["copies"] <= 2 for r in got)
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r["copies"] <= 2 for r in got)
     assert mixing.mix(nothing).count() == 0

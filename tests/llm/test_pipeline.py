@@ -27,7 +27,7 @@ def test_stage_on_odd_rows(spark, name, stage):
     assert out.columns[: len(cp.COLUMNS)] == cp.COLUMNS and len(set(out.columns)) == len(out.columns)
     assert out.count() <= len(rows)
     assert stage(spark, docs.where("false"), AT).count() == 0
-    if name == "near_duplicates":
+    if name == "ngram_jaccard_join":
         assert out.count() == len(rows)
 
 
