@@ -1,14 +1,19 @@
 """Main text of HTML pages by composite text density.
 
-A page is parsed into a tree, whose boilerplate subtrees (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, reader comments) are cut. For every node the density of
-characters per tag is adjusted by its share of link text; a node's density sum is that of its
-children. The node of the largest sum is taken, and with it all siblings on the way up to the
-body, of any tag and whole, that reach the least density of that way; a heading goes with the
-node that follows it. Their blocks, in page order, are the text.
+A page is parsed into a tree. For every node the density of characters per tag is adjusted by
+its share of link text; a node's density sum is that of its children, a run of text counting
+as a child of one tag. The node of the largest sum is taken, or the article or main element
+that it lies in, and with it all siblings on the way up to the body, of any tag and whole, that reach the least density of that way; a heading
+goes with the node that follows it. Their blocks, in page order, are the text.
+
+Before that, scripts, styles and the like are cut, and subtrees whose element or whole class,
+id or role names a part of a page that isn't its article (menus, headers, footers, sidebars,
+notices, adverts, forms, reader comments). A name alone never decides over the page's main
+part: a subtree stays that holds the page's article, main element or first heading, or, where
+no such element is outside of it, half of the page's characters that aren't links.
 
 Defined results: a null, empty or tag-only page has the empty text. Markup is never dropped
-for size. Unclosed and cut-off tags end with the page."""
+for size. Unclosed and cut-off tags end with the page. Of equal sums the outer node is taken."""
 
 from __future__ import annotations
 
@@ -26,42 +31,51 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-CUT = frozenset("script style head title noscript template iframe object svg canvas nav footer aside form button select textarea menu dialog".split())
+CUT = frozenset("script style head title noscript template iframe object svg canvas button select textarea".split())
+#: Elements that are cut unless they hold the page's main part.
+ASIDE = frozenset("nav footer aside form menu dialog header".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-#: Words of class, id and role that mark boilerplate.
+#: Names of class, id and role that mark boilerplate, alone or with words that say which of it.
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar rail menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related "
-    "recommended recommendations comment comments disqus discussion replies reply respond form search login widget pagination pager skip-link legal copyright contentinfo complementary".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar rail menu nav navbar navigation breadcrumb breadcrumbs "
+    "footer header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup share sharing social related "
+    "recommended recommendations comment comments disqus discussion replies respond search login widget pagination pager copyright contentinfo complementary".split()
+)
+WHICH = frozenset(
+    "site page main global top bottom left right side primary secondary section area box list item items wrapper wrap container block bar inner outer link links button buttons "
+    "posts articles form field row col column group unit slot label text message content panel footer header a b c 1 2 3 4 5".split()
 )
 
 
 class Node:
-    __slots__ = ("kids", "parent", "tag", "cut", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("kids", "parent", "tag", "cut", "aside", "chars", "tags", "link_chars", "link_tags", "heads", "density", "sum")
+
+    def __init__(self, tag: str, parent: Node | None, cut: bool, aside: bool = False) -> None:
+        self.tag, self.parent, self.cut, self.aside, self.kids = tag, parent, cut, aside, []
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool) -> None:
-        self.tag, self.parent, self.cut, self.kids = tag, parent, cut, []
 
+def _named(name: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    return name in BOILERPLATE or (not BOILERPLATE.isdisjoint(parts) and all(x in BOILERPLATE or x in WHICH for x in parts))
 
-def _boilerplate(tag: str, attributes: str, inside_main: bool) -> bool:
+
+def _marked(tag: str, attributes: str, inside_main: bool) -> tuple[bool, bool]:
+    """Whether a node is cut for certain, and whether its element or names mark it."""
     if tag in CUT:
-        return True
-    if tag == "header":
-        return not inside_main
+        return True, True
+    aside = tag in ASIDE and not (tag == "header" and inside_main)
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return False, aside
     for m in ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5]).lower()
         if name == "hidden":
-            return True
-        if name in ("class", "id", "role"):
-            for word in unescape(m[2] or m[3] or m[4] or "").lower().split():
-                if word in BOILERPLATE or not BOILERPLATE.isdisjoint(re.split(r"[-_]", word)):
-                    return True
-    return False
+            return True, True
+        if name in ("class", "id", "role") and any(map(_named, unescape(m[2] or m[3] or m[4] or "").lower().split())):
+            aside = True
+    return False, aside
 
 
 def parse(html: str) -> Node:
@@ -105,7 +119,7 @@ def parse(html: str) -> Node:
                     at = x.parent
                     break
                 x = x.parent
-        node = Node(tag, at, _boilerplate(tag, m[3], in_main > 0))
+        node = Node(tag, at, *_marked(tag, m[3], in_main > 0))
         at.kids.append(node)
         if tag in VOID or m[3].endswith("/"):
             continue
@@ -129,38 +143,72 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def densities(root: Node) -> list[Node]:
-    nodes = _order(root)
+def _count(nodes: list[Node]) -> None:
+    """Characters, tags and those of links of every node; nodes come parents first."""
     for x in reversed(nodes):
         x.chars = sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
         x.tags = x.link_chars = x.link_tags = 0
+        x.heads = x.tag in MAIN or x.tag == "h1"
         for k in x.kids:
             if not isinstance(k, str) and not k.cut:
                 x.chars += k.chars
                 x.tags += k.tags + 1
                 x.link_chars += k.link_chars
                 x.link_tags += k.link_tags + (k.tag == "a")
+                x.heads += k.heads
         if x.tag == "a":
             x.link_chars = x.chars
+
+
+def cut_asides(root: Node) -> None:
+    """Cuts the marked subtrees that don't hold the page's main part."""
+    nodes = _order(root)
+    _count(nodes)
+    plain = root.chars - root.link_chars
+    heads = root.heads
+    for x in nodes:
+        if x.aside and not x.heads:
+            x.cut = heads > 0 or 2 * (x.chars - x.link_chars) < plain or 2 * x.link_chars > x.chars
+        elif x.aside:
+            # it holds a heading or article: the page's main part unless others hold more of it
+            x.cut = x.heads < heads and 2 * (x.chars - x.link_chars) < plain
+
+
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, whole: float) -> float:
+    c, t, lc, lt = chars, max(1, tags), max(1, link_chars), max(1, link_tags)
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - link_chars) * lc + whole * c + math.e)
+    return c / t * math.log(max(1.0, c / lc * (t / lt)), max(1.0001, base))
+
+
+def densities(root: Node) -> list[Node]:
+    """Densities, and sums of the children's densities, of all nodes that aren't cut."""
+    nodes = _order(root)
+    _count(nodes)
     whole = root.link_chars / max(1, root.chars)
     for x in nodes:
-        c, t, lc, lt = max(1, x.chars), max(1, x.tags), max(1, x.link_chars), max(1, x.link_tags)
-        base = math.log(c / max(1, x.chars - x.link_chars) * lc + whole * c + math.e)
-        x.density = x.chars / t * math.log(max(1.0, c / lc * (t / lt)), max(1.0001, base)) if x.chars else 0.0
+        x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, whole)
     for x in nodes:
-        x.sum = sum(k.density for k in x.kids if not isinstance(k, str) and not k.cut) + sum(len("".join(k.split())) for k in x.kids if isinstance(k, str))
+        x.sum = 0.0
+        for k in x.kids:
+            if isinstance(k, str):
+                x.sum += _density(len("".join(k.split())), 1, 0, 0, whole)
+            elif not k.cut:
+                x.sum += k.density
     return nodes
 
 
 def main_nodes(root: Node) -> list[Node]:
     """The chosen subtrees, in page order."""
+    cut_asides(root)
     nodes = densities(root)
     best = max(nodes, key=lambda x: x.sum)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min((x.density for x in path[:-1]), default=0.0)
-    for x in path:  # an article's sections and headings belong together
+    for x in path:  # what the sum chose inside of an article or main element stands for all of it
         if x.tag in MAIN:
             best = x
     kept = [best]

@@ -295,6 +295,78 @@ def test_html_keeps_siblings_on_the_way_up(open_, close, tag):
     assert html.main_text(page).split("\n") == ["Title", lead, *first, "More", *second]
 
 
+@pytest.mark.parametrize("open_,close", [(f'<div class="{c}">', "</div>") for c in ("page has-sidebar", "content with-sidebar", "no-comments post", "layout--no-nav", "legal-news", "share-price-report", "sidebar", "widget")] + [("<form>", "</form>"), ("<aside>", "</aside>"), ("<div id=comments-page>", "</div>")])
+@pytest.mark.parametrize("heading", ["<h1>Title</h1>", ""])
+def test_html_names_do_not_cut_the_main_part(open_, close, heading):
+    text = prose("article", 12)
+    page = f"<html><body><nav><a href=/>Home</a></nav>{open_}{heading}{''.join(f'<p>{x}</p>' for x in text)}{close}<footer>foot</footer></body></html>"
+    assert html.main_text(page).split("\n") == ["Title"] * bool(heading) + text
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "cookie-banner", "comment-list", "related-posts", "share-buttons", "ad-slot", "comments widget-area"])
+def test_html_names_cut_asides(name):
+    """Also where they hold more text than the article."""
+    text = prose("article", 3)
+    page = f"<html><body><article><h1>Title</h1>{''.join(f'<p>{x}</p>' for x in text)}</article><div class='{name}'>{''.join(f'<p>{x}</p>' for x in prose('reader', 9))}</div></body></html>"
+    assert html.main_text(page).split("\n") == ["Title", *text]
+
+
+def test_html_densities_brute_force():
+    """On generated trees the sums are those of the formula, written out from each subtree."""
+    rng = np.random.default_rng(3)
+
+    def tree(depth):
+        out = ""
+        for _ in range(int(rng.integers(1, 4))):
+            tag = str(rng.choice(["div", "section", "b", "a"]))
+            out += "word " * int(rng.integers(0, 6)) + f"<{tag}>" + (tree(depth - 1) if depth else "leaf") + f"</{tag}>"
+        return out
+
+    def facts(x, link=False):
+        """Characters, tags, and those of links, of a subtree."""
+        link = link or x.tag == "a"
+        c = t = lc = lt = 0
+        for k in x.kids:
+            if isinstance(k, str):
+                n = len("".join(k.split()))
+                c, lc = c + n, lc + n * link
+            else:
+                a, b, d, e = facts(k, link)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (k.tag == "a")
+        return c, t, lc, lt
+
+    def density(c, t, lc, lt, whole):
+        if not c:
+            return 0.0
+        t, lc1, lt = max(1, t), max(1, lc), max(1, lt)
+        return c / t * np.log(max(1, c / lc1 * t / lt)) / np.log(max(1.0001, np.log(c / max(1, c - lc) * lc1 + whole * c + np.e)))
+
+    for _ in range(30):
+        root = html.parse(f"<html><body>{tree(3)}</body></html>")
+        c, _, lc, _ = facts(root)
+        whole = lc / max(1, c)
+        for x in html.densities(root):
+            if x.tag == "a" or any(k.tag == "a" for k in iter_up(x)):
+                continue  # within a link, all is link text
+            want = sum(density(len("".join(k.split())), 1, 0, 0, whole) if isinstance(k, str) else density(*facts(k), whole) for k in x.kids)
+            assert x.density == pytest.approx(density(*facts(x), whole)) and x.sum == pytest.approx(want)
+
+
+def iter_up(x):
+    while x.parent is not None:
+        x = x.parent
+        yield x
+
+
+def test_html_odd_rows(spark):
+    """Empty tables, repeated rows, a very long page and columns of any name."""
+    rows = [(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (2, None, None, "x"), (3, "u", "<article>" + "<p>word word word</p>" * 50_000 + "</article>", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = pages.select("page_id", "text", html.extract(spark).alias("found")).collect()
+    assert sorted((r["page_id"], len(r["found"])) for r in got) == [(1, 1), (1, 1), (2, 0), (3, 50_000 * 15 - 1)]
+    assert pages.where("false").select(html.extract(spark)).count() == 0
+
+
 def test_html_query(spark):
     got = queries.op4_html_extraction(spark, AT).toPandas()
     assert len(got) == spark.read.parquet(f"{AT}/pages.parquet").count()
