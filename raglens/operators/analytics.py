@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raglens.functions.scalars import ratio
+from raglens.functions.scalars import cost_label, mean_present, ratio, title_fingerprint, normalised, token_efficiency, estimate_tokens, window_label
+from raglens.operators.percentiles import percentiles, with_percentiles
 
 #: Digits of rounded means and percentiles.
 DIGITS = 6
@@ -37,11 +39,6 @@ class Scope:
         return df
 
 
-def exact(c: str, p: float) -> Column:
-    """Exact percentile with linear interpolation."""
-    return F.round(F.percentile(c, p), DIGITS)
-
-
 def money(c: str) -> Column:
     """Exact sum of a column of cents."""
     return F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
@@ -58,32 +55,38 @@ def exact_mean(c: str) -> Column:
 def call_summary(calls: DataFrame) -> DataFrame:
     """One row; sums of nothing are 0, means and percentiles of nothing NULL."""
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return calls.agg(
+    both = F.col("input_tokens") + F.col("output_tokens")
+    one = calls.agg(
         F.count("*").alias("calls"),
         F.count_if(F.col("status") == "error").alias("errors"),
         zero(F.sum("input_tokens")).alias("input_tokens"),
         zero(F.sum("output_tokens")).alias("output_tokens"),
-        zero(F.sum(F.col("input_tokens") + F.col("output_tokens"))).alias("total_tokens"),
+        zero(F.sum(both)).alias("total_tokens"),
         F.coalesce(F.sum("cost").cast("double"), F.lit(0.0)).alias("cost"),
-        F.max(F.col("input_tokens") + F.col("output_tokens")).alias("max_tokens"),
+        F.max(both).alias("max_tokens"),
         exact_mean("latency_ms").alias("avg_latency_ms"),
-        exact("latency_ms", 0.5).alias("p50_latency_ms"),
-        exact("latency_ms", 0.95).alias("p95_latency_ms"),
-        exact("latency_ms", 0.99).alias("p99_latency_ms"),
     )
+    one = with_percentiles(one, calls, "latency_ms", {f"p{p}_latency_ms": p / 100 for p in (50, 95, 99)})
+    return with_percentiles(one, calls, both, {f"p{p}_tokens": p / 100 for p in (50, 95, 99)})
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:
-    return traces.agg(
+    one = traces.agg(
         F.count("*").alias("traces"),
         F.count_if(has_error()).alias("errors"),
         F.countDistinct("user_id").alias("users"),
         exact_mean("duration_ms").alias("avg_duration_ms"),
-        exact("duration_ms", 0.5).alias("p50_duration_ms"),
-        exact("duration_ms", 0.95).alias("p95_duration_ms"),
-        exact("duration_ms", 0.99).alias("p99_duration_ms"),
         F.max("duration_ms").alias("max_duration_ms"),
     ).withColumn("error_rate", ratio(F.col("errors").cast("double"), F.col("traces")))
+    return with_percentiles(one, traces, "duration_ms", {f"p{p}_duration_ms": p / 100 for p in (50, 95, 99)})
+
+
+def trace_totals(traces: DataFrame, calls: DataFrame) -> DataFrame:
+    """Traces with the sums of their calls; 0 without calls."""
+    g = calls.groupBy(F.col("trace_id").alias("_t")).agg(F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"), F.sum("cost").alias("c"), F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    out = traces.join(g, F.col("trace_id") == F.col("_t"), "left")
+    return out.select(traces["*"], F.coalesce("n", zero).alias("calls"), F.coalesce("i", zero).alias("input_tokens"), F.coalesce("o", zero).alias("output_tokens"), (F.coalesce("i", zero) + F.coalesce("o", zero)).alias("total_tokens"), F.coalesce("c", F.lit(0).cast("decimal(20,4)")).alias("cost"))
 
 
 def has_error() -> Column:
@@ -102,45 +105,55 @@ def bucket_series(spark, scope: Scope) -> DataFrame:
 
 
 def series(spark, spans: DataFrame, scope: Scope) -> DataFrame:
-    """Spans by bucket without gaps: an empty bucket's measures stay NULL."""
+    """Spans by bucket without gaps: an empty bucket's measures stay NULL. The series() of
+    telemetry as a whole is usage_series()."""
     by = (
         scope.rows(spans, "start_time")
         .groupBy(bucket("start_time", scope.unit).alias("bucket"))
-        .agg(F.count("*").alias("spans"), F.count_if("failed").alias("errors"), mean("duration_ms").alias("avg_duration_ms"), exact("duration_ms", 0.95).alias("p95_duration_ms"))
+        .agg(F.count("*").alias("spans"), F.count_if("failed").alias("errors"), mean("duration_ms").alias("avg_duration_ms"))
     )
+    rows = scope.rows(spans, "start_time").select(bucket("start_time", scope.unit).alias("bucket"), "duration_ms")
+    by = with_percentiles(by, rows, "duration_ms", {"p95_duration_ms": 0.95}, ("bucket",))
     return bucket_series(spark, scope).join(by, "bucket", "left")
 
 
+def usage_series(spark, calls: DataFrame, traces: DataFrame, retrievals: DataFrame, answers: DataFrame, scope: Scope) -> DataFrame:
+    """Buckets of a window without gaps, each with what calls, traces, retrievals and judged
+    answers say of it; what a bucket lacks is NULL."""
+    unit = scope.unit
+    by = lambda df, ts: scope.rows(df, ts).groupBy(bucket(ts, unit).alias("bucket"))
+    c = by(calls, "created_at").agg(F.count("*").alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("cost").cast("double").alias("cost"), F.count_if(F.col("status") == "error").alias("call_errors"))
+    t = by(traces, "start_time").agg(F.count("*").alias("traces"), F.count_if(has_error()).alias("trace_errors"), exact_mean("duration_ms").alias("avg_duration_ms"))
+    r = by(retrievals, "created_at").agg(mean("top_score").alias("retrieval_score"))
+    a = by(answers, "created_at").agg(mean("faithfulness").alias("faithfulness"), mean("answer_relevance").alias("answer_relevance"))
+    out = bucket_series(spark, scope)
+    for one in (c, t, r, a):
+        out = out.join(one, "bucket", "left")
+    return out
+
+
 def by_user(traces: DataFrame, limit: int = 50) -> DataFrame:
+    """Users by tokens. traces: trace_totals()."""
     user = F.coalesce(F.col("user_id").cast("string"), F.lit("(anonymous)")).alias("user")
-    return traces.groupBy(user).agg(F.count("*").alias("traces"), money("duration_ms").alias("total_ms")).orderBy(F.desc("total_ms"), "user").limit(limit)
+    g = traces.groupBy(user).agg(F.count("*").alias("traces"), F.sum("total_tokens").alias("tokens"), F.sum("cost").cast("double").alias("cost"), money("duration_ms").alias("total_ms"))
+    return g.orderBy(F.desc("tokens"), "user").limit(limit)
 
 
 def by_application(traces: DataFrame, applications: DataFrame) -> DataFrame:
-    g = traces.groupBy("application_id").agg(F.count("*").alias("traces"), F.count_if(has_error()).alias("errors"), F.countDistinct("user_id").alias("users"), money("duration_ms").alias("total_ms"))
-    return g.join(applications, g.application_id == applications.id).select("name", "traces", "errors", "users", "total_ms")
+    """traces: trace_totals()."""
+    g = traces.groupBy("application_id").agg(F.count("*").alias("traces"), F.count_if(has_error()).alias("errors"), F.countDistinct("user_id").alias("users"), F.sum("total_tokens").alias("tokens"), F.sum("cost").cast("double").alias("cost"), money("duration_ms").alias("total_ms"))
+    return g.join(applications, g.application_id == applications.id).select("name", "traces", "errors", "users", "tokens", "cost", "total_ms")
 
 
 def by_model(calls: DataFrame, limit: int = 100) -> DataFrame:
-    return (
-        calls.groupBy("model", "provider")
-        .agg(
-            F.count("*").alias("calls"),
-            F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"),
-            F.sum("cost").cast("double").alias("cost"),
-            F.count_if(F.col("status") == "error").alias("errors"),
-            exact("latency_ms", 0.95).alias("p95_latency_ms"),
-        )
-        .orderBy(F.desc("tokens"), "model", "provider")
-        .limit(limit)
-    )
+    g = calls.groupBy("model", "provider").agg(F.count("*").alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("cost").cast("double").alias("cost"), F.count_if(F.col("status") == "error").alias("errors"))
+    return with_percentiles(g, calls, "latency_ms", {"p95_latency_ms": 0.95}, ("model", "provider")).orderBy(F.desc("tokens"), "model", "provider").limit(limit)
 
 
 def by_span_kind(spans: DataFrame) -> DataFrame:
     tokens = F.get_json_object("attributes", "$.k").try_cast("double")
-    return spans.groupBy("kind").agg(
-        F.count("*").alias("spans"), F.sum(tokens).alias("tokens"), mean("duration_ms").alias("avg_ms"), exact("duration_ms", 0.95).alias("p95_ms"), F.round(F.sum("duration_ms"), 4).alias("total_ms"), F.count_if("failed").alias("errors")
-    )
+    g = spans.groupBy("kind").agg(F.count("*").alias("spans"), F.sum(tokens).alias("tokens"), mean("duration_ms").alias("avg_ms"), F.round(F.sum("duration_ms"), 4).alias("total_ms"), F.count_if("failed").alias("errors"))
+    return with_percentiles(g, spans, "duration_ms", {"p95_ms": 0.95}, ("kind",))
 
 
 def user_catalog(users: DataFrame, traces: DataFrame, limit: int = 100) -> DataFrame:
@@ -178,21 +191,153 @@ def error_breakdown(traces: DataFrame) -> DataFrame:
 
 
 def latency_percentiles(traces: DataFrame) -> DataFrame:
-    return traces.agg(exact("duration_ms", 0.5).alias("p50"), exact("duration_ms", 0.95).alias("p95"), F.count("duration_ms").alias("n"))
+    return with_percentiles(traces.agg(F.count("duration_ms").alias("n")), traces, "duration_ms", {"p50": 0.5, "p95": 0.95})
+
+
+def max_latency(calls: DataFrame) -> DataFrame:
+    return calls.agg(F.coalesce(F.max("latency_ms"), F.lit(0.0)).alias("max_latency_ms"))
+
+
+def retrieval_score(retrievals: DataFrame) -> DataFrame:
+    return retrievals.agg(F.count("top_score").alias("scored"), mean("top_score").alias("retrieval_score"))
+
+
+def answer_quality(answers: DataFrame, runs: DataFrame) -> DataFrame:
+    """Means of the answers whose run is among `runs` (run_id)."""
+    own = answers.join(runs.select("run_id"), "run_id", "left_semi")
+    return own.agg(F.count("*").alias("answers"), mean("faithfulness").alias("faithfulness"), mean("answer_relevance").alias("answer_relevance"))
+
+
+def quality_by_model(answers: DataFrame, traces: DataFrame, calls: DataFrame) -> DataFrame:
+    """Mean quality - of what was measured of faithfulness and relevance - of the model that
+    answered, which is that of a trace's last call."""
+    last = last_call_per_trace(calls).select("trace_id", "model", "provider")
+    q = answers.join(traces.select("trace_id"), "trace_id").join(last, "trace_id").withColumn("q", mean_present(F.col("faithfulness"), F.col("answer_relevance")))
+    return q.groupBy("model", "provider").agg(F.count("q").alias("answers"), F.round(F.avg("q"), 9).alias("quality"))
 
 
-def trace_list(traces: DataFrame, calls: DataFrame, model: str, status: str, least_ms: float, page: int = 1, size: int = 50) -> DataFrame:
-    """A page of traces, newest first, that used a model."""
-    used = calls.where(F.col("model") == model).select("trace_id")
-    kept = traces.where((F.col("status") == status) & (F.col("duration_ms") >= least_ms)).join(used, "trace_id", "left_semi")
+def cost_quality(calls: DataFrame, models: DataFrame, quality: DataFrame) -> DataFrame:
+    """model_comparison() with quality, and whether a model is the cheapest for each token or
+    the best; only measured models compete, ties go to the first name."""
+    q = quality.select(F.col("provider").alias("_p"), F.col("model").alias("_m"), "answers", "quality")
+    rows = model_comparison(calls, models)
+    rows = rows.join(q, (F.col("provider") == F.col("_p")) & (F.col("model") == F.col("_m")), "left").drop("_p", "_m")
+    name = F.struct("provider", "model")
+    best = rows.agg(F.min(F.when(F.col("cost_per_1k_tokens").isNotNull(), F.struct("cost_per_1k_tokens", "provider", "model"))).alias("_v"), F.min(F.when(F.col("quality").isNotNull(), F.struct((-F.col("quality")).alias("q"), "provider", "model"))).alias("_q"))
+    is_ = lambda c: F.coalesce((F.col(f"{c}.provider") == F.col("provider")) & (F.col(f"{c}.model") == F.col("model")), F.lit(False))
+    return rows.join(F.broadcast(best)).select("provider", "model", "calls", "tokens", "cost", "avg_latency_ms", "cost_per_1k_tokens", "answers", "quality", cost_label(F.col("is_local").isNotNull(), F.col("is_local")).alias("label"), is_("_v").alias("best_value"), is_("_q").alias("best_quality"))
+
+
+def duplicate_documents(documents: DataFrame, key: tuple[str, ...] = ("trace_id",)) -> DataFrame:
+    """key, document_id of the documents of a retrieval that are there twice, or share the
+    fingerprint of a title or content, of 3 characters or more, with another of its rows or
+    their own other text. A retrieval of one document has none."""
+    d = documents.repartition(*key)  # all groupings below are by the key or more
+    several = d.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    d = d.join(several, list(key), "left_semi")
+    twice = d.groupBy(*key, "document_id").agg(F.count("*").alias("_n")).where("_n > 1").select(*key, "document_id")
+    prints = F.explode(F.array(title_fingerprint(F.col("title")), normalised(F.col("content")))).alias("_f")
+    same = d.select(*key, "document_id", prints).where(F.length("_f") >= 3).groupBy(*key, "_f").agg(F.count("*").alias("_n"), F.collect_set("document_id").alias("_ids")).where("_n > 1")
+    return twice.unionByName(same.select(*key, F.explode("_ids").alias("document_id"))).distinct()
+
+
+def trace_analysis(calls: DataFrame, documents: DataFrame) -> DataFrame:
+    """Token efficiency of every trace that has calls or documents: trace_id, documents,
+    input_tokens, output_tokens, context_tokens and the fields of token_efficiency()."""
+    c = calls.groupBy("trace_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+    d = documents.groupBy("trace_id").agg(F.count("*").alias("documents"), F.sum(estimate_tokens(F.col("content"))).alias("context_tokens"))
+    twice = duplicate_documents(documents).groupBy("trace_id").agg(F.count("*").alias("duplicates"))
+    rows = c.join(d, "trace_id", "full").join(twice, "trace_id", "left")
+    zero = F.lit(0).cast("long")
+    rows = rows.select("trace_id", *(F.coalesce(x, zero).alias(x) for x in ("documents", "input_tokens", "output_tokens", "context_tokens", "duplicates")))
+    e = token_efficiency(F.col("input_tokens"), F.col("context_tokens"), F.col("output_tokens"), F.col("documents"), F.col("duplicates"))
+    return rows.withColumn("e", e).select("trace_id", "documents", "input_tokens", "output_tokens", "context_tokens", "e.*")
+
+
+def token_efficiency_rollup(analysis: DataFrame) -> DataFrame:
+    """Means over the scored traces, and their number."""
+    return analysis.agg(F.count("score").alias("scored"), *(mean(c).alias(f"avg_{c}") for c in ("score", "duplicate_ratio", "context_share", "output_yield", "potential_waste_pct", "wasted_tokens")))
+
+
+def wasteful_traces(analysis: DataFrame, limit: int = 10) -> DataFrame:
+    """Scored traces by wasted tokens."""
+    return analysis.where("score is not null").orderBy(F.desc("wasted_tokens"), "trace_id").limit(limit).select("trace_id", "wasted_tokens", F.round("score", 4).alias("score"))
+
+
+def waste_by_application(analysis: DataFrame, traces: DataFrame, applications: DataFrame) -> DataFrame:
+    """name, traces, avg_waste_pct, wasted_tokens, most wasted first."""
+    g = analysis.where("score is not null").join(traces.select("trace_id", "application_id"), "trace_id").groupBy("application_id").agg(F.count("*").alias("traces"), mean("potential_waste_pct").alias("avg_waste_pct"), F.sum("wasted_tokens").alias("wasted_tokens"))
+    return g.join(applications, g.application_id == applications.id).select("name", "traces", "avg_waste_pct", "wasted_tokens").orderBy(F.desc("wasted_tokens"), "name")
+
+
+def open_insights(anomalies: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """Numbers of what isn't settled, whenever it was found."""
+    a = anomalies.agg(F.count_if(~F.col("resolved")).alias("open_anomalies"))
+    r = recommendations.agg(F.count_if(~F.col("dismissed")).alias("open_recommendations"))
+    return a.join(F.broadcast(r))  # one row each
+
+
+def findings(table: DataFrame, applications: DataFrame, order: list[Column], where: Column | None = None, page: int = 1, size: int = 50) -> DataFrame:
+    """A page of anomalies or recommendations with their application's name, NULL if unknown."""
+    rows = table if where is None else table.where(where)
+    named = rows.join(F.broadcast(applications.select(F.col("id").alias("_a"), F.col("name").alias("application"))), F.col("application_id") == F.col("_a"), "left").drop("_a")
+    size, page = min(500, max(1, size)), max(1, page)
+    return named.orderBy(*order).offset((page - 1) * size).limit(size)
+
+
+def resolved(anomalies: DataFrame, ids: DataFrame, flag: bool = True) -> DataFrame:
+    """The anomalies with the flag set on those of ids (id)."""
+    hit = ids.select(F.col("id").alias("_i")).distinct()
+    return anomalies.join(hit, F.col("id") == F.col("_i"), "left").withColumn("resolved", F.when(F.col("_i").isNotNull(), flag).otherwise(F.col("resolved"))).drop("_i")
+
+
+#: Seconds of the named windows; fixed values.
+WINDOWS = {"1h": 3600, "24h": 86400, "7d": 604800, "30d": 2592000, "90d": 7776000}
+
+
+def window_of(label: str, as_of: str, start: str | None = None, end: str | None = None) -> tuple[Scope, str]:
+    """The scope and label of a named window that ends at as_of. A start of one's own makes it
+    `custom`; an unknown label has the width of 7d. Short and custom windows have hourly buckets."""
+    last = datetime.fromisoformat(end or as_of)
+    name = "custom" if start else label
+    first = datetime.fromisoformat(start) if start else last - timedelta(seconds=WINDOWS.get(label, WINDOWS["7d"]))
+    return Scope(str(first), str(last), unit="hour" if name in ("1h", "24h", "custom") else "day"), name
+
+
+def trace_list(traces: DataFrame, calls: DataFrame | None = None, model: str | None = None, status: str | None = None, kind: str | None = None, user: int | None = None, has_errors: bool | None = None, least_ms: float | None = None, most_ms: float | None = None, least_tokens: int | None = None, search: str | None = None, columns: tuple[str, ...] = ("error",), page: int = 1, size: int = 50) -> DataFrame:
+    """A page of traces, newest first, that meet all conditions given. search: part of one of
+    `columns`, whatever the case; % and _ in it stand for any characters and any character."""
+    kept = traces
+    for value, test in (
+        (status, F.col("status") == status),
+        (kind, F.col("kind") == kind),
+        (user, F.col("user_id") == user),
+        (has_errors, has_error() == F.lit(has_errors)),
+        (least_ms, F.col("duration_ms") >= least_ms),
+        (most_ms, F.col("duration_ms") <= most_ms),
+        (least_tokens, F.col("total_tokens") >= least_tokens if least_tokens is not None else None),
+    ):
+        if value is not None:
+            kept = kept.where(test)
+    if search is not None:
+        found = F.lit(False)
+        for c in columns:
+            found = found | F.coalesce(F.col(c).ilike(f"%{search}%"), F.lit(False))
+        kept = kept.where(found)
+    if model is not None:
+        kept = kept.join(calls.where(F.col("model") == model).select("trace_id"), "trace_id", "left_semi")
     size, page = min(500, max(1, size)), max(1, page)
     return kept.orderBy(F.desc("start_time"), "trace_id").offset((page - 1) * size).limit(size).select("trace_id", "start_time", "duration_ms", "kind", has_error().alias("has_error"))
 
 
-def trace_detail(traces: DataFrame, calls: DataFrame) -> DataFrame:
-    """Traces with their calls in order, as one array."""
+def trace_detail(traces: DataFrame, calls: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Traces with their calls in order, and their documents by rank, as arrays."""
     g = calls.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "call_no", "model", "input_tokens", "output_tokens"))).alias("calls"))
-    return traces.join(g, "trace_id", "left")
+    out = traces.join(g, "trace_id", "left")
+    if documents is None:
+        return out
+    d = documents.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("rank", "document_id", "title", "final_score"))).alias("documents"))
+    return out.join(d, "trace_id", "left")
 
 
 def agent_loop(spans: DataFrame, window: int = 3) -> DataFrame:

@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raglens.functions.scalars import finite
+from raglens.operators.percentiles import percentiles
 
 
-def percentile_band(rows: DataFrame, features: list[str]) -> DataFrame:
+def percentile_band(rows: DataFrame, features: list[str], digits: int | None = 6) -> DataFrame:
     """feature, low (p5), high (p95): one row each."""
-    band = rows.agg(*(F.percentile(finite(F.col(f)), F.array(F.lit(0.05), F.lit(0.95))).alias(f) for f in features))
-    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.round(F.get(F.col(f), 0), 6).alias("low"), F.round(F.get(F.col(f), 1), 6).alias("high")) for f in features))
-    return band.select(F.explode(each).alias("x")).select("x.*")
+    out = None
+    for f in features:
+        one = percentiles(rows, finite(F.col(f)), {"low": 0.05, "high": 0.95}, digits=digits).select(F.lit(f).alias("feature"), "low", "high")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def deviation(x: Column, low: Column, high: Column) -> Column:
@@ -29,7 +32,7 @@ def feature_deviation(rows: DataFrame, features: list[str], key: str) -> DataFra
     """key, one deviation per feature, the peak feature (the first on ties) and the severity.
     Rows with a NULL feature are dropped."""
     rows = rows.dropna(subset=features)
-    band = rows.agg(*(F.percentile(F.col(f), F.array(F.lit(0.05), F.lit(0.95))).alias(f"_{f}") for f in features))
+    band = percentile_band(rows, features, None).groupBy().agg(*(F.max(F.when(F.col("feature") == f, F.array("low", "high"))).alias(f"_{f}") for f in features))
     d = rows.join(F.broadcast(band)).select(key, *(deviation(F.col(f), F.get(F.col(f"_{f}"), 0), F.get(F.col(f"_{f}"), 1)).alias(f"{f}_dev") for f in features))
     devs = [F.col(f"{f}_dev") for f in features]
     top = F.greatest(*devs) if len(devs) > 1 else devs[0]
@@ -41,6 +44,14 @@ def severity(dev: Column) -> Column:
     return F.when(dev >= 1, "high").when(dev >= 0.5, "medium").otherwise("low")
 
 
+def detection_report(found: DataFrame, deviations: DataFrame, key: str) -> DataFrame:
+    """One row: rows, flagged ones and their share, and the mean of their peak deviation."""
+    devs = [c for c in deviations.columns if c.endswith("_dev")]
+    top = F.greatest(*devs) if len(devs) > 1 else F.col(devs[0])
+    rows = found.join(deviations.select(key, top.alias("_d")), key, "left")
+    return rows.agg(F.count("*").alias("rows"), F.count_if("flagged").alias("flagged"), F.round(F.avg(F.col("flagged").cast("int")), 6).alias("rate"), F.round(F.avg(F.when(F.col("flagged"), F.col("_d"))), 6).alias("mean_deviation"))
+
+
 #: Distinct points of a node that one task grows on alone.
 LOCAL = 8192
 

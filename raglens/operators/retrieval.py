@@ -3,10 +3,21 @@ queries x vectors. Queries are the small side and are dealt in blocks to all row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raglens.functions.scalars import words
+from raglens.functions.scalars import estimate_tokens, words
+
+#: Terms of queries that are broadcast; more of them meet the corpus in a shuffle.
+TERMS = 200_000
+#: Queries whose vectors a task holds at once.
+BLOCK = 1024
+#: Fused candidates that a reranker scores.
+RERANKED = 20
 
 
 def ranked(scores: DataFrame, k: int, *order) -> DataFrame:
@@ -14,38 +25,123 @@ def ranked(scores: DataFrame, k: int, *order) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score, rank. docs: doc_id, text; queries: query_id, text. Only the
-    postings of the queries' terms are kept after the corpus was counted."""
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).distinct()
-    tokens = docs.select("doc_id", words(F.col("text")).alias("ws"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("avg_len"))
+def corpus_terms(docs: DataFrame, k1: float = 1.5) -> DataFrame:
+    """term, df, n, idf of every term of the corpus (doc_id, text): a negative idf becomes a
+    quarter of the mean over the vocabulary."""
+    df = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("n"))
+    idf = df.join(F.broadcast(n)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n is one row
+    mean = idf.agg(F.avg("idf").alias("_mean"))
+    return idf.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("_mean")).otherwise(F.col("idf"))).drop("_mean")
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, doc_id, score (floored at 0) of the documents that hold a term of the query.
+    docs: doc_id, text; queries: query_id, text. Of the corpus only terms that are asked for
+    are exploded with their counts."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     terms = asked.select("term").distinct()
-    postings = tokens.select("doc_id", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.join(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("idf")))
+    few = terms.count() <= TERMS
+    held = F.broadcast(terms) if few else terms
+    tokens = docs.select("doc_id", words(F.col("text")).alias("ws"))
+    length = tokens.agg(F.avg(F.size("ws")).alias("avg_len"))
+    postings = tokens.select("doc_id", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(held, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    idf = corpus_terms(docs).join(held, "term", "left_semi").select("term", "idf")
+    known = asked.join(idf, "term")
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = postings.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.greatest(F.sum(F.col("idf") * tf), F.lit(0.0)), 6).alias("score"))
-    return ranked(scores, k, F.desc("score"), "doc_id")
+    weighed = postings.join(F.broadcast(length)).withColumn("w", tf).select("doc_id", "term", "w")  # length is one row
+    return weighed.join(known, "term").groupBy("query_id", "doc_id").agg(F.round(F.greatest(F.sum(F.col("idf") * F.col("w")), F.lit(0.0)), 6).alias("score"))
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The k best of bm25_scores() for each query, with their rank; ties by doc_id."""
+    return ranked(bm25_scores(docs, queries, k1, b), k, F.desc("score"), "doc_id")
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """The queries (query_id, q), BLOCK at a time."""
+    ids, rows = [], []
+    for r in queries.orderBy("query_id").toLocalIterator():
+        ids.append(r["query_id"])
+        rows.append(r["q"])
+        if len(ids) == BLOCK:
+            yield ids, np.array(rows, np.float64)
+            ids, rows = [], []
+    if ids:
+        yield ids, np.array(rows, np.float64)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Exact inner-product neighbours of every query among all other vectors."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    """Exact inner-product neighbours of every query among all other vectors: query_id, doc_id,
+    score, rank. A block of queries passes over the vectors as one matrix product for each
+    batch, of which only the k best of each query are shuffled."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).where("q is not null")
+    v = vectors.select(F.col("vec_id").alias("doc_id"), "embedding").where("embedding is not null")
+    schema = "query_id long, doc_id long, score double"
+    out = None
+    for ids, matrix in _blocks(q):
+        held = vectors.sparkSession.sparkContext.broadcast((np.array(ids), matrix))
+
+        def scored(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ask, m = held.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                doc = pdf["doc_id"].to_numpy()
+                s = np.round(m @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 6)
+                s[ask[:, None] == doc[None]] = -np.inf
+                # best by score, ties by id
+                order = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :k]
+                found = np.take_along_axis(s, order, 1)
+                keep = found.ravel() > -np.inf
+                yield pd.DataFrame({"query_id": np.repeat(ask, order.shape[1])[keep], "doc_id": doc[order].ravel()[keep], "score": found.ravel()[keep]})
+
+        part = v.mapInPandas(scored, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], schema)
+    return ranked(out, k, F.desc("score"), "doc_id")
+
+
+def first_relevant(vectors: DataFrame, queries: DataFrame, relevant: DataFrame) -> DataFrame:
+    """query_id, first: the rank of the best relevant document in the whole ranking, without
+    ranking all: the documents before it are counted. relevant: query_id, doc_id."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).where("q is not null")
+    v = vectors.select(F.col("vec_id").alias("doc_id"), "embedding").where("embedding is not null")
     dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scores = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), F.round(dot, 6).alias("score"))
-    return ranked(scores, k, F.desc("score"), "doc_id")
+    rel = relevant.where("query_id <> doc_id").join(q, "query_id").join(v, "doc_id").select("query_id", "q", F.round(dot, 6).alias("score"), "doc_id")
+    best = rel.groupBy("query_id").agg(F.max_by(F.struct("q", "score", "doc_id"), F.struct("score", -F.col("doc_id"))).alias("x")).select("query_id", "x.*")
+    out = None
+    for ids, matrix in _blocks(best.select("query_id", F.concat("q", F.array(F.col("score"), F.col("doc_id").cast("double"))).alias("q"))):
+        held = vectors.sparkSession.sparkContext.broadcast((np.array(ids), matrix))
+
+        def before(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ask, m = held.value
+            n = np.zeros(len(ask), np.int64)
+            for pdf in batches:
+                if len(pdf):
+                    doc = pdf["doc_id"].to_numpy()
+                    s = np.round(m[:, :-2] @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 6)
+                    top, at = m[:, -2:-1], m[:, -1:]
+                    n += (((s > top) | ((s == top) & (doc[None] < at))) & (ask[:, None] != doc[None])).sum(1)
+            yield pd.DataFrame({"query_id": ask, "n": n})
+
+        part = v.mapInPandas(before, "query_id long, n long")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return relevant.sparkSession.createDataFrame([], "query_id long, first long")
+    return out.groupBy("query_id").agg((F.sum("n") + 1).alias("first"))
 
 
 def rrf(rankings: list[DataFrame], k: int = 60, top: int = 5) -> DataFrame:
-    """Reciprocal rank fusion of rankings (query_id, doc_id, rank)."""
-    every = rankings[0].select("query_id", "doc_id", "rank")
-    for r in rankings[1:]:
-        every = every.unionByName(r.select("query_id", "doc_id", "rank"))
-    scores = every.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (max(0, k) + F.col("rank"))), 9).alias("score"))
-    return ranked(scores, top, F.desc("score"), "doc_id")
+    """Reciprocal rank fusion of rankings (query_id, doc_id, rank); a document counts once in
+    each, where it stands first. Ties: the best rank, then that in the first ranking, then the id."""
+    every = None
+    for i, r in enumerate(rankings):
+        one = r.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank")).withColumn("first", F.lit(i == 0))
+        every = one if every is None else every.unionByName(one)
+    scores = every.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (max(0, k) + F.col("rank"))), 9).alias("score"), F.min("rank").alias("_best"), F.min(F.when(F.col("first"), F.col("rank"))).alias("_lexical"))
+    return ranked(scores, top, F.desc("score"), "_best", F.asc_nulls_last("_lexical"), "doc_id").drop("_best", "_lexical")
 
 
 def hybrid_search(lexical: DataFrame, dense: DataFrame, top: int = 5, gate: float = 0.25) -> DataFrame:
@@ -54,16 +150,46 @@ def hybrid_search(lexical: DataFrame, dense: DataFrame, top: int = 5, gate: floa
     return rrf([lexical, dense.withColumn("_b", best).where(F.col("_b") >= gate)], top=top)
 
 
-def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+def with_stages(fused: DataFrame, lexical: DataFrame, dense: DataFrame) -> DataFrame:
+    """The fused rows with their scores in each stage, NULL where a list doesn't hold them."""
+    key = ["query_id", "doc_id"]
+    side = lambda d, name: d.groupBy(*key).agg(F.max("score").alias(name))
+    return fused.join(side(lexical, "bm25_score"), key, "left").join(side(dense, "vector_score"), key, "left")
+
+
+def rerank(fused: DataFrame, score: Column, top: int = 5) -> DataFrame:
+    """The first RERANKED rows of each query by a new score, best first, those behind them in
+    their order; `score` is a column over the rows of `fused`."""
+    s = fused.withColumn("rerank_score", F.when(F.col("rank") <= RERANKED, score))
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def context_block(hits: DataFrame) -> DataFrame:
+    """query_id, context, context_tokens, top_score of hits (query_id, rank, title, source,
+    content, score): numbered passages by rank."""
+    piece = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "title", F.lit(" ("), "source", F.lit(")\n"), "content")
+    g = hits.withColumn("_p", piece).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "_p"))).alias("x"), F.max("score").alias("top_score"))
+    g = g.select("query_id", F.array_join(F.transform("x", lambda e: e["_p"]), "\n\n").alias("context"), "top_score")
+    return g.select("query_id", "context", estimate_tokens(F.col("context")).alias("context_tokens"), "top_score")
+
+
+def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int, first: DataFrame | None = None) -> DataFrame:
     """Metrics at k of each query with relevant documents. hits: query_id, doc_id, rank;
-    relevant: query_id, doc_id."""
-    rel = relevant.select("query_id", "doc_id").distinct().withColumn("gain", F.lit(1))
-    total = rel.groupBy("query_id").agg(F.count("*").alias("relevant"))
-    found = hits.join(rel, ["query_id", "doc_id"])
+    relevant: query_id, doc_id and maybe grade (else 1; negative ones count 0); first: rank of
+    the first relevant document (query_id, first), where hits don't hold the whole ranking."""
+    grade = F.greatest(F.lit(0.0), F.col("grade").cast("double")) if "grade" in relevant.columns else F.lit(1.0)
+    rel = relevant.select("query_id", "doc_id", grade.alias("gain")).groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "doc_id"))
+    best = F.sum(F.when(F.col("_p") <= k, F.col("gain") / F.log2(F.col("_p") + 1)))
+    total = rel.withColumn("_p", place).groupBy("query_id").agg(F.count("*").alias("relevant"), best.alias("ideal"))
+    once = hits.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    found = once.join(rel, ["query_id", "doc_id"])
     near = F.col("rank") <= k
-    g = found.groupBy("query_id").agg(F.count_if(near).alias("hits"), F.min("rank").alias("first"), F.sum(F.when(near, 1 / F.log2(F.col("rank") + 1))).alias("dcg"))
+    g = found.groupBy("query_id").agg(F.count_if(near).alias("hits"), F.min("rank").alias("first"), F.sum(F.when(near, F.col("gain") / F.log2(F.col("rank") + 1))).alias("dcg"))
+    if first is not None:
+        g = g.drop("first").join(first, "query_id", "full")
     g = total.join(g, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k).cast("long"), F.col("relevant")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     p, r = F.col("hits") / k, F.col("hits") / F.col("relevant")
     return g.select(
         "query_id",
@@ -71,16 +197,34 @@ def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame
         F.round(r, 9).alias("recall"),
         F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 9).alias("f1"),
         F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 9).alias("reciprocal_rank"),
-        F.round(F.coalesce(F.col("dcg") / ideal, F.lit(0.0)), 9).alias("ndcg"),
+        F.round(F.when(F.col("ideal") > 0, F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0))).otherwise(0.0), 9).alias("ndcg"),
         (F.col("hits") > 0).alias("hit"),
     )
 
 
-def metrics_by_k(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+def missed_documents(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id of relevant documents that aren't among the first k."""
+    near = hits.where(F.col("rank") <= k).select("query_id", "doc_id")
+    return relevant.select("query_id", "doc_id").distinct().join(near, ["query_id", "doc_id"], "left_anti")
+
+
+def metrics_by_k(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...], first: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Means over the queries for each k. asked: all queries (query_id), of which some may
+    have no hit: their share is zero_result_rate, and avg_documents counts theirs as 0."""
+    shown = hits.select("query_id").distinct() if asked is None else asked.select("query_id").distinct()
     out = None
     for k in ks:
-        m = retrieval_metrics(hits, relevant, k).agg(
+        m = retrieval_metrics(hits, relevant, k, first).agg(
             F.lit(k).alias("k"), F.count("*").alias("queries"), *(F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f1", "ndcg")), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("hit_rate")
         )
+        n = shown.join(hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+        n = n.agg(F.round(F.avg((F.col("n") == 0).cast("int")), 6).alias("zero_result_rate"), F.round(F.avg("n"), 6).alias("avg_documents"))
+        m = m.join(F.broadcast(n))  # one row each
         out = m if out is None else out.unionByName(m)
     return out
+
+
+def no_answer_report(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row: queries that have no answer (query_id), and how many of them got documents."""
+    got = asked.select("query_id").distinct().join(hits.select("query_id").distinct().withColumn("_g", F.lit(1)), "query_id", "left")
+    return got.agg(F.count("*").alias("queries"), F.count("_g").alias("with_results"), F.round(F.coalesce(F.avg(F.coalesce("_g", F.lit(0))), F.lit(0.0)), 6).alias("share"))

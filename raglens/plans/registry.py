@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raglens.functions import scalars as fn
 from raglens.operators import analytics as an
-from raglens.operators import anomaly, evaluation, retrieval
+from raglens.operators import anomaly, evaluation, reports, retrieval
 from raglens.operators.chunking import chunk_documents
 from raglens.sources import tables as t
-from raglens.streaming import ingest
+from raglens.streaming import ingest, traces as nested
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,14 @@ traces AS (SELECT o_orderkey AS trace_id, c_nationkey AS application_id, o_custk
 calls AS (SELECT l_orderkey AS trace_id, l_linenumber AS call_no, c_nationkey AS application_id, p_brand AS model, p_type AS provider, floor(l_quantity * 100)::BIGINT AS input_tokens, floor(l_extendedprice)::BIGINT AS output_tokens,
   l_extendedprice AS latency_ms, (l_extendedprice::DECIMAL(18,2) * l_discount::DECIMAL(6,2))::DECIMAL(20,4) AS cost, l_shipdate AS created_at, CASE WHEN l_returnflag = 'R' THEN 'error' ELSE 'success' END AS status
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+totals AS (SELECT t.*, coalesce(n, 0) AS calls, coalesce(i, 0)::BIGINT AS input_tokens, coalesce(o, 0)::BIGINT AS output_tokens, coalesce(i + o, 0)::BIGINT AS total_tokens, coalesce(c, 0) AS cost
+  FROM traces t LEFT JOIN (SELECT trace_id, count(*) AS n, sum(input_tokens) AS i, sum(output_tokens) AS o, sum(cost) AS c FROM calls GROUP BY 1) USING (trace_id)),
+docs AS (SELECT l_orderkey AS trace_id, l_linenumber AS rank, l_partkey::VARCHAR AS document_id, p_name AS title, concat_ws(' ', p_name, p_brand, l_suppkey::VARCHAR) AS content, (1 - l_discount::DECIMAL(6,2))::DOUBLE AS final_score, l_shipdate AS created_at
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+retrievals AS (SELECT trace_id, min(created_at) AS created_at, count(*) AS num_results, max(final_score) AS top_score FROM docs GROUP BY 1),
+answers AS (SELECT trace_id, application_id, kind AS run_id, start_time AS created_at, CASE WHEN error IS NULL THEN (trace_id % 101) / 100.0::DOUBLE END AS faithfulness, (user_id % 97) / 96.0::DOUBLE AS answer_relevance FROM traces),
+anomalies AS (SELECT trace_id AS id, application_id, start_time AS detected_at, 'feature_outlier' AS anomaly_type, split_part(kind, '-', 1) AS severity, trace_id % 2 = 0 AS resolved FROM traces WHERE error IS NOT NULL),
+recommendations AS (SELECT s_suppkey AS id, s_nationkey AS application_id, s_name AS title, s_acctbal / 10000 AS severity, s_suppkey % 3 = 0 AS dismissed FROM supplier),
 spans AS (SELECT event_id AS span_id, user_id AS session_id, ts AS start_time, event_type AS kind, value AS duration_ms, event_type = 'error' AS failed, props AS attributes FROM events)
 """
 
@@ -50,7 +58,8 @@ def query(sql: str | None = None, views: bool = True):
 
 _CALLS = """count(*) AS calls, count(*) FILTER (status = 'error') AS errors, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens,
 coalesce(sum(input_tokens + output_tokens), 0)::BIGINT AS total_tokens, coalesce(sum(cost)::DOUBLE, 0.0) AS cost, max(input_tokens + output_tokens) AS max_tokens,
-round(sum(latency_ms::DECIMAL(18,2))::DOUBLE / count(latency_ms), 6) AS avg_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_latency_ms"""
+round(sum(latency_ms::DECIMAL(18,2))::DOUBLE / count(latency_ms), 6) AS avg_latency_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_latency_ms,
+round(quantile_cont((input_tokens + output_tokens)::DOUBLE, 0.5), 6) AS p50_tokens, round(quantile_cont((input_tokens + output_tokens)::DOUBLE, 0.95), 6) AS p95_tokens, round(quantile_cont((input_tokens + output_tokens)::DOUBLE, 0.99), 6) AS p99_tokens"""
 _WINDOW = "start_time >= TIMESTAMP '1996-01-01' AND start_time <= TIMESTAMP '1998-12-31 23:59:59'"
 _TRACES = """count(*) AS traces, count(*) FILTER (has_error) AS errors, count(DISTINCT user_id) AS users, round(sum(duration_ms::DECIMAL(18,2))::DOUBLE / count(duration_ms), 6) AS avg_duration_ms,
 round(quantile_cont(duration_ms, 0.5), 6) AS p50_duration_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_duration_ms, round(quantile_cont(duration_ms, 0.99), 6) AS p99_duration_ms, max(duration_ms) AS max_duration_ms,
@@ -69,7 +78,7 @@ def bucket_series_left_join(spark, at):
 
 @query(f"SELECT {_CALLS} FROM calls")
 def call_summary(spark, at):
-    return an.call_summary(t.llm_calls(spark, at))
+    return an.call_summary(t.llm_calls(spark, at, model=False, application=False))
 
 
 @query(f"SELECT {_TRACES} FROM traces WHERE {_WINDOW}")
@@ -83,14 +92,27 @@ def tenant_semi_join(spark, at):
     return an.trace_summary(scope.rows(t.traces(spark, at), "start_time", t.applications(spark, at)))
 
 
-@query("SELECT coalesce(user_id::VARCHAR, '(anonymous)') AS \"user\", count(*) AS traces, sum(duration_ms::DECIMAL(18,2))::DOUBLE AS total_ms FROM traces GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 50")
+def _totals(spark, at):
+    return an.trace_totals(t.traces(spark, at), t.llm_calls(spark, at, model=False, application=False))
+
+
+@query("SELECT trace_id, application_id, calls, input_tokens, output_tokens, total_tokens, cost::DOUBLE AS cost FROM totals")
+def trace_totals(spark, at):
+    return _totals(spark, at).select("trace_id", "application_id", "calls", "input_tokens", "output_tokens", "total_tokens", F.col("cost").cast("double").alias("cost"))
+
+
+_BY_USER = "SELECT coalesce(user_id::VARCHAR, '(anonymous)') AS \"user\", count(*) AS traces, sum(total_tokens)::BIGINT AS tokens, sum(cost)::DOUBLE AS cost, sum(duration_ms::DECIMAL(18,2))::DOUBLE AS total_ms FROM totals GROUP BY 1 ORDER BY tokens DESC, 1 LIMIT 50"
+_BY_APP = "SELECT a.name, count(*) AS traces, count(*) FILTER (has_error) AS errors, count(DISTINCT user_id) AS users, sum(total_tokens)::BIGINT AS tokens, sum(cost)::DOUBLE AS cost, sum(duration_ms::DECIMAL(18,2))::DOUBLE AS total_ms FROM {} JOIN applications a ON a.id = application_id GROUP BY a.id, a.name"
+
+
+@query(_BY_USER)
 def by_user(spark, at):
-    return an.by_user(t.traces(spark, at))
+    return an.by_user(_totals(spark, at))
 
 
-@query("SELECT a.name, count(*) AS traces, count(*) FILTER (has_error) AS errors, count(DISTINCT user_id) AS users, sum(duration_ms::DECIMAL(18,2))::DOUBLE AS total_ms FROM traces JOIN applications a ON a.id = application_id GROUP BY a.id, a.name")
+@query(_BY_APP.format("totals"))
 def by_application(spark, at):
-    return an.by_application(t.traces(spark, at), t.applications(spark, at))
+    return an.by_application(_totals(spark, at), t.applications(spark, at))
 
 
 @query("SELECT model, provider, count(*) AS calls, sum(input_tokens + output_tokens)::BIGINT AS tokens, sum(cost)::DOUBLE AS cost, count(*) FILTER (status = 'error') AS errors, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM calls GROUP BY 1, 2 ORDER BY tokens DESC, model, provider LIMIT 100")
@@ -126,9 +148,9 @@ def distinct_apps(spark, at):
     return t.traces(spark, at).agg(F.countDistinct("application_id").alias("applications"))
 
 
-@query("SELECT max(latency_ms) AS max_latency_ms FROM calls")
+@query("SELECT coalesce(max(latency_ms), 0.0::DOUBLE) AS max_latency_ms FROM calls")
 def max_latency(spark, at):
-    return t.llm_calls(spark, at).agg(F.max("latency_ms").alias("max_latency_ms"))
+    return an.max_latency(t.llm_calls(spark, at, model=False, application=False))
 
 
 @query("SELECT trace_id, call_no, model, provider, created_at FROM calls QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at DESC, call_no DESC, model, provider) = 1")
@@ -136,20 +158,300 @@ def last_call_per_trace(spark, at):
     return an.last_call_per_trace(t.llm_calls(spark, at))
 
 
-@query(", g AS (SELECT trace_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens FROM calls GROUP BY 1) SELECT *, greatest(0, input_tokens - output_tokens) AS waste FROM g ORDER BY waste DESC, trace_id LIMIT 10")
+_TOKENS = r"coalesce(list_sum(list_transform(regexp_extract_all({}, '\p{{Nd}}+|[A-Za-z]+|[^\s]'), lambda p: CASE WHEN length(p) > 16 THEN ceil(length(p) / 4.0) ELSE 1 END)), 0)::BIGINT"
+_NORMAL = r"lower(trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g')))"
+_ANALYSIS = f""", several AS (SELECT trace_id FROM docs GROUP BY 1 HAVING count(*) > 1),
+prints AS (SELECT trace_id, document_id, unnest([trim(regexp_replace({_NORMAL.format('title')}, '^#+', '')), {_NORMAL.format('content')}]) AS f FROM docs WHERE trace_id IN (SELECT trace_id FROM several)),
+dup AS (SELECT trace_id, document_id FROM docs WHERE trace_id IN (SELECT trace_id FROM several) GROUP BY 1, 2 HAVING count(*) > 1
+ UNION SELECT trace_id, document_id FROM prints WHERE (trace_id, f) IN (SELECT (trace_id, f) FROM prints WHERE length(f) >= 3 GROUP BY trace_id, f HAVING count(*) > 1)),
+base AS (SELECT trace_id, coalesce(n, 0) AS documents, coalesce(i, 0)::BIGINT AS input_tokens, coalesce(o, 0)::BIGINT AS output_tokens, coalesce(ctx, 0)::BIGINT AS context_tokens, coalesce(d, 0) AS duplicates
+ FROM (SELECT trace_id, sum(input_tokens) AS i, sum(output_tokens) AS o FROM calls GROUP BY 1) FULL JOIN (SELECT trace_id, count(*) AS n, sum({_TOKENS.format('content')}) AS ctx FROM docs GROUP BY 1) USING (trace_id)
+ LEFT JOIN (SELECT trace_id, count(*) AS d FROM dup GROUP BY 1) USING (trace_id)),
+part1 AS (SELECT *, CASE WHEN documents = 0 THEN 0.0::DOUBLE ELSE duplicates::DOUBLE / documents END AS dup_ratio, CASE WHEN input_tokens = 0 THEN 0.0::DOUBLE ELSE context_tokens::DOUBLE / input_tokens END AS share, CASE WHEN input_tokens = 0 THEN 0.0::DOUBLE ELSE output_tokens::DOUBLE / input_tokens END AS yield FROM base),
+part2 AS (SELECT *, floor(context_tokens * dup_ratio)::BIGINT AS dup_tokens FROM part1),
+analysis AS (SELECT trace_id, documents, input_tokens, output_tokens, context_tokens,
+ greatest(0.0, least(100.0, 100.0::DOUBLE * (0.40::DOUBLE * (1 - dup_ratio) + 0.25::DOUBLE * (CASE WHEN input_tokens = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, yield / 0.25) END) + 0.35::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, (1 - share) / 0.4))))) AS score,
+ duplicates AS duplicate_document_count, dup_ratio AS duplicate_ratio, dup_tokens AS duplicate_tokens, share AS context_share, yield AS output_yield,
+ least(input_tokens, dup_tokens + greatest(0, context_tokens - 4 * output_tokens)) AS wasted_tokens,
+ CASE WHEN input_tokens = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * least(input_tokens, dup_tokens + greatest(0, context_tokens - 4 * output_tokens)) / input_tokens END AS potential_waste_pct FROM part2)
+"""
+
+
+def _analysis(spark, at):
+    return an.trace_analysis(t.llm_calls(spark, at, model=False, application=False), t.retrieved_documents(spark, at))
+
+
+@query(_ANALYSIS + "SELECT trace_id, document_id FROM dup")
+def duplicate_documents(spark, at):
+    return an.duplicate_documents(t.retrieved_documents(spark, at))
+
+
+@query(_ANALYSIS + "SELECT trace_id, documents, input_tokens, output_tokens, context_tokens, round(score, 9) AS score, duplicate_document_count, round(duplicate_ratio, 9) AS duplicate_ratio, duplicate_tokens, round(context_share, 9) AS context_share, round(output_yield, 9) AS output_yield, round(potential_waste_pct, 9) AS potential_waste_pct, wasted_tokens::BIGINT AS wasted_tokens FROM analysis")
+def token_efficiency(spark, at):
+    a = _analysis(spark, at)
+    return a.select(*(F.round(c, 9).alias(c) if c in ("score", "duplicate_ratio", "context_share", "output_yield", "potential_waste_pct") else F.col(c) for c in a.columns))
+
+
+_ROLLUP = "SELECT count(score) AS scored, " + ", ".join(f"round(avg({c}), 6) AS avg_{c}" for c in ("score", "duplicate_ratio", "context_share", "output_yield", "potential_waste_pct", "wasted_tokens")) + " FROM analysis"
+
+
+@query(_ANALYSIS + _ROLLUP)
+def token_efficiency_rollup(spark, at):
+    return an.token_efficiency_rollup(_analysis(spark, at))
+
+
+_OFFENDERS = "SELECT trace_id, wasted_tokens::BIGINT AS wasted_tokens, round(score, 4) AS score FROM analysis WHERE score IS NOT NULL ORDER BY wasted_tokens DESC, trace_id LIMIT 10"
+_WASTE = "SELECT a.name, count(*) AS traces, round(avg(potential_waste_pct), 6) AS avg_waste_pct, sum(wasted_tokens)::BIGINT AS wasted_tokens FROM analysis JOIN traces USING (trace_id) JOIN applications a ON a.id = application_id GROUP BY a.id, a.name"
+
+
+@query(_ANALYSIS + _OFFENDERS)
 def top_offenders(spark, at):
-    return an.top_offenders(t.llm_calls(spark, at))
+    return an.wasteful_traces(_analysis(spark, at))
+
+
+@query(_ANALYSIS + _WASTE)
+def waste_by_application(spark, at):
+    return an.waste_by_application(_analysis(spark, at), t.traces(spark, at), t.applications(spark, at))
+
+
+@query("SELECT count(top_score) AS scored, round(avg(top_score), 6) AS retrieval_score FROM retrievals")
+def retrieval_score(spark, at):
+    return an.retrieval_score(t.retrieval_calls(spark, at))
+
+
+_RUNS = "run_id <> '5-LOW'"
+
+
+@query(f"SELECT count(*) AS answers, round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevance), 6) AS answer_relevance FROM answers WHERE {_RUNS}")
+def answer_quality(spark, at):
+    a = t.answer_evaluations(spark, at)
+    return an.answer_quality(a, a.select("run_id").distinct().where(_RUNS))
+
+
+@query("SELECT count(*) AS answers, count(faithfulness) AS judged, round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevance), 6) AS answer_relevance FROM answers")
+def answer_eval_summary(spark, at):
+    return evaluation.answer_eval_summary(t.answer_evaluations(spark, at))
+
+
+_LAST = ", last AS (SELECT trace_id, model, provider FROM calls QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at DESC, call_no DESC, model, provider) = 1), quality AS (SELECT model, provider, count(q) AS answers, round(avg(q), 9) AS quality FROM (SELECT model, provider, CASE WHEN faithfulness IS NULL THEN answer_relevance WHEN answer_relevance IS NULL THEN faithfulness ELSE (faithfulness + answer_relevance) / 2 END AS q FROM answers JOIN last USING (trace_id)) GROUP BY 1, 2)"
+
+
+@query(_LAST + " SELECT model, provider, answers, quality FROM quality")
+def quality_by_model(spark, at):
+    return an.quality_by_model(t.answer_evaluations(spark, at), t.traces(spark, at), t.llm_calls(spark, at))
+
+
+_COSTQ = """, g AS (SELECT provider, model, count(*) AS calls, sum(input_tokens + output_tokens)::BIGINT AS tokens, sum(cost)::DOUBLE AS cost, round(sum(latency_ms::DECIMAL(18,2))::DOUBLE / count(latency_ms), 6) AS avg_latency_ms FROM calls GROUP BY 1, 2),
+cq AS (SELECT g.*, round(CASE WHEN tokens = 0 THEN NULL ELSE cost * 1000 / tokens END, 8) AS cost_per_1k_tokens, answers, quality, CASE WHEN is_local IS NULL THEN 'unpriced' WHEN is_local THEN 'local' ELSE 'simulated' END AS label
+ FROM g LEFT JOIN models m ON m.provider = g.provider AND m.name = g.model LEFT JOIN quality q ON q.provider = g.provider AND q.model = g.model)"""
+
+
+@query(_LAST + _COSTQ + " SELECT *, coalesce((provider, model) = (SELECT (provider, model) FROM cq WHERE cost_per_1k_tokens IS NOT NULL ORDER BY cost_per_1k_tokens, provider, model LIMIT 1), false) AS best_value, coalesce((provider, model) = (SELECT (provider, model) FROM cq WHERE quality IS NOT NULL ORDER BY quality DESC, provider, model LIMIT 1), false) AS best_quality FROM cq")
+def cost_quality_report(spark, at):
+    q = an.quality_by_model(t.answer_evaluations(spark, at), t.traces(spark, at), t.llm_calls(spark, at))
+    return an.cost_quality(t.llm_calls(spark, at), t.models(spark, at), q)
+
+
+@query("SELECT (SELECT count(*) FROM anomalies WHERE NOT resolved) AS open_anomalies, (SELECT count(*) FROM recommendations WHERE NOT dismissed) AS open_recommendations")
+def open_insights(spark, at):
+    return an.open_insights(t.anomalies(spark, at), t.recommendations(spark, at))
+
+
+@query("SELECT x.id, application_id, detected_at, anomaly_type, severity, resolved, a.name AS application FROM anomalies x LEFT JOIN applications a ON a.id = application_id WHERE severity = '1' AND NOT resolved ORDER BY detected_at DESC, x.id LIMIT 50")
+def anomaly_list(spark, at):
+    return an.findings(t.anomalies(spark, at), t.applications(spark, at), [F.desc("detected_at"), F.col("id")], F.expr("severity = '1' and not resolved"))
+
+
+@query("SELECT x.id, application_id, title, severity, dismissed, a.name AS application FROM recommendations x LEFT JOIN applications a ON a.id = application_id WHERE NOT dismissed ORDER BY severity DESC, x.id LIMIT 50")
+def recommendation_list(spark, at):
+    return an.findings(t.recommendations(spark, at), t.applications(spark, at), [F.desc("severity"), F.col("id")], F.expr("not dismissed"))
+
+
+@query("SELECT id, CASE WHEN id % 5 = 0 THEN true ELSE resolved END AS resolved FROM anomalies")
+def resolve_anomalies(spark, at):
+    a = t.anomalies(spark, at)
+    return an.resolved(a, a.where("id % 5 = 0").select("id")).select("id", "resolved")
+
+
+_SERIES = """, b AS (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 DAY)) AS bucket),
+c AS (SELECT date_trunc('day', created_at)::TIMESTAMP AS bucket, count(*) AS calls, sum(input_tokens + output_tokens)::BIGINT AS tokens, sum(cost)::DOUBLE AS cost, count(*) FILTER (status = 'error') AS call_errors FROM calls WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1998-12-31 23:59:59' GROUP BY 1),
+tr AS (SELECT date_trunc('day', start_time)::TIMESTAMP AS bucket, count(*) AS traces, count(*) FILTER (has_error) AS trace_errors, round(sum(duration_ms::DECIMAL(18,2))::DOUBLE / count(duration_ms), 6) AS avg_duration_ms FROM traces WHERE start_time >= TIMESTAMP '1996-01-01' AND start_time <= TIMESTAMP '1998-12-31 23:59:59' GROUP BY 1),
+re AS (SELECT date_trunc('day', created_at)::TIMESTAMP AS bucket, round(avg(top_score), 6) AS retrieval_score FROM retrievals WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1998-12-31 23:59:59' GROUP BY 1),
+qa AS (SELECT date_trunc('day', created_at)::TIMESTAMP AS bucket, round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevance), 6) AS answer_relevance FROM answers WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1998-12-31 23:59:59' GROUP BY 1),
+series AS (SELECT * FROM b LEFT JOIN c USING (bucket) LEFT JOIN tr USING (bucket) LEFT JOIN re USING (bucket) LEFT JOIN qa USING (bucket))"""
+
+
+def _series(spark, at):
+    calls = t.llm_calls(spark, at, model=False, application=False)
+    return an.usage_series(spark, calls, t.traces(spark, at), t.retrieval_calls(spark, at), t.answer_evaluations(spark, at), TRACES)
+
+
+@query(_SERIES + " SELECT * FROM series")
+def usage_series(spark, at):
+    return _series(spark, at)
+
+
+def _long(name: str, rows: str, metrics: list[str], key: str = "''") -> str:
+    """SQL of reports.section()."""
+    values = ", ".join(f"({m})::DOUBLE" for m in metrics)
+    return f"SELECT '{name}' AS section, ({key})::VARCHAR AS key, unnest([{', '.join(repr(m) for m in metrics)}]) AS metric, unnest([{values}]) AS value FROM ({rows})"
+
+
+_WCALLS = "created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1998-12-31 23:59:59'"
+_IN = f", wcalls AS (SELECT * FROM calls WHERE {_WCALLS}), wtraces AS (SELECT * FROM traces WHERE {_WINDOW}), wtotals AS (SELECT * FROM totals WHERE {_WINDOW})"
+_MODELS = "SELECT model, provider, count(*) AS calls, sum(input_tokens + output_tokens)::BIGINT AS tokens, sum(cost)::DOUBLE AS cost, count(*) FILTER (status = 'error') AS errors, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM {} GROUP BY 1, 2 ORDER BY tokens DESC, model, provider LIMIT 100"
+_CALL_CARDS, _TRACE_CARDS = ["calls", "errors", "input_tokens", "output_tokens", "total_tokens", "cost", "p95_latency_ms"], ["traces", "errors", "users", "error_rate", "p95_duration_ms"]
+_PAIR = "provider || '/' || model"
+_EFF = ["scored", "avg_score", "avg_duplicate_ratio", "avg_context_share", "avg_output_yield", "avg_potential_waste_pct", "avg_wasted_tokens"]
+
+
+def _union(*parts: str) -> str:
+    return " UNION ALL ".join(f"({p})" for p in parts)
+
+
+def _windowed(spark, at):
+    return TRACES.rows(t.llm_calls(spark, at), "created_at"), TRACES.rows(t.traces(spark, at), "start_time"), TRACES.rows(_totals(spark, at), "start_time")
+
+
+def _pair() -> F.Column:
+    return F.concat_ws("/", "provider", "model")
 
 
 @query(
-    """, g AS (SELECT trace_id, application_id, greatest(0, sum(input_tokens) - sum(output_tokens))::BIGINT AS waste FROM calls GROUP BY 1, 2)
-SELECT name, count(*) AS traces, sum(waste)::BIGINT AS waste FROM g JOIN applications ON id = application_id GROUP BY id, name"""
+    _ANALYSIS
+    + _SERIES
+    + _IN
+    + " "
+    + _union(
+        _long("calls", f"SELECT {_CALLS} FROM wcalls", _CALL_CARDS),
+        _long("traces", f"SELECT {_TRACES} FROM wtraces", _TRACE_CARDS),
+        _long("retrieval", "SELECT round(avg(top_score), 6) AS retrieval_score FROM retrievals", ["retrieval_score"]),
+        _long("answers", "SELECT round(avg(faithfulness), 6) AS faithfulness, round(avg(answer_relevance), 6) AS answer_relevance FROM answers", ["faithfulness", "answer_relevance"]),
+        _long("efficiency", _ROLLUP, _EFF),
+        _long("models", _MODELS.format("wcalls"), ["calls", "tokens", "cost", "errors"], _PAIR),
+        _long("applications", _BY_APP.format("wtotals"), ["traces", "errors", "users", "tokens", "cost"], "name"),
+        _long("series", "SELECT * FROM series", ["calls", "tokens", "cost", "traces", "retrieval_score", "faithfulness"], "bucket::DATE"),
+        _long("open", "SELECT (SELECT count(*) FROM anomalies WHERE NOT resolved) AS open_anomalies, (SELECT count(*) FROM recommendations WHERE NOT dismissed) AS open_recommendations", ["open_anomalies", "open_recommendations"]),
+    )
 )
-def waste_by_application(spark, at):
-    g = t.llm_calls(spark, at).groupBy("trace_id", "application_id").agg(F.greatest(F.lit(0).cast("long"), F.sum("input_tokens") - F.sum("output_tokens")).alias("waste"))
-    a = g.groupBy("application_id").agg(F.count("*").alias("traces"), F.sum("waste").alias("waste"))
-    apps = t.applications(spark, at)
-    return a.join(apps, a.application_id == apps.id).select("name", "traces", "waste")
+def dashboard_overview(spark, at):
+    calls, traces, totals = _windowed(spark, at)
+    answers = t.answer_evaluations(spark, at)
+    s = reports.section
+    return reports.report(
+        s(an.call_summary(calls), "calls", _CALL_CARDS),
+        s(an.trace_summary(traces), "traces", _TRACE_CARDS),
+        s(an.retrieval_score(t.retrieval_calls(spark, at)), "retrieval", ["retrieval_score"]),
+        s(evaluation.answer_eval_summary(answers), "answers", ["faithfulness", "answer_relevance"]),
+        s(an.token_efficiency_rollup(_analysis(spark, at)), "efficiency", _EFF),
+        s(an.by_model(calls), "models", ["calls", "tokens", "cost", "errors"], _pair()),
+        s(an.by_application(totals, t.applications(spark, at)), "applications", ["traces", "errors", "users", "tokens", "cost"], F.col("name")),
+        s(_series(spark, at), "series", ["calls", "tokens", "cost", "traces", "retrieval_score", "faithfulness"], F.to_date("bucket")),
+        s(an.open_insights(t.anomalies(spark, at), t.recommendations(spark, at)), "open", ["open_anomalies", "open_recommendations"]),
+    )
+
+
+_TOKEN_CARDS = ["input_tokens", "output_tokens", "total_tokens", "max_tokens", "p50_tokens", "p95_tokens", "p99_tokens"]
+
+
+@query(
+    _IN
+    + " "
+    + _union(
+        _long("tokens", f"SELECT {_CALLS} FROM wcalls", _TOKEN_CARDS),
+        _long("mean", "SELECT CASE WHEN count(*) = 0 THEN NULL ELSE round(sum(input_tokens + output_tokens)::DOUBLE / count(*), 6) END AS tokens_per_call FROM wcalls", ["tokens_per_call"]),
+        _long("users", _BY_USER.replace("FROM totals", "FROM wtotals"), ["tokens", "cost", "traces"], '"user"'),
+        _long("applications", _BY_APP.format("wtotals"), ["tokens", "cost", "traces"], "name"),
+        _long("models", _MODELS.format("wcalls"), ["tokens", "cost", "calls"], _PAIR),
+    )
+)
+def token_analytics(spark, at):
+    calls, _, totals = _windowed(spark, at)
+    one = an.call_summary(calls)
+    s = reports.section
+    return reports.report(
+        s(one, "tokens", _TOKEN_CARDS),
+        s(calls.agg(F.round(F.try_divide(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.count("*")), 6).alias("tokens_per_call")), "mean", ["tokens_per_call"]),
+        s(an.by_user(totals), "users", ["tokens", "cost", "traces"], F.col("user")),
+        s(an.by_application(totals, t.applications(spark, at)), "applications", ["tokens", "cost", "traces"], F.col("name")),
+        s(an.by_model(calls), "models", ["tokens", "cost", "calls"], _pair()),
+    )
+
+
+_PER = ["total_cost", "cost_per_request", "cost_per_user", "cost_per_application"]
+_UNITS = "SELECT cost AS total_cost, " + ", ".join(f"round(CASE WHEN {n} = 0 THEN 0.0 ELSE cost / {n} END, 8) AS {m}" for n, m in (("t", "cost_per_request"), ("u", "cost_per_user"), ("a", "cost_per_application"))) + " FROM (SELECT coalesce(sum(cost)::DOUBLE, 0.0) AS cost FROM wcalls), (SELECT count(*) AS t, count(DISTINCT user_id) AS u, count(DISTINCT application_id) AS a FROM wtraces)"
+
+
+@query(_SERIES + _IN + " " + _union(_long("cost", _UNITS, _PER), _long("models", _MODELS.format("wcalls"), ["cost", "calls"], _PAIR), _long("series", "SELECT * FROM series", ["cost"], "bucket::DATE")))
+def cost_analytics(spark, at):
+    calls, traces, _ = _windowed(spark, at)
+    s = reports.section
+    return reports.report(s(reports.per_unit(an.call_summary(calls), traces), "cost", _PER), s(an.by_model(calls), "models", ["cost", "calls"], _pair()), s(_series(spark, at), "series", ["cost"], F.to_date("bucket")))
+
+
+@query(", l AS (SELECT DISTINCT CASE WHEN is_local IS NULL THEN 'unpriced' WHEN is_local THEN 'local' ELSE 'simulated' END AS x FROM calls c LEFT JOIN models m ON m.provider = c.provider AND m.name = c.model) SELECT CASE count(*) WHEN 0 THEN 'no model calls' WHEN 1 THEN min(x) ELSE 'mixed' END AS label FROM l")
+def cost_provenance(spark, at):
+    return reports.cost_provenance(t.llm_calls(spark, at), t.models(spark, at))
+
+
+_LATENCY = ["avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms"]
+_STAGES = "SELECT kind, count(*) AS spans, round(avg(duration_ms), 6) AS avg_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM spans GROUP BY 1"
+
+
+@query(
+    _SERIES
+    + _IN
+    + " "
+    + _union(
+        _long("calls", f"SELECT {_CALLS} FROM wcalls", _LATENCY),
+        _long("traces", f"SELECT {_TRACES} FROM wtraces", ["avg_duration_ms", "p50_duration_ms", "p95_duration_ms", "p99_duration_ms", "max_duration_ms"]),
+        _long("max", "SELECT coalesce(max(latency_ms), 0.0) AS max_latency_ms FROM wcalls", ["max_latency_ms"]),
+        _long("stages", _STAGES, ["spans", "avg_ms", "p95_ms"], "kind"),
+        _long("models", _MODELS.format("wcalls"), ["calls", "p95_latency_ms"], _PAIR),
+        _long("series", "SELECT * FROM series", ["avg_duration_ms"], "bucket::DATE"),
+    )
+)
+def latency_analytics(spark, at):
+    calls, traces, _ = _windowed(spark, at)
+    s = reports.section
+    return reports.report(
+        s(an.call_summary(calls), "calls", _LATENCY),
+        s(an.trace_summary(traces), "traces", ["avg_duration_ms", "p50_duration_ms", "p95_duration_ms", "p99_duration_ms", "max_duration_ms"]),
+        s(an.max_latency(calls), "max", ["max_latency_ms"]),
+        s(an.by_span_kind(t.spans(spark, at)), "stages", ["spans", "avg_ms", "p95_ms"], F.col("kind")),
+        s(an.by_model(calls), "models", ["calls", "p95_latency_ms"], _pair()),
+        s(_series(spark, at), "series", ["avg_duration_ms"], F.to_date("bucket")),
+    )
+
+
+@query(
+    _ANALYSIS
+    + _union(
+        _long("rollup", _ROLLUP, _EFF),
+        _long("offenders", _OFFENDERS, ["wasted_tokens", "score"], "trace_id"),
+        _long("applications", _WASTE, ["traces", "avg_waste_pct", "wasted_tokens"], "name"),
+        _long("input", "SELECT sum(input_tokens)::BIGINT AS input_tokens FROM calls", ["input_tokens"]),
+    )
+)
+def efficiency_report(spark, at):
+    a, s = _analysis(spark, at), reports.section
+    calls = t.llm_calls(spark, at, model=False, application=False)
+    return reports.report(
+        s(an.token_efficiency_rollup(a), "rollup", _EFF),
+        s(an.wasteful_traces(a), "offenders", ["wasted_tokens", "score"], F.col("trace_id")),
+        s(an.waste_by_application(a, t.traces(spark, at), t.applications(spark, at)), "applications", ["traces", "avg_waste_pct", "wasted_tokens"], F.col("name")),
+        s(calls.agg(F.sum("input_tokens").alias("input_tokens")), "input", ["input_tokens"]),
+    )
+
+
+_APP = 7
+
+
+@query(_IN + f", mine AS (SELECT * FROM wcalls WHERE application_id = {_APP}) " + _union(_long("traces", f"SELECT {_TRACES} FROM wtraces WHERE application_id = {_APP}", _TRACE_CARDS), _long("models", _MODELS.format("mine"), ["calls", "tokens", "cost"], _PAIR)))
+def application_stats(spark, at):
+    scope = an.Scope(TRACES.start, TRACES.end, application_id=_APP)
+    s = reports.section
+    return reports.report(s(an.trace_summary(scope.rows(t.traces(spark, at), "start_time")), "traces", _TRACE_CARDS), s(an.by_model(scope.rows(t.llm_calls(spark, at), "created_at")), "models", ["calls", "tokens", "cost"], _pair()))
 
 
 @query("SELECT coalesce(error, 'unclassified') AS error, count(*) AS traces FROM traces WHERE has_error GROUP BY 1")
@@ -164,14 +466,21 @@ def latency_percentiles(spark, at):
 
 @query("SELECT trace_id, start_time, duration_ms, kind, has_error FROM traces WHERE status = 'error' AND duration_ms >= 1000 AND trace_id IN (SELECT trace_id FROM calls WHERE model = 'Brand#11') ORDER BY start_time DESC, trace_id LIMIT 50")
 def trace_list(spark, at):
-    return an.trace_list(t.traces(spark, at), t.llm_calls(spark, at), "Brand#11", "error", 1000.0)
+    return an.trace_list(t.traces(spark, at), t.llm_calls(spark, at, application=False), "Brand#11", "error", least_ms=1000.0)
+
 
+@query("SELECT trace_id, start_time, duration_ms, kind, has_error FROM totals WHERE kind = '1-URGENT' AND has_error AND duration_ms <= 200000 AND total_tokens >= 1000 AND error ILIKE '%urg_nt%' ORDER BY start_time DESC, trace_id LIMIT 20 OFFSET 20")
+def trace_search(spark, at):
+    return an.trace_list(_totals(spark, at), kind="1-URGENT", has_errors=True, most_ms=200000.0, least_tokens=1000, search="URG_nt", page=2, size=20)
 
-@query("SELECT trace_id, has_error, (SELECT count(*) FROM calls c WHERE c.trace_id = x.trace_id) AS calls, coalesce((SELECT sum(input_tokens)::BIGINT FROM calls c WHERE c.trace_id = x.trace_id), 0) AS input_tokens FROM traces x")
+
+@query("SELECT trace_id, has_error, (SELECT count(*) FROM calls c WHERE c.trace_id = x.trace_id) AS calls, coalesce((SELECT sum(input_tokens)::BIGINT FROM calls c WHERE c.trace_id = x.trace_id), 0) AS input_tokens, (SELECT count(*) FROM docs d WHERE d.trace_id = x.trace_id) AS documents, (SELECT min(document_id ORDER BY document_id) FROM docs d WHERE d.trace_id = x.trace_id AND rank = 1) AS first_document FROM traces x")
 def trace_detail(spark, at):
-    d = an.trace_detail(t.traces(spark, at), t.llm_calls(spark, at))
+    d = an.trace_detail(t.traces(spark, at), t.llm_calls(spark, at, application=False), t.retrieved_documents(spark, at))
     calls = F.coalesce("calls", F.array().cast(d.schema["calls"].dataType))
-    return d.select("trace_id", an.has_error().alias("has_error"), F.size(calls).cast("long").alias("calls"), F.aggregate(calls, F.lit(0).cast("long"), lambda s, c: s + c["input_tokens"]).alias("input_tokens"))
+    docs = F.coalesce("documents", F.array().cast(d.schema["documents"].dataType))
+    first = F.array_min(F.transform(F.filter(docs, lambda x: x["rank"] == 1), lambda x: x["document_id"]))
+    return d.select("trace_id", an.has_error().alias("has_error"), F.size(calls).cast("long").alias("calls"), F.aggregate(calls, F.lit(0).cast("long"), lambda s, c: s + c["input_tokens"]).alias("input_tokens"), F.size(docs).cast("long").alias("documents"), first.alias("first_document"))
 
 
 @query("SELECT count(*) AS spans, count(v) AS measured, round(avg(v), 6) AS mean FROM (SELECT try_cast(json_extract_string(attributes, '$.k') AS DOUBLE) AS v FROM spans)")
@@ -197,17 +506,6 @@ def estimate_tokens(spark, at):
     return t.table(spark, at, "conversations").select("conv_id", "turn", fn.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(
-    """SELECT trace_id, call_no, round(100.0 * (0.40 * 0.75 + 0.25 * (CASE WHEN input_tokens <= 0 THEN 1.0 ELSE least(1.0, output_tokens::DOUBLE / input_tokens / 0.25) END)
- + 0.35 * greatest(0.0, least(1.0, (1 - CASE WHEN input_tokens = 0 THEN 0.0 ELSE (input_tokens // 2)::DOUBLE / input_tokens END) / 0.4))), 6) AS score,
- least(input_tokens, floor((input_tokens // 2) * 0.25)::BIGINT + greatest(0, input_tokens // 2 - 4 * output_tokens))::BIGINT AS wasted FROM calls"""
-)
-def token_efficiency(spark, at):
-    i, o = F.col("input_tokens"), F.col("output_tokens")
-    ctx = F.floor(i / 2).cast("long")
-    return t.llm_calls(spark, at).select("trace_id", "call_no", F.round(fn.token_efficiency(i, ctx, o, F.lit(0.25)), 6).alias("score"), fn.wasted_tokens(i, ctx, o, F.lit(0.25)).alias("wasted"))
-
-
 @query("SELECT doc_id, substr(sha256(source || '|' || sha256(text) || '|' || '0'), 1, 16) AS chunk_id FROM documents", views=False)
 def chunk_external_id(spark, at):
     return t.table(spark, at, "documents").select("doc_id", fn.chunk_external_id(F.col("source"), F.sha2("text", 256), F.lit(0)).alias("chunk_id"))
@@ -257,38 +555,62 @@ def vector_topk(spark, at):
 
 _REL = "rel AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)"
 _METRICS = f"""WITH {_DENSE}, {_REL}, n AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1),
-h AS (SELECT query_id, count(*) FILTER (rank <= 5) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 5) AS dcg FROM (SELECT * FROM top WHERE rank <= 20) JOIN rel USING (query_id, doc_id) GROUP BY 1),
-m AS (SELECT query_id, coalesce(hits, 0) / 5.0::DOUBLE AS precision, coalesce(hits, 0)::DOUBLE / relevant AS recall, coalesce(1.0::DOUBLE / first, 0.0) AS rr,
- coalesce(dcg / list_sum(list_transform(range(1, least(5, relevant) + 1), lambda i: 1 / log2(i + 1))), 0.0) AS ndcg, coalesce(hits, 0) > 0 AS hit FROM n LEFT JOIN h USING (query_id))
+h AS (SELECT query_id, count(*) FILTER (rank <= 5) AS hits, sum(1 / log2(rank + 1)) FILTER (rank <= 5) AS dcg FROM (SELECT * FROM top WHERE rank <= 20) JOIN rel USING (query_id, doc_id) GROUP BY 1),
+f AS (SELECT query_id, min(rank) AS first FROM top JOIN rel USING (query_id, doc_id) GROUP BY 1),
+m AS (SELECT query_id, coalesce(hits, 0) / 5.0::DOUBLE AS precision, coalesce(hits, 0)::DOUBLE / relevant AS recall, coalesce(1.0::DOUBLE / f.first, 0.0) AS rr,
+ coalesce(dcg / list_sum(list_transform(range(1, least(5, relevant) + 1), lambda i: 1 / log2(i + 1))), 0.0) AS ndcg, coalesce(hits, 0) > 0 AS hit FROM n LEFT JOIN h USING (query_id) LEFT JOIN f USING (query_id))
 """
 
 
 def _judged(spark, at):
     e = t.table(spark, at, "embeddings")
     q = _queries(spark, at)
-    hits = retrieval.vector_topk(e, q, 20)
+    hits = retrieval.vector_topk(e, q, 5)
     a, b = q.select(F.col("vec_id").alias("query_id"), "label"), e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("_l"))
-    return hits, a.join(b, (F.col("label") == F.col("_l")) & (F.col("query_id") != F.col("doc_id"))).select("query_id", "doc_id")
+    rel = a.join(b, (F.col("label") == F.col("_l")) & (F.col("query_id") != F.col("doc_id"))).select("query_id", "doc_id")
+    return hits, rel, retrieval.first_relevant(e, q, rel)
 
 
 @query(_METRICS + "SELECT query_id, precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1, round(rr, 9) AS reciprocal_rank, round(ndcg, 9) AS ndcg, hit FROM m", views=False)
 def retrieval_metrics(spark, at):
-    return retrieval.retrieval_metrics(*_judged(spark, at), 5)
+    hits, rel, first = _judged(spark, at)
+    return retrieval.retrieval_metrics(hits, rel, 5, first)
 
 
 @query(
-    _METRICS + "SELECT 5 AS k, count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END), 6) AS f1, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, round(avg(hit::INT), 6) AS hit_rate FROM m",
+    _METRICS + "SELECT 5 AS k, count(*) AS queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END), 6) AS f1, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, round(avg(hit::INT), 6) AS hit_rate, 0.0::DOUBLE AS zero_result_rate, 5.0::DOUBLE AS avg_documents FROM m",
     views=False,
 )
 def retrieval_metrics_by_k(spark, at):
-    return retrieval.metrics_by_k(*_judged(spark, at), (5,))
+    hits, rel, first = _judged(spark, at)
+    return retrieval.metrics_by_k(hits, rel, (5,), first)
+
+
+@query(f"WITH {_DENSE}, {_REL} SELECT query_id, doc_id FROM rel WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM top WHERE rank <= 5)", views=False)
+def missed_documents(spark, at):
+    hits, rel, _ = _judged(spark, at)
+    return retrieval.missed_documents(hits, rel, 5)
+
+
+@query(
+    f"WITH {_DENSE}, g AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, 1 + v.vec_id % 3 AS gain FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), i AS (SELECT query_id, sum(gain / log2(p + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS p FROM g) WHERE p <= 5 GROUP BY 1), d AS (SELECT query_id, sum(gain / log2(rank + 1)) AS dcg FROM top JOIN g USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1) SELECT query_id, round(coalesce(dcg / ideal, 0.0), 6) AS ndcg FROM i LEFT JOIN d USING (query_id)",
+    views=False,
+)
+def graded_ndcg(spark, at):
+    hits, rel, first = _judged(spark, at)
+    return retrieval.retrieval_metrics(hits, rel.withColumn("grade", 1 + F.col("doc_id") % 3), 5, first).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN\\pM_]+') AS ws FROM documents), asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN\\pM_]+')) AS term FROM benchmark), hit AS (SELECT DISTINCT query_id FROM asked WHERE term IN (SELECT unnest(ws) FROM w)) SELECT count(*) AS queries, count(hit.query_id) AS with_results, round(avg(CASE WHEN hit.query_id IS NULL THEN 0 ELSE 1 END), 6) AS share FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) q LEFT JOIN hit USING (query_id)", views=False)
+def no_answer_report(spark, at):
+    return retrieval.no_answer_report(t.table(spark, at, "benchmark").select(F.col("item_id").alias("query_id")), _lexical(spark, at))
 
 
 _BM25 = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN\pM_]+') AS ws FROM documents),
 s AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM w),
 asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\pL\pN\pM_]+')) AS term FROM benchmark),
 p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
-d AS (SELECT term, ln((n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+d AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ws) AS term FROM w) GROUP BY 1), s),
 i AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM d) ELSE idf END AS idf FROM d),
 r AS (SELECT query_id, doc_id, round(greatest(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 0.0), 6) AS score FROM p JOIN i USING (term) JOIN asked USING (term), s GROUP BY 1, 2),
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r)
@@ -299,13 +621,13 @@ def _lexical(spark, at, k=5):
     return retrieval.bm25_search(t.table(spark, at, "documents"), t.table(spark, at, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
 
 
-@query(_BM25 + "SELECT query_id, doc_id, round(score, 4) AS score, rank FROM lex WHERE rank <= 5", views=False)
+@query(_BM25 + "SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 5", views=False)
 def bm25_search(spark, at):
-    return _lexical(spark, at).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _lexical(spark, at).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-_FUSED = """, merged AS (SELECT query_id, doc_id, rank FROM lexical UNION ALL SELECT query_id, doc_id, rank FROM gated), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM merged GROUP BY 1, 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 5"""
+_FUSED = """, merged AS (SELECT query_id, doc_id, rank, rank AS lr FROM lexical UNION ALL SELECT query_id, doc_id, rank, NULL FROM gated), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS b, min(lr) AS l FROM merged GROUP BY 1, 2)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b, l NULLS LAST, doc_id) AS rank FROM f) WHERE rank <= 5"""
 
 
 @query("WITH " + _DENSE + ", lexical AS (SELECT query_id, doc_id, rank FROM top WHERE rank <= 20), gated AS (SELECT query_id, doc_id, 21 - rank AS rank FROM top WHERE rank <= 20)" + _FUSED, views=False)
@@ -322,7 +644,7 @@ def hybrid_search(spark, at):
     return retrieval.hybrid_search(_lexical(spark, at, 20), dense).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in fn.STOP_WORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in fn.STOP_WORDS)
 _PAIRS = f"""WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
 p AS (SELECT q.conv_id, q.turn, list_filter(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), lambda x: x NOT IN ({_STOP})) AS qw, list_filter(list_distinct(regexp_extract_all(lower(a.text), '[a-z0-9]+')), lambda x: x NOT IN ({_STOP})) AS aw FROM q JOIN a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1)
 """
@@ -345,14 +667,58 @@ def extract_claims(spark, at):
     return t.table(spark, at, "conversations").select("conv_id", "turn", F.size(fn.claims(F.col("text"))).cast("long").alias("claims"))
 
 
-@query()
+_SPLIT = r"list_filter(list_transform(string_split_regex(regexp_replace({}, '([.!?])[ \t]+', '\1' || chr(10), 'g'), '[\r\n]+'), lambda x: trim(x)), lambda x: length(x) >= 2)"
+_WORDS = f"list_filter(list_distinct(regexp_extract_all(lower({{}}), '[a-z0-9]+')), lambda w: w NOT IN ({_STOP}))"
+
+
+@query(
+    f"""WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+p AS (SELECT q.conv_id, q.turn, {_SPLIT.format('a.text')} AS cs, list_concat({_SPLIT.format('q.text')}, {_SPLIT.format('left(a.text, 200)')}) AS ss FROM q JOIN a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1),
+c AS (SELECT conv_id, turn, unnest(cs) AS claim, ss FROM p),
+g AS (SELECT conv_id, turn, {_WORDS.format('claim')} AS cw, list_filter(list_transform(ss, lambda s: {_WORDS.format('s')}), lambda w: len(w) > 0) AS sw FROM c),
+v AS (SELECT conv_id, turn, len(list_filter(sw, lambda w: len(cw) > 0 AND len(list_intersect(cw, w))::DOUBLE / len(cw) >= 0.5)) > 0 AS ok FROM g)
+SELECT p.conv_id, p.turn, len(cs)::INTEGER AS claims, (count(*) FILTER (v.ok))::INTEGER AS supported, CASE WHEN len(cs) = 0 THEN 1.0 ELSE round((count(*) FILTER (v.ok))::DOUBLE / len(cs), 9) END AS score FROM p LEFT JOIN v USING (conv_id, turn) GROUP BY p.conv_id, p.turn, cs""",
+    views=False,
+)
 def grounding(spark, at):
-    return _answers(spark, at).select("conv_id", "turn", evaluation.grounding(F.col("answer"), F.array("question")).alias("g")).select("conv_id", "turn", "g.*")
+    context = F.array("question", F.left("answer", F.lit(200)))
+    return _answers(spark, at).select("conv_id", "turn", evaluation.grounding(F.col("answer"), context).alias("g")).select("conv_id", "turn", "g.claims", "g.supported", F.round("g.score", 9).alias("score"))
 
 
-@query()
+@query(
+    """SELECT l_orderkey AS trace_id, l_linenumber AS place, CASE WHEN l_linenumber % 4 = 0 THEN 0.0 WHEN l_linenumber % 4 = 1 THEN round((CASE WHEN l_linenumber <= 2 THEN 1 ELSE 0 END + 1) / 3.0::DOUBLE, 9) WHEN l_linenumber % 4 = 2 THEN 0.5 ELSE 1.0 END AS coverage FROM lineitem""",
+    views=False,
+)
 def citation_coverage(spark, at):
-    return _answers(spark, at).select("conv_id", "turn", evaluation.citation_coverage(F.col("answer"), F.array(F.lit("doc-1"), F.lit("doc-2"))).alias("coverage"))
+    """Answers that cite documents by place, id, title and source, or nothing."""
+    line = t.table(spark, at, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    doc = lambda i, title, source: F.struct(i.alias("id"), F.lit(title).cast("string").alias("title"), F.lit(source).cast("string").alias("source"))
+    known = F.array(doc(F.concat(F.lit("doc-"), F.col("l_suppkey").cast("string")), "Billing FAQ", None), doc(F.lit("x"), None, "a/b.md"))
+    n = F.col("l_linenumber")
+    answer = (
+        F.when(n % 4 == 0, "no citation [at] all, nor [see 3]".replace("[at]", "(at)").replace("[see 3]", "(see 3)"))
+        .when(n % 4 == 1, F.concat(F.lit("as in ["), n.cast("string"), F.lit("; S1] and [99]")))
+        .when(n % 4 == 2, F.concat(F.lit("by [doc-"), F.col("l_suppkey").cast("string"), F.lit("] and (source: nothing)")))
+        .otherwise("see [Source: billing faq], (ref = a/b.md) and [S2].")
+    )
+    return line.select(F.col("l_orderkey").alias("trace_id"), n.alias("place"), F.round(evaluation.citation_coverage(answer, known), 9).alias("coverage"))
+
+
+_COS = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform({1}, lambda x: x::DOUBLE * x::DOUBLE))))"
+
+
+@query(
+    f"""WITH e AS (SELECT q.vec_id AS query_id, q.embedding AS qe, a.embedding AS ae, b.embedding AS be FROM embeddings q JOIN embeddings a ON a.vec_id = q.vec_id + 1 JOIN embeddings b ON b.vec_id = q.vec_id + 2)
+SELECT query_id, round(greatest(0.0, least(1.0, ({_COS.format('qe', 'ae')} + {_COS.format('qe', 'be')}) / 2)), 6) AS context_relevance, round(greatest(0.0, least(1.0, 0.7 * ({_COS.format('qe', 'ae')}) + 0.3 * 0.5)), 6) AS answer_relevance FROM e""",
+    views=False,
+)
+def answer_relevance(spark, at):
+    e = t.table(spark, at, "embeddings").select("vec_id", "embedding")
+    shift = lambda k, name: e.select((F.col("vec_id") - k).alias("vec_id"), F.col("embedding").alias(name))
+    rows = e.join(shift(1, "answer_vector"), "vec_id").join(shift(2, "other"), "vec_id")
+    rows = rows.select(F.col("vec_id").alias("query_id"), F.lit("Reset password?").alias("question"), F.lit("The password is new.").alias("answer"), F.col("embedding").alias("question_vector"), "answer_vector", F.array("answer_vector", "other").alias("context_vectors"))
+    scored = evaluation.answer_scores(rows)
+    return scored.select("query_id", *(F.round(c, 6).alias(c) for c in ("context_relevance", "answer_relevance")))
 
 
 def _run(spark, at, year: int) -> DataFrame:
@@ -390,12 +756,105 @@ def rule_repeated_prefix(spark, at):
 
 
 @query(
-    ", j AS (SELECT context_window, sum(input_tokens) AS s, count(*) AS n FROM calls c JOIN models m ON m.name = c.model AND m.provider = c.provider GROUP BY 1), k AS (SELECT *, s::DOUBLE / n AS mean FROM j ORDER BY context_window LIMIT 1) SELECT 'small_model' AS rule, "
+    ", j AS (SELECT c.model, min(context_window) AS context_window, sum(input_tokens)::DOUBLE / count(*) AS mean, count(*) AS n FROM calls c JOIN models m ON m.name = c.model WHERE input_tokens IS NOT NULL AND context_window IS NOT NULL GROUP BY 1), k AS (SELECT * FROM j ORDER BY context_window, model LIMIT 1) SELECT 'small_model' AS rule, "
     + _RULE.format(v="mean / context_window", n="n", s="mean / context_window", f="(mean >= 512 AND mean / context_window >= 0.5)")
     + " FROM k"
 )
 def rule_small_model(spark, at):
-    return evaluation.rule_small_model(t.llm_calls(spark, at), t.models(spark, at))
+    return evaluation.rule_small_model(t.llm_calls(spark, at, application=False), t.models(spark, at))
+
+
+_DUPRULE = "SELECT 'duplicate_context' AS rule, " + _RULE.format(v="r", n="n", s="r", f="(r >= 0.05)") + " FROM (SELECT avg(duplicate_ratio) AS r, count(*) AS n FROM analysis)"
+
+
+@query(_ANALYSIS + _DUPRULE)
+def rule_duplicate_context(spark, at):
+    return evaluation.rule_duplicate_context(_analysis(spark, at))
+
+
+_CITED = r""", j AS (SELECT length(content) AS chars, list_filter(list_distinct(string_split_regex(lower(trim(content)), '\s+')), lambda w: length(w) > 3) AS w, list_filter(list_distinct(string_split_regex(lower(trim(answer)), '\s+')), lambda w: length(w) > 3) AS a
+ FROM docs JOIN (SELECT trace_id, 'small ' || kind || ' widget' AS answer FROM traces) USING (trace_id)), cited AS (SELECT 1 - coalesce(sum(chars) FILTER (len(w) > 0 AND len(list_intersect(w, a))::DOUBLE / len(w) >= 0.5), 0)::DOUBLE / sum(chars) AS r, count(*) AS n FROM j)"""
+_UNUSED = "SELECT 'unused_context' AS rule, " + _RULE.format(v="r", n="n", s="r", f="(r >= 0.60 AND c >= 500)") + " FROM cited, (SELECT avg(context_tokens) AS c FROM analysis)"
+
+
+def _citation(spark, at):
+    answers = t.traces(spark, at).select("trace_id", F.concat(F.lit("small "), "kind", F.lit(" widget")).alias("answer"))
+    return evaluation.context_citation(t.retrieved_documents(spark, at), answers)
+
+
+@query(_CITED + " SELECT round(r, 6) AS unused_share, n AS samples FROM cited")
+def context_citation(spark, at):
+    return _citation(spark, at).select(F.round("unused_share", 6).alias("unused_share"), "samples")
+
+
+@query(_ANALYSIS + _CITED + " " + _UNUSED)
+def rule_unused_context(spark, at):
+    return evaluation.rule_context_citation(_citation(spark, at), _analysis(spark, at).agg(F.avg("context_tokens").alias("context_tokens")))
+
+
+_LAT = "SELECT 'latency_tail' AS rule, " + _RULE.format(v="p95 / p50", n="n", s="(p95 / p50 - 3) / 3", f="(p95 / p50 >= 3)") + " FROM (SELECT round(quantile_cont(duration_ms, 0.5), 6) AS p50, round(quantile_cont(duration_ms, 0.95), 6) AS p95, count(*) AS n FROM traces)"
+_ERR = "SELECT 'error_rate' AS rule, " + _RULE.format(v="e / n::DOUBLE", n="n", s="least(1.0, 5 * e / n::DOUBLE)", f="(e / n::DOUBLE >= 0.02)") + " FROM (SELECT count(*) FILTER (has_error) AS e, count(*) AS n FROM traces)"
+
+
+@query(_ANALYSIS + _CITED + " " + _union(_DUPRULE, _UNUSED, _LAT, _ERR))
+def rule_observations(spark, at):
+    traces = t.traces(spark, at)
+    return evaluation.every_rule([rule_duplicate_context(spark, at), rule_unused_context(spark, at), evaluation.rule_latency_tail(an.latency_percentiles(traces)), evaluation.rule_error_rate(an.trace_summary(traces))])
+
+
+_ARMS = """, r AS (SELECT year(start_time) AS y, count(*)::DOUBLE AS traces, (count(*) FILTER (has_error))::DOUBLE / count(*) AS error_rate FROM traces GROUP BY 1),
+m AS (SELECT y, unnest(['traces', 'error_rate']) AS metric, unnest([traces, error_rate]) AS value FROM r), v AS (SELECT * FROM (VALUES ('e', 'arm96', 1996, true), ('e', 'arm97', 1997, false), ('e', 'arm99', 1999, false), ('e', 'gone', 1900, false)) AS x(experiment, variant, y, is_baseline))"""
+
+
+@query(
+    _ARMS
+    + " SELECT v.experiment, v.variant, m.metric, m.value AS candidate, b.value AS baseline, round(m.value - b.value, 9) AS change, round(CASE WHEN b.value = 0 THEN 0.0 ELSE (m.value - b.value) / abs(b.value) * 100 END, 6) AS change_pct FROM v LEFT JOIN m USING (y) LEFT JOIN (SELECT experiment, metric, value FROM v JOIN m USING (y) WHERE is_baseline) b ON b.experiment = v.experiment AND b.metric = m.metric WHERE NOT v.is_baseline"
+)
+def experiment_deltas(spark, at):
+    g = t.traces(spark, at).groupBy(F.year("start_time").alias("run_id")).agg(F.count("*").cast("double").alias("traces"), (F.count_if(an.has_error()) / F.count("*")).alias("error_rate"))
+    metrics = g.select("run_id", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("traces", "error_rate")))).alias("x")).select("run_id", "x.*")
+    arms = spark.createDataFrame([("e", "arm96", 1996, True), ("e", "arm97", 1997, False), ("e", "arm99", 1999, False), ("e", "gone", 1900, False)], "experiment string, variant string, run_id int, is_baseline boolean")
+    return evaluation.experiment_deltas(arms, metrics)
+
+
+@query("SELECT conv_id, 3 + sum(4 + CASE WHEN coalesce(text, '') = '' THEN 0 ELSE " + _TOKENS.format("text") + " END)::BIGINT AS tokens FROM conversations GROUP BY conv_id", views=False)
+def message_tokens(spark, at):
+    g = t.table(spark, at, "conversations").groupBy("conv_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("m"))
+    return g.select("conv_id", fn.message_tokens(F.col("m")).alias("tokens"))
+
+
+@query("SELECT trace_id, string_agg('[' || rank || '] ' || title || ' (' || document_id || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context, max(final_score) AS top_score FROM (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY rank, document_id, content) AS rank, title, document_id, content, final_score FROM docs) GROUP BY 1")
+def context_block(spark, at):
+    w = F.row_number().over(Window.partitionBy("trace_id").orderBy("rank", "document_id", "content"))
+    d = t.retrieved_documents(spark, at).withColumn("rank", w)
+    rows = d.select(F.col("trace_id").alias("query_id"), "rank", "title", F.col("document_id").alias("source"), "content", F.col("final_score").alias("score"))
+    return retrieval.context_block(rows).select(F.col("query_id").alias("trace_id"), "context", "top_score")
+
+
+def _payloads(spark, at):
+    """Traces as nested payloads: each with its calls, half of which lack their counts, and its
+    documents; a later payload changes the status of some."""
+    line = t.table(spark, at, "lineitem")
+    part = t.table(spark, at, "part")
+    rows = line.join(part, line.l_partkey == part.p_partkey)
+    gen = F.struct(F.col("p_brand").alias("model"), F.col("p_type").alias("provider"), F.lit("count these four words").alias("prompt"), F.lit("two words").alias("completion"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("long")).alias("input_tokens"), F.lit("success").alias("status"))
+    doc = F.struct(F.col("l_partkey").cast("string").alias("document_id"), F.col("p_name").alias("title"), F.col("l_linenumber").alias("rank"), (1 - F.col("l_discount").cast("decimal(6,2)")).cast("double").alias("final_score"), F.col("p_name").alias("content"))
+    g = rows.groupBy("l_orderkey").agg(F.collect_list(gen).alias("g"), F.collect_list(doc).alias("d"))
+    ret = F.array(F.struct(F.lit("q").alias("query"), F.col("d").alias("documents")))
+    one = g.select(F.lit(1).alias("seq"), F.to_json(F.struct(F.lit("app").alias("application"), F.col("l_orderkey").cast("string").alias("trace_id"), F.lit("chat").alias("kind"), F.lit("running").alias("status"), F.lit(7).alias("context_tokens"), F.col("g").alias("generations"), ret.alias("retrievals"))).alias("value"))
+    two = g.where("l_orderkey % 3 = 0").select(F.lit(2).alias("seq"), F.to_json(F.struct(F.lit("app").alias("application"), F.col("l_orderkey").cast("string").alias("trace_id"), F.lit("rag").alias("kind"), F.lit("success").alias("status"), F.lit(12.5).alias("duration_ms"))).alias("value"))
+    return nested.parsed(one.unionByName(two))
+
+
+@query(
+    """ SELECT l_orderkey::VARCHAR AS trace_id, 'chat' AS kind, CASE WHEN l_orderkey % 3 = 0 THEN 'success' ELSE 'running' END AS status, CASE WHEN l_orderkey % 3 = 0 THEN 12.5::DOUBLE END AS duration_ms, count(*) AS calls,
+ sum(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::BIGINT ELSE 4 END)::BIGINT AS input_tokens, (2 * count(*))::BIGINT AS output_tokens, sum(len(string_split(p_name, ' ')))::BIGINT AS context_tokens, count(*) AS documents FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",
+    views=False,
+)
+def trace_ingest(spark, at):
+    traces = nested.ingest(None, _payloads(spark, at))
+    out = nested.totals(traces, nested.children(traces, t.models(spark, at)))
+    return out.select("trace_id", "kind", "status", "duration_ms", "calls", "input_tokens", "output_tokens", "context_tokens", "documents")
 
 
 @query()
