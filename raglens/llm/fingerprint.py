@@ -8,9 +8,9 @@ the anchors of its parts and those across the seam.
 
 Defined results: a null text is the empty text. The empty text has the empty fingerprint; a
 text without a syncmer (all of less than k characters, and some of up to a few times k) has
-one anchor, the hash of the whole text. Likeness is the
-Dice measure of the distinct anchors, 1 for two empty fingerprints. Rows of equal id follow
-each other by their text; rows with a null id come last."""
+one anchor, the hash of the whole text. Likeness is the Dice measure of the distinct anchors,
+of 64 bits each, of which a fingerprint shows 24; it is 1 for two empty fingerprints. Rows of
+equal id follow each other by their text; rows with a null id come last, in one range."""
 
 from __future__ import annotations
 

@@ -31,17 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm.common import binary_texts, materialise, mix, signed, text_slices, word_hashes
+from raglens.llm.common import binary_texts, dropped, materialise, mix, signed, text_slices, word_hashes
 
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Bounds nothing any more (the model has no classes); the name stays for those who set it.
-CLASSES = 1024
 #: Words, and pairs of words, that are broadcast; all others are joined.
 BROADCAST = 100_000
 #: Discount and strength of the context restaurants and of their parent.
 CONTEXT, PARENT = (0.75, 1.0), (0.5, 1.0)
 SWEEPS, BURN_IN = 6, 2
+#: Customers of a dish that are seated one by one; those behind them come in growing groups.
+ONE_BY_ONE = 1024
 #: Distinct words that a counting task holds before it reports them.
 HELD = 1 << 21
 
@@ -118,11 +118,12 @@ def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float, theta: float,
     j = 1
     live = np.flatnonzero(c > 1)
     while len(live):
-        m = np.minimum(max(1, j // 8), c[live] - j)
+        step = 1 if j < ONE_BY_ONE else j // 8
+        m = np.minimum(step, c[live] - j)
         opens = (theta + d * (others[live] + out[live])) * base[live]
         p = opens / (opens + np.maximum(j - d * out[live], 1e-9))
         out[live] += rng.binomial(m, np.clip(p, 0.0, 1.0))
-        j += max(1, j // 8)
+        j += step
         live = live[c[live] > j]
     return np.minimum(out, c)
 
@@ -196,6 +197,7 @@ def sample(pairs: DataFrame, hot: DataFrame, v: int, seed: int = 11) -> Model:
 
     for sweep in range(SWEEPS):
         keep = sweep >= BURN_IN
+        before = [state, contexts, words]
         asked = _met(_met(state, contexts.select("u", "total"), "u", hot), words.select("w", "p"), "w", hot).select("u", "w", "c", "t", "kept", "total", "p")
         asked = asked.mapInArrow(seated(sweep, 0, ("c", "t", "total", "p")), asked.schema)
         state = materialise(asked.select("u", "w", "c", "t", (F.col("kept") + (F.col("t") if keep else 0)).alias("kept")), "seats")
@@ -220,6 +222,7 @@ def sample(pairs: DataFrame, hot: DataFrame, v: int, seed: int = 11) -> Model:
             contexts = contexts.withColumn("pull", F.concat("pull", F.array(theta + d * F.col("total"))))
             new.append(left / (PARENT[1] + r))
         contexts = materialise(contexts, "contexts")
+        dropped(*before)
     each = F.col("kept") / float(SWEEPS - BURN_IN)
     tables = state.select("u", "w", "c", (F.col("c") - d * each).alias("seen"))
     single = pairs.where("c = 1").select("u", "w", "c", F.lit(1.0 - d).alias("seen"))

@@ -108,7 +108,7 @@ t AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
   WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|\.)(ads-track\.example\.org|adult-x\.example\.net|casino-win\.example\.org|cheap-pills\.example\.com|free-bets\.example\.com|spam-farm\.example\.org)$') THEN 'block'
+  WHEN regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM t
 """

@@ -5,8 +5,9 @@ A Bloom filter of the listed keys says yes to all of them and to a few others. T
 universe - every host of the corpus with all domains above it - is complete and known, so the
 others can be found; a second filter encodes them, a third the listed keys that the second
 takes for them, and so on until a level errs no more. A key of the universe is then judged
-exactly by reading a few bits: no join, however long the corpus is. The bit arrays are literals
-of the plan; their size follows the listed keys (some 12 bits each), not the corpus.
+exactly by reading a few bits: no join by key, however long the corpus is. The bit arrays are
+one broadcast row, whose size is checked; it follows the listed keys (some 12 bits each), not
+the corpus.
 
 Defined results: a null url and one without `://` have empty host and path, fit no rule and
 are allowed. Repeated rows are judged alike."""
@@ -28,15 +29,13 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Listed domains of the production filter: each with all its subdomains.
-LISTED = (
-    "ads-track.example.org",
-    "adult-x.example.net",
-    "casino-win.example.org",
-    "cheap-pills.example.com",
-    "free-bets.example.com",
-    "spam-farm.example.org",
-)
+#: Listed domains of the production filter, each with all its subdomains: these names below
+#: each of these zones; fixed values.
+NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ZONES = ("example.com", "example.net", "example.org")
+LISTED = tuple(f"{name}.{zone}" for name in NAMES for zone in ZONES)
+#: Most bytes of all bit arrays, which are broadcast.
+MOST_BYTES = 64 << 20
 #: Bits for each key of a level, and bits read for each key.
 BITS_PER_KEY, HASHES = 12, 6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,30 +77,42 @@ class Level:
     words: list[int]  # the bit array, 32 bits to a word
     size: int
     seed: int
+    column: str
 
     def has(self, key: Column) -> Column:
-        words = F.expr(f"array({','.join(f'{w}L' for w in self.words)})")
         test = None
         for bit in _bits(key, self.size, self.seed):
-            one = F.call_function("shiftright", F.get(words, F.shiftright(bit, 5).cast("int")), (bit % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
+            one = F.call_function("shiftright", F.get(F.col(self.column), F.shiftright(bit, 5).cast("int")), (bit % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
             test = one if test is None else test & one
         return test
 
 
-def _level(keys: DataFrame, n: int, seed: int) -> Level:
-    size = max(64, (n * BITS_PER_KEY + 31) // 32 * 32)
+def _level(keys: DataFrame, n: int, k: int) -> Level:
+    size, seed = max(64, (n * BITS_PER_KEY + 31) // 32 * 32), 100 * k + 7
+    if size // 4 > MOST_BYTES:
+        raise ValueError(f"{n} listed keys take more than {MOST_BYTES} bytes")
     bit = F.explode(F.array(*_bits(F.col("key"), size, seed)))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))
     words = [0] * (size // 32)
     for w, bits in keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(mask).alias("bits")).collect():
         words[w] = bits
-    return Level(words, size, seed)
+    return Level(words, size, seed, f"_bits{k}")
 
 
 @dataclass
 class Cascade:
     levels: list[Level]
 
+    def on(self, rows: DataFrame) -> DataFrame:
+        """The rows with the bit arrays, as columns that has() reads; off() drops them."""
+        if not self.levels:
+            return rows
+        one = rows.sparkSession.createDataFrame([tuple(x.words for x in self.levels)], ", ".join(f"{x.column} array<long>" for x in self.levels))
+        return rows.join(F.broadcast(one))
+
+    def off(self, rows: DataFrame) -> DataFrame:
+        return rows.drop(*(x.column for x in self.levels))
+
     def has(self, key: Column) -> Column:
         """Whether a key of the universe is listed."""
         held = F.lit(False)
@@ -121,9 +132,10 @@ def cascade(universe: DataFrame, listed: DataFrame, most: int = 24) -> Cascade:
         n = keys.count()
         if not n:
             return Cascade(levels)
-        levels.append(_level(keys, n, 100 * k + 7))
+        levels.append(_level(keys, n, k))
         # of the other side only what this level takes for its own goes on
-        sides[(k + 1) % 2] = materialise(sides[(k + 1) % 2].where(levels[-1].has(F.col("key"))), f"errs{k}")
+        last = Cascade(levels[-1:])
+        sides[(k + 1) % 2] = materialise(last.off(last.on(sides[(k + 1) % 2]).where(levels[-1].has(F.col("key")))), f"errs{k}")
     raise RuntimeError("the cascade didn't end")
 
 
@@ -135,7 +147,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, listed=LISTED) -> Dat
     names = spark.createDataFrame([(x,) for x in listed], "key string")
     held = cascade(universe, names)
     blocked = F.exists(domains(F.col("host")), lambda d: held.has(d))
-    out = pages.withColumns({"host": host, "path": path})
+    out = held.on(pages.withColumns({"host": host, "path": path}))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(rule["verdict"], F.when(blocked, "block").otherwise("allow"))
-    return out.withColumns({"rule": rule["rule"], "verdict": verdict})
+    return held.off(out.withColumns({"rule": rule["rule"], "verdict": verdict}))

@@ -472,19 +472,18 @@ def test_lm_counts_and_gain(spark):
     assert p[True]["perplexity"] < p[True]["base_perplexity"]
 
 
-def test_lm_probabilities_sum_to_one(spark, monkeypatch):
-    """After any token, the words seen in training and one that wasn't."""
-    monkeypatch.setattr(lm, "CLASSES", 5)
+def test_lm_probabilities_sum_to_one(spark):
+    """Scored as texts of one word and the end, the probabilities of all words at a text's
+    start - those seen, a new one and the end - sum to one."""
     train = [(i, " ".join(f"w{(i * j) % 9}" for j in range(1, 12))) for i in range(20)]
     vocab = [f"w{i}" for i in range(9)]
-    ask = [(100 + i, w) for i, w in enumerate([*vocab, "new", ""])]
-    docs = spark.createDataFrame(train + ask, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lm.score(docs, F.col("doc_id") >= 100).collect()}
-    # p(word, end) = p(word | start) * p(end | word); ask once more for p(end | word)
-    both = spark.createDataFrame(train + [(100 + i, f"{w} {w}") for i, (_, w) in enumerate(ask[:-1])], "doc_id long, text string")
-    assert all(s < 0 for s in got.values()) and lm.score(both, F.col("doc_id") >= 100).count() == 30
-    total = 10 ** got[110]  # the end token at the start
-    assert 0 < total < 1
+    ask = [*vocab, "new", *(f"{w} {w}" for w in [*vocab, "new"]), ""]
+    docs = spark.createDataFrame(train + [(100 + i, t) for i, t in enumerate(ask)], "doc_id long, text string")
+    p = {r["doc_id"] - 100: 10 ** r["score"] for r in lm.score(docs, F.col("doc_id") >= 100).where("held_out").collect()}
+    # p(w, end) = p(w | start) p(end | w) and p(w w, end) = p(w | start) p(w | w) p(end | w)
+    assert len(p) == 21 and all(0 < x < 1 for x in p.values())
+    assert sum(p.values()) < 1  # texts of no, one or two words are but some of all
+    assert all(p[10 + i] < p[i] for i in range(10))
 
 
 @pytest.mark.parametrize("few", [100_000, 3])
@@ -537,7 +536,7 @@ def test_cascade_is_exact(spark):
     universe, listed = spark.createDataFrame(every, "key string"), spark.createDataFrame(every[::3] + [(None,)], "key string")
     held = urlfilter.cascade(universe, listed)
     assert len(held.levels) > 1
-    got = {r["key"]: r["x"] for r in universe.select("key", held.has(F.col("key")).alias("x")).collect()}
+    got = {r["key"]: r["x"] for r in held.on(universe).select("key", held.has(F.col("key")).alias("x")).collect()}
     assert got == {k: i % 3 == 0 for i, (k,) in enumerate(every)}
 
 
@@ -551,7 +550,7 @@ def judged(url):
 
 
 def test_url_filter_brute_force(spark):
-    urls = [None, "", "nothing", "http://", "://x.com/fr/1", "HTTP://A.Example.ORG/en/12?x=1", "http://example.org", "http://spam-farm.example.org", "http://a.SPAM-farm.example.org?x", "http://xspam-farm.example.org", "http://b.com/de/1#f", "http://a://b.org/x", "http://..com/fr/", "http://free-bets.example.com:80/", "ftp://adult-x.example.net", "x\nhttp://a.org/"]
+    urls = ["http://spam-farm.example.com/a", "http://spam-farm.example.net", "http://spam-farm.example.edu", "http://x.org/" + "a" * 100_000, None, "", "nothing", "http://", "://x.com/fr/1", "HTTP://A.Example.ORG/en/12?x=1", "http://example.org", "http://spam-farm.example.org", "http://a.SPAM-farm.example.org?x", "http://xspam-farm.example.org", "http://b.com/de/1#f", "http://a://b.org/x", "http://..com/fr/", "http://free-bets.example.com:80/", "ftp://adult-x.example.net", "x\nhttp://a.org/"]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, _r string")
     got = urlfilter.judge(pages)
     assert {r["_r"] for r in got.select("_r").collect()} == {"r"}
