@@ -618,7 +618,10 @@ lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 
 def _lexical(spark, at, k=5):
-    return retrieval.bm25_search(t.table(spark, at, "documents"), t.table(spark, at, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
+    docs = t.table(spark, at, "documents").select("doc_id", "text")
+    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)  # a single file is one task
+    return retrieval.bm25_search(docs, t.table(spark, at, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
 
 
 @query(_BM25 + "SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 5", views=False)
