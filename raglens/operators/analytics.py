@@ -167,6 +167,13 @@ def application_catalog(applications: DataFrame, traces: DataFrame) -> DataFrame
     return applications.join(g, applications.id == g.application_id, "left").select("name", "organization_id", "traces", "last_trace")
 
 
+def organization_counts(organizations: DataFrame, applications: DataFrame, keys: DataFrame) -> DataFrame:
+    """The organizations with their numbers of applications and of keys, 0 without any."""
+    each = lambda rows, name: rows.groupBy(F.col("organization_id").alias("id")).agg(F.count("*").alias(name))
+    out = organizations.join(each(applications, "applications"), "id", "left").join(each(keys, "api_keys"), "id", "left")
+    return out.fillna(0, ["applications", "api_keys"])
+
+
 def model_comparison(calls: DataFrame, models: DataFrame) -> DataFrame:
     tokens = F.sum(F.col("input_tokens") + F.col("output_tokens"))
     g = calls.groupBy("provider", "model").agg(F.count("*").alias("calls"), tokens.alias("tokens"), F.sum("cost").cast("double").alias("cost"), exact_mean("latency_ms").alias("avg_latency_ms"))
@@ -213,7 +220,9 @@ def quality_by_model(answers: DataFrame, traces: DataFrame, calls: DataFrame) ->
     answered, which is that of a trace's last call."""
     last = last_call_per_trace(calls).select("trace_id", "model", "provider")
     q = answers.join(traces.select("trace_id"), "trace_id").join(last, "trace_id").withColumn("q", mean_present(F.col("faithfulness"), F.col("answer_relevance")))
-    return q.groupBy("model", "provider").agg(F.count("q").alias("answers"), F.round(F.avg("q"), 9).alias("quality"))
+    # sums of decimals don't depend on the order of the rows
+    exact = F.sum(F.col("q").cast("decimal(18,12)")).cast("double") / F.count("q")
+    return q.groupBy("model", "provider").agg(F.count("q").alias("answers"), F.round(exact, 9).alias("quality"))
 
 
 def cost_quality(calls: DataFrame, models: DataFrame, quality: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from raglens.functions import scalars as fn
 from raglens.operators import analytics as an
 from raglens.operators import anomaly, evaluation, reports, retrieval
 from raglens.operators.chunking import chunk_documents
-from raglens.sources import tables as t
+from raglens.sources import sinks, tables as t
 from raglens.streaming import ingest, traces as nested
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,7 +233,18 @@ def answer_eval_summary(spark, at):
     return evaluation.answer_eval_summary(t.answer_evaluations(spark, at))
 
 
-_LAST = ", last AS (SELECT trace_id, model, provider FROM calls QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at DESC, call_no DESC, model, provider) = 1), quality AS (SELECT model, provider, count(q) AS answers, round(avg(q), 9) AS quality FROM (SELECT model, provider, CASE WHEN faithfulness IS NULL THEN answer_relevance WHEN answer_relevance IS NULL THEN faithfulness ELSE (faithfulness + answer_relevance) / 2 END AS q FROM answers JOIN last USING (trace_id)) GROUP BY 1, 2)"
+@query("SELECT run_id, 'completed' AS status, count(*) AS num_items, 'deterministic_embedding' AS method, round(coalesce(avg(faithfulness), 0), 6) AS faithfulness, 0.0::DOUBLE AS context_relevance, round(coalesce(avg(answer_relevance), 0), 6) AS answer_relevance, 0.0::DOUBLE AS citation_coverage, 0.0::DOUBLE AS unsupported_claim_ratio, round(avg(faithfulness) FILTER (run_id = '5-LOW'), 6) AS judge_faithfulness, CASE WHEN run_id = '5-LOW' THEN 0.0::DOUBLE END AS judge_answer_relevance FROM answers GROUP BY run_id")
+def closed_runs(spark, at):
+    judged = F.when(F.col("run_id") == "5-LOW", F.col("faithfulness"))
+    return sinks.closed_runs(sinks.answer_rows(t.answer_evaluations(spark, at).withColumn("judge_faithfulness", judged)))
+
+
+@query("SELECT o.id, o.name, (SELECT count(*) FROM applications a WHERE a.organization_id = o.id) AS applications, (SELECT count(*) FROM supplier JOIN applications a ON a.id = s_nationkey WHERE a.organization_id = o.id) AS api_keys FROM organizations o")
+def organization_counts(spark, at):
+    return an.organization_counts(t.organizations(spark, at), t.applications(spark, at), t.api_keys(spark, at))
+
+
+_LAST = ", last AS (SELECT trace_id, model, provider FROM calls QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY created_at DESC, call_no DESC, model, provider) = 1), quality AS (SELECT model, provider, count(q) AS answers, round(sum(q::DECIMAL(18,12))::DOUBLE / count(q), 9) AS quality FROM (SELECT model, provider, CASE WHEN faithfulness IS NULL THEN answer_relevance WHEN answer_relevance IS NULL THEN faithfulness ELSE (faithfulness + answer_relevance) / 2 END AS q FROM answers JOIN last USING (trace_id)) GROUP BY 1, 2)"
 
 
 @query(_LAST + " SELECT model, provider, answers, quality FROM quality")
@@ -535,6 +546,19 @@ def feature_deviation(spark, at):
     return anomaly.feature_deviation(t.traces(spark, at), ["duration_ms"], "trace_id")
 
 
+@query(
+    """, band AS (SELECT quantile_cont(duration_ms, 0.05) AS low, quantile_cont(duration_ms, 0.95) AS high FROM traces),
+d AS (SELECT trace_id, application_id, duration_ms, low, high, round(greatest((low - duration_ms) / (high - low), (duration_ms - high) / (high - low), 0.0), 4) AS dev FROM traces, band)
+SELECT trace_id, application_id, 'feature_outlier' AS anomaly_type, CASE WHEN dev >= 1 THEN 'high' WHEN dev >= 0.5 THEN 'medium' ELSE 'low' END AS severity, 'duration_ms' AS metric, duration_ms AS observed_value, round(low, 6) AS expected_low, round(high, 6) AS expected_high, dev AS anomaly_score, dev AS stored_deviation FROM d WHERE dev > 0"""
+)
+def anomaly_rows(spark, at):
+    rows = t.traces(spark, at)
+    found = anomaly.feature_deviation(rows, ["duration_ms"], "trace_id").select("trace_id", F.col("duration_ms_dev").alias("score"), (F.col("duration_ms_dev") > 0).alias("flagged"))
+    out = sinks.anomaly_rows(found, rows, ["duration_ms"], "trace_id", method="percentile_band")
+    stored = F.get_json_object("evidence", "$.feature_deviation.duration_ms").cast("double")
+    return out.withColumns({"expected_low": F.round("expected_low", 6), "expected_high": F.round("expected_high", 6), "stored_deviation": stored}).drop("evidence")
+
+
 @query()
 def isolation_forest(spark, at):
     return anomaly.isolation_forest(t.traces(spark, at).withColumn("user", F.col("user_id").cast("double")), ["duration_ms", "user"], "trace_id")
@@ -586,6 +610,14 @@ def retrieval_metrics_by_k(spark, at):
     return retrieval.metrics_by_k(hits, rel, (5,), first)
 
 
+@query(_METRICS + "SELECT 5 AS k, count(*) AS num_queries, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS mrr, round(avg(recall), 6) AS recall_of_5 FROM m", views=False)
+def retrieval_run(spark, at):
+    hits, rel, first = _judged(spark, at)
+    run = sinks.retrieval_run(sinks.stored_metrics(retrieval.metrics_by_k(hits, rel, (3, 5), first), 5), "r1", "nightly", "labels")
+    blob = lambda p: F.get_json_object("metrics", p).cast("double")
+    return run.select("k", "num_queries", blob("$.precision").alias("precision"), blob("$.mrr").alias("mrr"), blob("$.by_k['5'].recall").alias("recall_of_5"))
+
+
 @query(f"WITH {_DENSE}, {_REL} SELECT query_id, doc_id FROM rel WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM top WHERE rank <= 5)", views=False)
 def missed_documents(spark, at):
     hits, rel, _ = _judged(spark, at)
@@ -860,6 +892,17 @@ def trace_ingest(spark, at):
     return out.select("trace_id", "kind", "status", "duration_ms", "calls", "input_tokens", "output_tokens", "context_tokens", "documents")
 
 
+@query(_BM25 + "SELECT q.item_id::VARCHAR AS trace_id, 'rag' AS kind, CASE WHEN q.item_id % 2 = 0 THEN 'success' ELSE 'error' END AS status, count(rank) AS documents, CASE WHEN q.item_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS calls, CASE WHEN q.item_id % 2 = 0 THEN 7 ELSE 0 END::BIGINT AS input_tokens, CASE WHEN q.item_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS output_tokens FROM benchmark q LEFT JOIN lex ON lex.query_id = q.item_id AND rank <= 5 GROUP BY q.item_id", views=False)
+def rag_trace(spark, at):
+    asked = t.table(spark, at, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit(1).alias("seq"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("start_time"))
+    docs = t.table(spark, at, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
+    hits = _lexical(spark, at).join(docs, "doc_id")
+    two = F.lit("two words").alias("completion"), F.lit("m").alias("model"), F.lit("p").alias("provider"), F.lit(7).alias("input_tokens"), F.lit(None).cast("long").alias("output_tokens"), F.lit(3.5).alias("duration_ms")
+    traces = nested.ingest(None, nested.rag_payloads(asked, hits, asked.where("query_id % 2 = 0").select("query_id", *two), "demo", "bm25"))
+    out = nested.totals(traces, nested.children(traces, t.models(spark, at)))
+    return out.select("trace_id", "kind", "status", "documents", "calls", "input_tokens", "output_tokens")
+
+
 @query()
 def chunked_documents(spark, at):
     docs = t.table(spark, at, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")

@@ -19,6 +19,12 @@ def applications(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("organization_id"))
 
 
+def api_keys(spark: SparkSession, at: str) -> DataFrame:
+    owner = applications(spark, at).select(F.col("id").alias("_a"), "organization_id")
+    keys = table(spark, at, "supplier")
+    return keys.join(owner, keys.s_nationkey == F.col("_a")).select(F.col("s_suppkey").alias("id"), "organization_id")
+
+
 def users(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("external_id"), F.col("c_nationkey").alias("application_id"))
 

@@ -139,6 +139,40 @@ def ingest(stored: DataFrame | None, payloads: DataFrame) -> DataFrame:
     return merged(both).select(*[n for n in both.columns if n in set(names)])
 
 
+def rag_payloads(queries: DataFrame, hits: DataFrame, replies: DataFrame, application: str, retriever: str = "hybrid") -> DataFrame:
+    """One payload for each answered question, for ingest(): its retrieval, and its generation
+    or the state `error` where none came back, so that failed questions count. queries:
+    query_id, text, seq, start_time; hits: query_id, rank, doc_id, title, content, score;
+    replies: query_id, completion, model, provider, input_tokens, output_tokens, duration_ms."""
+    doc = F.struct(F.col("doc_id").cast("string").alias("document_id"), F.col("title").cast("string").alias("title"), F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("final_score"), F.col("content").cast("string").alias("content"), F.lit(None).cast("string").alias("content_preview"))
+    near = hits.where(F.col("rank") <= MOST_DOCUMENTS)
+    docs = near.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", doc.alias("d")))).getField("d").alias("_docs"))
+    once = replies.groupBy("query_id").agg(F.max(F.struct("completion", "model", "provider", "input_tokens", "output_tokens", "duration_ms")).alias("_r"))
+    rows = queries.join(docs, "query_id", "left").join(once, "query_id", "left")
+    found = F.coalesce("_docs", F.array().cast(f"array<{DOCUMENT}>"))
+    none = lambda kind: F.lit(None).cast(kind)
+    retrieval = F.struct(F.col("text").alias("query"), F.lit(retriever).alias("retriever"), F.size(found).alias("top_k"), F.col("start_time").alias("timestamp"), none("double").alias("duration_ms"), found.alias("documents"))
+    r = F.col("_r")
+    generation = F.struct(r["model"].alias("model"), r["provider"].alias("provider"), none("string").alias("prompt"), r["completion"].alias("completion"), r["input_tokens"].alias("input_tokens"), r["output_tokens"].alias("output_tokens"), r["duration_ms"].alias("duration_ms"), F.lit("success").alias("status"), none("string").alias("span_id"), F.col("start_time").alias("timestamp"))
+    made = {
+        "seq": F.col("seq"),
+        "application": F.lit(application),
+        "trace_id": F.col("query_id").cast("string"),
+        "kind": F.lit("rag"),
+        "start_time": F.col("start_time"),
+        "duration_ms": r["duration_ms"],
+        "input_text": F.col("text"),
+        "output_text": r["completion"],
+        "error": F.when(r.isNull(), "the generation failed"),
+        "status": F.when(r.isNull(), "error").otherwise("success"),
+        "retrievals": F.array(retrieval),
+        "generations": F.when(r.isNotNull(), F.array(generation)).otherwise(F.array()),
+    }
+    made["sent"] = F.array(*(F.lit(c) for c in made if c not in ("seq", "sent")))
+    fields = rows.sparkSession.createDataFrame([], PAYLOAD).schema.fields
+    return rows.select(*(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def new_applications(known: DataFrame, payloads: DataFrame) -> DataFrame:
     """name of the applications that payloads name and `known` (name) lacks."""
     return payloads.where(good()).select(F.col("application").alias("name")).distinct().join(known.select("name"), "name", "left_anti")
