@@ -9,13 +9,15 @@ are seated again, one after the other (a dish of very many customers in growing
 all other tables; the new tables are the parent's customers, which is seated in its turn. A
 row needs only its context's number of tables and its word's probability in the parent, so
 the rows of a large context are dealt over many tasks. A dish of one customer has one table in
-every sweep and is only counted. The predictive probabilities of the sweeps after the first
+every sweep, so pairs that occur once aren't kept: a word's occurrences less those of its kept
+pairs are its pairs that occur once. The predictive probabilities of the sweeps after the first
 ones are averaged, exactly, for pairs seen and not seen; for each preceding word, seen or
 not, those of all words sum to one.
 
-Broadcast are the counts of the most frequent words and the probabilities of the most frequent
-pairs, and in joins the rows of the most frequent words (all bounded); everything else, which
-grows with the corpus, meets its occurrences in a join.
+A word's code is its rank if it is among the most frequent ones, else its hash, made negative.
+Broadcast are what the model says of the most frequent words and pairs (both bounded);
+everything else, which grows with the corpus, meets its occurrences in a join. The occurrences
+are shuffled once, by pair; a pair of a training text that isn't kept occurs once.
 
 Defined results: a null text is empty, which leaves the end token. Without training rows
 every count is 0. Rows with a null id are scored and not learned from. Repeated rows are
@@ -36,7 +38,7 @@ from raglens.llm.common import binary_texts, dropped, materialise, mix, signed,
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Words, and pairs of words, that are broadcast; all others are joined.
-BROADCAST = 100_000
+BROADCAST, PAIRS = 1 << 18, 1 << 19
 #: Discount and strength of the context restaurants and of their parent.
 CONTEXT, PARENT = (0.75, 1.0), (0.5, 1.0)
 SWEEPS, BURN_IN = 6, 2
@@ -53,11 +55,11 @@ def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(len(at))
 
 
-def _before(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _before(codes: np.ndarray, at: np.ndarray, end: np.int64) -> np.ndarray:
     """The token before each token; the end token at a text's start."""
-    out = np.empty_like(h)
-    out[1:] = h[:-1]
-    out[at[:-1]] = END
+    out = np.empty_like(codes)
+    out[1:] = codes[:-1]
+    out[at[:-1]] = end
     return out
 
 
@@ -70,18 +72,27 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.flatnonzero(new)
 
 
-def _pairs_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _codes(h: np.ndarray, ranks: Near) -> np.ndarray:
+    met, rank = ranks.look(h)
+    return np.where(met, rank.astype(np.int64), signed(h | np.uint64(1 << 63)))
+
+
+def _pairs_counted(batches: Iterator[pa.RecordBatch], ranks: Near) -> Iterator[pa.RecordBatch]:
+    """u, w, c (occurrences in training texts), asked (in others) of each pair of codes."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def report() -> pa.RecordBatch:
-        u, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        u, w, out = (np.concatenate([x[i] for x in held]) for i in range(3))
         by, new = _grouped(w, u)
-        return pa.RecordBatch.from_arrays([pa.array(signed(u[by][new])), pa.array(signed(w[by][new])), pa.array(np.diff(np.append(new, len(by))))], names=["u", "w", "c"])
+        asked = np.add.reduceat(out[by].astype(np.int64), new) if len(new) else out.astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[by][new], w[by][new], np.diff(np.append(new, len(by))) - asked, asked)], names=["u", "w", "c", "asked"])
 
     for b in text_slices(batches, "text"):
         h, at = token_hashes(binary_texts(b.column("text")))
-        held.append((_before(h, at), h))
+        codes = _codes(h, ranks)
+        end = _codes(np.array([END]), ranks)[0]
+        held.append((_before(codes, at, end), codes, np.repeat(b.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))))
         size += len(h)
         if size >= HELD:
             yield report()
@@ -152,34 +163,43 @@ class Near:
         return good, np.where(good, self.value[at], 0)
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """left join right by a word; rows of the words of `hot` (h) meet a broadcast table."""
-    hot = F.broadcast(hot.withColumnRenamed("h", key))
-    common = left.join(F.broadcast(right.join(hot, key, "left_semi")), key)
-    return common.unionByName(left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, how), allowMissingColumns=True)
+def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left join right by a code; the rows of the most frequent words meet a broadcast table."""
+    common, rare = F.col(key) >= 0, F.col(key) < 0
+    return left.where(common).join(F.broadcast(right.where(common)), key, how).unionByName(left.where(rare).join(right.where(rare), key, how))
+
+
+#: Names of what each kept sweep says of a word: its tables as a context, its probability in the parent.
+TABLES, BASES = ([f"{x}{i}" for i in range(SWEEPS - BURN_IN)] for x in "tb")
 
 
 @dataclass
 class Model:
-    """pairs: u, w, c, seen (customers less the mean discount of their tables);
-    contexts: u, n (customers), pull (what each kept sweep leaves to the parent);
-    words: w, base (the parent's probability in each kept sweep); new: that of unseen words."""
+    """pairs: u, w, c, seen (customers less the mean discount of their tables), those of c > 1;
+    contexts: u, TABLES, of those with such pairs (all others have a table for each customer);
+    words: w, BASES, of those that occur more than once; once and new: the BASES of words that
+    occur once and never."""
 
     pairs: DataFrame
     contexts: DataFrame
     words: DataFrame
+    once: list[float]
     new: list[float]
 
 
-def sample(pairs: DataFrame, hot: DataFrame, v: int, seed: int = 11) -> Model:
-    """Fits the model to pairs (u, w, c) of v distinct words; hot (h): frequent words."""
+def sample(many: DataFrame, vocab: DataFrame, v: int, ones: int, seed: int = 11) -> Model:
+    """Fits the model to the pairs (u, w, c) of c > 1. vocab: code, c (how often the word
+    occurs, and as often is a word after it) of all v words; `ones` of them occur once."""
     d, theta = CONTEXT
-    once = F.count_if(F.col("c") == 1)
-    contexts = materialise(pairs.groupBy("u").agg(F.sum("c").alias("n"), once.alias("n1"), F.count("*").alias("total"), F.array().cast("array<double>").alias("pull")), "contexts")
-    words = materialise(pairs.groupBy("w").agg(once.alias("n1"), F.lit(0).cast("long").alias("top"), F.lit(1.0 / (v + 1)).alias("p"), F.array().cast("array<double>").alias("base")), "words")
-    state = materialise(pairs.where("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept")), "seats")
+    count, own = F.count("*").alias("t"), F.sum("c").alias("m")
+    contexts = _met(many.groupBy(F.col("u").alias("code")).agg(own, count), vocab, "code")
+    contexts = materialise(contexts.select(F.col("code").alias("u"), (F.col("c") - F.col("m")).alias("n1"), (F.col("c") - F.col("m") + F.col("t")).alias("total")), "contexts")
+    words = vocab.where("c > 1").join(many.groupBy(F.col("w").alias("code")).agg(own), "code", "left")
+    words = materialise(words.select(F.col("code").alias("w"), (F.col("c") - F.coalesce("m", F.lit(0))).alias("n1"), F.lit(1).cast("long").alias("top"), F.lit(1.0 / (v + 1)).alias("p")), "words")
+    state = materialise(many.select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept")), "seats")
+    once: list[float] = []
     new: list[float] = []
-    root_total = None
+    root_total = v
 
     def seated(sweep: int, level: int, names: tuple[str, ...]):
         """A function for mapInArrow that replaces the column of tables, names[1]."""
@@ -196,43 +216,45 @@ def sample(pairs: DataFrame, hot: DataFrame, v: int, seed: int = 11) -> Model:
         return run
 
     for sweep in range(SWEEPS):
-        keep = sweep >= BURN_IN
+        keep = sweep - BURN_IN
         before = [state, contexts, words]
-        asked = _met(_met(state, contexts.select("u", "total"), "u", hot), words.select("w", "p"), "w", hot).select("u", "w", "c", "t", "kept", "total", "p")
+        asked = _met(_met(state, contexts.select("u", "total"), "u"), words.select("w", "p"), "w").select("u", "w", "c", "t", "kept", "total", "p")
         asked = asked.mapInArrow(seated(sweep, 0, ("c", "t", "total", "p")), asked.schema)
-        state = materialise(asked.select("u", "w", "c", "t", (F.col("kept") + (F.col("t") if keep else 0)).alias("kept")), "seats")
+        state = materialise(asked.select("u", "w", "c", "t", (F.col("kept") + (F.col("t") if keep >= 0 else 0)).alias("kept")), "seats")
         # the tables are the parent's customers
         each = state.groupBy("w").agg(F.sum("t").alias("more"))
-        words = words.join(each, "w", "left").select("w", "n1", "base", (F.col("n1") + F.coalesce("more", F.lit(0))).alias("r"), F.col("top"))
-        if root_total is None:
-            words = words.withColumn("top", F.lit(1).cast("long"))
-            root_total = v
-        words = words.withColumns({"root": F.lit(root_total).cast("long"), "flat": F.lit(1.0 / (v + 1))})
+        words = words.join(each, "w", "left").withColumns({"r": F.col("n1") + F.coalesce("more", F.lit(0)), "root": F.lit(root_total).cast("long"), "flat": F.lit(1.0 / (v + 1))}).drop("more")
         words = materialise(words.mapInArrow(seated(sweep, 1, ("r", "top", "root", "flat")), words.schema), "words")
+        before.append(words)
         facts = words.agg(F.sum("r").alias("r"), F.sum("top").alias("t")).first()
-        r, root_total = int(facts["r"] or 0), int(facts["t"] or 0)
+        r, root_total = int(facts["r"] or 0) + ones, int(facts["t"] or 0) + ones
         left = (PARENT[1] + PARENT[0] * root_total) / (v + 1)
-        p = (F.col("r") - PARENT[0] * F.col("top") + left) / (PARENT[1] + r)
-        words = words.select("w", "n1", "top", p.alias("p"), (F.concat("base", F.array(p)) if keep else F.col("base")).alias("base"))
+        words = words.withColumn("p", (F.col("r") - PARENT[0] * F.col("top") + left) / (PARENT[1] + r)).drop("r", "root", "flat")
         # the pull on the parent that goes with it
-        each = state.groupBy("u").agg(F.sum("t").alias("more"))
-        total = F.col("n1") + F.coalesce("more", F.lit(0))
-        contexts = contexts.join(each, "u", "left").select("u", "n", "n1", total.alias("total"), "pull")
-        if keep:
-            contexts = contexts.withColumn("pull", F.concat("pull", F.array(theta + d * F.col("total"))))
+        contexts = contexts.drop("total").join(state.groupBy("u").agg(F.sum("t").alias("more")), "u").withColumn("total", F.col("n1") + F.col("more")).drop("more")
+        if keep >= 0:
+            words, contexts = words.withColumn(BASES[keep], F.col("p")), contexts.withColumn(TABLES[keep], F.col("total"))
+            once.append((1 - PARENT[0] + left) / (PARENT[1] + r))
             new.append(left / (PARENT[1] + r))
-        contexts = materialise(contexts, "contexts")
+        words, contexts = materialise(words, "words"), materialise(contexts, "contexts")
         dropped(*before)
-    each = F.col("kept") / float(SWEEPS - BURN_IN)
-    tables = state.select("u", "w", "c", (F.col("c") - d * each).alias("seen"))
-    single = pairs.where("c = 1").select("u", "w", "c", F.lit(1.0 - d).alias("seen"))
-    return Model(single.unionByName(tables), contexts.select("u", "n", "pull"), words.select("w", "base"), new)
+    pairs = state.select("u", "w", "c", (F.col("c") - d * F.col("kept") / float(SWEEPS - BURN_IN)).alias("seen"))
+    return Model(pairs, contexts.select("u", *TABLES), words.select("w", *BASES), once, new)
+
+
+def logs(seen: np.ndarray, n: np.ndarray, tables: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """log10 of the averaged predictive probability of words after contexts of n customers;
+    tables, base: one column a sweep."""
+    d, theta = CONTEXT
+    return np.log10((seen + ((theta + d * tables) * base).mean(axis=1)) / (theta + n))
 
 
-def _log(seen: Column, n: Column, pull: Column, base: Column) -> Column:
-    """log10 of the averaged predictive probability of a word after a word."""
-    mixed = F.aggregate(F.zip_with(pull, base, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / float(SWEEPS - BURN_IN)
-    return F.log10((seen + mixed) / (CONTEXT[1] + n))
+_SETTLED = "row long, doc struct<doc_id: {id}, held_out: boolean, n_tokens: long, n_known: long, base: double, model: double>, log double, u long, w long, k long, seen double"
+
+
+def _summed(row: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    by, new = _grouped(row)
+    return (row[by][new], *(np.add.reduceat(x[by], new) if len(new) else x for x in values))
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -240,63 +262,130 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
     rows for which held_out is false are learned from."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
-    train = docs.where("not held_out").select("text")
-    vocab = materialise(train.mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
-    facts = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = int(facts["n"] or 0), int(facts["v"])
-    frequent = materialise(vocab.orderBy(F.desc("c"), "h").limit(BROADCAST), "frequent")
-    hot = frequent.select("h")
-    pairs = materialise(train.mapInArrow(_pairs_counted, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c")), "pairs")
-    model = sample(pairs, hot, v)
-    seen = _met(_met(model.pairs, model.contexts, "u", hot), model.words, "w", hot)
-    seen = materialise(seen.select("u", "w", "c", _log(F.col("seen"), F.col("n"), F.col("pull"), F.col("base")).alias("log")), "seen")
-    often = seen.orderBy(F.desc("c"), "u", "w").limit(BROADCAST).toPandas()
-    base_of = np.log10(n + 0.5 * (v + 1))
-    held = spark.sparkContext.broadcast((Near.of(frequent.toPandas(), ["h"], "c"), Near.of(often, ["u", "w"], "log")))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = held.value
-        lists = lambda own, n, *xs: [pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(n + 1)).astype(np.int32)), pa.array(x)) for x in xs]
+    counted = materialise(docs.where("not held_out").select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
+    facts = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones")).first()
+    n, v, ones = int(facts["n"] or 0), int(facts["v"]), int(facts["ones"])
+    often = counted.orderBy(F.desc("c"), "h").limit(BROADCAST).toPandas()
+    often["rank"] = np.arange(len(often))
+    ranks = spark.sparkContext.broadcast(Near.of(often, ["h"], "rank"))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_codes(b.column("h").to_numpy().view(np.uint64), ranks.value)), b.column("c")], names=["code", "c"])
+
+    vocab = materialise(counted.mapInArrow(coded, "code long, c long"), "vocab")
+    pairs = docs.select("text", "held_out").mapInArrow(lambda batches: _pairs_counted(batches, ranks.value), "u long, w long, c long, asked long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("asked").alias("asked"))
+    # pairs that occur once are kept where other texts ask for them
+    pairs = materialise(pairs.where("c > 1 or c = 1 and asked > 0").select("u", "w", "c"), "pairs")
+    model = sample(pairs.where("c > 1"), vocab, v, ones)
+    known = materialise(model.pairs.unionByName(pairs.where("c = 1").select("u", "w", "c", F.lit(1.0 - CONTEXT[0]).alias("seen"))), "known")
+    says = vocab.join(model.contexts.withColumnRenamed("u", "code"), "code", "left").join(model.words.withColumnRenamed("w", "code"), "code", "left")
+    says = materialise(says.select("code", "c", *(F.coalesce(x, "c").alias(x) for x in TABLES), *(F.coalesce(x, F.lit(p)).alias(x) for x, p in zip(BASES, model.once))), "says")
+    near = says.where("code >= 0").orderBy("code").toPandas()
+    top = known.where("u >= 0 and w >= 0").orderBy(F.desc("c"), "u", "w").limit(PAIRS).select("u", "w", "seen").toPandas()
+    of_near = near["c"].to_numpy(), near[TABLES].to_numpy(float), near[BASES].to_numpy(float)
+    held = spark.sparkContext.broadcast((of_near, Near.of(top, ["u", "w"], "seen")))
+    base_of = float(np.log10(n + 0.5 * (v + 1)))
+    id_type = dict(docs.dtypes)["doc_id"]
+
+    def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts (doc) and of their pairs; row: the text's number, odd if held out."""
+        from pyspark import TaskContext
+
+        (count, tables, base), pairs = held.value
+        at_row = TaskContext.get().partitionId() << 40
+        end = _codes(np.array([END]), ranks.value)[0]
         for b in text_slices(batches, "text"):
             h, at = token_hashes(binary_texts(b.column("text")))
-            u, own = _before(h, at), np.repeat(np.arange(b.num_rows), np.diff(at))
-            near, count = words.look(h)
-            base = np.add.reduceat(np.where(near, np.log10(count + 0.5), 0.0), at[:-1]) - base_of * np.diff(at)
-            known = np.add.reduceat(near.astype(np.int64), at[:-1])
-            met, log = pairs.look(u, h)
-            by, new = _grouped(x := h[~near], o := own[~near])
-            far = lists(o[by][new], b.num_rows, signed(x[by][new]), np.diff(np.append(new, len(by))).astype(np.int32))
-            by, new = _grouped(y := h[~met], x := u[~met], o := own[~met])
-            rest = lists(o[by][new], b.num_rows, signed(x[by][new]), signed(y[by][new]), np.diff(np.append(new, len(by))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(np.add.reduceat(log, at[:-1])), *far, *rest],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "far", "times", "u", "w", "k"],
-            )
+            w = _codes(h, ranks.value)
+            u, own = _before(w, at, end), np.repeat(np.arange(b.num_rows), np.diff(at))
+            row = at_row + 2 * np.arange(b.num_rows) + b.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
+            at_row += 2 * b.num_rows
+            common = w >= 0
+            part = np.zeros(len(w))
+            part[common] = np.log10(count[w[common]] + 0.5)
+            met, seen = pairs.look(u.view(np.uint64), w.view(np.uint64))
+            log = np.zeros(len(w))
+            log[met] = logs(seen[met], count[u[met]], tables[u[met]], base[w[met]])
+            sums = [np.add.reduceat(x, at[:-1]) for x in (common.astype(np.int64), part, log)]
+            doc = pa.StructArray.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1] - base_of * np.diff(at)), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model"])
+            by, new = _grouped(w[~met], u[~met], own[~met])
+            x = [y[~met][by][new] for y in (u, w, own)]
+            none = lambda kind, m: pa.nulls(m, kind)
+            m = len(new)
+            # a text's own row is dealt by its number and meets no pair, as it has no word
+            for cols in ([pa.array(row), doc, pa.array(signed(mix(row.view(np.uint64)))), none(pa.int64(), len(row)), none(pa.int64(), len(row))], [pa.array(row[x[2]]), none(doc.type, m), pa.array(x[0]), pa.array(x[1]), pa.array(np.diff(np.append(new, len(by))))]):
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "u", "w", "k"])
+
+    doc_type = _SETTLED.format(id=id_type).split(", log")[0]
+    rows = docs.mapInArrow(shipped, f"{doc_type}, u long, w long, k long")
+    rows = rows.join(known.select("u", "w", "seen"), ["u", "w"], "left").select("row", "doc", "u", "w", "k", "seen")
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums the pairs of frequent words by text; texts' own rows and other pairs pass."""
+        count, tables, base = held.value[0]
+        sums: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def report() -> pa.RecordBatch:
+            row, log = _summed(*(np.concatenate(x) for x in zip(*sums)))
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), doc), pa.array(log), *(pa.nulls(len(row), pa.int64()) for _ in range(3)), pa.nulls(len(row), pa.float64())], names=names)
+
+        names = ["row", "doc", "log", "u", "w", "k", "seen"]
+        for b in batches:
+            row, u, w, k, seen = (b.column(x).fill_null(0).to_numpy(zero_copy_only=False) for x in ("row", "u", "w", "k", "seen"))
+            doc = b.column("doc").type
+            never = b.column("seen").is_null().to_numpy(zero_copy_only=False)
+            seen = np.where(never, np.where(row & 1, 0.0, 1.0 - CONTEXT[0]), seen)
+            own = b.column("k").is_null().to_numpy(zero_copy_only=False)
+            ready = ~own & (u >= 0) & (w >= 0)
+            x, y = u[ready], w[ready]
+            sums.append((row[ready], k[ready] * logs(seen[ready], count[x], tables[x], base[y])))
+            size += len(x)
+            rest = pa.array(~ready)
+            keep = [b.column("row"), b.column("doc"), pa.nulls(b.num_rows, pa.float64()), b.column("u"), b.column("w"), b.column("k"), pa.array(seen)]
+            yield pa.RecordBatch.from_arrays([c.filter(rest) for c in keep], names=names)
+            if size >= HELD:
+                yield report()
+                sums, size = [], 0
+        if sums:
+            yield report()
 
-    id_type = dict(docs.dtypes)["doc_id"]
-    near = docs.mapInArrow(scored, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, model double, far array<long>, times array<int>, u array<long>, w array<long>, k array<int>")
-    near = materialise(near.withColumn("row", F.monotonically_increasing_id()), "near")
-    far = near.select("row", F.explode(F.arrays_zip("far", "times")).alias("x")).select("row", F.col("x.far").alias("h"), F.col("x.times").alias("k"))
-    # only words seen in training meet; all others count 0, log10(0.5)
-    met = far.join(vocab, "h").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("more"), F.sum("k").alias("met"))
-    bigrams = near.select("row", F.explode(F.arrays_zip("u", "w", "k")).alias("x")).select("row", "x.*").join(seen.select("u", "w", "log"), ["u", "w"], "left")
-    bigrams = materialise(bigrams.select("row", "u", "w", "k", "log"), "bigrams")
-    # pairs that training hasn't: by their context, if it has that, and their word, if it has that
-    others = _met(_met(bigrams.where("log is null").drop("log"), model.contexts, "u", hot, "left"), model.words, "w", hot, "left")
-    never = F.array(*(F.lit(x) for x in [CONTEXT[1]] * (SWEEPS - BURN_IN))), F.array(*(F.lit(x) for x in model.new))
-    others = others.select("row", "k", _log(F.lit(0.0), F.coalesce("n", F.lit(0)), F.coalesce("pull", never[0]), F.coalesce("base", never[1])).alias("log"))
-    model_sum = bigrams.where("log is not null").select("row", "k", "log").unionByName(others).groupBy("row").agg(F.sum(F.col("k") * F.col("log")).alias("rest"))
-    out = near.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x).alias("away")).join(met, "row", "left").join(model_sum, "row", "left")
-    found = F.coalesce("met", F.lit(0))
-    more = F.coalesce("more", F.lit(0.0)) + (F.col("away") - found) * F.lit(float(np.log10(0.5)))
+    done = materialise(rows.mapInArrow(settled, _SETTLED.format(id=id_type)), "settled")
+    # pairs of a rarer word: what the model says of it is joined, of frequent ones looked up
+    rare = done.where("k is not null").select("row", "u", "w", "k", "seen")
+    of_u = says.where("code < 0").select(F.col("code").alias("u"), F.col("c").alias("n"), *TABLES)
+    of_w = says.where("code < 0").select(F.col("code").alias("w"), "c", *BASES)
+    rare = rare.where("u < 0").join(of_u, "u", "left").unionByName(rare.where("u >= 0"), allowMissingColumns=True)
+    rare = rare.where("w < 0").join(of_w, "w", "left").unionByName(rare.where("w >= 0"), allowMissingColumns=True)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, tables, base = held.value[0]
+        for b in batches:
+            get = lambda x: b.column(x).fill_null(0).to_numpy(zero_copy_only=False)
+            row, u, w, k, seen, n, c = map(get, ("row", "u", "w", "k", "seen", "n", "c"))
+            n, t = n.astype(np.int64), np.stack([get(x) for x in TABLES], 1).astype(float)
+            p = np.stack([b.column(x).fill_null(y).to_numpy(zero_copy_only=False) for x, y in zip(BASES, model_new)], 1)
+            x, y = u >= 0, w >= 0
+            n[x], t[x], p[y] = count[u[x]], tables[u[x]], base[w[y]]
+            part = np.where(y, 0.0, np.log10(c + 0.5))
+            out = _summed(row, k * logs(seen, n, t, p), k * part, np.where(~y & (c > 0), k, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in out], names=["row", "log", "base", "known"])
+
+    model_new = model.new
+    sums = rare.select("row", "u", "w", "k", "seen", "n", "c", *TABLES, *BASES).mapInArrow(told, "row long, log double, base double, known long")
+    sums = sums.unionByName(done.where("log is not null").select("row", "log"), allowMissingColumns=True)
+    sums = sums.groupBy("row").agg(*(F.sum(x).alias(f"more_{x}") for x in ("log", "base", "known")))
+    out = done.where("doc is not null").select("row", "doc.*").join(sums, "row", "left")
+    more = lambda x: F.coalesce(f"more_{x}", F.lit(0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + found).alias("n_known"),
+        (F.col("n_known") + more("known")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("model") + F.coalesce("rest", F.lit(0.0))).alias("score"),
+        (F.col("base") + more("base")).alias("base_score"),
+        (F.col("model") + more("log")).alias("score"),
     )
 
 

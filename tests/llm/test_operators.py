@@ -502,12 +502,16 @@ def test_lm_learns_contexts_of_rare_words(spark, monkeypatch, few):
 
 def test_lm_words_after_a_word_sum_to_one(spark):
     """After every context, one never seen included, the words seen in training and one new."""
-    counts = [(u, w, 1 + (u * w) % 4 * 7) for u in range(12) for w in range(12) if (u + w) % 3]
+    counts = [(u - 4, w - 4, 1 + (u * w) % 4 * 7) for u in range(12) for w in range(12) if (u + w) % 3]
+    occurs = Counter()
+    for u, w, c in counts:
+        occurs[w] += c
     pairs = spark.createDataFrame(counts, "u long, w long, c long")
-    model = lm.sample(pairs, spark.createDataFrame([(3,), (5,)], "h long"), 12)
-    base = {r["w"]: r["base"] for r in model.words.collect()} | {99: model.new}
-    seen = {(r["u"], r["w"]): r["seen"] for r in model.pairs.collect()}
-    contexts = {r["u"]: (r["n"], r["pull"]) for r in model.contexts.collect()} | {99: (0, [lm.CONTEXT[1]] * 4)}
+    model = lm.sample(pairs.where("c > 1"), spark.createDataFrame(list(occurs.items()), "code long, c long"), 12, 0)
+    base = {r["w"]: [r[x] for x in lm.BASES] for r in model.words.collect()} | {99: model.new}
+    seen = {(u, w): 1 - lm.CONTEXT[0] for u, w, c in counts if c == 1} | {(r["u"], r["w"]): r["seen"] for r in model.pairs.collect()}
+    tables = {u: [n] * 4 for u, n in occurs.items()} | {r["u"]: [r[x] for x in lm.TABLES] for r in model.contexts.collect()} | {99: [0] * 4}
+    contexts = {u: (occurs[u], lm.CONTEXT[1] + lm.CONTEXT[0] * np.array(t)) for u, t in tables.items()}
     assert len(base) == len(contexts) == 13 and len(seen) == len(counts)
     for u, (n, pull) in contexts.items():
         p = [(seen.get((u, w), 0.0) + np.mean(np.array(pull) * base[w])) / (lm.CONTEXT[1] + n) for w in base]
