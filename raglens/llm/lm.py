@@ -147,11 +147,11 @@ class Near:
     value: np.ndarray
 
     @classmethod
-    def of(cls, pdf, names: list[str], value: str) -> Near:
-        keys = [np.asarray(pdf[x], np.int64).view(np.uint64) for x in names]
+    def of(cls, table: dict[str, np.ndarray], names: list[str], value: str) -> Near:
+        keys = [np.asarray(table[x], np.int64).view(np.uint64) for x in names]
         joint = keys[0] if len(keys) == 1 else mix(keys[0]) * np.uint64(3) + keys[1]
         by = np.argsort(joint)
-        return cls([joint[by], *(k[by] for k in keys)], np.asarray(pdf[value])[by])
+        return cls([joint[by], *(k[by] for k in keys)], np.asarray(table[value])[by])
 
     def look(self, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether the keys are among these, and their values (0 where they aren't)."""
@@ -173,6 +173,12 @@ def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> Dat
 TABLES, BASES = ([f"{x}{i}" for i in range(SWEEPS - BURN_IN)] for x in "tb")
 
 
+def _collected(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of bounded size, as arrays on the driver."""
+    table = rows.toArrow()
+    return {x: table[x].to_numpy() for x in table.column_names}
+
+
 @dataclass
 class Model:
     """pairs: u, w, c, seen (customers less the mean discount of their tables), those of c > 1;
@@ -265,9 +271,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
     counted = materialise(docs.where("not held_out").select("text").mapInArrow(_counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "vocabulary")
     facts = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("ones")).first()
     n, v, ones = int(facts["n"] or 0), int(facts["v"]), int(facts["ones"])
-    often = counted.orderBy(F.desc("c"), "h").limit(BROADCAST).toPandas()
-    often["rank"] = np.arange(len(often))
-    ranks = spark.sparkContext.broadcast(Near.of(often, ["h"], "rank"))
+    often = _collected(counted.orderBy(F.desc("c"), "h").limit(BROADCAST).select("h"))
+    ranks = spark.sparkContext.broadcast(Near.of(often | {"rank": np.arange(len(often["h"]))}, ["h"], "rank"))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,9 +286,9 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
     known = materialise(model.pairs.unionByName(pairs.where("c = 1").select("u", "w", "c", F.lit(1.0 - CONTEXT[0]).alias("seen"))), "known")
     says = vocab.join(model.contexts.withColumnRenamed("u", "code"), "code", "left").join(model.words.withColumnRenamed("w", "code"), "code", "left")
     says = materialise(says.select("code", "c", *(F.coalesce(x, "c").alias(x) for x in TABLES), *(F.coalesce(x, F.lit(p)).alias(x) for x, p in zip(BASES, model.once))), "says")
-    near = says.where("code >= 0").orderBy("code").toPandas()
-    top = known.where("u >= 0 and w >= 0").orderBy(F.desc("c"), "u", "w").limit(PAIRS).select("u", "w", "seen").toPandas()
-    of_near = near["c"].to_numpy(), near[TABLES].to_numpy(float), near[BASES].to_numpy(float)
+    near = _collected(says.where("code >= 0").orderBy("code"))
+    top = _collected(known.where("u >= 0 and w >= 0").orderBy(F.desc("c"), "u", "w").limit(PAIRS).select("u", "w", "seen"))
+    of_near = near["c"], *(np.stack([near[x] for x in names], 1).astype(float) for names in (TABLES, BASES))
     held = spark.sparkContext.broadcast((of_near, Near.of(top, ["u", "w"], "seen")))
     base_of = float(np.log10(n + 0.5 * (v + 1)))
     id_type = dict(docs.dtypes)["doc_id"]
