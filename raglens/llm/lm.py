@@ -44,6 +44,8 @@ CONTEXT, PARENT = (0.75, 1.0), (0.5, 1.0)
 SWEEPS, BURN_IN = 6, 2
 #: Customers of a dish that are seated one by one; those behind them come in growing groups.
 ONE_BY_ONE = 1024
+#: Dishes that are seated together, in one pass over their customers.
+SEATED = 1 << 18
 #: Distinct words that a counting task holds before it reports them.
 HELD = 1 << 21
 
@@ -139,6 +141,18 @@ def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float, theta: float,
     return np.minimum(out, c)
 
 
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, put together to about that many rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Near:
     """Sorted keys of the most frequent words or pairs, with a value of each."""
@@ -215,7 +229,7 @@ def sample(many: DataFrame, vocab: DataFrame, v: int, ones: int, seed: int = 11)
             from pyspark import TaskContext
 
             rng = np.random.default_rng([seed, sweep, level, TaskContext.get().partitionId()])
-            for b in batches:
+            for b in _joined(batches, SEATED):
                 c, t, n, p = (b.column(x).to_numpy(zero_copy_only=False) for x in (count, tables, total, base))
                 yield b.set_column(b.schema.get_field_index(tables), tables, pa.array(seat(c, t, p, *strengths, rng, total=n)))
 
