@@ -3,6 +3,7 @@ batches and vectorised hashing of words."""
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,6 +52,13 @@ def dropped(*tables: DataFrame) -> None:
                 at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, which it
+    else does when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     """All rows, or if they are more than `most` about that many, chosen by a hash of the id."""
     n = rows.count()

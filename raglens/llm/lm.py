@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm.common import binary_texts, dropped, materialise, mix, signed, text_slices, word_hashes
+from raglens.llm.common import binary_texts, dropped, materialise, mix, released, signed, text_slices, word_hashes
 
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -258,6 +258,7 @@ def sample(many: DataFrame, vocab: DataFrame, v: int, ones: int, seed: int = 11)
             new.append(left / (PARENT[1] + r))
         words, contexts = materialise(words, "words"), materialise(contexts, "contexts")
         dropped(*before)
+        released(many.sparkSession)
     pairs = state.select("u", "w", "c", (F.col("c") - d * F.col("kept") / float(SWEEPS - BURN_IN)).alias("seen"))
     return Model(pairs, contexts.select("u", *TABLES), words.select("w", *BASES), once, new)
 
@@ -296,6 +297,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
     pairs = docs.select("text", "held_out").mapInArrow(lambda batches: _pairs_counted(batches, ranks.value), "u long, w long, c long, asked long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("asked").alias("asked"))
     # pairs that occur once are kept where other texts ask for them
     pairs = materialise(pairs.where("c > 1 or c = 1 and asked > 0").select("u", "w", "c"), "pairs")
+    released(spark)
     model = sample(pairs.where("c > 1"), vocab, v, ones)
     known = materialise(model.pairs.unionByName(pairs.where("c = 1").select("u", "w", "c", F.lit(1.0 - CONTEXT[0]).alias("seen"))), "known")
     says = vocab.join(model.contexts.withColumnRenamed("u", "code"), "code", "left").join(model.words.withColumnRenamed("w", "code"), "code", "left")
@@ -371,6 +373,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
             yield report()
 
     done = materialise(rows.mapInArrow(settled, _SETTLED.format(id=id_type)), "settled")
+    del rows
+    released(spark)
     # pairs of a rarer word: what the model says of it is joined, of frequent ones looked up
     rare = done.where("k is not null").select("row", "u", "w", "k", "seen")
     of_u = says.where("code < 0").select(F.col("code").alias("u"), F.col("c").alias("n"), *TABLES)
