@@ -294,14 +294,17 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(_codes(b.column("h").to_numpy().view(np.uint64), ranks.value)), b.column("c")], names=["code", "c"])
 
     vocab = materialise(counted.mapInArrow(coded, "code long, c long"), "vocab")
+    dropped(counted)
     pairs = docs.select("text", "held_out").mapInArrow(lambda batches: _pairs_counted(batches, ranks.value), "u long, w long, c long, asked long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("asked").alias("asked"))
     # pairs that occur once are kept where other texts ask for them
     pairs = materialise(pairs.where("c > 1 or c = 1 and asked > 0").select("u", "w", "c"), "pairs")
     released(spark)
     model = sample(pairs.where("c > 1"), vocab, v, ones)
     known = materialise(model.pairs.unionByName(pairs.where("c = 1").select("u", "w", "c", F.lit(1.0 - CONTEXT[0]).alias("seen"))), "known")
+    dropped(pairs, model.pairs)
     says = vocab.join(model.contexts.withColumnRenamed("u", "code"), "code", "left").join(model.words.withColumnRenamed("w", "code"), "code", "left")
     says = materialise(says.select("code", "c", *(F.coalesce(x, "c").alias(x) for x in TABLES), *(F.coalesce(x, F.lit(p)).alias(x) for x, p in zip(BASES, model.once))), "says")
+    dropped(vocab, model.contexts, model.words)
     near = _collected(says.where("code >= 0").orderBy("code"))
     top = _collected(known.where("u >= 0 and w >= 0").orderBy(F.desc("c"), "u", "w").limit(PAIRS).select("u", "w", "seen"))
     of_near = near["c"], *(np.stack([near[x] for x in names], 1).astype(float) for names in (TABLES, BASES))
