@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker hashes at once; bounds numpy's temporaries.
@@ -72,6 +72,20 @@ def crc_mod(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def placed(rows: DataFrame, by: list[str | Column], name: str, group: str | None = None, column: str = "pos") -> DataFrame:
+    """The rows, written once, with their place (0, 1, 2 and so on) by `by`, or that within their
+    group, whose column `by` then begins with. The rows are dealt by ranges and only the counts
+    of the ranges, one for each and group in it, meet; no group is in one task."""
+    at = F.monotonically_increasing_id()
+    rows = materialise(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", at), name)
+    own = [group] if group else []
+    part = F.shiftright("_at", 33)
+    facts = rows.groupBy(part.alias("_part"), *own).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    facts = facts.withColumn("_before", F.coalesce(before, F.lit(0)) - F.col("_first")).drop("_first", "_rows")
+    return rows.withColumn("_part", part).join(facts, ["_part", *own]).withColumn(column, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+
+
 # ---------------------------------------------------------------- hashing of words
 
 _G = np.random.Generator(np.random.PCG64(20240607))

@@ -33,7 +33,7 @@ Rows that share an id share its component; further columns are ignored."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -211,7 +211,7 @@ def shared_entries(reps: DataFrame, num: int, den: int) -> DataFrame:
     return e.where("part < 0").select("t", "pos", "n", "rep", "run", F.col("run").alias("top")).unionByName(e.where("part >= 0").join(tops, "t").select("t", "pos", "n", "rep", "run", "top"))
 
 
-def hubs(reps: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
+def hubs(reps: DataFrame, shared: DataFrame, num: int, den: int, test: Callable = possible) -> DataFrame:
     """rep, n, hub of every set with a hub other than itself. Of the first sets of its runs
     that may link with it, it is the smallest of those that it shares most lists with (a
     quarter of the most, at least)."""
@@ -225,7 +225,7 @@ def hubs(reps: DataFrame, shared: DataFrame, num: int, den: int) -> DataFrame:
         for x in batches:
             ha, hb = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(x.num_rows, -1) for k in ("ha", "hb"))
             na, nb = (x.column(k).to_numpy() for k in ("na", "nb"))
-            yield x.select(["a", "na", "b", "nb", "c"]).filter(pa.array(possible(na, nb, ha, hb, num, den)))
+            yield x.select(["a", "na", "b", "nb", "c"]).filter(pa.array(test(na, nb, ha, hb, num, den)))
 
     pairs = pairs.mapInArrow(tested, "a long, na long, b long, nb long, c long")
     best = pairs.groupBy(F.col("a").alias("rep"), F.col("na").alias("n")).agg(F.sort_array(F.collect_list(F.struct("nb", "b", "c"))).alias("x"))
@@ -399,7 +399,7 @@ def placed_at_hubs(hub: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, members.select(F.col("doc_id").alias("rep"), "n", F.xxhash64("g", "i").alias("cell"))
 
 
-def _met(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], num: int, den: int, test: Callable) -> Iterator[pa.RecordBatch]:
     """rep, n, comp, low of the sets that may link with one of another component: of the
     entries (t, i, j, rep, n, pos, blk, comp, cell, hist) of each task, which come sorted by
     task and size. A task joins components into pieces by such pairs; low is the least
@@ -424,7 +424,7 @@ def _met(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.R
                 apart = np.abs(pos[p] - pos[q]) + np.abs((n - pos)[p] - (n - pos)[q])
                 near = apart <= n[p] + n[q] - 2 * needed(n[p], n[q], num, den)
                 p, q = p[near], q[near]
-                ok = possible(n[p], n[q], hist[p], hist[q], num, den)
+                ok = test(n[p], n[q], hist[p], hist[q], num, den)
                 for c, d in np.unique(np.column_stack([which[p[ok]], which[q[ok]]]), axis=0).tolist():
                     low, high = sorted((piece[c], piece[d]))
                     piece[piece == high] = low
@@ -453,7 +453,7 @@ def _met(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.R
         yield solve()
 
 
-def distant_links(docs: DataFrame, reps: DataFrame, shared: DataFrame, cells: DataFrame, links: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def distant_links(docs: DataFrame, reps: DataFrame, shared: DataFrame, cells: DataFrame, links: DataFrame, words: int, num: int, den: int, test: Callable = possible) -> DataFrame:
     """Links between sets of different cells that `links` doesn't connect yet. Components
     that may be linked form pools; of a pool, the sets outside of its largest component meet
     all of its sets."""
@@ -468,7 +468,7 @@ def distant_links(docs: DataFrame, reps: DataFrame, shared: DataFrame, cells: Da
     sent = open_.select("t", "rep", "n", F.col("pos").cast("long").alias("pos"), "blk", "comp", "cell", "hist", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     sent = sent.select("t", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "rep", "n", "pos", "blk", "comp", "cell", "hist")
     sent = sent.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n", "rep")
-    found = materialise(sent.mapInArrow(lambda it: _met(it, num, den), "rep long, n long, comp long, low long").distinct(), "open")
+    found = materialise(sent.mapInArrow(lambda it: _met(it, num, den, test), "rep long, n long, comp long, low long").distinct(), "open")
     pools = materialise(connected_components(found.select(F.col("comp").alias("a"), F.col("low").alias("b")), "pools"), "pools")
     sets = found.select("rep", "n", "comp").distinct().join(pools.select(F.col("node").alias("comp"), F.col("root").alias("g")), "comp")
     sizes = sets.groupBy("g", "comp").agg(F.sum("n").alias("s"))
@@ -488,16 +488,21 @@ def join(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int
     """doc_id, n_shingles, component_id of every row: the components of the links
     overlap / union >= num / den of the rows' shingle sets."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = materialise(set_table(docs, words, num, den), "sets")
+    return joined(docs, materialise(set_table(docs, words, num, den), "sets"), words, num, den)
+
+
+def joined(docs: DataFrame, table: DataFrame, words: int, num: int, den: int, test: Callable = possible) -> DataFrame:
+    """join() of docs (doc_id, text) by a written table as set_table() makes it: linked sets share
+    an entry of `prefix`, and test() of sizes and `hist` is true of them."""
     full = table.where("n > 0 and doc_id is not null")
     reps = materialise(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.min_by("prefix", "doc_id").alias("prefix"), F.min_by("hist", "doc_id").alias("hist")), "classes")
     shared = materialise(shared_entries(reps, num, den), "shared")
-    hub = materialise(hubs(reps, shared, num, den), "hubs")
+    hub = materialise(hubs(reps, shared, num, den, test), "hubs")
     # the text of a class is that of its smallest id; of rows that share an id, one of the class
     own = table.where("doc_id is not null").select("doc_id", "s1", "s2", "n").distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1")
     placed, cells = placed_at_hubs(hub)
     links = verified(docs, placed, words, num, den)
-    links = links.unionByName(distant_links(docs, reps, shared, cells, links, words, num, den))
+    links = links.unionByName(distant_links(docs, reps, shared, cells, links, words, num, den, test))
     return finish(table, reps.select("s1", "s2", "n", "rep", "rows"), links, own)
 
 

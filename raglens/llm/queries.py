@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the whole tables, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 over the whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm import decontaminate, fingerprint, html, jaccard, langid, lm, mixing, toxicity, urlfilter, warc
+from raglens.llm import decontaminate, fingerprint, html, jaccard, langid, lm, merkle, minhash, mixing, resample, toxicity, urlfilter, warc
 from raglens.llm.common import crc_mod
 
 
@@ -67,30 +67,50 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=2, num=80, den=100)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return resample.resampled(docs, benchmark, orders=1, buckets=10_000, percent=10, least=20, seed=2024)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"), merkle.chosen("doc_id", 5)).proofs()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_ngram_jaccard_join, op3_source_mixing, op4_html_extraction, op5_decontamination, op6_lm_scoring, op7_url_filter, op8_fingerprints, op9_warc, op10_toxicity)
+    ops = (op1_language_id, op2_ngram_jaccard_join, op3_source_mixing, op4_html_extraction, op5_decontamination, op6_lm_scoring, op7_url_filter, op8_fingerprints, op9_warc, op10_toxicity, op11_minhash_near_dedup, op12_importance_resampling, op13_merkle_manifest)
     return {f.__name__: f for f in ops}
 
 
-_OP2 = r"""
+def _components(words: int, num: int, columns: str) -> str:
+    """Links of shingle sets and their components, as SQL."""
+    shingle = " || ' ' || ".join(f"ws[i + {j}]" if j else "ws[i]" for j in range(words))
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - {words - 2}), lambda i: {shingle})) END AS sh
   FROM w),
 k AS (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM (SELECT doc_id, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) GROUP BY sh),
 e AS (SELECT rep, n, unnest(sh) AS g FROM k),
-o AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
-  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+o AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {num} * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= {num} * (a.n + b.n - count(*))),
 l AS (SELECT a, b FROM o UNION SELECT b, a FROM o),
 r(node, root) AS (SELECT rep, rep FROM k UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b),
 c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
-SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(c.root, s.doc_id) AS component_id
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, {columns}
 FROM s LEFT JOIN k ON list_sort(s.sh) = k.sh LEFT JOIN c ON c.node = k.rep
 """
 
+
+_OP2 = _components(3, 90, "coalesce(c.root, s.doc_id) AS component_id")
+_OP11 = _components(2, 80, "coalesce(c.root, s.doc_id) AS component_id, s.doc_id = coalesce(c.root, s.doc_id) AS kept")
+
 _OP7 = r"""
 WITH u AS (
   SELECT page_id,
@@ -125,5 +145,67 @@ FROM p JOIN k USING (h)
 """
 
 
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of a text, as SQL."""
+    code = f"list_transform(range(0, strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    step = "list_reduce([xor(acc, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda c, _: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {code}), lambda acc, b: {step}), 4294967295)"
+
+
+_OP12 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT doc_id, unnest(ws) AS w FROM d),
+v AS (SELECT w, {_crc32('w')} % 10000 AS k FROM (SELECT w FROM x UNION SELECT w FROM b)),
+s AS (SELECT k, count(*)::DOUBLE AS s FROM x JOIN v USING (w) GROUP BY k),
+t AS (SELECT k, count(*)::DOUBLE AS t FROM b JOIN v USING (w) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000)) / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (k)),
+m AS (SELECT doc_id, sum(gain)::BIGINT AS z FROM x JOIN v USING (w) JOIN g USING (k) GROUP BY doc_id),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE (z - ((z % len(ws)) + len(ws)) % len(ws)) // len(ws) END::BIGINT AS weight,
+  ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (doc_id)),
+c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM f),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM c WHERE n_features >= 20)
+SELECT c.*, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)
+"""
+
+
+def _op13(levels: int = 5, upper: int = 4) -> str:
+    """Levels of each source's tree, then of the tree over the subroots; with one node left, a
+    level changes nothing."""
+    framed = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"l AS (SELECT doc_id, coalesce('=' || source, '') AS src, {framed('text')} AS leaf, CASE WHEN {_crc32('doc_id::VARCHAR')} % 5 = 0 THEN {framed(lower)} END AS changed FROM documents)",
+        "r0 AS (SELECT doc_id, src, leaf, coalesce(changed, leaf) AS cur, '' AS proof, row_number() OVER (PARTITION BY src ORDER BY doc_id, leaf) - 1 AS pos FROM l)",
+        "n0 AS (SELECT src, pos, leaf AS h, count(*) OVER (PARTITION BY src) AS c FROM r0)",
+    ]
+
+    def level(i: int) -> list[str]:
+        others = lambda op: f"array_to_string(list_filter(g.hs, lambda h, j: j - 1 {op} r.pos % 16), '')"
+        return [
+            f"g{i} AS (SELECT src, pos // 16 AS pos, c, list(h ORDER BY pos) AS hs FROM n{i} GROUP BY ALL)",
+            f"n{i + 1} AS (SELECT src, pos, CASE WHEN c = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, count(*) OVER (PARTITION BY src) AS c FROM g{i})",
+            f"r{i + 1} AS (SELECT r.* EXCLUDE (cur, proof, pos), CASE WHEN c = 1 THEN cur ELSE sha256({others('<')} || cur || {others('>')}) END AS cur, CASE WHEN c = 1 THEN proof ELSE proof || {others('<>')} END AS proof, r.pos // 16 AS pos FROM r{i} r JOIN g{i} g ON g.src = r.src AND g.pos = r.pos // 16)",
+        ]
+
+    for i in range(levels):
+        parts += level(i)
+    m = levels + 1
+    parts += [
+        f"u AS (SELECT src AS name, h AS subroot, row_number() OVER (ORDER BY src) - 1 AS pos FROM n{levels})",
+        f"r{m} AS (SELECT doc_id, leaf, subroot, '' AS src, cur, proof, u.pos FROM r{levels} r JOIN u ON u.name = r.src)",
+        f"n{m} AS (SELECT '' AS src, pos, subroot AS h, count(*) OVER () AS c FROM u)",
+    ]
+    for i in range(m, m + upper):
+        parts += level(i)
+    end = m + upper
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM r{end} r JOIN n{end} n USING (src)"
+
+
+_OP13 = _op13()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": _OP2, "op7_url_filter": _OP7, "op9_warc": _OP9}
+    return {"op2_ngram_jaccard_join": _OP2, "op7_url_filter": _OP7, "op9_warc": _OP9, "op11_minhash_near_dedup": _OP11, "op12_importance_resampling": _OP12, "op13_merkle_manifest": _OP13}
