@@ -62,6 +62,9 @@ SKIP = 64
 #: Reference sets whose overlaps a task holds.
 REFS = 64
 
+#: Ids of placed sets that are broadcast, some 50 bytes each, so that only their texts move.
+MOST_IDS = 2_000_000
+
 _C = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -378,6 +381,9 @@ def _joined(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -
 def verified(docs: DataFrame, placed: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links (a, b) among the sets that `placed` (doc_id, g, i, j, side, label) sends to the
     same task (g, i, j)."""
+    ids = materialise(placed.select("doc_id").distinct(), "ids")
+    if ids.count() <= MOST_IDS:  # else all texts are shuffled
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     rows = docs.join(placed, "doc_id").select("g", "i", "j", "doc_id", "side", "label", "text")
     rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "doc_id", "side", "label")
     return materialise(rows.mapInArrow(lambda it: _joined(it, words, num, den), "a long, b long"), "found")
