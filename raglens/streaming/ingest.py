@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from raglens.streaming.log import KeyedLog
+
 
 def rollup(spans: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Spans by kind and tumbling window; late rows are taken until the watermark passes."""
@@ -27,15 +29,16 @@ def upserted(table: DataFrame, payloads: DataFrame, key: list[str], order: list[
     return table.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
-def upsert_stream(stream: DataFrame, spark: SparkSession, path: str, key: list[str], order: list[str], checkpoint: str):
-    """Starts a query that drains the stream into versioned tables under path, one folder per
-    batch; a batch that is run again writes the same folder."""
+def keyed_log(spark: SparkSession, path: str, key: list[str], order: list[str], **sizes: int) -> KeyedLog:
+    """A log that keeps the newest row of each key."""
+    return KeyedLog(spark, path, key, lambda rows: latest(rows, key, order), **sizes)
+
+
+def upsert_stream(stream: DataFrame, spark: SparkSession, path: str, key: list[str], order: list[str], checkpoint: str, **sizes: int):
+    """Starts a query that drains the stream into the log under path; a batch that is run again
+    changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        new = latest(batch, key, order)
-        if number:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            new = upserted(old, batch, key, order)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        keyed_log(spark, path, key, order, **sizes).append(batch, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,11 +9,12 @@ duration, are dead letters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from raglens.functions.scalars import call_cost, document_text, estimate_tokens, settled
 from raglens.operators.analytics import duplicate_documents
+from raglens.streaming.log import KeyedLog
 
 SPAN = "struct<span_id:string,name:string,kind:string,start_time:timestamp_ntz,end_time:timestamp_ntz,duration_ms:double,status:string,error:string>"
 DOCUMENT = "struct<document_id:string,title:string,rank:int,final_score:double,content:string,content_preview:string>"
@@ -25,6 +26,7 @@ PAYLOAD = (
     "input_text string, output_text string, error string, status string, context_tokens long, metadata map<string,string>, "
     f"spans array<{SPAN}>, retrievals array<{RETRIEVAL}>, generations array<{GENERATION}>"
 )
+NAMES = [x.split(" ", 1)[0] for x in PAYLOAD.split(", ")]
 KEY = ["application", "trace_id"]
 #: Fields that a later payload may replace.
 FIELDS = ["user_id", "session_id", "name", "start_time", "end_time", "duration_ms", "input_text", "output_text", "error", "status", "context_tokens"]
@@ -41,40 +43,69 @@ def parsed(lines: DataFrame, column: str = "value", seq: str = "seq") -> DataFra
     return lines.select(F.col(seq).cast("long").alias("seq"), F.json_object_keys(column).alias("sent"), j.alias("j")).select("seq", "sent", "j.*")
 
 
-def good(p: Column | None = None) -> Column:
+def fault() -> Column:
+    """Why a payload can't be taken; NULL if it can."""
+    return (
+        F.when(F.coalesce(F.size("sent"), F.lit(-1)) < 0, "not a JSON object")
+        .when(F.coalesce(F.col("application"), F.lit("")) == "", "no application")
+        .when(F.coalesce(F.col("trace_id"), F.lit("")) == "", "no trace_id")
+        .when(F.coalesce("duration_ms", F.lit(0.0)) < 0, "negative duration_ms")
+    )
+
+
+def good() -> Column:
     return F.coalesce((F.col("application") != "") & (F.col("trace_id") != "") & (F.coalesce("duration_ms", F.lit(0.0)) >= 0), F.lit(False))
 
 
 def dead_letters(payloads: DataFrame) -> DataFrame:
-    return payloads.where(~good())
+    """The payloads that can't be taken, and why (error)."""
+    return payloads.where(~good()).withColumn("error", F.coalesce(fault(), F.lit("not a JSON object")))
 
 
 def _sent(name: str) -> Column:
     return F.array_contains("sent", name)
 
 
-def merged(payloads: DataFrame) -> DataFrame:
-    """One row for each trace: of every field the value that was sent last, the first kind, the
-    union of the metadata, and the children sent last."""
-    last = lambda c: F.max(F.when(_sent(c), F.struct("seq", c)))[c].alias(c)
+KIDS = ["spans", "retrievals", "generations"]
+
+
+def states(payloads: DataFrame) -> DataFrame:
+    """What each payload says of its trace: every field, every entry of the metadata and every
+    sort of children with the number of the payload that sent it, NULL where it sent none."""
+    dated = lambda c: F.when(_sent(c), F.struct("seq", F.col(c).alias("v"))).alias(c)
     ours = F.map_filter("metadata", lambda k, _: ~k.isin(*OWNED))
-    kids = ["spans", "retrievals", "generations"]
-    kid = lambda c: F.max_by(c, F.when(_sent(c), F.col("seq"))).alias(c)
-    entries = F.flatten(F.array_sort(F.collect_list(F.when(_sent("metadata"), F.struct("seq", F.map_entries(ours).alias("e"))))).getField("e"))
-    g = payloads.where(good()).groupBy(*KEY).agg(
-        F.max("seq").alias("seq"),
-        *(last(c) for c in FIELDS),
-        F.min(F.when(F.col("kind").isNotNull(), F.struct("seq", "kind")))["kind"].alias("kind"),
-        entries.alias("_m"),
-        *(kid(c) for c in kids),
-        F.array_distinct(F.flatten(F.collect_list("sent"))).alias("sent"),
+    return payloads.where(good()).select(
+        *KEY,
+        "seq",
+        *(dated(c) for c in FIELDS),
+        F.when(F.col("kind").isNotNull(), F.struct("seq", F.col("kind").alias("v"))).alias("kind"),
+        F.when(_sent("metadata"), F.transform_values(ours, lambda _, v: F.struct(F.col("seq").alias("seq"), v.alias("v")))).alias("metadata"),
+        *(dated(c) for c in KIDS),
     )
-    # a later entry of a key wins
-    at = F.transform("_m", lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
-    final = F.filter(at, lambda e: ~F.exists(at, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"])))
-    metadata = F.map_from_entries(F.transform(final, lambda e: F.struct(e["key"], e["value"])))
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """One state for each trace: of everything what was sent last, and the first kind. States of
+    states, in any order and repeated, give the same."""
+    g = rows.groupBy(*KEY).agg(F.max("seq").alias("seq"), *(F.max(c).alias(c) for c in FIELDS), F.min("kind").alias("kind"), F.array_sort(F.flatten(F.collect_list(F.map_entries("metadata")))).alias("_m"), *(F.max(c).alias(c) for c in KIDS))
+    # sorted by key and number: the last entry of each key stays
+    last = F.filter("_m", lambda e, i: ~F.coalesce(F.get("_m", i + 1)["key"] == e["key"], F.lit(False)))
+    return g.withColumn("metadata", F.map_from_entries(last)).select(*rows.columns)
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Merged payloads of states: one row for each trace."""
+    plain = [F.col(c)["v"].alias(c) for c in [*FIELDS, "kind", *KIDS]]
+    has = [F.when(F.col(c).isNotNull(), F.lit(c)) for c in [*FIELDS, "kind", *KIDS]] + [F.when(F.size("metadata") > 0, F.lit("metadata"))]
+    out = rows.select(*KEY, "seq", *plain, F.transform_values("metadata", lambda _, v: v["v"]).alias("metadata"), F.array_compact(F.array(*has)).alias("sent"))
     time = settled(F.col("start_time"), F.col("end_time"), F.col("duration_ms"), F.coalesce("status", F.lit("running")))
-    return g.withColumn("metadata", metadata).drop("_m").withColumns({"end_time": time["end_time"], "duration_ms": time["duration_ms"]})
+    return out.withColumns({"end_time": time["end_time"], "duration_ms": time["duration_ms"]}).select(*NAMES)
+
+
+def merged(payloads: DataFrame) -> DataFrame:
+    """One row for each trace: of every field the value that was sent last, the first kind, the
+    union of the metadata, and the children sent last."""
+    return shown(joined(states(payloads)))
 
 
 def children(traces: DataFrame, prices: DataFrame) -> dict[str, DataFrame]:
@@ -134,9 +165,8 @@ def totals(traces: DataFrame, kids: dict[str, DataFrame]) -> DataFrame:
 def ingest(stored: DataFrame | None, payloads: DataFrame) -> DataFrame:
     """The payload log after a batch: what was stored and what is new, one merged payload for
     each trace. Reading it by children() and totals() gives the tables."""
-    names = [x.split(" ", 1)[0] for x in PAYLOAD.split(", ") if not x.startswith(" ")]
     both = payloads.where(good()) if stored is None else stored.unionByName(payloads.where(good()), allowMissingColumns=True)
-    return merged(both).select(*[n for n in both.columns if n in set(names)])
+    return merged(both).select(*[n for n in both.columns if n in NAMES])
 
 
 def rag_payloads(queries: DataFrame, hits: DataFrame, replies: DataFrame, application: str, retriever: str = "hybrid") -> DataFrame:
@@ -196,15 +226,29 @@ def seeded_models(known: DataFrame, defaults: DataFrame) -> DataFrame:
     return known.unionByName(defaults.join(known.select(*key), key, "left_anti"))
 
 
-def ingest_stream(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str):
-    """Starts a query that drains a stream of payloads into the log under path: a batch writes
-    a new version, and the version before the last is deleted once that is complete. A batch
-    that is run again writes the same version."""
+def trace_log(spark: SparkSession, path: str, **sizes: int) -> KeyedLog:
+    """The log of traces under path, whose rows are states(); shown() of what it reads are the
+    traces."""
+    return KeyedLog(spark, path, KEY, joined, **sizes)
+
+
+def ingest_batch(log: KeyedLog, payloads: DataFrame, batch: int) -> bool:
+    """Takes a batch of payloads into the log, and its dead letters into the folder `dead` beside
+    it; false if the batch was taken before. The commit has the batch's counters: payloads,
+    accepted and dead ones."""
+    if batch <= log.commits().batch:
+        return False
+    seen = Observation()
+    watched = payloads.observe(seen, F.count("*").alias("payloads"), F.count_if(good()).alias("accepted"), F.count_if(~good()).alias("dead"))
+    dead_letters(watched).write.mode("overwrite").parquet(f"{log.path}/dead/b{batch}")  # reads every payload
+    return log.append(states(payloads), batch, lambda: {k: int(v) for k, v in seen.get.items()})
+
+
+def ingest_stream(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str, **sizes: int):
+    """Starts a query that drains a stream of payloads into the log under path. The cost of a
+    batch follows the batch; one that is run again changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        stored = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        ingest(stored, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        ingest_batch(trace_log(spark, path, **sizes), batch, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

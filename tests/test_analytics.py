@@ -275,9 +275,13 @@ def test_nested_ingest(spark, tmp_path):
         spark.createDataFrame([(i, x)], "seq long, value string").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = nested.parsed(spark.readStream.schema("seq long, value string").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in/*")))
     nested.ingest_stream(stream, spark, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
-    last = max((tmp_path / "log").iterdir(), key=lambda f: int(f.name[1:]))
+    log = nested.trace_log(spark, str(tmp_path / "log"))
     same = lambda df: sorted(map(str, nested.totals(df, nested.children(df, prices)).drop("seq").collect()))
-    assert same(spark.read.parquet(str(last))) == same(once)
+    assert same(nested.shown(log.read())) == same(once)
+    dead = spark.read.parquet(str(tmp_path / "log/dead/*"))
+    assert sorted(r["error"] for r in dead.collect()) == ["negative duration_ms", "no application", "not a JSON object"]
+    told = log.commits().counters.values()
+    assert [sum(c[k] for c in told) for k in ("payloads", "accepted", "dead")] == [6, 3, dead.count()]
 
 
 def test_stream_rollup_and_sessions(spark, tmp_path):
@@ -328,7 +332,7 @@ def test_stream_upsert(spark, tmp_path):
     stream = spark.readStream.schema("id int, v string, at int").parquet(src)
     q = ingest.upsert_stream(stream, spark, str(tmp_path / "out"), ["id"], ["at"], str(tmp_path / "cp"))
     q.awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()] == [(1, "b", 2)]
+    assert [tuple(r) for r in ingest.keyed_log(spark, str(tmp_path / "out"), ["id"], ["at"]).read().collect()] == [(1, "b", 2)]
 
 
 @pytest.mark.parametrize("local", [8192, 500])
