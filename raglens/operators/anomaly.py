@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from raglens.functions.scalars import finite
 from raglens.operators.percentiles import percentiles
+from raglens.sources.shared import written
 
 
 def percentile_band(rows: DataFrame, features: list[str], digits: int | None = 6) -> DataFrame:
@@ -52,8 +53,10 @@ def detection_report(found: DataFrame, deviations: DataFrame, key: str) -> DataF
     return rows.agg(F.count("*").alias("rows"), F.count_if("flagged").alias("flagged"), F.round(F.avg(F.col("flagged").cast("int")), 6).alias("rate"), F.round(F.avg(F.when(F.col("flagged"), F.col("_d"))), 6).alias("mean_deviation"))
 
 
-#: Distinct points of a node that one task grows on alone.
-LOCAL = 8192
+#: Nodes of a level that a tree grows at most: one with a smaller share of the rows is a leaf.
+NODES = 4096
+#: Rows that a task routes at once.
+AT_ONCE = 1 << 17
 
 
 def _c(n: np.ndarray) -> np.ndarray:
@@ -63,137 +66,129 @@ def _c(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2 * (np.log(many - 1) + 0.5772156649) - 2 * (many - 1) / many))
 
 
-def _splits(lo: np.ndarray, hi: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """A random feature of those with a range, and a random cut in it, for every node."""
-    r = rng.random(lo.shape)
-    f = np.where(hi > lo, r, -1.0).argmax(1)
+def uniform(seed: int, tree: int, node: np.ndarray, j: int) -> np.ndarray:
+    """Numbers from 0 to 1 of a hash of seed, tree, node and j: the same wherever they are drawn."""
+    x = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + tree) * 64 + j + 1)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def splits(seed: int, tree: int, node: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every node (1 is the root, 2v and 2v + 1 are the children of v) a random feature of
+    those with a range, and a random cut in it."""
+    draws = np.column_stack([uniform(seed, tree, node, j) for j in range(lo.shape[1])])
+    f = np.where(hi > lo, draws, -1.0).argmax(1)
     at = np.arange(len(f))
-    return f, lo[at, f] + rng.random(len(f)) * (hi[at, f] - lo[at, f])
-
-
-def _paths(x: np.ndarray, m: np.ndarray, depth: int, most: int, rng: np.random.Generator) -> np.ndarray:
-    """Path lengths of points that occur m times each, in a node at `depth` that grows to its end."""
-    out = np.zeros(len(x))
-    live, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-    while len(live):
-        by = np.argsort(node, kind="stable")
-        live, node = live[by], node[by]
-        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        node = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
-        lo, hi, n = np.minimum.reduceat(x[live], first), np.maximum.reduceat(x[live], first), np.add.reduceat(m[live], first)
-        grows = (hi > lo).any(1) & (depth < most)
-        f, cut = _splits(lo, hi, rng)
-        ends = ~grows[node]
-        out[live[ends]] = depth + _c(n)[node[ends]]
-        live, node = live[~ends], node[~ends]
-        node = 2 * node + (x[live, f[node]] >= cut[node])
-        depth += 1
-    return out
+    return f, lo[at, f] + uniform(seed, tree, node, 63) * (hi[at, f] - lo[at, f])
 
 
-class _Top:
-    """The upper part of a tree: feature (-1: not split), cut and left child (the right one
-    follows) of every node, its depth, and the path length where it is a leaf (else NaN)."""
+class Tree:
+    """Node by node: its name (1 is the root), feature (-1: a leaf or still open), cut, left child
+    (the right one follows) and the path length that ends in it."""
 
     def __init__(self) -> None:
-        self.f, self.cut, self.kid, self.depth, self.path = [-1], [0.0], [0], [0], [np.nan]
-
-    def split(self, node: int, f: int, cut: float) -> list[int]:
-        at = len(self.f)
-        self.f[node], self.cut[node], self.kid[node] = f, cut, at
-        for xs, new in ((self.f, -1), (self.cut, 0.0), (self.kid, 0), (self.depth, self.depth[node] + 1), (self.path, np.nan)):
-            xs += [new, new]
-        return [at, at + 1]
+        self.name, self.f, self.cut, self.kid, self.path = np.array([1]), np.array([-1], np.int16), np.zeros(1), np.zeros(1, np.int64), np.zeros(1)
+        self.open = 0  # the first open node; all behind it are open too
 
     def nodes(self, x: np.ndarray) -> np.ndarray:
         """The lowest node of each point."""
-        f, cut, kid = np.array(self.f), np.array(self.cut), np.array(self.kid)
-        node, live = np.zeros(len(x), np.int64), np.arange(len(x) if f[0] >= 0 else 0)
+        node, live = np.zeros(len(x), np.int64), np.arange(len(x) if self.f[0] >= 0 else 0)
         while len(live):
             at = node[live]
-            node[live] = kid[at] + (x[live, f[at]] >= cut[at])
-            live = live[f[node[live]] >= 0]
+            node[live] = self.kid[at] + (x[live, self.f[at]] >= self.cut[at])
+            live = live[self.f[node[live]] >= 0]
         return node
 
-
-def _grown(points: DataFrame, names: list[str], n: int, most: int, trees: int, rng: np.random.Generator) -> list[_Top]:
-    """The upper parts of all trees, level by level from the ranges and counts of their nodes,
-    down to nodes of at most LOCAL distinct points."""
-    forest, k = [_Top() for _ in range(trees)], len(names)
-    asked = {(t, 0) for t in range(trees)}
-    columns = [*(f"lo{i}" for i in range(k)), *(f"hi{i}" for i in range(k))]
-    while asked:
-        held = points.sparkSession.sparkContext.broadcast((forest, {t: np.array(sorted(v for s, v in asked if s == t)) for t in {s for s, _ in asked}}))
+    def grow(self, seed: int, tree: int, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, depth: int, most: int, least: int) -> bool:
+        """Splits the open nodes, of whose rows lo, hi and n are ranges and numbers, or makes them
+        leaves; whether nodes are open now."""
+        v = slice(self.open, len(self.f))
+        f, cut = splits(seed, tree, self.name[v], lo, hi)
+        grows = (hi > lo).any(1) & (n > least) & (depth < most)
+        self.path[v] = depth + _c(n)
+        self.f[v], self.cut[v] = np.where(grows, f, -1), cut
+        self.open, kids = len(self.f), self.name[v][grows]
+        at = self.kid[v]
+        at[grows] = self.open + 2 * np.arange(len(kids))
+        new = np.column_stack([2 * kids, 2 * kids + 1]).ravel()
+        zero = np.zeros(len(new))
+        self.name, self.f, self.cut, self.kid, self.path = (np.concatenate(x) for x in ((self.name, new), (self.f, np.full(len(new), -1, np.int16)), (self.cut, zero), (self.kid, zero.astype(np.int64)), (self.path, zero)))
+        return len(new) > 0
+
+
+def _chunks(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[np.ndarray]:
+    held: list[np.ndarray] = []
+    for pdf in batches:
+        held.append(pdf[names].to_numpy())
+        if sum(map(len, held)) >= AT_ONCE:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
+
+
+def grown(points: DataFrame, names: list[str], trees: int, most: int, least: int, seed: int) -> list[Tree]:
+    """All trees, level by level. A task routes its rows to their nodes and reports the ranges and
+    the number of rows of each open node; these are merged by (tree, node), so that nodes are
+    shuffled and never rows. A level has at most 2 x NODES open nodes for each tree."""
+    spark, k = points.sparkSession, len(names)
+    forest, columns = [Tree() for _ in range(trees)], [*(f"lo{i}" for i in range(k)), *(f"hi{i}" for i in range(k))]
+    alive, depth = set(range(trees)), 0
+    while alive:
+        held = spark.sparkContext.broadcast((forest, sorted(alive)))
 
         def facts(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            grown, open_ = held.value
-            for pdf in batches:
-                x, m = pdf[names].to_numpy(), pdf["m"].to_numpy()
-                for t, some in open_.items():
-                    node = grown[t].nodes(x)
-                    at = np.flatnonzero(np.isin(node, some))
+            forest, alive = held.value
+            for x in _chunks(batches, names):
+                for t in alive:
+                    node = forest[t].nodes(x)
+                    at = np.flatnonzero(node >= forest[t].open)
                     if not len(at):
                         continue
                     at = at[np.argsort(node[at], kind="stable")]
                     first = np.flatnonzero(np.concatenate(([True], node[at][1:] != node[at][:-1])))
                     ranges = np.hstack([np.minimum.reduceat(x[at], first), np.maximum.reduceat(x[at], first)])
-                    out = pd.DataFrame(ranges, columns=columns)
-                    yield out.assign(tree=t, node=node[at][first], n=np.add.reduceat(m[at], first), points=np.diff(np.append(first, len(at))))
+                    yield pd.DataFrame(ranges, columns=columns).assign(tree=t, node=node[at][first], n=np.diff(np.append(first, len(at))))
 
-        rows = points.mapInPandas(facts, ", ".join([*(f"{c} double" for c in columns), "tree int, node long, n long, points long"]))
+        rows = points.mapInPandas(facts, ", ".join([*(f"{c} double" for c in columns), "tree int, node long, n long"]))
         low, high = [F.min(c).alias(c) for c in columns[:k]], [F.max(c).alias(c) for c in columns[k:]]
-        found = rows.groupBy("tree", "node").agg(*low, *high, F.sum("n").alias("n"), F.sum("points").alias("points")).toPandas().sort_values(["tree", "node"])
-        asked = set()
-        lo, hi = found[columns[:k]].to_numpy(), found[columns[k:]].to_numpy()
-        f, cut = _splits(lo, hi, rng)
-        for i, (t, v, count, size) in enumerate(zip(found["tree"], found["node"], found["n"], found["points"])):
-            top = forest[t]
-            if top.depth[v] >= most or size <= 1:
-                top.path[v] = top.depth[v] + float(_c(count))
-            elif size > LOCAL:
-                asked |= {(t, kid) for kid in top.split(v, int(f[i]), float(cut[i]))}
+        found = rows.groupBy("tree", "node").agg(*low, *high, F.sum("n").alias("n")).toPandas()
+        by = {t: g.sort_values("node") for t, g in found.groupby("tree")}
+        for t in sorted(alive):
+            tree, g = forest[t], by[t]
+            lo, hi, n = np.zeros((len(tree.f) - tree.open, k)), np.zeros((len(tree.f) - tree.open, k)), np.zeros(len(tree.f) - tree.open)
+            at = g["node"].to_numpy() - tree.open
+            lo[at], hi[at], n[at] = g[columns[:k]].to_numpy(), g[columns[k:]].to_numpy(), g["n"].to_numpy()
+            if not tree.grow(seed, t, lo, hi, n, depth, most, least):
+                alive.discard(t)
+        depth += 1
+        held.unpersist()
     return forest
 
 
-def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int = 100, contamination: float = 0.02, seed: int = 42) -> DataFrame:
-    """key, score (higher: more anomalous), flagged. Every tree is fitted on all rows and cut
-    at a depth of log2 of their number; rows of equal features count as often as they occur.
-    The upper levels are grown from node statistics, the nodes below them each in a task.
-    Fewer than 10 rows score 0."""
-    spark = rows.sparkSession
+def isolation_forest(rows: DataFrame, features: list[str], key: str, trees: int = 100, contamination: float = 0.02, seed: int = 42, nodes: int = NODES) -> DataFrame:
+    """key, score (higher: more anomalous), flagged. Every tree is fitted on all rows and cut at a
+    depth of log2 of their number; a node that holds no more than one of `nodes` parts of all rows
+    is a leaf, whose rows get the mean path length of trees over as many. No row is shuffled:
+    growing moves nodes' ranges, and scoring reads each row once, with the trees broadcast (at
+    most some 100 bytes x trees x nodes x depth). Values that are NULL or no numbers count as 0.
+    Fewer than 10 rows score 0; rows without any range score alike and none is flagged."""
     names = [f"_x{i}" for i in range(len(features))]
-    x = rows.select(F.col(key).alias("k"), *(F.coalesce(finite(F.col(f)), F.lit(0.0)).cast("double").alias(c) for f, c in zip(features, names)))
+    x = written(rows.select(F.col(key).alias("k"), *(F.coalesce(finite(F.col(f)), F.lit(0.0)).cast("double").alias(c) for f, c in zip(features, names))), "features")
     n = x.count()
     if n < 10:
         return x.select(F.col("k").alias(key), F.lit(0.0).alias("score"), F.lit(False).alias("flagged"))
-    points = x.groupBy(*names).agg(F.count("*").alias("m")).persist()
     most = int(np.ceil(np.log2(n)))
-    forest = spark.sparkContext.broadcast(_grown(points, names, n, most, trees, np.random.default_rng(seed)))
-    typed = ", ".join(f"{c} double" for c in names)
+    forest = rows.sparkSession.sparkContext.broadcast(grown(x.select(*names), names, trees, most, n // nodes, seed))
 
-    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Every point's path in trees where that ends above, and its node in the others."""
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             v = pdf[names].to_numpy()
-            ended = np.zeros(len(v))
-            for t, top in enumerate(forest.value):
-                node = top.nodes(v)
-                path = np.array(top.path)[node]
-                on = np.isnan(path)
-                ended += np.where(on, 0.0, path)
-                yield pdf[on].assign(tree=t, node=node[on], path=0.0)
-            yield pdf.assign(tree=-1, node=0, path=ended)
-
-    def finished(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t, node = int(at[0]), int(at[1])
-        pdf = pdf.sort_values(names)
-        depth = forest.value[t].depth[node]
-        return pdf[names].assign(path=_paths(pdf[names].to_numpy(), pdf["m"].to_numpy(), depth, most, np.random.default_rng([seed, t, node])))
-
-    parts = points.mapInPandas(routed, f"{typed}, m long, tree int, node long, path double")
-    below = parts.where("tree >= 0").groupBy("tree", "node").applyInPandas(finished, f"{typed}, path double")
-    paths = parts.where("tree < 0").select(*names, "path").unionByName(below).groupBy(*names).agg(F.sum("path").alias("path"))
-    s = x.join(paths, names).select(F.col("k").alias(key), F.pow(F.lit(2.0), -F.round(F.col("path") / trees / float(_c(n)), 12)).alias("score"))
-    s = s.persist()
+            path = sum(tree.path[tree.nodes(v)] for tree in forest.value)
+            yield pd.DataFrame({"k": pdf["k"], "score": 2.0 ** -np.round(path / trees / float(_c(n)), 12)})
+
+    kind = x.schema["k"].dataType.simpleString()
+    s = written(x.mapInPandas(scored, f"k {kind}, score double"), "scores").withColumnRenamed("k", key)
     cut = s.agg(F.percentile_approx("score", 1 - contamination, 100_000).alias("_cut"))
     return s.join(F.broadcast(cut)).select(key, "score", (F.col("score") > F.col("_cut")).alias("flagged"))

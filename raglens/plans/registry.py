@@ -564,6 +564,23 @@ def isolation_forest(spark, at):
     return anomaly.isolation_forest(t.traces(spark, at).withColumn("user", F.col("user_id").cast("double")), ["duration_ms", "user"], "trace_id")
 
 
+@query()
+def conversation_outliers(spark, at):
+    """The forest over conversations: their turns, characters and share of the assistant."""
+    c = t.table(spark, at, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.avg((F.col("role") == "assistant").cast("int")).alias("share"))
+    return anomaly.isolation_forest(c, ["turns", "chars", "share"], "conv_id")
+
+
+@query(
+    """, band AS (SELECT quantile_cont(duration_ms, 0.05) AS low, quantile_cont(duration_ms, 0.95) AS high FROM traces),
+d AS (SELECT round(greatest((low - duration_ms) / (high - low), (duration_ms - high) / (high - low), 0.0), 4) AS dev FROM traces, band)
+SELECT count(*) AS rows, count(*) FILTER (dev > 0) AS flagged, round(avg(CASE WHEN dev > 0 THEN 1 ELSE 0 END), 6) AS rate, round(avg(dev) FILTER (dev > 0), 6) AS mean_deviation FROM d"""
+)
+def detection_report(spark, at):
+    d = anomaly.feature_deviation(t.traces(spark, at), ["duration_ms"], "trace_id")
+    return anomaly.detection_report(d.select("trace_id", (F.col("duration_ms_dev") > 0).alias("flagged")), d, "trace_id")
+
+
 _DOT = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 _DENSE = f"dense AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round({_DOT}, 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense)"
 

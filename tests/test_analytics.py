@@ -335,18 +335,54 @@ def test_stream_upsert(spark, tmp_path):
     assert [tuple(r) for r in ingest.keyed_log(spark, str(tmp_path / "out"), ["id"], ["at"]).read().collect()] == [(1, "b", 2)]
 
 
-@pytest.mark.parametrize("local", [8192, 500])
+@pytest.mark.parametrize("local", [4096, 512])
 def test_isolation_forest_sees_every_row(spark, monkeypatch, local):
     """20,000 rows, of which a few equal ones and one lone row lie apart: trees of all rows
     give each its path length, whatever part of the tree is grown in one task."""
-    monkeypatch.setattr(anomaly, "LOCAL", local)
     n = 20_000
     rows = spark.range(n).select("id", F.when(F.col("id") == 7, 1e6).otherwise((F.col("id") * 7919 % n).cast("double")).alias("a"), (F.col("id") % 50).cast("double").alias("b"))
-    got = {r["id"]: r for r in anomaly.isolation_forest(rows, ["a", "b"], "id", trees=20).collect()}
+    got = {r["id"]: r for r in anomaly.isolation_forest(rows, ["a", "b"], "id", trees=20, nodes=local).collect()}
     assert len(got) == n and got[7]["flagged"] and max(got.values(), key=lambda r: r["score"])["id"] == 7
     assert 0.01 < sum(r["flagged"] for r in got.values()) / n <= 0.0201
     # a tree over all rows is deeper than one over 256: inner rows lie below log2(256) + c(n / 256)
     paths = sorted(-np.log2(r["score"]) * float(anomaly._c(n)) for r in got.values())
     assert paths[n // 2] > 12
-    again = {r["id"]: r["score"] for r in anomaly.isolation_forest(rows.repartition(7), ["a", "b"], "id", trees=20).collect()}
+    again = {r["id"]: r["score"] for r in anomaly.isolation_forest(rows.repartition(7), ["a", "b"], "id", trees=20, nodes=local).collect()}
     assert again == pytest.approx({i: r["score"] for i, r in got.items()}, rel=1e-9)
+
+
+@pytest.mark.parametrize("nodes", [1 << 30, 50])
+def test_isolation_forest_equals_recursive_trees(spark, monkeypatch, nodes):
+    """Trees grown by recursion over all rows, from the same draws, give the same scores."""
+    monkeypatch.setattr(anomaly, "AT_ONCE", 64)
+    r = np.random.default_rng(5)
+    x = np.vstack([r.normal(size=(300, 3)), [[9.0, 0.0, 0.0]], np.zeros((40, 3))]).round(3)
+    most, least = int(np.ceil(np.log2(len(x)))), len(x) // nodes
+
+    def paths(tree, rows, name=1, depth=0):
+        lo, hi = x[rows].min(0), x[rows].max(0)
+        if depth == most or len(rows) <= least or (lo == hi).all():
+            return {i: depth + float(anomaly._c(len(rows))) for i in rows}
+        f, cut = (v[0] for v in anomaly.splits(1, tree, np.array([name]), lo[None], hi[None]))
+        right = x[rows, f] >= cut
+        return paths(tree, rows[~right], 2 * name, depth + 1) | paths(tree, rows[right], 2 * name + 1, depth + 1) if right.any() and not right.all() else paths_one(tree, rows, name, depth, right)
+
+    def paths_one(tree, rows, name, depth, right):
+        return paths(tree, rows, 2 * name + int(right[0]), depth + 1)
+
+    total = np.zeros(len(x))
+    for t in range(7):
+        for i, p in paths(t, np.arange(len(x))).items():
+            total[i] += p
+    want = 2.0 ** -(total / 7 / float(anomaly._c(len(x))))
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, a double, b double, c double").repartition(3)
+    got = {r["id"]: r["score"] for r in anomaly.isolation_forest(rows, ["a", "b", "c"], "id", trees=7, seed=1, nodes=nodes).collect()}
+    assert [got[i] for i in range(len(x))] == pytest.approx(list(want), rel=1e-9)
+
+
+def test_isolation_forest_odd(spark):
+    few = spark.createDataFrame([(i, 1.0) for i in range(5)], "id int, a double")
+    assert {(r["score"], r["flagged"]) for r in anomaly.isolation_forest(few, ["a"], "id").collect()} == {(0.0, False)}
+    flat = spark.createDataFrame([(i, None if i % 2 else float("nan")) for i in range(30)], "id int, a double")
+    got = anomaly.isolation_forest(flat, ["a"], "id", trees=3).collect()
+    assert len(got) == 30 and len({r["score"] for r in got}) == 1 and not any(r["flagged"] for r in got)
