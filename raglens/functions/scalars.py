@@ -177,17 +177,29 @@ def claims(answer: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) >= 2)
 
 
+#: Words that may stand before a citation's name.
+CITATION_KEYS = ("source", "src", "ref", "doc", "document")
+
+
 def citation_markers(answer: Column) -> Column:
     """Identifiers of the citations of an answer, in their order, repeated ones too: [3], [S3],
     [doc-2] and lists of these by comma, semicolon or slash; [source: x] and (source: x), where
     the key may be source, src, ref, doc or document."""
-    key, one = r"(?:source|src|ref|doc|document)\s*[:=]\s*", r"[A-Za-z0-9][A-Za-z0-9_.\-]*\s*"
-    raw = F.regexp_extract_all(answer, F.lit(rf"(?i)\[{key}[^\]\r\n]+\]|\[\s*{one}(?:[,;/]\s*{one})*\]|\(\s*{key}[^)\r\n]+\)"), F.lit(0))
-    named = lambda m: F.regexp_extract(m, rf"(?is)^[\[(]\s*{key}(.*)[\])]$", 1)
-    plain = lambda m: F.split(F.regexp_replace(m, r"^\[|\]$", ""), "[,;/]")
-    each = F.flatten(F.transform(raw, lambda m: F.when(named(m) != "", F.array(named(m))).otherwise(plain(m))))
-    tidy = F.transform(each, lambda t: F.regexp_replace(F.trim(t), r"^[.,;:]+|[.,;:]+$", ""))
-    return F.filter(F.transform(tidy, lambda t: F.lower(F.regexp_replace(t, r"^[A-Za-z]*(\d+)$", "$1"))), lambda t: t != "")
+    # whatever is in brackets, or in parentheses with a word and a colon first
+    spans = F.regexp_extract_all(answer, F.lit(r"\[\w+\s*[:=][^\]\r\n]+\]|\[[^\[\]\r\n]+\]|\(\s*\w+\s*[:=][^)\r\n]+\)"), F.lit(0))
+
+    def read(span: Column) -> Column:
+        body = F.substring(span, F.lit(2), F.length(span) - 2)
+        halves = F.split(body, "[:=]", 2)
+        key = F.when(span.startswith("("), F.trim(halves[0])).otherwise(F.rtrim(halves[0]))  # a bracket's key comes at once
+        keyed = (F.size(halves) == 2) & F.lower(key).isin(*CITATION_KEYS) & (F.trim(F.get(halves, 1)) != "")
+        lists = F.transform(F.regexp_extract_all(span, F.lit(r"\[([^\[\]\r\n]*)\]"), F.lit(1)), lambda inner: F.split(inner, "[,;/]"))
+        whole = F.filter(lists, lambda names: F.forall(names, lambda n: n.rlike(r"^\s*[A-Za-z0-9][A-Za-z0-9_.\-]*\s*$")))
+        return F.when(keyed, F.array(F.get(halves, 1))).otherwise(F.flatten(whole))
+
+    bare = F.transform(F.flatten(F.transform(spans, read)), lambda n: F.regexp_replace(n, r"^[\s.,;:]+|[\s.,;:]+$", ""))
+    names = F.transform(bare, lambda n: F.lower(F.coalesce(F.nullif(F.regexp_extract(n, r"^[A-Za-z]*(\d+)$", 1), F.lit("")), n)))
+    return F.filter(names, lambda n: n != "")
 
 
 def unit_interval(x: Column) -> Column:

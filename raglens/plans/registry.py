@@ -931,6 +931,22 @@ def chunked_documents(spark, at):
     return chunk_documents(docs)
 
 
+_FLAT = "'_' || regexp_replace(text, '[^!-~]', '_', 'g') || '_'"
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id::VARCHAR AS source, {_FLAT} AS text FROM documents),
+w AS (SELECT source, sha256(text) AS h, text, unnest(CASE WHEN length(text) <= 500 THEN [0] ELSE range(0, length(text), 450) END) AS p FROM x),
+c AS (SELECT source, h, (p // 450)::INTEGER AS chunk_index, substr(text, p + 1, 500) AS content FROM w)
+SELECT source, chunk_index, substr(sha256(source || '|' || h || '|' || chunk_index), 1, 16) AS chunk_id, {_TOKENS.format('content')} AS tokens, content FROM c""",
+    views=False,
+)
+def separator_free_chunks(spark, at):
+    """Texts without any separator are cut into windows of a fixed width."""
+    flat = F.concat(F.lit("_"), F.regexp_replace("text", "[^!-~]", "_"), F.lit("_"))
+    return chunk_documents(t.table(spark, at, "documents").select(F.col("doc_id").cast("string").alias("source"), flat.alias("text")))
+
+
 @query("SELECT date_trunc('hour', start_time)::TIMESTAMP AS bucket, kind, count(*) AS spans, count(*) FILTER (failed) AS errors FROM spans GROUP BY 1, 2")
 def stream_rollup(spark, at):
     return ingest.rollup(t.spans(spark, at)).select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "kind", "spans", "errors")

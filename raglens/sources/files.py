@@ -20,7 +20,7 @@ def documents(spark: SparkSession, folder: str, pattern: str = "*.{md,txt}") ->
     folder, by source; blank files are left out."""
     root = folder.rstrip("/").removeprefix("file://")
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    rows = rows.select(F.regexp_replace(F.expr("url_decode(_metadata.file_path)"), r"^file:/*", "/").alias("path"), F.col("value").alias("content"))
+    rows = rows.select(F.regexp_replace(F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), r"^file:/*", "/").alias("path"), F.col("value").alias("content"))
     rows = rows.where(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
     source = F.substr("path", F.lit(len(root) + 2))
     return rows.select(source.alias("source"), title_of(F.col("content"), F.col("path")).alias("title"), "content", F.sha2("content", 256).alias("content_hash")).orderBy("source")

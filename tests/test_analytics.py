@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from raglens.functions import scalars as fn
 from raglens.operators import analytics, anomaly, evaluation, percentiles, retrieval
-from raglens.operators.chunking import split
+from raglens.operators.chunking import _windows, split
 from raglens.plans import registry
 from raglens.sources import files
 from raglens.streaming import ingest, traces as nested
@@ -91,6 +91,9 @@ def test_claims_and_citations(spark):
         ("(doc = Billing FAQ.) [ref: x]", ["billing faq", "x"]),
         ("[1][1]", ["1", "1"]),
         ("none, (see 3)", []),
+        ("[see [3] (note: [4] and [b, c]) [foo: [5]", ["3", "4", "b", "c", "5"]),
+        ("(source: Billing (EU)) [ source: x] [source: a [b] [Doc:]", ["billing (eu", "a [b"]),
+        ("[1 3] [a b, 2] [a,,b] [-x] [x/ S9 ]", ["x", "9"]),
     ],
 )
 def test_citation_markers(spark, text, found):
@@ -220,11 +223,12 @@ def test_directions_and_sentences(spark):
 def test_file_sources(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b/x y.md").write_text("intro\n# The Title \nmore")
+    (tmp_path / "b/1+1.txt").write_text("two")
     (tmp_path / "a.txt").write_text("\n first line\nmore")
     (tmp_path / "c.md").write_text("  \n")
     (tmp_path / "d.pdf").write_text("no")
     got = [tuple(r)[:2] for r in files.documents(spark, tmp_path.as_uri()).collect()]
-    assert got == [("a.txt", "first line"), ("b/x y.md", "The Title")]
+    assert got == [("a.txt", "first line"), ("b/1+1.txt", "two"), ("b/x y.md", "The Title")]
     lines = ['{"query": "q1", "relevant_document_ids": ["a"], "category": "easy"}', '{"question": "q2", "relevant_documents": ["b"], "grades": {"b": "2", "c": "x"}}', "not json", "", '{"examples": [{"text": "q3", "category": "no_answer"}, {"query": "q4", "relevant_documents": ["zz"]}]}']
     rows = files.examples(spark.createDataFrame([(x,) for x in lines], "value string"))
     got = sorted((r["query"] or "", r["relevant"], r["grades"], r["no_answer"], r["bad"]) for r in rows.collect())
@@ -318,6 +322,32 @@ def test_chunks_hold_every_word(size, overlap):
     assert set(text.split()) <= set(" ".join(pieces).split())
 
 
+def test_chunks_without_separators():
+    assert [len(p) for p in split("x" * 950)] == [500, 500, 50]
+    assert [len(p) for p in split("a " + "x" * 950, 500, 0)] == [1, 500, 450]
+    for size, overlap in ((0, 0), (5, 5), (5, -1)):
+        with pytest.raises(ValueError):
+            split("text", size, overlap)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_windows_are_of_whole_words(seed):
+    """Windows cover the text, end at the last space that fits and start behind one within the
+    overlap, found here by looking at every character."""
+    r = np.random.default_rng(seed)
+    text = " ".join("w" * int(n) for n in r.integers(0, 14, 60))
+    size, overlap = int(r.integers(5, 30)), int(r.integers(1, 5))
+    spaces = [i for i, c in enumerate(text) if c == " "]
+    found = list(_windows(spaces, len(text), size, overlap))
+    assert found[0][0] == 0 and found[-1][1] == len(text)
+    for (a, b), (c, _) in zip(found, found[1:]):
+        inside = [i for i in spaces if a < i < a + size]
+        assert b == (inside[-1] if inside else a + size) and a < c <= b
+        behind = [i for i in range(max(a + 1, b - overlap), b) if text[i] == " "]
+        assert c == (behind[0] + 1 if inside and behind else b)
+    assert all(b - a <= size for a, b in found)
+
+
 def test_upsert_replay_changes_nothing(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, v string, at int")
     new = spark.createDataFrame([(2, "x", 2), (2, "y", 3), (3, "z", 1)], "id int, v string, at int")
