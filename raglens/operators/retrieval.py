@@ -1,21 +1,16 @@
 """Lexical, vector and hybrid retrieval, and its metrics, as relations: queries x postings,
-queries x vectors. Queries are the small side and are dealt in blocks to all rows."""
+queries x vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raglens.functions.scalars import estimate_tokens, words
+from raglens.operators.vector_index import VectorIndex
 
 #: Terms of queries that are broadcast; more of them meet the corpus in a shuffle.
 TERMS = 200_000
-#: Queries whose vectors a task holds at once.
-BLOCK = 1024
 #: Fused candidates that a reranker scores.
 RERANKED = 20
 
@@ -58,52 +53,13 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5
     return ranked(bm25_scores(docs, queries, k1, b), k, F.desc("score"), "doc_id")
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """The queries (query_id, q), BLOCK at a time."""
-    ids, rows = [], []
-    for r in queries.orderBy("query_id").toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["q"])
-        if len(ids) == BLOCK:
-            yield ids, np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, np.float64)
-
-
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Exact inner-product neighbours of every query among all other vectors: query_id, doc_id,
-    score, rank. A block of queries passes over the vectors as one matrix product for each
-    batch, of which only the k best of each query are shuffled."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).where("q is not null")
-    v = vectors.select(F.col("vec_id").alias("doc_id"), "embedding").where("embedding is not null")
-    schema = "query_id long, doc_id long, score double"
-    out = None
-    for ids, matrix in _blocks(q):
-        held = vectors.sparkSession.sparkContext.broadcast((np.array(ids), matrix))
-
-        def scored(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ask, m = held.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                doc = pdf["doc_id"].to_numpy()
-                s = np.round(m @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 6)
-                s[ask[:, None] == doc[None]] = -np.inf
-                # best by score, ties by id
-                order = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :k]
-                found = np.take_along_axis(s, order, 1)
-                keep = found.ravel() > -np.inf
-                yield pd.DataFrame({"query_id": np.repeat(ask, order.shape[1])[keep], "doc_id": doc[order].ravel()[keep], "score": found.ravel()[keep]})
-
-        part = v.mapInPandas(scored, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], schema)
-    return ranked(out, k, F.desc("score"), "doc_id")
-
-
-def first_relevant(vectors: DataFrame, queries: DataFrame, relevant: DataFrame) -> DataFrame:
+    score, rank; through an index of clusters built for it."""
+    return VectorIndex.build(vectors).search(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
+
+
+def first_relevant(vectors: DataFrame, queries: DataFrame, relevant: DataFrame, index: VectorIndex | None = None) -> DataFrame:
     """query_id, first: the rank of the best relevant document in the whole ranking, without
     ranking all: the documents before it are counted. relevant: query_id, doc_id."""
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).where("q is not null")
@@ -111,26 +67,7 @@ def first_relevant(vectors: DataFrame, queries: DataFrame, relevant: DataFrame)
     dot = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     rel = relevant.where("query_id <> doc_id").join(q, "query_id").join(v, "doc_id").select("query_id", "q", F.round(dot, 6).alias("score"), "doc_id")
     best = rel.groupBy("query_id").agg(F.max_by(F.struct("q", "score", "doc_id"), F.struct("score", -F.col("doc_id"))).alias("x")).select("query_id", "x.*")
-    out = None
-    for ids, matrix in _blocks(best.select("query_id", F.concat("q", F.array(F.col("score"), F.col("doc_id").cast("double"))).alias("q"))):
-        held = vectors.sparkSession.sparkContext.broadcast((np.array(ids), matrix))
-
-        def before(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ask, m = held.value
-            n = np.zeros(len(ask), np.int64)
-            for pdf in batches:
-                if len(pdf):
-                    doc = pdf["doc_id"].to_numpy()
-                    s = np.round(m[:, :-2] @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T, 6)
-                    top, at = m[:, -2:-1], m[:, -1:]
-                    n += (((s > top) | ((s == top) & (doc[None] < at))) & (ask[:, None] != doc[None])).sum(1)
-            yield pd.DataFrame({"query_id": ask, "n": n})
-
-        part = v.mapInPandas(before, "query_id long, n long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return relevant.sparkSession.createDataFrame([], "query_id long, first long")
-    return out.groupBy("query_id").agg((F.sum("n") + 1).alias("first"))
+    return (index or VectorIndex.build(vectors)).before(best).select("query_id", (F.col("n") + 1).alias("first"))
 
 
 def rrf(rankings: list[DataFrame], k: int = 60, top: int = 5) -> DataFrame:

@@ -11,6 +11,7 @@ from raglens.functions import scalars as fn
 from raglens.operators import analytics as an
 from raglens.operators import anomaly, evaluation, reports, retrieval
 from raglens.operators.chunking import chunk_documents
+from raglens.operators.vector_index import VectorIndex
 from raglens.sources import shared, sinks, tables as t
 from raglens.streaming import ingest, traces as nested
 
@@ -606,10 +607,11 @@ m AS (SELECT query_id, coalesce(hits, 0) / 5.0::DOUBLE AS precision, coalesce(hi
 def _judged(spark, at):
     e = t.table(spark, at, "embeddings")
     q = _queries(spark, at)
-    hits = retrieval.vector_topk(e, q, 5)
+    index = VectorIndex.build(e)
+    hits = index.search(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
     a, b = q.select(F.col("vec_id").alias("query_id"), "label"), e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("_l"))
     rel = a.join(b, (F.col("label") == F.col("_l")) & (F.col("query_id") != F.col("doc_id"))).select("query_id", "doc_id")
-    return hits, rel, retrieval.first_relevant(e, q, rel)
+    return hits, rel, retrieval.first_relevant(e, q, rel, index)
 
 
 @query(_METRICS + "SELECT query_id, precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1, round(rr, 9) AS reciprocal_rank, round(ndcg, 9) AS ndcg, hit FROM m", views=False)
