@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raglens.functions.scalars import estimate_tokens, words
+from raglens.operators.text_index import TextIndex
 from raglens.operators.vector_index import VectorIndex
 
-#: Terms of queries that are broadcast; more of them meet the corpus in a shuffle.
-TERMS = 200_000
 #: Fused candidates that a reranker scores.
 RERANKED = 20
 
@@ -20,37 +19,15 @@ def ranked(scores: DataFrame, k: int, *order) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def corpus_terms(docs: DataFrame, k1: float = 1.5) -> DataFrame:
-    """term, df, n, idf of every term of the corpus (doc_id, text): a negative idf becomes a
-    quarter of the mean over the vocabulary."""
-    df = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
-    idf = df.join(F.broadcast(n)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n is one row
-    mean = idf.agg(F.avg("idf").alias("_mean"))
-    return idf.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("_mean")).otherwise(F.col("idf"))).drop("_mean")
-
-
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score (floored at 0) of the documents that hold a term of the query.
-    docs: doc_id, text; queries: query_id, text. Of the corpus only terms that are asked for
-    are exploded with their counts."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
-    few = terms.count() <= TERMS
-    held = F.broadcast(terms) if few else terms
-    tokens = docs.select("doc_id", words(F.col("text")).alias("ws"))
-    length = tokens.agg(F.avg(F.size("ws")).alias("avg_len"))
-    postings = tokens.select("doc_id", F.size("ws").alias("len"), F.explode("ws").alias("term")).join(held, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    idf = corpus_terms(docs).join(held, "term", "left_semi").select("term", "idf")
-    known = asked.join(idf, "term")
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    weighed = postings.join(F.broadcast(length)).withColumn("w", tf).select("doc_id", "term", "w")  # length is one row
-    return weighed.join(known, "term").groupBy("query_id", "doc_id").agg(F.round(F.greatest(F.sum(F.col("idf") * F.col("w")), F.lit(0.0)), 6).alias("score"))
+    docs: doc_id, text; queries: query_id, text."""
+    return TextIndex.build(docs, k1, b).scores(queries)
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """The k best of bm25_scores() for each query, with their rank; ties by doc_id."""
-    return ranked(bm25_scores(docs, queries, k1, b), k, F.desc("score"), "doc_id")
+    return TextIndex.build(docs, k1, b).search(queries, k)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

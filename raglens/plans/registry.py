@@ -11,6 +11,7 @@ from raglens.functions import scalars as fn
 from raglens.operators import analytics as an
 from raglens.operators import anomaly, evaluation, reports, retrieval
 from raglens.operators.chunking import chunk_documents
+from raglens.operators.text_index import TextIndex
 from raglens.operators.vector_index import VectorIndex
 from raglens.sources import shared, sinks, tables as t
 from raglens.streaming import ingest, traces as nested
@@ -668,11 +669,12 @@ lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 """
 
 
+def _asked(spark, at):
+    return t.table(spark, at, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def _lexical(spark, at, k=5):
-    docs = t.table(spark, at, "documents").select("doc_id", "text")
-    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
-        docs = docs.repartition(spark.sparkContext.defaultParallelism)  # a single file is one task
-    return retrieval.bm25_search(docs, t.table(spark, at, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
+    return retrieval.bm25_search(t.table(spark, at, "documents"), _asked(spark, at), k)
 
 
 @query(_BM25 + "SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 5", views=False)
@@ -680,6 +682,22 @@ def bm25_search(spark, at):
     return _lexical(spark, at).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    _BM25 + "SELECT query_id, doc_id, term, tf, round(idf, 6) AS idf, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)), 6) AS weight FROM lex JOIN p USING (doc_id) JOIN asked USING (query_id, term) JOIN i USING (term), s WHERE rank = 1",
+    views=False,
+)
+def bm25_explain(spark, at):
+    """What each term gives to the score of the best document of each query."""
+    index = TextIndex.build(t.table(spark, at, "documents"))
+    parts = index.explain(_asked(spark, at), index.search(_asked(spark, at), 1))
+    return parts.select("query_id", "doc_id", "term", F.col("tf").cast("long").alias("tf"), F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight"))
+
+
+@query(_BM25 + "SELECT n AS documents, (SELECT count(*) FROM d) AS terms, (SELECT sum(len(list_distinct(ws)))::BIGINT FROM w) AS postings, round(avg_len, 6) AS avg_len FROM s", views=False)
+def corpus_statistics(spark, at):
+    return TextIndex.build(t.table(spark, at, "documents")).statistics()
+
+
 _FUSED = """, merged AS (SELECT query_id, doc_id, rank, rank AS lr FROM lexical UNION ALL SELECT query_id, doc_id, rank, NULL FROM gated), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(rank) AS b, min(lr) AS l FROM merged GROUP BY 1, 2)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, b, l NULLS LAST, doc_id) AS rank FROM f) WHERE rank <= 5"""
 
