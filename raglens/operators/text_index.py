@@ -24,6 +24,8 @@ from raglens.sources.shared import written
 RANGE = 256
 #: Terms of queries that are broadcast; more of them meet the blocks in a shuffle.
 TERMS = 200_000
+#: Pairs of queries and ranges that are broadcast, some 50 bytes each.
+PAIRS = 1_000_000
 #: Scores are rounded to six digits; bounds leave room for that.
 MARGIN = 1e-6
 
@@ -55,10 +57,9 @@ class TextIndex:
         # a document without words keeps one row, of a null term
         each = tokens.select("rng", "doc_id", F.size("ws").alias("len"), F.explode_outer("ws").alias("term"))
         counts = each.groupBy("rng", "doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-        blocks = counts.groupBy("rng", "term").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("postings"))
+        blocks = counts.groupBy("rng", "term").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.sum("tf").alias("words"), F.collect_list(F.struct("doc_id", "tf", "len")).alias("postings"))
         blocks = written(blocks.sortWithinPartitions("term", "rng"), "blocks")
-        # lengths: each document's words are the sum of its frequencies
-        facts = blocks.select(F.when(F.col("term").isNull(), 0).otherwise(F.aggregate("postings", F.lit(0).cast("long"), lambda s, p: s + p["tf"])).alias("words")).agg(F.sum("words").alias("w")).first()
+        facts = blocks.where("term is not null").agg(F.sum("words").alias("w")).first()  # each document's words are the sum of its frequencies
         df = blocks.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
         df = written(df.withColumn("idf", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
         mean = df.agg(F.avg("idf").alias("m")).first()["m"] or 0.0
@@ -93,17 +94,24 @@ class TextIndex:
         return own.groupBy("query_id", "rng").agg(F.sum(most).alias("bound"), F.sum("n").alias("postings"))
 
     def contributions(self, asked: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-        """query_id, doc_id, term, tf, idf, weight (its part of the score) of all postings of the
-        queries' terms, or of those in pairs (query_id, rng)."""
-        own = self._own(asked, ["postings"])
-        where = asked if pairs is None else asked.join(pairs.select("query_id", "rng"), "query_id")
-        met = own.join(where, ["term"] if pairs is None else ["term", "rng"])
-        each = met.select("query_id", "term", "idf", F.explode("postings").alias("p")).select("query_id", "p.doc_id", "term", "p.tf", "idf", "p.len")
-        return each.select("query_id", "doc_id", "term", "tf", "idf", (F.col("idf") * self.weight(F.col("tf"), F.col("len"))).alias("weight"))
+        """query_id, rng, doc_id, term, tf, idf, weight (its part of the score) of all postings of
+        the queries' terms, or of those in pairs (query_id, rng). The blocks are dealt by range, so
+        that what is summed for a document stays where it is."""
+        few = lambda x, most: F.broadcast(x) if x.count() <= most else x
+        met = self._own(asked, ["postings"]).repartition("rng").join(few(asked, TERMS), "term")
+        if pairs is not None:
+            met = met.join(few(pairs.select("query_id", "rng"), PAIRS), ["query_id", "rng"], "left_semi")
+        each = met.select("query_id", "rng", "term", "idf", F.explode("postings").alias("p")).select("query_id", "rng", "p.doc_id", "term", "p.tf", "idf", "p.len")
+        return each.select("query_id", "rng", "doc_id", "term", "tf", "idf", (F.col("idf") * self.weight(F.col("tf"), F.col("len"))).alias("weight"))
 
     @staticmethod
-    def summed(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("query_id", "doc_id").agg(F.round(F.greatest(F.sum("weight"), F.lit(0.0)), 6).alias("score"))
+    def summed(parts: DataFrame, k: int | None = None) -> DataFrame:
+        """The scores; with k only those that are among the k best of their query and range."""
+        out = parts.groupBy("query_id", "rng", "doc_id").agg(F.round(F.greatest(F.sum("weight"), F.lit(0.0)), 6).alias("score"))
+        if k is not None:
+            w = Window.partitionBy("rng", "query_id").orderBy(F.desc("score"), "doc_id")
+            out = out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+        return out.select("query_id", "doc_id", "score")
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """query_id, doc_id, score (floored at 0) of every document that holds a term of the query."""
@@ -119,11 +127,11 @@ class TextIndex:
         bounds = written(self.bounds(asked), "bounds")
         first = bounds.groupBy("query_id").agg(F.max_by("rng", F.struct("bound", "rng")).alias("rng"))
         first = written(first, "first")
-        near = written(_ranked(self.summed(self.contributions(asked, first)), k), "near")
+        near = written(_ranked(self.summed(self.contributions(asked, first), k), k), "near")
         least = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
         rest = bounds.join(first, ["query_id", "rng"], "left_anti").join(least, "query_id").where(F.col("bound") + MARGIN >= F.col("least"))
         rest = written(rest.select("query_id", "rng"), "rest")
-        hits = near.drop("rank").unionByName(self.summed(self.contributions(asked, rest)))
+        hits = near.drop("rank").unionByName(self.summed(self.contributions(asked, rest), k))
         return _ranked(hits, k), first.unionByName(rest)
 
     def skipped(self, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -138,7 +146,7 @@ class TextIndex:
         (query_id, doc_id), read from the blocks of their ranges."""
         hits = hits.select("query_id", "doc_id").distinct()
         pairs = hits.select("query_id", F.pmod(F.xxhash64("doc_id"), F.lit(self.ranges)).cast("int").alias("rng")).distinct()
-        return self.contributions(self.asked(queries), pairs).join(hits, ["query_id", "doc_id"], "left_semi")
+        return self.contributions(self.asked(queries), pairs).join(hits, ["query_id", "doc_id"], "left_semi").drop("rng")
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
