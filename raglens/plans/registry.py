@@ -11,6 +11,7 @@ from raglens.functions import scalars as fn
 from raglens.operators import analytics as an
 from raglens.operators import anomaly, evaluation, reports, retrieval
 from raglens.operators.chunking import chunk_documents
+from raglens.operators.claim_support import claim_support as support_of, grounding_scores
 from raglens.operators.text_index import TextIndex
 from raglens.operators.vector_index import VectorIndex
 from raglens.sources import shared, sinks, tables as t
@@ -757,6 +758,56 @@ def grounding(spark, at):
     return _answers(spark, at).select("conv_id", "turn", evaluation.grounding(F.col("answer"), context).alias("g")).select("conv_id", "turn", "g.claims", "g.supported", F.round("g.score", 9).alias("score"))
 
 
+# hashed letter triples, cosines of all claims with all sentences of the turns before, and the
+# ordered rule in closed form: the first sentence that settles, else the first most alike one
+# with the greatest overlap from there on
+_SUPPORT = f"""WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id, turn, unnest(range(len(l))) AS claim_no, unnest(l) AS claim FROM (SELECT conv_id, turn, {_SPLIT.format('text')} AS l FROM a)),
+s0 AS (SELECT conv_id, turn AS p, unnest(range(len(l))) AS i, unnest(l) AS sentence FROM (SELECT conv_id, turn, {_SPLIT.format('text')} AS l FROM conversations)),
+s AS (SELECT a.conv_id, a.turn, sentence, row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY p, i) - 1 AS pos FROM a JOIN s0 ON s0.conv_id = a.conv_id AND s0.p < a.turn),
+txt AS (SELECT claim AS x FROM c UNION SELECT sentence FROM s0),
+w AS (SELECT x, unnest(regexp_extract_all(lower(x), '[\\pL\\pN]+')) AS w FROM txt),
+h AS (SELECT x, md5(substr('#' || w || '#', i::BIGINT, 3)) AS h FROM (SELECT x, w, unnest(generate_series(1, length(w))) AS i FROM w)),
+f AS (SELECT x, ('0x' || h[1:2])::INTEGER AS b, sum(CASE WHEN h[3:3] < '8' THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY 1, 2),
+v AS (SELECT x, list(coalesce(v, 0.0) ORDER BY b) AS v, {_WORDS.format('x')} AS ws FROM (SELECT x, unnest(range(256))::INTEGER AS b FROM txt) LEFT JOIN f USING (x, b) GROUP BY x),
+u AS (SELECT x, v, ws, list_dot_product(v, v) AS n FROM v),
+m AS (SELECT c.conv_id, c.turn, c.claim_no, c.claim, s.pos, CASE WHEN coalesce(uc.n * us.n, 0) > 0 THEN list_dot_product(uc.v, us.v) / sqrt(uc.n * us.n) ELSE 0.0 END AS sim,
+  CASE WHEN len(uc.ws) = 0 OR s.pos IS NULL THEN 0.0 ELSE len(list_intersect(uc.ws, us.ws))::DOUBLE / len(uc.ws) END AS ov
+  FROM c JOIN u uc ON uc.x = claim LEFT JOIN (s JOIN u us ON us.x = sentence) USING (conv_id, turn)),
+e AS (SELECT conv_id, turn, claim_no, claim, min(pos) FILTER (ov >= 0.8) AS f, max(sim) AS t, min(pos) FILTER (ov > 0) AS o FROM m GROUP BY ALL),
+k AS (SELECT e.*, min(pos) FILTER (sim = t AND t > 0) AS ta FROM e JOIN m USING (conv_id, turn, claim_no, claim) GROUP BY ALL),
+g AS (SELECT k.conv_id, k.turn, k.claim_no, k.claim, k.f, k.ta, k.o, coalesce(max(sim) FILTER (pos = f), CASE WHEN ta IS NOT NULL THEN t END, 0.0) AS sim, coalesce(max(ov) FILTER (pos = f), max(ov) FILTER (pos >= coalesce(ta, 0)), 0.0) AS ov
+  FROM k JOIN m USING (conv_id, turn, claim_no, claim) GROUP BY k.conv_id, k.turn, k.claim_no, k.claim, k.f, k.ta, k.o, k.t),
+r AS (SELECT conv_id, turn, claim_no, claim, sim >= 0.55 OR ov >= 0.5 AS supported, coalesce(f, ta, o) AS sentence_no, round(greatest(0.0, least(1.0, sim)), 6) AS similarity, round(ov, 9) AS overlap,
+  CASE WHEN f IS NOT NULL THEN 'deterministic_embedding' WHEN ta IS NOT NULL THEN 'embedding_similarity' ELSE 'deterministic_alignment' END AS method FROM g)
+"""
+
+
+def _dialogues(spark, at):
+    """Answers of conversations, and as their context all turns before them."""
+    c = t.table(spark, at, "conversations")
+    answers = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    before = c.select(F.col("conv_id").alias("_c"), F.col("turn").alias("passage_no"), F.col("text").alias("passage"))
+    pairs = answers.join(before, (F.col("conv_id") == F.col("_c")) & (F.col("passage_no") < F.col("turn")))
+    return answers, pairs.select("conv_id", "turn", "passage_no", "passage")
+
+
+@query(_SUPPORT + "SELECT conv_id, turn, claim_no::INTEGER AS claim_no, claim, supported, sentence_no, similarity, overlap, method FROM r", views=False)
+def claim_support(spark, at):
+    return support_of(*_dialogues(spark, at), ("conv_id", "turn"))
+
+
+@query(
+    _SUPPORT
+    + "SELECT a.conv_id, a.turn, count(claim_no) AS claims, count(*) FILTER (supported) AS supported, count(*) FILTER (supported AND overlap < 0.5) AS by_similarity, round(CASE WHEN count(claim_no) = 0 THEN 1.0 ELSE (count(*) FILTER (supported))::DOUBLE / count(claim_no) END, 9) AS score, round(CASE WHEN count(claim_no) = 0 THEN 0.0 ELSE 1 - (count(*) FILTER (supported))::DOUBLE / count(claim_no) END, 9) AS unsupported_ratio FROM a LEFT JOIN r USING (conv_id, turn) GROUP BY a.conv_id, a.turn",
+    views=False,
+)
+def grounding_similarity(spark, at):
+    answers, passages = _dialogues(spark, at)
+    keys = ("conv_id", "turn")
+    return grounding_scores(answers, support_of(answers, passages, keys), keys)
+
+
 @query(
     """SELECT l_orderkey AS trace_id, l_linenumber AS place, CASE WHEN l_linenumber % 4 = 0 THEN 0.0 WHEN l_linenumber % 4 = 1 THEN round((CASE WHEN l_linenumber <= 2 THEN 1 ELSE 0 END + 1) / 3.0::DOUBLE, 9) WHEN l_linenumber % 4 = 2 THEN 0.5 ELSE 1.0 END AS coverage FROM lineitem""",
     views=False,
