@@ -12,6 +12,7 @@ from raglens.operators import analytics as an
 from raglens.operators import anomaly, evaluation, reports, retrieval
 from raglens.operators.chunking import chunk_documents
 from raglens.operators.claim_support import claim_support as support_of, grounding_scores
+from raglens.operators.prefixes import top_prefixes as most_frequent_prefixes
 from raglens.operators.text_index import TextIndex
 from raglens.operators.vector_index import VectorIndex
 from raglens.sources import shared, sinks, tables as t
@@ -878,6 +879,11 @@ def rule_repeated_prefix(spark, at):
     return evaluation.rule_repeated_prefix(t.table(spark, at, "conversations"))
 
 
+@query("SELECT row_number() OVER (ORDER BY n DESC, prefix)::INTEGER AS rank, prefix, n, round(n::DOUBLE / (SELECT count(text) FROM conversations), 9) AS share FROM (SELECT left(text, 200) AS prefix, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1) ORDER BY n DESC, prefix LIMIT 20", views=False)
+def top_prefixes(spark, at):
+    return most_frequent_prefixes(t.table(spark, at, "conversations"))
+
+
 @query(
     ", j AS (SELECT c.model, min(context_window) AS context_window, sum(input_tokens)::DOUBLE / count(*) AS mean, count(*) AS n FROM calls c JOIN models m ON m.name = c.model WHERE input_tokens IS NOT NULL AND context_window IS NOT NULL GROUP BY 1), k AS (SELECT * FROM j ORDER BY context_window, model LIMIT 1) SELECT 'small_model' AS rule, "
     + _RULE.format(v="mean / context_window", n="n", s="mean / context_window", f="(mean >= 512 AND mean / context_window >= 0.5)")
