@@ -13,12 +13,16 @@ part: a subtree stays that holds the page's article, main element or first headi
 no such element is outside of it, half of the page's characters that aren't links.
 
 Defined results: a null, empty or tag-only page has the empty text. Markup is never dropped
-for size. Unclosed and cut-off tags end with the page. Of equal sums the outer node is taken."""
+for size. Unclosed and cut-off tags end with the page. An attribute's quote that nothing closes
+is an ordinary character, and its tag ends at the next >; once a page has had eight times its
+length read for such quotes, all further tags end there. End tags that close nothing are left
+out. Time is linear in the page. Of equal sums the outer node is taken."""
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,7 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=(?!\s*[\"']))*+)(?:>|\Z)", re.S)
+#: A tag whose quotes don't count: it ends at the first >.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
+#: Characters read in vain for a closing quote, in page lengths, before tags are plain.
+IN_VAIN = 8
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 #: Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,10 +59,11 @@ WHICH = frozenset(
 
 
 class Node:
-    __slots__ = ("kids", "parent", "tag", "cut", "aside", "chars", "tags", "link_chars", "link_tags", "heads", "density", "sum")
+    __slots__ = ("kids", "parent", "tag", "block", "cut", "aside", "chars", "tags", "link_chars", "link_tags", "heads", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, aside: bool = False) -> None:
         self.tag, self.parent, self.cut, self.aside, self.kids = tag, parent, cut, aside, []
+        self.block = parent.block if parent is not None and tag in INLINE else self  # the nearest node that isn't inline
 
 
 def _named(name: str) -> bool:
@@ -82,14 +91,30 @@ def parse(html: str) -> Node:
     """The tree of a page. Text nodes are strings among the kids."""
     root = at = Node("html", None, False)
     pos, n = 0, len(html)
-    in_main = 0
+    in_main, vain = 0, 0
+    open_: Counter[str] = Counter()  # tags from the root to `at`
+
+    def up_to(x: Node) -> Node:
+        """Closes all from `at` to x; the node that is open then."""
+        nonlocal in_main
+        here = at
+        while True:
+            in_main -= here.tag in MAIN
+            open_[here.tag] -= 1
+            if here is x:
+                return here.parent
+            here = here.parent
+
     while pos < n:
         lt = html.find("<", pos)
         if lt < 0:
             at.kids.append(html[pos:])
             break
-        m = TOKEN.match(html, lt)
-        if m is None:  # a lone < is text, a cut-off tag at the end isn't
+        m = TOKEN.match(html, lt) if vain <= IN_VAIN * n or html.startswith(("<!", "<?"), lt) else None
+        if m is None:
+            m = PLAIN_TAG.match(html, lt)
+            vain += n - lt if m is not None and vain <= IN_VAIN * n else 0
+        if m is None:  # a lone < is text
             at.kids.append(html[pos : lt + 1])
             pos = lt + 1
             continue
@@ -100,25 +125,17 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            x = at
-            while x is not None and x.tag != tag:
-                x = x.parent
-            if x is not None and x.parent is not None:
-                while at is not x:
-                    in_main -= at.tag in MAIN
-                    at = at.parent
-                in_main -= at.tag in MAIN
-                at = at.parent
+            if open_[tag] > 0:
+                x = at
+                while x.tag != tag:
+                    x = x.parent
+                at = up_to(x)
             continue
         if tag in ("html", "body") and at is root:
             continue
-        if tag in CLOSES_P or tag == "li":
-            x, stop = at, ("ul", "ol") if tag == "li" else ()
-            while x.parent is not None and (x.tag in INLINE or x.tag in ("p", "li" if tag == "li" else "p")) and x.tag not in stop:
-                if x.tag in ("p", "li"):
-                    at = x.parent
-                    break
-                x = x.parent
+        if (tag in CLOSES_P or tag == "li") and at.block is not root:
+            if at.block.tag == "p" or at.block.tag == tag == "li":
+                at = up_to(at.block)
         node = Node(tag, at, *_marked(tag, m[3], in_main > 0))
         at.kids.append(node)
         if tag in VOID or m[3].endswith("/"):
@@ -129,6 +146,7 @@ def parse(html: str) -> Node:
             pos = end.end() if end else n
             continue
         in_main += tag in MAIN
+        open_[tag] += 1
         at = node
     return root
 
