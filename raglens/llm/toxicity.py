@@ -49,6 +49,8 @@ CLASSES = {
 STRENGTHS, CUTS = "123", (0.0, 2.5, 4.0)
 SYMBOLS = "oNRTK" + STRENGTHS
 STEMS = (4, 5, 6)
+#: Symbols of clauses that a process remembers with what was found in them.
+KNOWN = 1 << 23
 #: What the composed machine emits.
 KINDS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat", "negated threat", "reported threat")
 
@@ -94,16 +96,24 @@ class Transducer:
     def best(self, symbols: Iterable[str]) -> tuple[float, tuple[tuple[str, float], ...]] | None:
         """Weight of the best path that reads the symbols, and what it writes with the weight
         of each; None if no path is accepted. Of equal paths the first one by its arcs."""
-        live = {s: (0.0, ()) for s in self.start}
+        # what a path has written is a chain of its last symbol and the chain before that
+        live: dict[str, tuple[float, tuple | None]] = {s: (0.0, None) for s in self.start}
         for x in symbols:
-            new: dict[str, tuple[float, tuple]] = {}
-            for s, (total, written) in live.items():
+            new: dict[str, tuple[float, tuple | None]] = {}
+            for s, (total, chain) in live.items():
                 for y, w, to in self.arcs.get(s, {}).get(x, ()):
                     if to not in new or total + w > new[to][0]:
-                        new[to] = (total + w, (*written, (y, w)))
+                        new[to] = (total + w, ((y, w), chain))
             live = new
         ends = [v for s, v in live.items() if s in self.final]
-        return max(ends, key=lambda v: v[0]) if ends else None
+        if not ends:
+            return None
+        total, chain = max(ends, key=lambda v: v[0])
+        written = []
+        while chain is not None:
+            last, chain = chain
+            written.append(last)
+        return total, tuple(reversed(written))
 
 
 # What the transducers mark: negated k a b c, reported Q x y z, aimed M A B C.
@@ -186,7 +196,7 @@ class Grammar:
             for w in sorted({*self.words, *self.stems, *CLASSES["K"]}):
                 self._found.add_word(w, len(w))
             self._found.make_automaton()
-            self._machine, self._known = composed(), {}
+            self._machine, self._known, self._held = composed(), {}, 0
         return self._found
 
     def insult(self, word: str) -> float:
@@ -212,10 +222,16 @@ class Grammar:
         self.prepared()
         symbols = re.sub("o{3,}", "oo", "".join(map(self.symbol, WORD.findall(clause))))  # no scope is longer
         if symbols not in self._known:
-            if len(self._known) > 100_000:
-                self._known.clear()
             best = self._machine.best(symbols)
-            self._known[symbols] = tuple((WRITTEN[y], w) for y, w in best[1] if y in WRITTEN) if best else ()
+            found = tuple((WRITTEN[y], w) for y, w in best[1] if y in WRITTEN) if best else ()
+            size = len(symbols) + len(found) + 8
+            if self._held + size > KNOWN:
+                self._known.clear()
+                self._held = 0
+            if size > KNOWN:
+                return found
+            self._known[symbols] = found
+            self._held += size
         return self._known[symbols]
 
     def features(self, texts: list[str | None]) -> np.ndarray:
