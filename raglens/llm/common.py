@@ -67,6 +67,14 @@ def sampled(rows: DataFrame, id_col: str, most: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / n)))
 
 
+def prefix_apart(*columns: list[str]) -> str:
+    """The start of column names that none of the columns has, whatever the case."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for cs in columns for c in cs):
+        mark += "_"
+    return mark
+
+
 def crc_mod(id_col: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as remainder null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

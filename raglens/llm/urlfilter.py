@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raglens.llm.common import materialise
+from raglens.llm.common import materialise, prefix_apart
 
 #: Rules (verdict, host, path) of the production filter; fixed values.
 RULES = (
@@ -87,7 +87,7 @@ class Level:
         return test
 
 
-def _level(keys: DataFrame, n: int, k: int) -> Level:
+def _level(keys: DataFrame, n: int, k: int, mark: str) -> Level:
     size, seed = max(64, (n * BITS_PER_KEY + 31) // 32 * 32), 100 * k + 7
     if size // 4 > MOST_BYTES:
         raise ValueError(f"{n} listed keys take more than {MOST_BYTES} bytes")
@@ -96,7 +96,7 @@ def _level(keys: DataFrame, n: int, k: int) -> Level:
     words = [0] * (size // 32)
     for w, bits in keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(mask).alias("bits")).collect():
         words[w] = bits
-    return Level(words, size, seed, f"_bits{k}")
+    return Level(words, size, seed, f"{mark}bits{k}")
 
 
 @dataclass
@@ -121,8 +121,9 @@ class Cascade:
         return held
 
 
-def cascade(universe: DataFrame, listed: DataFrame, most: int = 24) -> Cascade:
-    """Encodes `listed` (key string) exactly over `universe` (key string, distinct)."""
+def cascade(universe: DataFrame, listed: DataFrame, most: int = 24, mark: str = "_") -> Cascade:
+    """Encodes `listed` (key string) exactly over `universe` (key string, distinct). mark: what
+    no column of the rows that are asked about starts with."""
     listed = materialise(listed.where("key is not null").distinct(), "listed")
     others = universe.join(listed, "key", "left_anti")
     sides = [listed, others]
@@ -132,7 +133,7 @@ def cascade(universe: DataFrame, listed: DataFrame, most: int = 24) -> Cascade:
         n = keys.count()
         if not n:
             return Cascade(levels)
-        levels.append(_level(keys, n, k))
+        levels.append(_level(keys, n, k, mark))
         # of the other side only what this level takes for its own goes on
         last = Cascade(levels[-1:])
         sides[(k + 1) % 2] = materialise(last.off(last.on(sides[(k + 1) % 2]).where(levels[-1].has(F.col("key")))), f"errs{k}")
@@ -145,7 +146,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, listed=LISTED) -> Dat
     host, path = host_of(F.col(url)), path_of(F.col(url))
     universe = materialise(pages.select(F.explode(domains(host)).alias("key")).distinct(), "hosts")
     names = spark.createDataFrame([(x,) for x in listed], "key string")
-    held = cascade(universe, names)
+    held = cascade(universe, names, mark=prefix_apart(pages.columns))
     blocked = F.exists(domains(F.col("host")), lambda d: held.has(d))
     out = held.on(pages.withColumns({"host": host, "path": path}))
     rule = rule_of(F.col("host"), F.col("path"), rules)
