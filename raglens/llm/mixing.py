@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raglens.llm.common import materialise
+from raglens.llm.common import materialise, prefix_apart
 
 #: Documents of a group of the reduction tree, on average.
 GROUP = 192
@@ -122,14 +122,15 @@ def mixed(rows: DataFrame, id_col: str = "doc_id", source: str = "source", size:
     up = rounded(open_.select("source", "n", "key", "size", "p"), int(facts["largest"] or 0), seed)
     up = up.select(F.col("source").alias("_s"), F.col("key").alias("_k"), "up")
     units = units.join(up, (F.col("key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    plan = units.select(F.struct("source", "size", "id", "mark").alias("_key"), F.col("rows").alias("_rows"), F.col("whole").alias("_whole"), F.col("certain").alias("_certain"), F.coalesce("up", F.lit(0)).alias("_up"), F.col("source_size").alias("_size"), F.col("target").alias("_target"))
+    m = prefix_apart(rows.columns)
+    plan = units.select(F.struct("source", "size", "id", "mark").alias(f"{m}key"), F.col("rows").alias(f"{m}rows"), F.col("whole").alias(f"{m}whole"), F.col("certain").alias(f"{m}certain"), F.coalesce("up", F.lit(0)).alias(f"{m}up"), F.col("source_size").alias(f"{m}size"), F.col("target").alias(f"{m}target"))
     key = F.struct(F.col(source).alias("source"), F.col(size).cast("long").alias("size"), F.col(id_col).alias("id"), mark.alias("mark"))
     # the join and the numbering are one shuffle of the rows
-    out = rows.withColumn("_key", key).join(plan, "_key")
-    place = F.when(F.col("_rows") == 1, 1).otherwise(F.row_number().over(Window.partitionBy("_key").orderBy("_rows")))
-    copies = F.col("_whole") + F.when(place <= F.col("_certain"), 1).when(place == F.col("_certain") + 1, F.col("_up")).otherwise(0)
-    out = out.withColumns({"source_size": F.col("_size"), "target": F.col("_target"), "copies": copies.cast("long")})
-    return out.drop("_key", "_rows", "_whole", "_certain", "_up", "_size", "_target")
+    out = rows.withColumn(f"{m}key", key).join(plan, f"{m}key")
+    place = F.when(F.col(f"{m}rows") == 1, 1).otherwise(F.row_number().over(Window.partitionBy(f"{m}key").orderBy(f"{m}rows")))
+    copies = F.col(f"{m}whole") + F.when(place <= F.col(f"{m}certain"), 1).when(place == F.col(f"{m}certain") + 1, F.col(f"{m}up")).otherwise(0)
+    out = out.withColumns({"source_size": F.col(f"{m}size"), "target": F.col(f"{m}target"), "copies": copies.cast("long")})
+    return out.drop(f"{m}key", f"{m}rows", f"{m}whole", f"{m}certain", f"{m}up", f"{m}size", f"{m}target")
 
 
 def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", **how) -> DataFrame:
