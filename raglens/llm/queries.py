@@ -19,7 +19,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_mod("doc_id", 5) == 0
     model = langid.fit(docs.where(~held_out))
-    return docs.select("doc_id", held_out.alias("held_out"), langid.predict(spark, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), langid.predict(spark, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held_out = crc_mod("doc_id", 4) == 2
     grammar = toxicity.fit(toxicity.labelled(docs, labels.where(~held_out)))
-    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(spark, grammar).alias("score"))
+    scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), toxicity.score(spark, grammar).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
