@@ -25,6 +25,15 @@ class Scope:
     organization_id: int | None = None
     unit: str = field(default="day")
 
+    def holds(self, ts: str) -> Column:
+        """Whether a time is in the window; false for none."""
+        out = F.col(ts).isNotNull()
+        if self.start is not None:
+            out = out & (F.col(ts) >= F.lit(self.start).cast("timestamp_ntz"))
+        if self.end is not None:
+            out = out & (F.col(ts) <= F.lit(self.end).cast("timestamp_ntz"))
+        return F.coalesce(out, F.lit(False))
+
     def rows(self, df: DataFrame, ts: str, applications: DataFrame | None = None, app: str = "application_id") -> DataFrame:
         """The one place that filters on window, application and organization."""
         if self.start is not None:
@@ -52,32 +61,37 @@ def exact_mean(c: str) -> Column:
     return F.round(F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(c), DIGITS)
 
 
-def call_summary(calls: DataFrame) -> DataFrame:
-    """One row; sums of nothing are 0, means and percentiles of nothing NULL."""
+def call_measures() -> dict[str, Column]:
+    """Of calls or any group of them; sums of nothing are 0, means of nothing NULL."""
     zero = lambda c: F.coalesce(c, F.lit(0))
     both = F.col("input_tokens") + F.col("output_tokens")
-    one = calls.agg(
-        F.count("*").alias("calls"),
-        F.count_if(F.col("status") == "error").alias("errors"),
-        zero(F.sum("input_tokens")).alias("input_tokens"),
-        zero(F.sum("output_tokens")).alias("output_tokens"),
-        zero(F.sum(both)).alias("total_tokens"),
-        F.coalesce(F.sum("cost").cast("double"), F.lit(0.0)).alias("cost"),
-        F.max(both).alias("max_tokens"),
-        exact_mean("latency_ms").alias("avg_latency_ms"),
-    )
+    return {
+        "calls": F.count("*"),
+        "errors": F.count_if(F.col("status") == "error"),
+        "input_tokens": zero(F.sum("input_tokens")),
+        "output_tokens": zero(F.sum("output_tokens")),
+        "total_tokens": zero(F.sum(both)),
+        "cost": F.coalesce(F.sum("cost").cast("double"), F.lit(0.0)),
+        "max_tokens": F.max(both),
+        "avg_latency_ms": exact_mean("latency_ms"),
+    }
+
+
+def trace_measures() -> dict[str, Column]:
+    """Of traces or any group of them; error_rate is 0.0 where there are none."""
+    n, bad = F.count("*"), F.count_if(has_error())
+    return {"traces": n, "errors": bad, "users": F.countDistinct("user_id"), "avg_duration_ms": exact_mean("duration_ms"), "max_duration_ms": F.max("duration_ms"), "error_rate": ratio(bad.cast("double"), n)}
+
+
+def call_summary(calls: DataFrame) -> DataFrame:
+    """One row; sums of nothing are 0, means and percentiles of nothing NULL."""
+    one = calls.agg(*(c.alias(n) for n, c in call_measures().items()))
     one = with_percentiles(one, calls, "latency_ms", {f"p{p}_latency_ms": p / 100 for p in (50, 95, 99)})
-    return with_percentiles(one, calls, both, {f"p{p}_tokens": p / 100 for p in (50, 95, 99)})
+    return with_percentiles(one, calls, F.col("input_tokens") + F.col("output_tokens"), {f"p{p}_tokens": p / 100 for p in (50, 95, 99)})
 
 
 def trace_summary(traces: DataFrame) -> DataFrame:
-    one = traces.agg(
-        F.count("*").alias("traces"),
-        F.count_if(has_error()).alias("errors"),
-        F.countDistinct("user_id").alias("users"),
-        exact_mean("duration_ms").alias("avg_duration_ms"),
-        F.max("duration_ms").alias("max_duration_ms"),
-    ).withColumn("error_rate", ratio(F.col("errors").cast("double"), F.col("traces")))
+    one = traces.agg(*(c.alias(n) for n, c in trace_measures().items()))
     return with_percentiles(one, traces, "duration_ms", {f"p{p}_duration_ms": p / 100 for p in (50, 95, 99)})
 
 
@@ -237,35 +251,65 @@ def cost_quality(calls: DataFrame, models: DataFrame, quality: DataFrame) -> Dat
     return rows.join(F.broadcast(best)).select("provider", "model", "calls", "tokens", "cost", "avg_latency_ms", "cost_per_1k_tokens", "answers", "quality", cost_label(F.col("is_local").isNotNull(), F.col("is_local")).alias("label"), is_("_v").alias("best_value"), is_("_q").alias("best_quality"))
 
 
+def _marked(documents: DataFrame, key: tuple[str, ...], more: dict[str, Column]) -> DataFrame:
+    """key, document_id, whether it is a duplicate, and sums of more, one row for each document
+    of a retrieval. One shuffle: all counts and groups below are by the key or more."""
+    w = Window.partitionBy(*key)
+    prints = F.array(title_fingerprint(F.col("title")), normalised(F.col("content")))
+    d = documents.select(*key, "document_id", prints.alias("_p"), *(c.alias(n) for n, c in more.items()))
+    d = d.withColumn("_n", F.count("*").over(w)).withColumn("_same", F.count("*").over(Window.partitionBy(*key, "document_id")))
+    d = d.select(*key, "document_id", "_n", "_same", *more, F.posexplode("_p").alias("_i", "_f"))
+    like = (F.length("_f") >= 3) & (F.count("*").over(Window.partitionBy(*key, "_f")) > 1) & F.col("document_id").isNotNull()
+    hit = (F.col("_n") > 1) & ((F.col("_same") > 1) | F.coalesce(like, F.lit(False)))
+    once = {n: F.sum(F.when(F.col("_i") == 0, F.col(n))) for n in more}
+    return d.withColumn("_hit", hit).groupBy(*key, "document_id").agg(F.max("_hit").alias("duplicate"), *(c.alias(n) for n, c in once.items()))
+
+
 def duplicate_documents(documents: DataFrame, key: tuple[str, ...] = ("trace_id",)) -> DataFrame:
     """key, document_id of the documents of a retrieval that are there twice, or share the
     fingerprint of a title or content, of 3 characters or more, with another of its rows or
-    their own other text. A retrieval of one document has none."""
-    d = documents.repartition(*key)  # all groupings below are by the key or more
-    several = d.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    d = d.join(several, list(key), "left_semi")
-    twice = d.groupBy(*key, "document_id").agg(F.count("*").alias("_n")).where("_n > 1").select(*key, "document_id")
-    prints = F.explode(F.array(title_fingerprint(F.col("title")), normalised(F.col("content")))).alias("_f")
-    same = d.select(*key, "document_id", prints).where(F.length("_f") >= 3).groupBy(*key, "_f").agg(F.count("*").alias("_n"), F.collect_set("document_id").alias("_ids")).where("_n > 1")
-    return twice.unionByName(same.select(*key, F.explode("_ids").alias("document_id"))).distinct()
+    their own other text. A retrieval of one document has none. The rows of one retrieval are
+    one task's; ingest keeps at most a hundred of them."""
+    return _marked(documents, key, {}).where("duplicate").select(*key, "document_id")
+
+
+def document_facts(documents: DataFrame) -> DataFrame:
+    """One row per trace with documents: documents, context_tokens, duplicates, and of its
+    retrieval created_at (the earliest) and top_score."""
+    w = Window.partitionBy("trace_id")
+    seen = documents.withColumn("_at", F.min("created_at").over(w)).withColumn("_top", F.max("final_score").over(w))
+    marked = _marked(seen, ("trace_id", "_at", "_top"), {"_tokens": estimate_tokens(F.col("content")), "_one": F.lit(1)})
+    return marked.groupBy("trace_id").agg(F.sum("_one").alias("documents"), F.sum("_tokens").alias("context_tokens"), F.count_if("duplicate").alias("duplicates"), F.first("_at").alias("created_at"), F.first("_top").alias("top_score"))
 
 
 def trace_analysis(calls: DataFrame, documents: DataFrame) -> DataFrame:
     """Token efficiency of every trace that has calls or documents: trace_id, documents,
     input_tokens, output_tokens, context_tokens and the fields of token_efficiency()."""
     c = calls.groupBy("trace_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-    d = documents.groupBy("trace_id").agg(F.count("*").alias("documents"), F.sum(estimate_tokens(F.col("content"))).alias("context_tokens"))
-    twice = duplicate_documents(documents).groupBy("trace_id").agg(F.count("*").alias("duplicates"))
-    rows = c.join(d, "trace_id", "full").join(twice, "trace_id", "left")
+    w = _marked(documents, ("trace_id",), {"_tokens": estimate_tokens(F.col("content")), "_one": F.lit(1)})
+    d = w.groupBy("trace_id").agg(F.sum("_one").alias("documents"), F.sum("_tokens").alias("context_tokens"), F.count_if("duplicate").alias("duplicates"))
+    return analysed(c.join(d, "trace_id", "full"))
+
+
+def efficiency() -> Column:
+    """token_efficiency() of a trace with the sums of its calls and documents, NULL for none."""
+    each = (F.coalesce(F.col(x), F.lit(0).cast("long")) for x in ("input_tokens", "context_tokens", "output_tokens", "documents", "duplicates"))
+    return token_efficiency(*each)
+
+
+def analysed(facts: DataFrame) -> DataFrame:
+    """trace_analysis() of traces with the sums of their calls and documents, NULL for none."""
     zero = F.lit(0).cast("long")
-    rows = rows.select("trace_id", *(F.coalesce(x, zero).alias(x) for x in ("documents", "input_tokens", "output_tokens", "context_tokens", "duplicates")))
-    e = token_efficiency(F.col("input_tokens"), F.col("context_tokens"), F.col("output_tokens"), F.col("documents"), F.col("duplicates"))
-    return rows.withColumn("e", e).select("trace_id", "documents", "input_tokens", "output_tokens", "context_tokens", "e.*")
+    return facts.select("trace_id", *(F.coalesce(x, zero).alias(x) for x in ("documents", "input_tokens", "output_tokens", "context_tokens")), efficiency().alias("e")).select("trace_id", "documents", "input_tokens", "output_tokens", "context_tokens", "e.*")
+
+
+def efficiency_means() -> dict[str, Column]:
+    return {"scored": F.count("score")} | {f"avg_{c}": mean(c) for c in ("score", "duplicate_ratio", "context_share", "output_yield", "potential_waste_pct", "wasted_tokens")}
 
 
 def token_efficiency_rollup(analysis: DataFrame) -> DataFrame:
     """Means over the scored traces, and their number."""
-    return analysis.agg(F.count("score").alias("scored"), *(mean(c).alias(f"avg_{c}") for c in ("score", "duplicate_ratio", "context_share", "output_yield", "potential_waste_pct", "wasted_tokens")))
+    return analysis.agg(*(c.alias(n) for n, c in efficiency_means().items()))
 
 
 def wasteful_traces(analysis: DataFrame, limit: int = 10) -> DataFrame:

@@ -315,19 +315,14 @@ def _long(name: str, rows: str, metrics: list[str], key: str = "''") -> str:
 _WCALLS = "created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '1998-12-31 23:59:59'"
 _IN = f", wcalls AS (SELECT * FROM calls WHERE {_WCALLS}), wtraces AS (SELECT * FROM traces WHERE {_WINDOW}), wtotals AS (SELECT * FROM totals WHERE {_WINDOW})"
 _MODELS = "SELECT model, provider, count(*) AS calls, sum(input_tokens + output_tokens)::BIGINT AS tokens, sum(cost)::DOUBLE AS cost, count(*) FILTER (status = 'error') AS errors, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM {} GROUP BY 1, 2 ORDER BY tokens DESC, model, provider LIMIT 100"
-_CALL_CARDS, _TRACE_CARDS = ["calls", "errors", "input_tokens", "output_tokens", "total_tokens", "cost", "p95_latency_ms"], ["traces", "errors", "users", "error_rate", "p95_duration_ms"]
+_CALL_CARDS, _TRACE_CARDS, _TOKEN_CARDS, _LATENCY, _PER, _EFF = reports.CALL_CARDS, reports.TRACE_CARDS, reports.TOKEN_CARDS, reports.LATENCY_CARDS, reports.UNIT_CARDS, reports.EFFICIENCY_CARDS
 _PAIR = "provider || '/' || model"
-_EFF = ["scored", "avg_score", "avg_duplicate_ratio", "avg_context_share", "avg_output_yield", "avg_potential_waste_pct", "avg_wasted_tokens"]
 
 
 def _union(*parts: str) -> str:
     return " UNION ALL ".join(f"({p})" for p in parts)
 
 
-def _windowed(spark, at):
-    return TRACES.rows(t.llm_calls(spark, at), "created_at"), TRACES.rows(t.traces(spark, at), "start_time"), TRACES.rows(_totals(spark, at), "start_time")
-
-
 def _pair() -> F.Column:
     return F.concat_ws("/", "provider", "model")
 
@@ -350,23 +345,8 @@ def _pair() -> F.Column:
     )
 )
 def dashboard_overview(spark, at):
-    calls, traces, totals = _windowed(spark, at)
-    answers = t.answer_evaluations(spark, at)
-    s = reports.section
-    return reports.report(
-        s(an.call_summary(calls), "calls", _CALL_CARDS),
-        s(an.trace_summary(traces), "traces", _TRACE_CARDS),
-        s(an.retrieval_score(t.retrieval_calls(spark, at)), "retrieval", ["retrieval_score"]),
-        s(evaluation.answer_eval_summary(answers), "answers", ["faithfulness", "answer_relevance"]),
-        s(an.token_efficiency_rollup(_analysis(spark, at)), "efficiency", _EFF),
-        s(an.by_model(calls), "models", ["calls", "tokens", "cost", "errors"], _pair()),
-        s(an.by_application(totals, t.applications(spark, at)), "applications", ["traces", "errors", "users", "tokens", "cost"], F.col("name")),
-        s(_series(spark, at), "series", ["calls", "tokens", "cost", "traces", "retrieval_score", "faithfulness"], F.to_date("bucket")),
-        s(an.open_insights(t.anomalies(spark, at), t.recommendations(spark, at)), "open", ["open_anomalies", "open_recommendations"]),
-    )
-
-
-_TOKEN_CARDS = ["input_tokens", "output_tokens", "total_tokens", "max_tokens", "p50_tokens", "p95_tokens", "p99_tokens"]
+    docs, answers = t.retrieved_documents(spark, at), t.answer_evaluations(spark, at)
+    return reports.dashboard(TRACES, t.llm_calls(spark, at, application=False), t.traces(spark, at), docs, answers, t.anomalies(spark, at), t.recommendations(spark, at), t.applications(spark, at))
 
 
 @query(
@@ -381,27 +361,15 @@ _TOKEN_CARDS = ["input_tokens", "output_tokens", "total_tokens", "max_tokens", "
     )
 )
 def token_analytics(spark, at):
-    calls, _, totals = _windowed(spark, at)
-    one = an.call_summary(calls)
-    s = reports.section
-    return reports.report(
-        s(one, "tokens", _TOKEN_CARDS),
-        s(calls.agg(F.round(F.try_divide(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.count("*")), 6).alias("tokens_per_call")), "mean", ["tokens_per_call"]),
-        s(an.by_user(totals), "users", ["tokens", "cost", "traces"], F.col("user")),
-        s(an.by_application(totals, t.applications(spark, at)), "applications", ["tokens", "cost", "traces"], F.col("name")),
-        s(an.by_model(calls), "models", ["tokens", "cost", "calls"], _pair()),
-    )
+    return reports.tokens(TRACES, t.llm_calls(spark, at, application=False), t.traces(spark, at), t.applications(spark, at))
 
 
-_PER = ["total_cost", "cost_per_request", "cost_per_user", "cost_per_application"]
 _UNITS = "SELECT cost AS total_cost, " + ", ".join(f"round(CASE WHEN {n} = 0 THEN 0.0 ELSE cost / {n} END, 8) AS {m}" for n, m in (("t", "cost_per_request"), ("u", "cost_per_user"), ("a", "cost_per_application"))) + " FROM (SELECT coalesce(sum(cost)::DOUBLE, 0.0) AS cost FROM wcalls), (SELECT count(*) AS t, count(DISTINCT user_id) AS u, count(DISTINCT application_id) AS a FROM wtraces)"
 
 
 @query(_SERIES + _IN + " " + _union(_long("cost", _UNITS, _PER), _long("models", _MODELS.format("wcalls"), ["cost", "calls"], _PAIR), _long("series", "SELECT * FROM series", ["cost"], "bucket::DATE")))
 def cost_analytics(spark, at):
-    calls, traces, _ = _windowed(spark, at)
-    s = reports.section
-    return reports.report(s(reports.per_unit(an.call_summary(calls), traces), "cost", _PER), s(an.by_model(calls), "models", ["cost", "calls"], _pair()), s(_series(spark, at), "series", ["cost"], F.to_date("bucket")))
+    return reports.costs(TRACES, t.llm_calls(spark, at, application=False), t.traces(spark, at))
 
 
 @query(", l AS (SELECT DISTINCT CASE WHEN is_local IS NULL THEN 'unpriced' WHEN is_local THEN 'local' ELSE 'simulated' END AS x FROM calls c LEFT JOIN models m ON m.provider = c.provider AND m.name = c.model) SELECT CASE count(*) WHEN 0 THEN 'no model calls' WHEN 1 THEN min(x) ELSE 'mixed' END AS label FROM l")
@@ -409,7 +377,6 @@ def cost_provenance(spark, at):
     return reports.cost_provenance(t.llm_calls(spark, at), t.models(spark, at))
 
 
-_LATENCY = ["avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms"]
 _STAGES = "SELECT kind, count(*) AS spans, round(avg(duration_ms), 6) AS avg_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM spans GROUP BY 1"
 
 
@@ -427,16 +394,7 @@ _STAGES = "SELECT kind, count(*) AS spans, round(avg(duration_ms), 6) AS avg_ms,
     )
 )
 def latency_analytics(spark, at):
-    calls, traces, _ = _windowed(spark, at)
-    s = reports.section
-    return reports.report(
-        s(an.call_summary(calls), "calls", _LATENCY),
-        s(an.trace_summary(traces), "traces", ["avg_duration_ms", "p50_duration_ms", "p95_duration_ms", "p99_duration_ms", "max_duration_ms"]),
-        s(an.max_latency(calls), "max", ["max_latency_ms"]),
-        s(an.by_span_kind(t.spans(spark, at)), "stages", ["spans", "avg_ms", "p95_ms"], F.col("kind")),
-        s(an.by_model(calls), "models", ["calls", "p95_latency_ms"], _pair()),
-        s(_series(spark, at), "series", ["avg_duration_ms"], F.to_date("bucket")),
-    )
+    return reports.latency(TRACES, t.llm_calls(spark, at, application=False), t.traces(spark, at), t.spans(spark, at))
 
 
 @query(
@@ -449,14 +407,7 @@ def latency_analytics(spark, at):
     )
 )
 def efficiency_report(spark, at):
-    a, s = _analysis(spark, at), reports.section
-    calls = t.llm_calls(spark, at, model=False, application=False)
-    return reports.report(
-        s(an.token_efficiency_rollup(a), "rollup", _EFF),
-        s(an.wasteful_traces(a), "offenders", ["wasted_tokens", "score"], F.col("trace_id")),
-        s(an.waste_by_application(a, t.traces(spark, at), t.applications(spark, at)), "applications", ["traces", "avg_waste_pct", "wasted_tokens"], F.col("name")),
-        s(calls.agg(F.sum("input_tokens").alias("input_tokens")), "input", ["input_tokens"]),
-    )
+    return reports.efficiency(t.llm_calls(spark, at, model=False, application=False), t.retrieved_documents(spark, at), t.traces(spark, at), t.applications(spark, at))
 
 
 _APP = 7

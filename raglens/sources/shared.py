@@ -25,3 +25,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a written() table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(df: DataFrame, *tables: DataFrame, name: str = "report") -> DataFrame:
+    """df as a written table, after which the written tables that it was made of are deleted."""
+    out = written(df, name)
+    for x in tables:
+        removed(x)
+    return out
