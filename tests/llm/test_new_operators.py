@@ -236,3 +236,69 @@ def test_placed_by_ranges(spark):
     for g in (0, 1):
         ids = [r["id"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["pos"])]
         assert ids == sorted(ids, reverse=True) and sorted(r["pos"] for r in got if r["g"] == g) == list(range(len(ids)))
+
+
+# ---------------------------------------------------------------- 9, damaged archives
+
+
+def _archive():
+    from raglens.llm import warc
+
+    bodies = [f"page {i} " * (40 if i % 3 else 4000) + "".join(chr(33 + (i * 7 + j * j) % 90) for j in range(300)) for i in range(9)]
+    parts = [warc.member(warc.record(i, f"http://x/{i}", b.encode(), "response", None)) for i, b in enumerate(bodies)]
+    return parts, [sum(map(len, parts[:i])) for i in range(len(parts))]
+
+
+def _scan(data, split, damaged):
+    import io
+
+    from raglens.llm import warc
+
+    return [r for at in range(0, len(data), split) for r in warc.records_of(io.BytesIO(data), at, at + split, damaged)]
+
+
+@pytest.mark.parametrize("split", [61, 700, 1 << 20])
+def test_warc_damage_is_never_silent(split):
+    from raglens.llm import warc
+
+    parts, starts = _archive()
+    whole = b"".join(parts)
+    assert [r["page_id"] for r in _scan(whole, split, False)] == list(range(9))
+    for place in ("magic", "head", "middle", "end"):
+        for i in (0, 4, 8):
+            at = {"magic": starts[i], "head": starts[i] + 11, "middle": starts[i] + len(parts[i]) // 2, "end": starts[i] + len(parts[i]) - 3}[place]
+            bad = whole[:at] + bytes([whole[at] ^ 0x55]) + whole[at + 1 :]
+            with pytest.raises(warc.Damaged):
+                _scan(bad, split, False)
+            got = _scan(bad, split, True)
+            assert {r["page_id"] for r in got if r["record_type"] != "damaged"} == set(range(9)) - {i}
+            assert starts[i] in {r["offset"] for r in got if r["record_type"] == "damaged"}
+    cut = whole[: starts[8] + 40]
+    with pytest.raises(warc.Damaged):
+        _scan(cut, split, False)
+    assert [r["page_id"] for r in _scan(cut, split, True) if r["record_type"] != "damaged"] == list(range(8))
+
+
+def test_warc_damage_in_files(spark, tmp_path):
+    from raglens.llm import warc
+
+    rows = [(i, f"http://x/{i}", f"page {i} " * 300) for i in range(40)] + [(3, "http://x/3", "page 3 " * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(pages, f"file://{tmp_path}/w")
+    path = manifest.first()["path"].removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    import gzip
+    import re
+
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress(bytes(data)))
+    assert len(set(ids)) == len(rows)  # repeated rows are records of their own
+    data[len(data) // 2] ^= 0xFF
+    open(path, "wb").write(data)
+    with pytest.raises(Exception, match="Damaged"):
+        warc.read(manifest, 500).collect()
+    got = warc.read(manifest, 500, damaged=True).collect()
+    good = [r for r in got if r["record_type"] != "damaged"]
+    assert len(good) == len(rows) - 1 and len(got) > len(good) and all(r["path"].endswith(".warc.gz") for r in got)
+    open(path, "wb").write(data[:-400])
+    with pytest.raises(Exception, match="bytes of"):
+        warc.read(manifest, 500).collect()
