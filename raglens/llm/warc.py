@@ -32,6 +32,8 @@ MAGIC = b"\x1f\x8b\x08"
 #: Bytes of archive that a reading task owns, and most bytes of one file (about).
 SPLIT, FILE_BYTES = 8 << 20, 256 << 20
 READ, STEP = 1 << 18, 1 << 14
+#: Most tasks that ranges are dealt to.
+TASKS = 100_000
 VERSION = b"WARC/1."
 DATE = "2024-01-01T00:00:00Z"
 
@@ -239,7 +241,9 @@ def read(manifest: DataFrame, split: int = SPLIT, payload: bool = False, damaged
     rows have their path and offset, and the records behind it are found again. (A file that was
     cut between two records has a size other than the manifest's.)"""
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start")
-    ranges = manifest.where("size > 0").select("path", "size", cuts).repartition("path", "start")
+    # ranges are short rows that stand for much work: without a number adaptive execution joins them
+    n = manifest.agg(F.sum(F.ceil(F.col("size") / max(split, SPLIT)))).first()[0] or 1
+    ranges = manifest.where("size > 0").select("path", "size", cuts).repartition(min(int(n), TASKS), "path", "start")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payload]
     if damaged:
         names += ["path", "offset"]
