@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from raglens.functions.scalars import cost_label, mean_present, ratio, title_fingerprint, normalised, token_efficiency, estimate_tokens, window_label
 from raglens.operators.percentiles import percentiles, with_percentiles
@@ -357,8 +358,8 @@ def window_of(label: str, as_of: str, start: str | None = None, end: str | None
     return Scope(str(first), str(last), unit="hour" if name in ("1h", "24h", "custom") else "day"), name
 
 
-def trace_list(traces: DataFrame, calls: DataFrame | None = None, model: str | None = None, status: str | None = None, kind: str | None = None, user: int | None = None, has_errors: bool | None = None, least_ms: float | None = None, most_ms: float | None = None, least_tokens: int | None = None, search: str | None = None, columns: tuple[str, ...] = ("error",), page: int = 1, size: int = 50) -> DataFrame:
-    """A page of traces, newest first, that meet all conditions given. search: part of one of
+def matching_traces(traces: DataFrame, calls: DataFrame | None = None, model: str | None = None, status: str | None = None, kind: str | None = None, user: int | None = None, has_errors: bool | None = None, least_ms: float | None = None, most_ms: float | None = None, least_tokens: int | None = None, search: str | None = None, columns: tuple[str, ...] = ("error",)) -> DataFrame:
+    """The traces that meet all conditions given. search: part of one of
     `columns`, whatever the case; % and _ in it stand for any characters and any character."""
     kept = traces
     for value, test in (
@@ -379,8 +380,37 @@ def trace_list(traces: DataFrame, calls: DataFrame | None = None, model: str | N
         kept = kept.where(found)
     if model is not None:
         kept = kept.join(calls.where(F.col("model") == model).select("trace_id"), "trace_id", "left_semi")
+    return kept
+
+
+_LISTED = ("trace_id", "start_time", "duration_ms", "kind")
+
+
+def trace_list(traces: DataFrame, *args, page: int = 1, size: int = 50, **conditions) -> DataFrame:
+    """A page of matching_traces(), newest first."""
+    kept = matching_traces(traces, *args, **conditions)
     size, page = min(500, max(1, size)), max(1, page)
-    return kept.orderBy(F.desc("start_time"), "trace_id").offset((page - 1) * size).limit(size).select("trace_id", "start_time", "duration_ms", "kind", has_error().alias("has_error"))
+    return kept.orderBy(F.desc("start_time"), "trace_id").offset((page - 1) * size).limit(size).select(*_LISTED, has_error().alias("has_error"))
+
+
+def trace_page(kept: DataFrame, size: int = 50, after: tuple[datetime, int] | None = None) -> DataFrame:
+    """The first traces of kept, newest first, behind the trace `after` (start_time, trace_id),
+    with how many there are in all (total) and what to give as `after` for the next page
+    (next_start_time, next_trace_id; NULL on the last one). Rows and total come from one scan,
+    and a page costs the same wherever it is. At most 500 rows, all that passes the driver.
+    A trace without a start_time is counted and on no page."""
+    size, seen = min(500, max(1, size)), Observation()
+    rows = kept.observe(seen, F.count(F.lit(1)).alias("total")).where("start_time is not null")
+    if after is not None:
+        at = F.lit(after[0]).cast("timestamp_ntz")
+        rows = rows.where((F.col("start_time") < at) | ((F.col("start_time") == at) & (F.col("trace_id") > after[1])))
+    found = rows.orderBy(F.desc("start_time"), "trace_id").limit(size + 1).select(*_LISTED, has_error().alias("has_error"))
+    got = found.collect()
+    total, page = seen.get["total"], got[:size]
+    last = page[-1] if len(got) > size else None
+    more = [(total, last and last["start_time"], last and last["trace_id"])] * len(page)
+    schema = StructType([*found.schema.fields, StructField("total", LongType()), StructField("next_start_time", found.schema["start_time"].dataType), StructField("next_trace_id", found.schema["trace_id"].dataType)])
+    return kept.sparkSession.createDataFrame([tuple(r) + m for r, m in zip(page, more)], schema)
 
 
 def trace_detail(traces: DataFrame, calls: DataFrame, documents: DataFrame | None = None) -> DataFrame:

@@ -440,6 +440,20 @@ def trace_search(spark, at):
     return an.trace_list(_totals(spark, at), kind="1-URGENT", has_errors=True, most_ms=200000.0, least_tokens=1000, search="URG_nt", page=2, size=20)
 
 
+@query(
+    ", m AS (SELECT trace_id, start_time, duration_ms, kind, has_error, row_number() OVER (ORDER BY start_time DESC, trace_id) AS n, count(*) OVER () AS total FROM traces WHERE kind = '2-HIGH' AND has_error)"
+    " SELECT (n - 1) // 25 + 1 AS page, trace_id, start_time, duration_ms, kind, has_error, total, (SELECT e.start_time FROM m e WHERE e.n = ((m.n - 1) // 25 + 1) * 25 AND e.n < e.total) AS next_start_time, (SELECT e.trace_id FROM m e WHERE e.n = ((m.n - 1) // 25 + 1) * 25 AND e.n < e.total) AS next_trace_id FROM m WHERE n <= 50"
+)
+def trace_pages(spark, at):
+    kept = an.matching_traces(t.traces(spark, at), kind="2-HIGH", has_errors=True)
+    first = an.trace_page(kept, 25)
+    key = first.select("next_start_time", "next_trace_id").first()
+    out = first.withColumn("page", F.lit(1).cast("long"))
+    if key is None or key[1] is None:
+        return out
+    return out.unionByName(an.trace_page(kept, 25, tuple(key)).withColumn("page", F.lit(2).cast("long")))
+
+
 @query("SELECT trace_id, has_error, (SELECT count(*) FROM calls c WHERE c.trace_id = x.trace_id) AS calls, coalesce((SELECT sum(input_tokens)::BIGINT FROM calls c WHERE c.trace_id = x.trace_id), 0) AS input_tokens, (SELECT count(*) FROM docs d WHERE d.trace_id = x.trace_id) AS documents, (SELECT min(document_id ORDER BY document_id) FROM docs d WHERE d.trace_id = x.trace_id AND rank = 1) AS first_document FROM traces x")
 def trace_detail(spark, at):
     d = an.trace_detail(t.traces(spark, at), t.llm_calls(spark, at, application=False), t.retrieved_documents(spark, at))
