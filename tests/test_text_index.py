@@ -66,3 +66,21 @@ def test_index_of_nothing(spark):
     index = TextIndex.build(d.where("false"))
     assert index.search(q).count() == 0 and index.explain(q, d.limit(1).select(F.lit(1).alias("query_id"), "doc_id")).count() == 0
     assert tuple(index.statistics().first())[:3] == (0, 0, 0)
+
+
+def test_tasks_follow_the_text_and_not_the_shuffle_partitions(spark, monkeypatch):
+    docs, queries, d, q = data(spark)
+    monkeypatch.setattr("raglens.operators.text_index.CHARS", 1000)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        index = TextIndex.build(d, size=20)
+        assert index.parts == min(index.ranges, -(-sum(len(t or "") for _, t in docs) // 1000))
+        assert len(index.blocks.inputFiles()) > 5  # a task for each part that has documents
+        best = {(r["query_id"], r["doc_id"]) for r in index.search(q, 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = {}
+    for (p, i), x in brute(docs, queries).items():
+        want.setdefault(p, []).append((-round(max(sum(x.values()), 0.0), 6), i))
+    assert best == {(p, min(x)[1]) for p, x in want.items()}
