@@ -77,6 +77,8 @@ def test_tasks_follow_the_text_and_not_the_shuffle_partitions(spark, monkeypatch
         index = TextIndex.build(d, size=20)
         assert index.parts == min(index.ranges, -(-sum(len(t or "") for _, t in docs) // 1000))
         assert len(index.blocks.inputFiles()) > 5  # a task for each part that has documents
+        pairs = index.bounds(index.asked(q)).where("rng < 3")
+        assert index.contributions(index.asked(q), pairs).rdd.getNumPartitions() == index.parts
         best = {(r["query_id"], r["doc_id"]) for r in index.search(q, 1).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
