@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +28,10 @@ from raglens.operators.evaluation import SETTLES, SIMILAR, SUPPORTS
 
 #: Texts of a block.
 BLOCK = 256
+#: Answers of a task, about: what it gets at once is held by its Python worker.
+ANSWERS = 1000
+#: States that a task hands on at once.
+AT_ONCE = 4096
 #: Width of hashed vectors; two hexadecimal digits name a place.
 WIDTH = 256
 #: Names of what a claim's verdict rests on.
@@ -116,20 +120,31 @@ def claim_support(answers: DataFrame, passages: DataFrame, keys: tuple[str, ...]
     cut = cut.join(several, list(keys), "left").withColumn("_c", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
     pairs = said.drop("_blocks").join(cut, [*keys, "_c"], "left").select(*keys, "said", "block", "sentences")
 
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = dict(answers.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + _STATE
+    own = pairs.sparkSession.createDataFrame([], _STATE).toArrow().schema
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
         for b in batches:
-            for row in b.to_dict("records"):
-                said, found = list(row["said"]), row["sentences"]
-                found = [] if found is None else sorted(found, key=lambda s: s["at"])
+            fields = pa.schema([*(b.schema.field(k) for k in keys), *own])
+            for i in range(b.num_rows):  # only one row of a batch is ever Python objects
+                row = b.slice(i, 1).to_pylist()[0]
+                said, found = row["said"], sorted(row["sentences"] or [], key=lambda s: s["at"])
                 sims, over = _products(said, found, not vectors) if found else (np.zeros((len(said), 0)),) * 2
-                at, block = np.array([s["at"] for s in found], np.int64), int(row["block"]) if found else None
-                states = pd.DataFrame([_state(c, block, at, s, o) for c, s, o in zip(said, sims, over)])
-                for k in reversed(keys):
-                    states.insert(0, k, row[k])
-                yield states
-
-    types = dict(answers.dtypes)
-    states = pairs.mapInPandas(met, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + _STATE)
+                at, block = np.array([s["at"] for s in found], np.int64), row["block"] if found else None
+                key = {k: row[k] for k in keys}
+                out += [key | _state(c, block, at, s, o) for c, s, o in zip(said, sims, over)]
+                if len(out) >= AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(out, fields)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_pylist(out, fields)
+                out = []
+
+    # an Arrow batch has at most all rows of its task, which the number of shuffle partitions doesn't bound
+    pairs = pairs.repartition(max(1, -(-answers.count() // ANSWERS)))
+    states = pairs.mapInArrow(met, schema)
     merged = states.groupBy(*keys, "claim_no").agg(
         F.first("claim").alias("claim"),
         F.min("settled").alias("settled"),

@@ -100,3 +100,15 @@ def test_empty_tables(spark):
     none = cs.claim_support(answers.where(F.lit(False)), passages, KEYS)
     assert none.count() == 0
     assert cs.claim_support(answers, passages.where(F.lit(False)), KEYS).first()["method"] == cs.BY_WORDS
+
+
+def test_rows_of_a_task_follow_the_answers(spark, monkeypatch):
+    monkeypatch.setattr("raglens.operators.claim_support.ANSWERS", 2)
+    answers = spark.createDataFrame([(i, f"Red fox {i}. Blue bird {i}.") for i in range(5)], "k long, answer string").coalesce(1)
+    passages = answers.selectExpr("k", "0 as passage_no", "answer as passage")
+    from raglens.operators.claim_support import claim_support
+
+    got = claim_support(answers, passages, ("k",))
+    assert "RoundRobinPartitioning(3)" in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert len(rows) == 10 and all(r["supported"] and r["sentence_no"] == r["claim_no"] for r in rows)
