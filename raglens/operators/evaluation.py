@@ -31,23 +31,24 @@ def grounding(answer: Column, context: Column, similarity: Column | None = None)
     sentences = F.filter(F.flatten(F.transform(context, lambda c: F.transform(claims(c), content_words))), lambda w: F.size(w) > 0)
     state = lambda done, sim, over: F.struct(done.alias("done"), sim.alias("sim"), over.alias("over"))
 
-    def best(claim: Column, at: Column) -> Column:
-        words = content_words(claim)
+    def best(words: Column, sims: Column | None, known: Column) -> Column:
+        over = lambda w, x: F.struct(coverage(words, w).alias("over"), F.coalesce(x.cast("double"), F.lit(0.0)).alias("sim"))
 
         def step(acc: Column, x: Column) -> Column:
-            over, sim = coverage(words, x["w"]), x["s"]
             return (
                 F.when(acc["done"], acc)
-                .when(over >= SETTLES, state(F.lit(True), sim, over))
-                .when(sim > acc["sim"], state(F.lit(False), sim, over))
-                .otherwise(state(F.lit(False), acc["sim"], F.greatest(acc["over"], over)))
+                .when(x["over"] >= SETTLES, state(F.lit(True), x["sim"], x["over"]))
+                .when(x["sim"] > acc["sim"], state(F.lit(False), x["sim"], x["over"]))
+                .otherwise(state(F.lit(False), acc["sim"], F.greatest(acc["over"], x["over"])))
             )
 
-        sims = F.get(similarity, at) if similarity is not None else F.transform(sentences, lambda _: F.lit(0.0))
-        pairs = F.zip_with(sentences, sims, lambda w, x: F.struct(w.alias("w"), F.coalesce(x.cast("double"), F.lit(0.0)).alias("s")))
+        pairs = F.transform(known, lambda w: over(w, F.lit(0.0))) if sims is None else F.zip_with(known, sims, over)
         return F.aggregate(pairs, state(F.lit(False), F.lit(0.0), F.lit(0.0)), step)
 
-    found = F.transform(said, best)
+    # an array of one: the words of claims and sentences are cut once, not again for each pair
+    held = F.array(F.struct(F.transform(said, content_words).alias("said"), sentences.alias("known")))
+    each = lambda h: F.transform(h["said"], lambda words, at: best(words, F.get(similarity, at) if similarity is not None else None, h["known"]))
+    found = F.get(F.transform(held, each), F.lit(0))
     n, ok = F.size(said), F.size(F.filter(found, lambda x: (x["sim"] >= SIMILAR) | (x["over"] >= SUPPORTS)))
     return F.struct(n.alias("claims"), ok.alias("supported"), F.when(n == 0, 1.0).otherwise(ok / n).alias("score"))
 
