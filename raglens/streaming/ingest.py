@@ -31,7 +31,7 @@ def upserted(table: DataFrame, payloads: DataFrame, key: list[str], order: list[
 
 def keyed_log(spark: SparkSession, path: str, key: list[str], order: list[str], **sizes: int) -> KeyedLog:
     """A log that keeps the newest row of each key."""
-    return KeyedLog(spark, path, key, lambda rows: latest(rows, key, order), **sizes)
+    return KeyedLog(spark, path, key, lambda rows, by: latest(rows, by, order), **sizes)
 
 
 def upsert_stream(stream: DataFrame, spark: SparkSession, path: str, key: list[str], order: list[str], checkpoint: str, **sizes: int):

@@ -92,3 +92,25 @@ def test_states_in_any_order(spark):
     both = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[1])
     assert sorted(map(str, nested.shown(nested.joined(both)).drop("sent").collect())) == want
     assert len(want) == 4
+
+
+def test_dealt_states_are_merged_without_another_shuffle(spark):
+    p = spark.createDataFrame([(1, '{"application": "a", "trace_id": "t", "status": "x"}'), (2, '{"application": "a", "trace_id": "t", "status": "y"}')], "seq long, value string")
+    dealt = nested.states(nested.parsed(p)).withColumn("_bucket", F.length("trace_id")).repartition("_bucket")
+    out = nested.joined(dealt, ["_bucket", *nested.KEY])
+    assert [(r["_bucket"], r["seq"], r["status"]["v"]) for r in out.collect()] == [(1, 2, "y")]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan  # nested states aren't aggregated twice
+
+
+def test_generations_keep_span_ids_of_their_trace(spark):
+    lines = [
+        (1, '{"application": "a", "trace_id": "t", "spans": [{"span_id": "s"}, {"span_id": "s"}, {"name": "n"}], "generations": [{"span_id": "s"}, {"span_id": "u"}, {"model": "m"}]}'),
+        (1, '{"application": "a", "trace_id": "u", "spans": [{"span_id": "u"}], "generations": [{"span_id": "s"}]}'),
+        (1, '{"application": "a", "trace_id": "v", "generations": [{"span_id": "s"}]}'),
+    ]
+    traces = nested.merged(nested.parsed(spark.createDataFrame(lines, "seq long, value string")))
+    prices = spark.createDataFrame([], "provider string, name string, input_cost_per_1k double, output_cost_per_1k double, is_local boolean")
+    gens = nested.children(traces, prices)["generations"]
+    got = {(r["trace_id"], r["call_no"]): r["span_id"] for r in gens.select("trace_id", "call_no", "span_id").collect()}
+    assert got == {("t", 0): "s", ("t", 1): None, ("t", 2): None, ("u", 0): None, ("v", 0): None}
