@@ -17,7 +17,8 @@ not, those of all words sum to one.
 A word's code is its rank if it is among the most frequent ones, else its hash, made negative.
 Broadcast are what the model says of the most frequent words and pairs (both bounded);
 everything else, which grows with the corpus, meets its occurrences in a join. The occurrences
-are shuffled once, by pair; a pair of a training text that isn't kept occurs once.
+are shuffled once, by pair; a pair of a training text that isn't kept occurs once. Texts are
+scored in SLICES parts by their id, so that the files of one part at a time are on the disks.
 
 Defined results: a null text is empty, which leaves the end token. Without training rows
 every count is 0. Rows with a null id are scored and not learned from. Repeated rows are
@@ -46,6 +47,8 @@ SWEEPS, BURN_IN = 6, 2
 ONE_BY_ONE = 1024
 #: Dishes that are seated together, in one pass over their customers.
 SEATED = 1 << 18
+#: Parts of the texts that are scored one after the other; a part's shuffles go before the next.
+SLICES = 4
 #: Distinct words that a counting task holds before it reports them.
 HELD = 1 << 21
 
@@ -79,6 +82,12 @@ def _codes(h: np.ndarray, ranks: Near) -> np.ndarray:
     return np.where(met, rank.astype(np.int64), signed(h | np.uint64(1 << 63)))
 
 
+def _cut(b: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """A large batch in pieces: the executor takes each as a whole, outside its heap."""
+    for s in range(0, b.num_rows, rows):
+        yield b.slice(s, rows)
+
+
 def _pairs_counted(batches: Iterator[pa.RecordBatch], ranks: Near) -> Iterator[pa.RecordBatch]:
     """u, w, c (occurrences in training texts), asked (in others) of each pair of codes."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -86,6 +95,7 @@ def _pairs_counted(batches: Iterator[pa.RecordBatch], ranks: Near) -> Iterator[p
 
     def report() -> pa.RecordBatch:
         u, w, out = (np.concatenate([x[i] for x in held]) for i in range(3))
+        held.clear()
         by, new = _grouped(w, u)
         asked = np.add.reduceat(out[by].astype(np.int64), new) if len(new) else out.astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[by][new], w[by][new], np.diff(np.append(new, len(by))) - asked, asked)], names=["u", "w", "c", "asked"])
@@ -97,10 +107,10 @@ def _pairs_counted(batches: Iterator[pa.RecordBatch], ranks: Near) -> Iterator[p
         held.append((_before(codes, at, end), codes, np.repeat(b.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))))
         size += len(h)
         if size >= HELD:
-            yield report()
-            held, size = [], 0
+            yield from _cut(report())
+            size = 0
     if held:
-        yield report()
+        yield from _cut(report())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +352,6 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "u", "w", "k"])
 
     doc_type = _SETTLED.format(id=id_type).split(", log")[0]
-    rows = docs.mapInArrow(shipped, f"{doc_type}, u long, w long, k long")
-    rows = rows.join(known.select("u", "w", "seen"), ["u", "w"], "left").select("row", "doc", "u", "w", "k", "seen")
-
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums the pairs of frequent words by text; texts' own rows and other pairs pass."""
         count, tables, base = held.value[0]
@@ -375,15 +382,9 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
         if sums:
             yield report()
 
-    done = materialise(rows.mapInArrow(settled, _SETTLED.format(id=id_type)), "settled")
-    del rows
-    released(spark)
     # pairs of a rarer word: what the model says of it is joined, of frequent ones looked up
-    rare = done.where("k is not null").select("row", "u", "w", "k", "seen")
     of_u = says.where("code < 0").select(F.col("code").alias("u"), F.col("c").alias("n"), *TABLES)
     of_w = says.where("code < 0").select(F.col("code").alias("w"), "c", *BASES)
-    rare = rare.where("u < 0").join(of_u, "u", "left").unionByName(rare.where("u >= 0"), allowMissingColumns=True)
-    rare = rare.where("w < 0").join(of_w, "w", "left").unionByName(rare.where("w >= 0"), allowMissingColumns=True)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, tables, base = held.value[0]
@@ -399,20 +400,43 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(z) for z in out], names=["row", "log", "base", "known"])
 
     model_new = model.new
-    sums = rare.select("row", "u", "w", "k", "seen", "n", "c", *TABLES, *BASES).mapInArrow(told, "row long, log double, base double, known long")
-    sums = sums.unionByName(done.where("log is not null").select("row", "log"), allowMissingColumns=True)
-    sums = sums.groupBy("row").agg(*(F.sum(x).alias(f"more_{x}") for x in ("log", "base", "known")))
-    out = done.where("doc is not null").select("row", "doc.*").join(sums, "row", "left")
     more = lambda x: F.coalesce(f"more_{x}", F.lit(0))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + more("known")).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + more("base")).alias("base_score"),
-        (F.col("model") + more("log")).alias("score"),
-    )
+
+    def scored(part: DataFrame) -> DataFrame:
+        rows = part.mapInArrow(shipped, f"{doc_type}, u long, w long, k long")
+        rows = rows.join(known.select("u", "w", "seen"), ["u", "w"], "left").select("row", "doc", "u", "w", "k", "seen")
+        done = materialise(rows.mapInArrow(settled, _SETTLED.format(id=id_type)), "settled")
+        del rows
+        released(spark)
+        rare = done.where("k is not null").select("row", "u", "w", "k", "seen")
+        rare = rare.where("u < 0").join(of_u, "u", "left").unionByName(rare.where("u >= 0"), allowMissingColumns=True)
+        rare = rare.where("w < 0").join(of_w, "w", "left").unionByName(rare.where("w >= 0"), allowMissingColumns=True)
+        sums = rare.select("row", "u", "w", "k", "seen", "n", "c", *TABLES, *BASES).mapInArrow(told, "row long, log double, base double, known long")
+        sums = sums.unionByName(done.where("log is not null").select("row", "log"), allowMissingColumns=True)
+        sums = sums.groupBy("row").agg(*(F.sum(x).alias(f"more_{x}") for x in ("log", "base", "known")))
+        out = done.where("doc is not null").select("row", "doc.*").join(sums, "row", "left")
+        out = materialise(
+            out.select(
+                "doc_id",
+                "held_out",
+                "n_tokens",
+                (F.col("n_known") + more("known")).alias("n_known"),
+                F.lit(n).cast("long").alias("train_tokens"),
+                (F.col("base") + more("base")).alias("base_score"),
+                (F.col("model") + more("log")).alias("score"),
+            ),
+            "scores",
+        )
+        dropped(done)
+        return out
+
+    scores = None
+    for i in range(SLICES):
+        part = scored(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == i))
+        released(spark)
+        scores = part if scores is None else scores.unionByName(part)
+    dropped(known, says)
+    return scores
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -486,6 +486,36 @@ def test_lm_probabilities_sum_to_one(spark):
     assert all(p[10 + i] < p[i] for i in range(10))
 
 
+def test_lm_parts_score_alike(spark, monkeypatch):
+    """Texts scored part by part have the scores that they have at once; null ids and repeated
+    rows stay, and a part's tables are gone before the next one's are written."""
+    monkeypatch.setattr(lm, "BROADCAST", 3)
+    docs = [(None if i % 9 == 0 else i, " ".join(f"w{(i * j) % 7}" for j in range(1, 8))) for i in range(30)] + [(4, None), (5, "w1 new")]
+    docs = spark.createDataFrame(docs + docs[3:5], "doc_id long, text string")
+    live, most, write, drop = set(), [], lm.materialise, lm.dropped
+
+    def written(df, name):
+        out = write(df, name)
+        live.update((out,) if name == "settled" else ())
+        most.append(len(live))
+        return out
+
+    def gone(*tables):
+        live.difference_update(tables)
+        drop(*tables)
+
+    def scores(parts):
+        monkeypatch.setattr(lm, "SLICES", parts)
+        rows = lm.score(docs, F.col("doc_id") % 5 == 1).collect()
+        return sorted(((r["doc_id"] or -1, r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in rows))
+
+    monkeypatch.setattr(lm, "materialise", written)
+    monkeypatch.setattr(lm, "dropped", gone)
+    want = scores(1)
+    assert len(want) == 34 and scores(3) == want
+    assert max(most) == 1 and not live
+
+
 @pytest.mark.parametrize("few", [100_000, 3])
 def test_lm_learns_contexts_of_rare_words(spark, monkeypatch, few):
     """1,500 words of equal frequency, each always followed by the same one: every context
