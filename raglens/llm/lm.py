@@ -16,9 +16,13 @@ not, those of all words sum to one.
 
 A word's code is its rank if it is among the most frequent ones, else its hash, made negative.
 Broadcast are what the model says of the most frequent words and pairs (both bounded);
-everything else, which grows with the corpus, meets its occurrences in a join. The occurrences
-are shuffled once, by pair; a pair of a training text that isn't kept occurs once. Texts are
-scored in SLICES parts by their id, so that the files of one part at a time are on the disks.
+everything else, which grows with the corpus, is dealt into buckets of about DEALT bytes of text
+each: a pair goes with its preceding word if that is rare, else with its word if that is, else
+by both. A task sends a bucket all that it has for it as one row of arrays. Pairs are counted by
+bucket, and asked for by bucket, which answers a chunk of texts with a sum for each text; only
+words after a rare word that are rare themselves meet a join after that. A pair of a training
+text that isn't kept occurs once. Texts are scored in SLICES parts by their id, so that the
+files of one part at a time are on the disks.
 
 Defined results: a null text is empty, which leaves the end token. Without training rows
 every count is 0. Rows with a null id are scored and not learned from. Repeated rows are
@@ -31,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +43,12 @@ from raglens.llm.common import binary_texts, dropped, materialise, mix, released
 
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Words, and pairs of words, that are broadcast; all others are joined.
-BROADCAST, PAIRS = 1 << 18, 1 << 19
+#: Bits of the rank of a frequent word.
+RANK = 18
+#: Words, and pairs of words, that are broadcast; all others are dealt into buckets.
+BROADCAST, PAIRS = 1 << RANK, 1 << 19
+#: Bytes of text, of all texts, for each bucket of pairs.
+DEALT = 1 << 22
 #: Discount and strength of the context restaurants and of their parent.
 CONTEXT, PARENT = (0.75, 1.0), (0.5, 1.0)
 SWEEPS, BURN_IN = 6, 2
@@ -48,9 +57,9 @@ ONE_BY_ONE = 1024
 #: Dishes that are seated together, in one pass over their customers.
 SEATED = 1 << 18
 #: Parts of the texts that are scored one after the other; a part's shuffles go before the next.
-SLICES = 4
-#: Distinct words that a counting task holds before it reports them.
-HELD = 1 << 21
+SLICES = 1
+#: Tokens that a task holds before it reports them.
+HELD = 1 << 20
 
 
 def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,35 +91,152 @@ def _codes(h: np.ndarray, ranks: Near) -> np.ndarray:
     return np.where(met, rank.astype(np.int64), signed(h | np.uint64(1 << 63)))
 
 
-def _cut(b: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """A large batch in pieces: the executor takes each as a whole, outside its heap."""
-    for s in range(0, b.num_rows, rows):
-        yield b.slice(s, rows)
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys start."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    return np.flatnonzero(new)
 
 
-def _pairs_counted(batches: Iterator[pa.RecordBatch], ranks: Near) -> Iterator[pa.RecordBatch]:
-    """u, w, c (occurrences in training texts), asked (in others) of each pair of codes."""
+def _bucket(u: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each pair of codes; that of a rare word u is the bucket of (u, u)."""
+    key = np.where(u < 0, u, np.where(w < 0, w, u << RANK | w))
+    return (mix(key.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _blobs(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values: the rows of x, cut at `at`."""
+    x = np.ascontiguousarray(x)
+    size = x.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * size).astype(np.int32)), pa.py_buffer(x)])
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All values of a column of _blobs(), one after the other."""
+    parts = [np.zeros(0, np.uint8)]
+    for c in column.chunks:
+        if len(c):
+            at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else parts[0])
+    return np.concatenate(parts).view(kind)
+
+
+def _steps(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ascending numbers, cut at `at`, as steps, which take less room; _rows() has them again."""
+    out = np.diff(row, prepend=0)
+    out[at[:-1]] = row[at[:-1]]
+    return out.astype(np.uint32)
+
+
+def _rows(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and of which value of the column each is."""
+    step = _flat(column, np.uint32).astype(np.int64)
+    m = pc.binary_length(column).to_numpy() // 4
+    own, at = np.repeat(np.arange(len(m)), m), np.cumsum(m) - m
+    total = np.cumsum(step)
+    return total - np.repeat((total - step)[at[m > 0]], m[m > 0]), own
+
+
+def _halves(key: np.ndarray) -> dict[str, np.ndarray]:
+    return {"low": key.astype(np.uint32), "high": (key >> np.uint64(32)).astype(np.uint8)}
+
+
+def _keys(rows: pa.Table) -> np.ndarray:
+    return _flat(rows["low"], np.uint32).astype(np.uint64) | _flat(rows["high"], np.uint8).astype(np.uint64) << np.uint64(32)
+
+
+def _sent(names: list[str], at: np.ndarray, bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket: its part, cut at `at`, of each column."""
+    kind = pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]].astype(np.int64)), *(_blobs(columns[x], at) if x in columns else pa.nulls(len(at) - 1, kind) for x in names)], names=["bucket", *names])
+
+
+def _dealt(names: list[str], bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """As _sent(), of columns in any order; that of a bucket's rows stays."""
+    by = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+    bucket = bucket[by]
+    at = np.append(_starts(bucket), len(bucket))
+    columns = {x: y[by] for x, y in columns.items()}
+    if "row" in columns:
+        columns["row"] = _steps(columns["row"], at)
+    return _sent(names, at, bucket, **columns)
+
+
+def _given(rows: pa.Table, *names: str, none: tuple[str, ...] = ()) -> pa.Table:
+    """The rows that have all of these columns, and not those of `none`."""
+    for x in names:
+        rows = rows.filter(pc.is_valid(rows[x]))
+    for x in none:
+        rows = rows.filter(pc.is_null(rows[x]))
+    return rows
+
+
+#: Columns of counted pairs (frequent words: low, high; else u, w), and of what the model says.
+_COUNTS = ["low", "high", "u", "w", "c", "asked"]
+_SAYS = ["low", "high", "u", "w", "seen", "says"]
+
+
+def _binaries(names: list[str]) -> str:
+    return ", ".join(f"{x} binary" for x in names)
+
+
+def _pairs_counted(batches: Iterator[pa.RecordBatch], ranks: Near, buckets: int) -> Iterator[pa.RecordBatch]:
+    """By bucket: c (occurrences in training texts), asked (in others) of each pair of codes."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
-    def report() -> pa.RecordBatch:
+    def report() -> Iterator[pa.RecordBatch]:
         u, w, out = (np.concatenate([x[i] for x in held]) for i in range(3))
         held.clear()
-        by, new = _grouped(w, u)
-        asked = np.add.reduceat(out[by].astype(np.int64), new) if len(new) else out.astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u[by][new], w[by][new], np.diff(np.append(new, len(by))) - asked, asked)], names=["u", "w", "c", "asked"])
+        bucket = _bucket(u, w, buckets)
+        near = (u >= 0) & (w >= 0)
+        # bucket, pair and whether it is asked for in one number
+        joint = bucket[near] << np.uint64(2 * RANK + 1) | (u[near] << (RANK + 1) | w[near] << 1).view(np.uint64) | out[near]
+        joint.sort()
+        pair = joint >> np.uint64(1)
+        new = _starts(pair)
+        if len(new):
+            asked = np.add.reduceat(joint & np.uint64(1), new).astype(np.uint32)
+            c = np.diff(np.append(new, len(pair))).astype(np.uint32) - asked
+            pair = pair[new]
+            b = pair >> np.uint64(2 * RANK)
+            yield _sent(_COUNTS, np.append(_starts(b), len(b)), b, c=c, asked=asked, **_halves(pair & np.uint64((1 << 2 * RANK) - 1)))
+        u, w, out, bucket = (x[~near] for x in (u, w, out, bucket))
+        by, new = _grouped(w, u, bucket)
+        if len(new):
+            asked = np.add.reduceat(out[by], new).astype(np.uint32)
+            c = np.diff(np.append(new, len(by))).astype(np.uint32) - asked
+            u, w, b = (x[by][new] for x in (u, w, bucket))
+            yield _sent(_COUNTS, np.append(_starts(b), len(b)), b, c=c, asked=asked, u=u, w=w)
 
     for b in text_slices(batches, "text"):
         h, at = token_hashes(binary_texts(b.column("text")))
         codes = _codes(h, ranks)
         end = _codes(np.array([END]), ranks)[0]
-        held.append((_before(codes, at, end), codes, np.repeat(b.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))))
+        held.append((_before(codes, at, end), codes, np.repeat(b.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(at))))
         size += len(h)
         if size >= HELD:
-            yield from _cut(report())
+            yield from report()
             size = 0
     if held:
-        yield from _cut(report())
+        yield from report()
+
+
+def _pairs_merged(counts: pa.Table) -> pa.Table:
+    """u, w, c of a bucket's pairs that occur more than once, or once where other texts ask for them."""
+    near, rare = _given(counts, "low"), _given(counts, "u")
+    out = []
+    for rows, keys in ((near, (_keys(near),)), (rare, (_flat(rare["w"], np.int64), _flat(rare["u"], np.int64)))):
+        c, asked = (_flat(rows[x], np.uint32).astype(np.int64) for x in ("c", "asked"))
+        by = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])
+        keys = [k[by] for k in keys]
+        new = _starts(*keys)
+        if len(new):
+            c, asked = np.add.reduceat(c[by], new), np.add.reduceat(asked[by], new)
+            keep = (c > 1) | (c == 1) & (asked > 0)
+            w, u = (k[new][keep].astype(np.int64) for k in (keys if len(keys) > 1 else (keys[0] & np.uint64((1 << RANK) - 1), keys[0] >> np.uint64(RANK))))
+            out.append(pa.table({"u": u, "w": w, "c": c[keep]}))
+    return pa.concat_tables(out)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +381,6 @@ def sample(many: DataFrame, vocab: DataFrame, v: int, ones: int, seed: int = 11)
         each = state.groupBy("w").agg(F.sum("t").alias("more"))
         words = words.join(each, "w", "left").withColumns({"r": F.col("n1") + F.coalesce("more", F.lit(0)), "root": F.lit(root_total).cast("long"), "flat": F.lit(1.0 / (v + 1))}).drop("more")
         words = materialise(words.mapInArrow(seated(sweep, 1, ("r", "top", "root", "flat")), words.schema), "words")
-        before.append(words)
         facts = words.agg(F.sum("r").alias("r"), F.sum("top").alias("t")).first()
         r, root_total = int(facts["r"] or 0) + ones, int(facts["t"] or 0) + ones
         left = (PARENT[1] + PARENT[0] * root_total) / (v + 1)
@@ -266,7 +391,7 @@ def sample(many: DataFrame, vocab: DataFrame, v: int, ones: int, seed: int = 11)
             words, contexts = words.withColumn(BASES[keep], F.col("p")), contexts.withColumn(TABLES[keep], F.col("total"))
             once.append((1 - PARENT[0] + left) / (PARENT[1] + r))
             new.append(left / (PARENT[1] + r))
-        words, contexts = materialise(words, "words"), materialise(contexts, "contexts")
+        contexts = materialise(contexts, "contexts")
         dropped(*before)
         released(many.sparkSession)
     pairs = state.select("u", "w", "c", (F.col("c") - d * F.col("kept") / float(SWEEPS - BURN_IN)).alias("seen"))
@@ -280,12 +405,26 @@ def logs(seen: np.ndarray, n: np.ndarray, tables: np.ndarray, base: np.ndarray)
     return np.log10((seen + ((theta + d * tables) * base).mean(axis=1)) / (theta + n))
 
 
-_SETTLED = "row long, doc struct<doc_id: {id}, held_out: boolean, n_tokens: long, n_known: long, base: double, model: double>, log double, u long, w long, k long, seen double"
+#: Of texts (doc), of what a bucket answers a chunk of texts, and of words that are still to be met.
+_SETTLED = "chunk long, place long, doc struct<doc_id: {id}, held_out: boolean, n_tokens: long, n_known: long, base: double, model: double>, row binary, log binary, base binary, known binary, w long, seen double, n long, " + ", ".join(f"{x} double" for x in TABLES)
+_SCORES = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _summed(row: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    by, new = _grouped(row)
-    return (row[by][new], *(np.add.reduceat(x[by], new) if len(new) else x for x in values))
+def _filled(schema: pa.Schema, **columns: pa.Array | np.ndarray) -> pa.Table:
+    """A table of that schema; columns that aren't given are null."""
+    columns = {x: y if isinstance(y, (pa.Array, pa.ChunkedArray)) else pa.array(y, schema.field(x).type) for x, y in columns.items()}
+    n = len(next(iter(columns.values())))
+    return pa.table([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _by_text(chunks: pa.ChunkedArray, own: np.ndarray, row: np.ndarray, **values: np.ndarray) -> dict[str, pa.Array | pa.ChunkedArray]:
+    """The values summed by text, as one row for each of the chunks; own: which of them."""
+    new = _starts(own, row)
+    at = np.searchsorted(own[new], np.arange(len(chunks) + 1))
+    keep = np.flatnonzero(np.diff(at))
+    at = np.append(at[keep], len(new))
+    sums = {x: _blobs(np.add.reduceat(y, new) if len(new) else y, at) for x, y in values.items()}
+    return {"chunk": chunks.take(pa.array(keep)), "row": _blobs(_steps(row[new], at), at)} | sums
 
 
 def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -305,9 +444,10 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
 
     vocab = materialise(counted.mapInArrow(coded, "code long, c long"), "vocab")
     dropped(counted)
-    pairs = docs.select("text", "held_out").mapInArrow(lambda batches: _pairs_counted(batches, ranks.value), "u long, w long, c long, asked long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("asked").alias("asked"))
-    # pairs that occur once are kept where other texts ask for them
-    pairs = materialise(pairs.where("c > 1 or c = 1 and asked > 0").select("u", "w", "c"), "pairs")
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.lit(0)).alias("n")).first()["n"]
+    buckets = size // DEALT + 1
+    pairs = docs.select("text", "held_out").mapInArrow(lambda batches: _pairs_counted(batches, ranks.value, buckets), f"bucket long, {_binaries(_COUNTS)}")
+    pairs = materialise(pairs.groupBy("bucket").applyInArrow(_pairs_merged, "u long, w long, c long"), "pairs")
     released(spark)
     model = sample(pairs.where("c > 1"), vocab, v, ones)
     known = materialise(model.pairs.unionByName(pairs.where("c = 1").select("u", "w", "c", F.lit(1.0 - CONTEXT[0]).alias("seen"))), "known")
@@ -316,25 +456,48 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
     says = materialise(says.select("code", "c", *(F.coalesce(x, "c").alias(x) for x in TABLES), *(F.coalesce(x, F.lit(p)).alias(x) for x, p in zip(BASES, model.once))), "says")
     dropped(vocab, model.contexts, model.words)
     near = _collected(says.where("code >= 0").orderBy("code"))
-    top = _collected(known.where("u >= 0 and w >= 0").orderBy(F.desc("c"), "u", "w").limit(PAIRS).select("u", "w", "seen"))
+    often = known.where("u >= 0 and w >= 0")
+    by_count = often.groupBy("c").count().orderBy(F.desc("c")).collect()
+    cut, more = 2, 0
+    for r in by_count:  # how often pairs occur that are among the most frequent ones
+        cut, more = r["c"], more + r["count"]
+        if more >= PAIRS:
+            break
+    top = _collected(often.where(F.col("c") >= cut).orderBy(F.desc("c"), "u", "w").limit(PAIRS).select("u", "w", "seen"))
     of_near = near["c"], *(np.stack([near[x] for x in names], 1).astype(float) for names in (TABLES, BASES))
     held = spark.sparkContext.broadcast((of_near, Near.of(top, ["u", "w"], "seen")))
     base_of = float(np.log10(n + 0.5 * (v + 1)))
     id_type = dict(docs.dtypes)["doc_id"]
 
+    doc_names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "model"]
+
     def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of texts (doc) and of their pairs; row: the text's number, odd if held out."""
+        """Rows of texts (doc, at their place in the chunk), and by bucket their pairs that aren't
+        broadcast; row: twice the place, odd if held out."""
         from pyspark import TaskContext
 
         (count, tables, base), pairs = held.value
-        at_row = TaskContext.get().partitionId() << 40
+        names = ["row", "low", "high", "u", "w"]
+        chunk = TaskContext.get().partitionId() << 32
         end = _codes(np.array([END]), ranks.value)[0]
+        waiting: list[tuple[np.ndarray, ...]] = []
+        place = size = 0
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            row, u, w = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            bucket, near = _bucket(u, w, buckets), (u >= 0) & (w >= 0)
+            common = _dealt(names, bucket[near], row=row[near], **_halves((u[near] << RANK | w[near]).view(np.uint64)))
+            rare = _dealt(names, bucket[~near], row=row[~near], u=u[~near], w=w[~near])
+            for b in (common, rare):
+                m = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(m, chunk)), pa.nulls(m, pa.int64()), pa.nulls(m, doc_type), *b.columns[1:]], names=["bucket", "chunk", "place", "doc", *names])
+
         for b in text_slices(batches, "text"):
             h, at = token_hashes(binary_texts(b.column("text")))
             w = _codes(h, ranks.value)
-            u, own = _before(w, at, end), np.repeat(np.arange(b.num_rows), np.diff(at))
-            row = at_row + 2 * np.arange(b.num_rows) + b.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
-            at_row += 2 * b.num_rows
+            u, m = _before(w, at, end), b.num_rows
+            out = b.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
             common = w >= 0
             part = np.zeros(len(w))
             part[common] = np.log10(count[w[common]] + 0.5)
@@ -342,91 +505,119 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
             log = np.zeros(len(w))
             log[met] = logs(seen[met], count[u[met]], tables[u[met]], base[w[met]])
             sums = [np.add.reduceat(x, at[:-1]) for x in (common.astype(np.int64), part, log)]
-            doc = pa.StructArray.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1] - base_of * np.diff(at)), pa.array(sums[2])], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model"])
-            by, new = _grouped(w[~met], u[~met], own[~met])
-            x = [y[~met][by][new] for y in (u, w, own)]
-            none = lambda kind, m: pa.nulls(m, kind)
-            m = len(new)
-            # a text's own row is dealt by its number and meets no pair, as it has no word
-            for cols in ([pa.array(row), doc, pa.array(signed(mix(row.view(np.uint64)))), none(pa.int64(), len(row)), none(pa.int64(), len(row))], [pa.array(row[x[2]]), none(doc.type, m), pa.array(x[0]), pa.array(x[1]), pa.array(np.diff(np.append(new, len(by))))]):
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc", "u", "w", "k"])
-
-    doc_type = _SETTLED.format(id=id_type).split(", log")[0]
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums the pairs of frequent words by text; texts' own rows and other pairs pass."""
+            doc = pa.StructArray.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.diff(at)), pa.array(sums[0]), pa.array(sums[1] - base_of * np.diff(at)), pa.array(sums[2])], names=doc_names)
+            doc_type = doc.type
+            places = place + np.arange(m)
+            to = _bucket(-1 - (chunk + places), places, buckets).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(m, chunk)), pa.array(places), doc, *(pa.nulls(m, pa.binary()) for _ in names)], names=["bucket", "chunk", "place", "doc", *names])
+            waiting.append((np.repeat(2 * places + out, np.diff(at))[~met], u[~met], w[~met]))
+            place, size = place + m, size + len(waiting[-1][0])
+            if size >= HELD or place >= HELD:
+                yield from asked()
+                chunk, place, size = chunk + 1, 0, 0
+        if waiting:
+            yield from asked()
+
+    once, unseen = model.once, model.new
+
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By bucket: the pairs of the model, with `seen`."""
+        for b in _joined(batches, HELD):
+            u, w, seen = (b.column(x).to_numpy() for x in ("u", "w", "seen"))
+            bucket, near = _bucket(u, w, buckets), (u >= 0) & (w >= 0)
+            yield _dealt(_SAYS, bucket[near], seen=seen[near], **_halves((u[near] << RANK | w[near]).view(np.uint64)))
+            yield _dealt(_SAYS, bucket[~near], seen=seen[~near], u=u[~near], w=w[~near])
+
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By bucket: what the model says of rarer words; only their codes if they occur once."""
+        for b in _joined(batches, SEATED):
+            u = b.column("code").to_numpy()
+            says = np.stack([b.column(x).to_numpy().astype(float) for x in ("c", *TABLES, *BASES)], 1)
+            bucket, many = _bucket(u, u, buckets), says[:, 0] > 1
+            yield _dealt(_SAYS, bucket[many], u=u[many], says=says[many])
+            yield _dealt(_SAYS, bucket[~many], u=u[~many])
+
+    def answered(texts: pa.Table, model: pa.Table) -> pa.Table:
+        """Of a bucket: what its pairs add to each text's score; texts' own rows pass."""
         count, tables, base = held.value[0]
-        sums: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def report() -> pa.RecordBatch:
-            row, log = _summed(*(np.concatenate(x) for x in zip(*sums)))
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), doc), pa.array(log), *(pa.nulls(len(row), pa.int64()) for _ in range(3)), pa.nulls(len(row), pa.float64())], names=names)
-
-        names = ["row", "doc", "log", "u", "w", "k", "seen"]
-        for b in batches:
-            row, u, w, k, seen = (b.column(x).fill_null(0).to_numpy(zero_copy_only=False) for x in ("row", "u", "w", "k", "seen"))
-            doc = b.column("doc").type
-            never = b.column("seen").is_null().to_numpy(zero_copy_only=False)
-            seen = np.where(never, np.where(row & 1, 0.0, 1.0 - CONTEXT[0]), seen)
-            own = b.column("k").is_null().to_numpy(zero_copy_only=False)
-            ready = ~own & (u >= 0) & (w >= 0)
-            x, y = u[ready], w[ready]
-            sums.append((row[ready], k[ready] * logs(seen[ready], count[x], tables[x], base[y])))
-            size += len(x)
-            rest = pa.array(~ready)
-            keep = [b.column("row"), b.column("doc"), pa.nulls(b.num_rows, pa.float64()), b.column("u"), b.column("w"), b.column("k"), pa.array(seen)]
-            yield pa.RecordBatch.from_arrays([c.filter(rest) for c in keep], names=names)
-            if size >= HELD:
-                yield report()
-                sums, size = [], 0
-        if sums:
-            yield report()
+        docs = _given(texts, "doc")
+        kinds = {"chunk": pa.int64(), "place": pa.int64(), "doc": texts.schema.field("doc").type} | dict.fromkeys(("row", "log", "base", "known"), pa.binary()) | {"w": pa.int64(), "seen": pa.float64(), "n": pa.int64()} | dict.fromkeys(TABLES, pa.float64())
+        schema = pa.schema(list(kinds.items()))
+        out = [_filled(schema, chunk=docs["chunk"], place=docs["place"], doc=docs["doc"])]
+        first = lambda row: np.where(row & 1, 0.0, 1.0 - CONTEXT[0])  # noqa: E731  of a pair that isn't kept
+
+        ask, known = _given(texts, "low"), _given(model, "low")
+        key, (row, own) = _keys(ask), _rows(ask["row"])
+        if len(key):
+            pairs = Near.of({"key": _keys(known).view(np.int64), "seen": _flat(known["seen"], np.float64)}, ["key"], "seen")
+            log = np.empty(len(key))
+            for s in range(0, len(key), SEATED):
+                k = key[s : s + SEATED]
+                met, seen = pairs.look(k)
+                u, w = (k >> np.uint64(RANK)).view(np.int64), (k & np.uint64((1 << RANK) - 1)).view(np.int64)
+                log[s : s + SEATED] = logs(np.where(met, seen, first(row[s : s + SEATED])), count[u], tables[u], base[w])
+            out.append(_filled(schema, **_by_text(ask["chunk"], own, row, log=log)))
+
+        ask, known = _given(texts, "u"), _given(model, "w")
+        u, w, (row, own) = _flat(ask["u"], np.int64), _flat(ask["w"], np.int64), _rows(ask["row"])
+        if len(u):
+            pairs = Near.of({"u": _flat(known["u"], np.int64), "w": _flat(known["w"], np.int64), "seen": _flat(known["seen"], np.float64)}, ["u", "w"], "seen")
+            many, single = _given(model, "says"), _flat(_given(model, "u", none=("w", "says"))["u"], np.int64)
+            of_once = [1.0, *(1.0 for _ in TABLES), *once]
+            says = np.concatenate([_flat(many["says"], np.float64).reshape(-1, len(of_once)), np.tile(of_once, (len(single), 1)), [[0.0, *(0.0 for _ in TABLES), *unseen]]])
+            words = Near.of({"code": np.concatenate([_flat(many["u"], np.int64), single]), "at": np.arange(len(says) - 1)}, ["code"], "at")
+            at = lambda code: (lambda met, x: np.where(met, x, len(says) - 1).astype(np.int64))(*words.look(code.view(np.uint64)))
+            met, seen = pairs.look(u.view(np.uint64), w.view(np.uint64))
+            seen = np.where(met, seen, first(row))
+            of_u, of_w, k = says[at(u)], says[at(w)], len(TABLES)
+            n, t, c, p = of_u[:, 0], of_u[:, 1 : 1 + k], of_w[:, 0], of_w[:, 1 + k :]
+            x, y = u >= 0, w >= 0
+            n[x], t[x], p[y] = count[u[x]], tables[u[x]], base[w[y]]
+            both = ~x & ~y
+            one = ~both
+            part, is_known = np.where(y, 0.0, np.log10(c + 0.5)), (~y & (c > 0)).astype(np.int64)
+            out.append(_filled(schema, **_by_text(ask["chunk"], own[one], row[one], log=logs(seen, n, t, p)[one], base=part[one], known=is_known[one])))
+            chunks = ask["chunk"].to_numpy()
+            out.append(_filled(schema, chunk=chunks[own[both]], place=row[both] >> 1, w=w[both], seen=seen[both], n=n[both].astype(np.int64), **{name: t[both, i] for i, name in enumerate(TABLES)}))
+        return pa.concat_tables(out)
 
-    # pairs of a rarer word: what the model says of it is joined, of frequent ones looked up
-    of_u = says.where("code < 0").select(F.col("code").alias("u"), F.col("c").alias("n"), *TABLES)
     of_w = says.where("code < 0").select(F.col("code").alias("w"), "c", *BASES)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, tables, base = held.value[0]
+        """What rare words after rare words add to their texts' scores."""
         for b in batches:
             get = lambda x: b.column(x).fill_null(0).to_numpy(zero_copy_only=False)
-            row, u, w, k, seen, n, c = map(get, ("row", "u", "w", "k", "seen", "n", "c"))
-            n, t = n.astype(np.int64), np.stack([get(x) for x in TABLES], 1).astype(float)
-            p = np.stack([b.column(x).fill_null(y).to_numpy(zero_copy_only=False) for x, y in zip(BASES, model_new)], 1)
-            x, y = u >= 0, w >= 0
-            n[x], t[x], p[y] = count[u[x]], tables[u[x]], base[w[y]]
-            part = np.where(y, 0.0, np.log10(c + 0.5))
-            out = _summed(row, k * logs(seen, n, t, p), k * part, np.where(~y & (c > 0), k, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in out], names=["row", "log", "base", "known"])
-
-    model_new = model.new
-    more = lambda x: F.coalesce(f"more_{x}", F.lit(0))
+            seen, n, c = map(get, ("seen", "n", "c"))
+            t = np.stack([get(x) for x in TABLES], 1)
+            p = np.stack([b.column(x).fill_null(y).to_numpy(zero_copy_only=False) for x, y in zip(BASES, unseen)], 1)
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("place"), pa.array(logs(seen, n, t, p)), pa.array(np.log10(c + 0.5)), pa.array((c > 0).astype(np.int64))], names=["chunk", "place", "one_log", "one_base", "one_known"])
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        """A chunk's texts with their sums."""
+        docs, some, single = _given(rows, "doc"), _given(rows, "row"), _given(rows, "one_log")
+        m, place = docs.num_rows, docs["place"].to_numpy()
+        sums = {}
+        for name in ("log", "base", "known"):
+            kind = np.int64 if name == "known" else np.float64
+            part = _given(some, name)
+            at = np.concatenate([_rows(part["row"])[0] >> 1, single["place"].to_numpy()])
+            sums[name] = np.bincount(at, np.concatenate([_flat(part[name], kind), single[f"one_{name}"].to_numpy()]), m)[place] if m else np.zeros(0)
+        get = lambda x: pc.struct_field(docs["doc"], x)
+        return pa.table({"doc_id": get("doc_id"), "held_out": get("held_out"), "n_tokens": get("n_tokens"), "n_known": get("n_known").to_numpy() + sums["known"].astype(np.int64), "train_tokens": np.full(m, n, np.int64), "base_score": get("base").to_numpy() + sums["base"], "score": get("model").to_numpy() + sums["log"]})
+
+    doc = _SETTLED.format(id=id_type).split(", row binary")[0]
+    spoken_of = known.select("u", "w", "seen").mapInArrow(spoken, f"bucket long, {_binaries(_SAYS)}").unionByName(says.where("code < 0").mapInArrow(said, f"bucket long, {_binaries(_SAYS)}"))
 
     def scored(part: DataFrame) -> DataFrame:
-        rows = part.mapInArrow(shipped, f"{doc_type}, u long, w long, k long")
-        rows = rows.join(known.select("u", "w", "seen"), ["u", "w"], "left").select("row", "doc", "u", "w", "k", "seen")
-        done = materialise(rows.mapInArrow(settled, _SETTLED.format(id=id_type)), "settled")
+        rows = part.mapInArrow(shipped, f"bucket long, {doc}, {_binaries(['row', 'low', 'high', 'u', 'w'])}")
+        rows = rows.groupBy("bucket").cogroup(spoken_of.groupBy("bucket")).applyInArrow(answered, _SETTLED.format(id=id_type))
+        done = materialise(rows, "settled")
         del rows
         released(spark)
-        rare = done.where("k is not null").select("row", "u", "w", "k", "seen")
-        rare = rare.where("u < 0").join(of_u, "u", "left").unionByName(rare.where("u >= 0"), allowMissingColumns=True)
-        rare = rare.where("w < 0").join(of_w, "w", "left").unionByName(rare.where("w >= 0"), allowMissingColumns=True)
-        sums = rare.select("row", "u", "w", "k", "seen", "n", "c", *TABLES, *BASES).mapInArrow(told, "row long, log double, base double, known long")
-        sums = sums.unionByName(done.where("log is not null").select("row", "log"), allowMissingColumns=True)
-        sums = sums.groupBy("row").agg(*(F.sum(x).alias(f"more_{x}") for x in ("log", "base", "known")))
-        out = done.where("doc is not null").select("row", "doc.*").join(sums, "row", "left")
-        out = materialise(
-            out.select(
-                "doc_id",
-                "held_out",
-                "n_tokens",
-                (F.col("n_known") + more("known")).alias("n_known"),
-                F.lit(n).cast("long").alias("train_tokens"),
-                (F.col("base") + more("base")).alias("base_score"),
-                (F.col("model") + more("log")).alias("score"),
-            ),
-            "scores",
-        )
+        rare = done.where("w is not null").select("chunk", "place", "w", "seen", "n", *TABLES).join(of_w, "w", "left")
+        rare = rare.mapInArrow(told, "chunk long, place long, one_log double, one_base double, one_known long")
+        sums = done.where("w is null").select("chunk", "place", "doc", "row", "log", "base", "known").unionByName(rare, allowMissingColumns=True)
+        out = materialise(sums.groupBy("chunk").applyInArrow(gathered, _SCORES.format(id=id_type)), "scores")
         dropped(done)
         return out
 

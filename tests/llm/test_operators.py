@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -516,6 +518,30 @@ def test_lm_parts_score_alike(spark, monkeypatch):
     assert max(most) == 1 and not live
 
 
+def test_lm_buckets_count_and_send_few_rows():
+    """Pairs of frequent and of rare words, counted by bucket in several chunks, are those that
+    a plain count finds; a task sends a row of arrays for each bucket, not one for each pair."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 400) % 900) for _ in range(60)]
+    held_out = [i % 5 == 1 for i in range(60)]
+    h, at = lm.token_hashes([t.encode() for t in texts])
+    often = np.unique(h)[:40]
+    ranks = lm.Near.of({"h": often.view(np.int64), "rank": np.arange(40)}, ["h"], "rank")
+    codes, end = lm._codes(h, ranks), lm._codes(np.array([lm.END]), ranks)[0]
+    c, asked = Counter(), Counter()
+    for i in range(60):
+        w = codes[at[i] : at[i + 1]].tolist()
+        (asked if held_out[i] else c).update(zip([int(end), *w], w))
+    want = {k: n for k, n in c.items() if n > 1 or asked[k]}
+    batch = pa.record_batch({"text": texts, "held_out": held_out})
+    sent = list(lm._pairs_counted((batch.slice(s, 20) for s in range(0, 60, 20)), ranks, 7))
+    counts = pa.Table.from_batches(sent)
+    assert counts.num_rows <= 2 * 7 < len(c) and {*counts["bucket"].to_pylist()} == {*range(7)}
+    got = [r for k in range(7) for r in lm._pairs_merged(counts.filter(pc.equal(counts["bucket"], k))).to_pylist()]
+    assert len(got) == len(want) and {(r["u"], r["w"]): r["c"] for r in got} == want
+    assert {(u < 0, w < 0) for u, w in want} == {(x, y) for x in (True, False) for y in (True, False)}
+
+
 @pytest.mark.parametrize("few", [100_000, 3])
 def test_lm_learns_contexts_of_rare_words(spark, monkeypatch, few):
     """1,500 words of equal frequency, each always followed by the same one: every context
