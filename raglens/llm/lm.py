@@ -259,9 +259,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield report()
 
 
-def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float, theta: float, rng: np.random.Generator, total: np.ndarray | int | None = None) -> np.ndarray:
+def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float, theta: float, rng: np.random.Generator, total: np.ndarray | int | None = None, key: np.ndarray | None = None) -> np.ndarray:
     """Seats the customers c of every dish anew, given the tables t of the others; returns
-    the tables of each dish. `total`: all tables of each dish's restaurant, else those of t."""
+    the tables of each dish. `total`: all tables of each dish's restaurant, else those of t.
+    With a `key` of each dish, single customers draw by it, wherever and beside whatever it is."""
     out = (c > 0).astype(np.int64)  # the first customer opens a table
     others = (t.sum() if total is None else total) - t
     j = 1
@@ -271,7 +272,10 @@ def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, d: float, theta: float,
         m = np.minimum(step, c[live] - j)
         opens = (theta + d * (others[live] + out[live])) * base[live]
         p = opens / (opens + np.maximum(j - d * out[live], 1e-9))
-        out[live] += rng.binomial(m, np.clip(p, 0.0, 1.0))
+        if key is not None and step == 1:
+            out[live] += (mix(key[live] + np.uint64(j)) >> np.uint64(11)) * 2.0**-53 < p
+        else:
+            out[live] += rng.binomial(m, np.clip(p, 0.0, 1.0))
         j += step
         live = live[c[live] > j]
     return np.minimum(out, c)
@@ -367,7 +371,11 @@ def sample(many: DataFrame, vocab: DataFrame, v: int, ones: int, seed: int = 11)
             rng = np.random.default_rng([seed, sweep, level, TaskContext.get().partitionId()])
             for b in _joined(batches, SEATED):
                 c, t, n, p = (b.column(x).to_numpy(zero_copy_only=False) for x in (count, tables, total, base))
-                yield b.set_column(b.schema.get_field_index(tables), tables, pa.array(seat(c, t, p, *strengths, rng, total=n)))
+                key = np.full(len(c), seed + 2 * sweep + level, np.uint64)
+                for x in ("u", "w")[level:]:
+                    key = mix(mix(key) + b.column(x).to_numpy(zero_copy_only=False).view(np.uint64))
+                key = mix(key)
+                yield b.set_column(b.schema.get_field_index(tables), tables, pa.array(seat(c, t, p, *strengths, rng, total=n, key=key)))
 
         return run
 

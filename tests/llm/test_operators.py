@@ -581,6 +581,14 @@ def test_seating_keeps_bounds():
     assert (t <= c).all() and (t[c > 0] >= 1).all() and t[0] == 0
 
 
+def test_seating_is_the_same_in_any_order():
+    rng = np.random.default_rng(0)
+    c, key, by = rng.integers(1, 60, 500), rng.integers(1, 1 << 62, 500).astype(np.uint64), rng.permutation(500)
+    one = lm.seat(c, np.ones(500, np.int64), np.full(500, 0.01), 0.75, 1.0, np.random.default_rng(1), total=500, key=key)
+    two = lm.seat(c[by], np.ones(500, np.int64), np.full(500, 0.01), 0.75, 1.0, np.random.default_rng(2), total=500, key=key[by])
+    assert (one[by] == two).all() and len(set(one)) > 2
+
+
 def test_lm_odd(odd, nothing):
     got = lm.score(odd, crc_mod("doc_id", 5) == 1).collect()
     assert len(got) == len(ODD) and all(np.isfinite(r["score"]) and r["n_tokens"] == len(words(t)) + 1 for r, (_, t) in zip(sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"])), sorted(ODD, key=lambda x: (x[0] is not None, x[0])), strict=True))
