@@ -8,7 +8,8 @@ A sweep of the Gibbs sampler runs over its rows in parallel: the customers of a
 are seated again, one after the other (a dish of very many customers in growing groups), given
 all other tables; the new tables are the parent's customers, which is seated in its turn. A
 row needs only its context's number of tables and its word's probability in the parent, so
-the rows of a large context are dealt over many tasks. A dish of one customer has one table in
+the rows of a large context are dealt over many tasks. Pairs of frequent words, which are most
+of all, are rows of arrays and find both in what is broadcast; those of rarer ones are joined. A dish of one customer has one table in
 every sweep, so pairs that occur once aren't kept: a word's occurrences less those of its kept
 pairs are its pairs that occur once. The predictive probabilities of the sweeps after the first
 ones are averaged, exactly, for pairs seen and not seen; for each preceding word, seen or
@@ -36,6 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,8 @@ SWEEPS, BURN_IN = 6, 2
 ONE_BY_ONE = 1024
 #: Dishes that are seated together, in one pass over their customers.
 SEATED = 1 << 18
+#: Frequent words whose sums a task sends as one row.
+TOGETHER = 1 << 12
 #: Parts of the texts that are scored one after the other; a part's shuffles go before the next.
 SLICES = 1
 #: Tokens that a task holds before it reports them.
@@ -317,12 +321,6 @@ class Near:
         return good, np.where(good, self.value[at], 0)
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """left join right by a code; the rows of the most frequent words meet a broadcast table."""
-    common, rare = F.col(key) >= 0, F.col(key) < 0
-    return left.where(common).join(F.broadcast(right.where(common)), key, how).unionByName(left.where(rare).join(right.where(rare), key, how))
-
-
 #: Names of what each kept sweep says of a word: its tables as a context, its probability in the parent.
 TABLES, BASES = ([f"{x}{i}" for i in range(SWEEPS - BURN_IN)] for x in "tb")
 
@@ -336,74 +334,232 @@ def _collected(rows: DataFrame) -> dict[str, np.ndarray]:
 @dataclass
 class Model:
     """pairs: u, w, c, seen (customers less the mean discount of their tables), those of c > 1;
-    contexts: u, TABLES, of those with such pairs (all others have a table for each customer);
-    words: w, BASES, of those that occur more than once; once and new: the BASES of words that
-    occur once and never."""
+    near: c, TABLES and BASES of the most frequent words, by rank; rare_contexts: u, TABLES of
+    the others, of those with such pairs (all others have a table for each customer);
+    rare_words: w, BASES of the others, of those that occur more than once; once and new: the
+    BASES of words that occur once and never."""
 
     pairs: DataFrame
-    contexts: DataFrame
-    words: DataFrame
+    near: dict[str, np.ndarray]
+    rare_contexts: DataFrame
+    rare_words: DataFrame
     once: list[float]
     new: list[float]
 
+    def _all(self, rare: DataFrame, code: str, names: list[str]) -> DataFrame:
+        near = pa.table({code: np.arange(len(self.near["c"])), **{x: self.near[x] for x in names}})
+        return rare.unionByName(rare.sparkSession.createDataFrame(near)) if near.num_rows else rare
+
+    @property
+    def contexts(self) -> DataFrame:
+        return self._all(self.rare_contexts, "u", TABLES)
+
+    @property
+    def words(self) -> DataFrame:
+        return self._all(self.rare_words, "w", BASES)
+
+
+#: Pairs of frequent words, many in one row of arrays.
+_SEATS = ["low", "high", "c", "t", "kept"]
+
+
+def _near_pair(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (key >> np.uint64(RANK)).view(np.int64), (key & np.uint64((1 << RANK) - 1)).view(np.int64)
+
+
+def _seats(key: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row: the pairs with their customers and tables."""
+    columns |= _halves(key)
+    return pa.RecordBatch.from_arrays([_blobs(columns[x], np.array([0, len(key)])) for x in _SEATS], names=_SEATS)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows u, w, c of pairs of frequent words as rows of arrays; each pair has one table."""
+    for b in _joined(batches, SEATED):
+        u, w, c = (b.column(x).to_numpy() for x in ("u", "w", "c"))
+        key = (u << RANK | w).view(np.uint64)
+        by = np.argsort(key)
+        yield _seats(key[by], c=c[by], t=np.ones(len(c), np.int64), kept=np.zeros(len(c), np.int64))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The pairs' keys, c, t and kept, row by row of _seats()."""
+    for b in batches:
+        for i in range(b.num_rows):
+            rows = pa.Table.from_batches([b.slice(i, 1)])
+            yield _keys(rows), *(_flat(rows[x], np.int64) for x in _SEATS[2:])
+
+
+def _summed(near: DataFrame, rare: DataFrame, size: int, name: str) -> DataFrame:
+    """side, part, sums: the column's sums by the pairs' first words (side 0) and second ones (1),
+    as many rows as tasks for each part of TOGETHER frequent words."""
+
+    def run(batches: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, size), np.int64)
+        for u, w, x in batches:
+            for side, code in enumerate((u, w)):
+                common = code >= 0
+                sums[side] += np.bincount(code[common], x[common], size).astype(np.int64)
+        for side in (0, 1):
+            starts = [s for s in range(0, size, TOGETHER) if sums[side, s : s + TOGETHER].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), side)), pa.array(np.array(starts, np.int64) // TOGETHER), pa.array([sums[side, s : s + TOGETHER].tobytes() for s in starts], pa.binary())], names=["side", "part", "sums"])
+
+    def of_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run((*_near_pair(key), {"c": c, "t": t}[name]) for key, c, t, _ in _unpacked(batches))
+
+    def of_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(tuple(b.column(i).to_numpy() for i in range(3)) for b in batches)
+
+    kind = "side long, part long, sums binary"
+    return near.mapInArrow(of_near, kind).unionByName(rare.select("u", "w", name).mapInArrow(of_rare, kind))
+
 
 def sample(many: DataFrame, vocab: DataFrame, v: int, ones: int, seed: int = 11) -> Model:
     """Fits the model to the pairs (u, w, c) of c > 1. vocab: code, c (how often the word
-    occurs, and as often is a word after it) of all v words; `ones` of them occur once."""
-    d, theta = CONTEXT
+    occurs, and as often is a word after it) of all v words; `ones` of them occur once. Pairs of
+    frequent words are seated by what is broadcast of these, and others meet their rarer words
+    in joins."""
+    spark, d = many.sparkSession, CONTEXT[0]
     count, own = F.count("*").alias("t"), F.sum("c").alias("m")
-    contexts = _met(many.groupBy(F.col("u").alias("code")).agg(own, count), vocab, "code")
+    often = _collected(vocab.where("code >= 0").select("code", "c"))
+    size = int(often["code"].max()) + 1 if len(often["code"]) else 0
+    occurs = np.zeros(size, np.int64)
+    occurs[often["code"]] = often["c"]
+    is_near = "u >= 0 and w >= 0"
+    near = materialise(many.where(is_near).mapInArrow(_packed, _binaries(_SEATS)), "seats")
+    rare = materialise(many.where(f"not ({is_near})").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept")), "seats")
+    vocab = vocab.where("code < 0")
+    contexts = rare.where("u < 0").groupBy(F.col("u").alias("code")).agg(own, count).join(vocab, "code")
     contexts = materialise(contexts.select(F.col("code").alias("u"), (F.col("c") - F.col("m")).alias("n1"), (F.col("c") - F.col("m") + F.col("t")).alias("total")), "contexts")
-    words = vocab.where("c > 1").join(many.groupBy(F.col("w").alias("code")).agg(own), "code", "left")
+    words = vocab.where("c > 1").join(rare.where("w < 0").groupBy(F.col("w").alias("code")).agg(own), "code", "left")
     words = materialise(words.select(F.col("code").alias("w"), (F.col("c") - F.coalesce("m", F.lit(0))).alias("n1"), F.lit(1).cast("long").alias("top"), F.lit(1.0 / (v + 1)).alias("p")), "words")
-    state = materialise(many.select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept")), "seats")
     once: list[float] = []
     new: list[float] = []
     root_total = v
 
-    def seated(sweep: int, level: int, names: tuple[str, ...]):
-        """A function for mapInArrow that replaces the column of tables, names[1]."""
-        count, tables, total, base, strengths = *names, CONTEXT if level == 0 else PARENT
+    def drawn(sweep: int, level: int, *codes: np.ndarray) -> np.ndarray:
+        """What the single customers of each dish draw by."""
+        key = np.full(len(codes[0]), seed + 2 * sweep + level, np.uint64)
+        for x in codes:
+            key = mix(mix(key) + x.view(np.uint64))
+        return mix(key)
+
+    def chance(sweep: int, level: int) -> np.random.Generator:
+        from pyspark import TaskContext
+
+        return np.random.default_rng([seed, sweep, level, 1 << 2 * RANK, TaskContext.get().partitionId()])
 
+    def seated_near(sweep: int, said: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+            total, base = said.value
+            for key, c, t, kept in _unpacked(batches):
+                u, w = _near_pair(key)
+                rng = np.random.default_rng([seed, sweep, 0, int(key[0])])
+                t = seat(c, t, base[w], *CONTEXT, rng, total=total[u], key=drawn(sweep, 0, u, w))
+                yield _seats(key, c=c, t=t, kept=kept + t if sweep >= BURN_IN else kept)
+
+        return run
+
+    def seated_rare(sweep: int, said: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (total, base), rng = said.value, chance(sweep, 0)
+            for b in _joined(batches, SEATED):
+                u, w, c, t, kept = (b.column(x).to_numpy() for x in ("u", "w", "c", "t", "kept"))
+                n, p = (b.column(x).fill_null(0).to_numpy().copy() for x in ("total", "p"))
+                n[u >= 0], p[w >= 0] = total[u[u >= 0]], base[w[w >= 0]]
+                t = seat(c, t, p, *CONTEXT, rng, total=n, key=drawn(sweep, 0, u, w))
+                kept = kept + t if sweep >= BURN_IN else kept
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, w, c, t, kept)], names=["u", "w", "c", "t", "kept"])
+
+        return run
 
-            rng = np.random.default_rng([seed, sweep, level, TaskContext.get().partitionId()])
+    def seated_words(sweep: int, root: int):
+        """The parent's dishes of rarer words: r is seated."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rng = chance(sweep, 1)
             for b in _joined(batches, SEATED):
-                c, t, n, p = (b.column(x).to_numpy(zero_copy_only=False) for x in (count, tables, total, base))
-                key = np.full(len(c), seed + 2 * sweep + level, np.uint64)
-                for x in ("u", "w")[level:]:
-                    key = mix(mix(key) + b.column(x).to_numpy(zero_copy_only=False).view(np.uint64))
-                key = mix(key)
-                yield b.set_column(b.schema.get_field_index(tables), tables, pa.array(seat(c, t, p, *strengths, rng, total=n, key=key)))
+                w, r, t = (b.column(x).to_numpy() for x in ("w", "r", "top"))
+                t = seat(r, t, np.full(len(r), 1.0 / (v + 1)), *PARENT, rng, total=np.full(len(r), root), key=drawn(sweep, 1, w))
+                yield b.set_column(b.schema.get_field_index("top"), "top", pa.array(t))
 
         return run
 
+    def added(rows: pa.Table) -> np.ndarray:
+        return np.sum([np.frombuffer(x.as_buffer(), np.int64) for c in rows["sums"].chunks for x in c], axis=0)
+
+    def seated_often(sweep: int, root: int, said: Broadcast):
+        """A part's sums and, of second words, the parent's tables of these customers."""
+
+        def run(rows: pa.Table) -> pa.Table:
+            n1, top = said.value
+            side, part, sums = rows["side"][0].as_py(), rows["part"][0].as_py(), added(rows)
+            rng = np.random.default_rng([seed, sweep, 1, part])
+            w = part * TOGETHER + np.arange(len(sums))
+            t = seat(n1[w] + sums, top[w], np.full(len(w), 1.0 / (v + 1)), *PARENT, rng, total=np.full(len(w), root), key=drawn(sweep, 1, w)) if side else sums
+            return pa.table({"side": [side], "part": [part], "sums": [sums.tobytes()], "top": [t.tobytes()]})
+
+        return run
+
+    def sums(name: str, how) -> tuple[np.ndarray, np.ndarray]:
+        """By rank: the column's sums by first and by second word, and the latter's tables."""
+        rows = _summed(near, rare, size, name)
+        if size:  # parts without customers are seated, too
+            none = spark.range(0, 2 * -(-size // TOGETHER)).select((F.col("id") % 2).alias("side"), F.expr("id div 2").alias("part"))
+            least = lambda batches: (pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bytes(8 * min(TOGETHER, size - x * TOGETHER)) for x in b.column(1).to_pylist()], pa.binary())], names=["side", "part", "sums"]) for b in batches)
+            rows = rows.unionByName(none.mapInArrow(least, "side long, part long, sums binary"))
+        got = rows.groupBy("side", "part").applyInArrow(how, "side long, part long, sums binary, top binary").toArrow().sort_by("part")
+        first, second = (got.filter(pc.equal(got["side"], i)) for i in (0, 1))
+        return tuple(_flat(x, np.int64) for x in (first["sums"], second["sums"], second["top"]))
+
+    def plain(rows: pa.Table) -> pa.Table:
+        return pa.table({"side": rows["side"][:1], "part": rows["part"][:1], "sums": [(x := added(rows).tobytes())], "top": [x]})
+
+    of_u, of_w, _ = sums("c", plain)
+    n1_u, n1_w = occurs - of_u, occurs - of_w
+    of_near = {"c": occurs}
+    total, top, base = n1_u + sums("t", plain)[0], np.ones(size, np.int64), np.full(size, 1.0 / (v + 1))
     for sweep in range(SWEEPS):
         keep = sweep - BURN_IN
-        before = [state, contexts, words]
-        asked = _met(_met(state, contexts.select("u", "total"), "u"), words.select("w", "p"), "w").select("u", "w", "c", "t", "kept", "total", "p")
-        asked = asked.mapInArrow(seated(sweep, 0, ("c", "t", "total", "p")), asked.schema)
-        state = materialise(asked.select("u", "w", "c", "t", (F.col("kept") + (F.col("t") if keep >= 0 else 0)).alias("kept")), "seats")
+        before = [near, rare, contexts, words]
+        said, of_parent = (spark.sparkContext.broadcast(x) for x in ((total, base), (n1_w, top)))
+        near = materialise(near.mapInArrow(seated_near(sweep, said), _binaries(_SEATS)), "seats")
+        asked = rare.where("w >= 0").withColumn("p", F.lit(None).cast("double")).unionByName(rare.where("w < 0").join(words.select("w", "p"), "w"))
+        asked = asked.where("u >= 0").withColumn("total", F.lit(None).cast("long")).unionByName(asked.where("u < 0").join(contexts.select("u", "total"), "u"))
+        rare = materialise(asked.mapInArrow(seated_rare(sweep, said), rare.schema), "seats")
         # the tables are the parent's customers
-        each = state.groupBy("w").agg(F.sum("t").alias("more"))
-        words = words.join(each, "w", "left").withColumns({"r": F.col("n1") + F.coalesce("more", F.lit(0)), "root": F.lit(root_total).cast("long"), "flat": F.lit(1.0 / (v + 1))}).drop("more")
-        words = materialise(words.mapInArrow(seated(sweep, 1, ("r", "top", "root", "flat")), words.schema), "words")
+        of_u, of_w, top = sums("t", seated_often(sweep, root_total, of_parent))
+        each = rare.where("w < 0").groupBy("w").agg(F.sum("t").alias("more"))
+        words = words.join(each, "w", "left").withColumn("r", F.col("n1") + F.coalesce("more", F.lit(0))).drop("more")
+        words = materialise(words.mapInArrow(seated_words(sweep, root_total), words.schema), "words")
         facts = words.agg(F.sum("r").alias("r"), F.sum("top").alias("t")).first()
-        r, root_total = int(facts["r"] or 0) + ones, int(facts["t"] or 0) + ones
+        many_often = occurs > 1
+        r_near = n1_w + of_w
+        r, root_total = (int(facts[x] or 0) + int(y[many_often].sum()) + ones for x, y in (("r", r_near), ("t", top)))
         left = (PARENT[1] + PARENT[0] * root_total) / (v + 1)
-        words = words.withColumn("p", (F.col("r") - PARENT[0] * F.col("top") + left) / (PARENT[1] + r)).drop("r", "root", "flat")
+        base = (r_near - PARENT[0] * top + left) / (PARENT[1] + r)
+        words = words.withColumn("p", (F.col("r") - PARENT[0] * F.col("top") + left) / (PARENT[1] + r)).drop("r")
         # the pull on the parent that goes with it
-        contexts = contexts.drop("total").join(state.groupBy("u").agg(F.sum("t").alias("more")), "u").withColumn("total", F.col("n1") + F.col("more")).drop("more")
+        total = n1_u + of_u
+        contexts = contexts.drop("total").join(rare.where("u < 0").groupBy("u").agg(F.sum("t").alias("more")), "u").withColumn("total", F.col("n1") + F.col("more")).drop("more")
         if keep >= 0:
             words, contexts = words.withColumn(BASES[keep], F.col("p")), contexts.withColumn(TABLES[keep], F.col("total"))
+            of_near |= {BASES[keep]: base, TABLES[keep]: total}
             once.append((1 - PARENT[0] + left) / (PARENT[1] + r))
             new.append(left / (PARENT[1] + r))
         contexts = materialise(contexts, "contexts")
         dropped(*before)
-        released(many.sparkSession)
-    pairs = state.select("u", "w", "c", (F.col("c") - d * F.col("kept") / float(SWEEPS - BURN_IN)).alias("seen"))
-    return Model(pairs, contexts.select("u", *TABLES), words.select("w", *BASES), once, new)
+        for x in (said, of_parent):
+            x.destroy()
+        released(spark)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, c, _, kept in _unpacked(batches):
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (*_near_pair(key), c, kept))], names=["u", "w", "c", "kept"])
+
+    pairs = near.mapInArrow(told, "u long, w long, c long, kept long").unionByName(rare.select("u", "w", "c", "kept"))
+    pairs = pairs.select("u", "w", "c", (F.col("c") - d * F.col("kept") / float(SWEEPS - BURN_IN)).alias("seen"))
+    return Model(pairs, of_near, contexts.select("u", *TABLES), words.select("w", *BASES), once, new)
 
 
 def logs(seen: np.ndarray, n: np.ndarray, tables: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -460,10 +616,10 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
     model = sample(pairs.where("c > 1"), vocab, v, ones)
     known = materialise(model.pairs.unionByName(pairs.where("c = 1").select("u", "w", "c", F.lit(1.0 - CONTEXT[0]).alias("seen"))), "known")
     dropped(pairs, model.pairs)
-    says = vocab.join(model.contexts.withColumnRenamed("u", "code"), "code", "left").join(model.words.withColumnRenamed("w", "code"), "code", "left")
+    says = vocab.where("code < 0").join(model.rare_contexts.withColumnRenamed("u", "code"), "code", "left").join(model.rare_words.withColumnRenamed("w", "code"), "code", "left")
     says = materialise(says.select("code", "c", *(F.coalesce(x, "c").alias(x) for x in TABLES), *(F.coalesce(x, F.lit(p)).alias(x) for x, p in zip(BASES, model.once))), "says")
-    dropped(vocab, model.contexts, model.words)
-    near = _collected(says.where("code >= 0").orderBy("code"))
+    dropped(vocab, model.rare_contexts, model.rare_words)
+    near = model.near
     often = known.where("u >= 0 and w >= 0")
     by_count = often.groupBy("c").count().orderBy(F.desc("c")).collect()
     cut, more = 2, 0
@@ -589,7 +745,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
             out.append(_filled(schema, chunk=chunks[own[both]], place=row[both] >> 1, w=w[both], seen=seen[both], n=n[both].astype(np.int64), **{name: t[both, i] for i, name in enumerate(TABLES)}))
         return pa.concat_tables(out)
 
-    of_w = says.where("code < 0").select(F.col("code").alias("w"), "c", *BASES)
+    of_w = says.select(F.col("code").alias("w"), "c", *BASES)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What rare words after rare words add to their texts' scores."""
@@ -614,7 +770,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", id_col: str = "
         return pa.table({"doc_id": get("doc_id"), "held_out": get("held_out"), "n_tokens": get("n_tokens"), "n_known": get("n_known").to_numpy() + sums["known"].astype(np.int64), "train_tokens": np.full(m, n, np.int64), "base_score": get("base").to_numpy() + sums["base"], "score": get("model").to_numpy() + sums["log"]})
 
     doc = _SETTLED.format(id=id_type).split(", row binary")[0]
-    spoken_of = known.select("u", "w", "seen").mapInArrow(spoken, f"bucket long, {_binaries(_SAYS)}").unionByName(says.where("code < 0").mapInArrow(said, f"bucket long, {_binaries(_SAYS)}"))
+    spoken_of = known.select("u", "w", "seen").mapInArrow(spoken, f"bucket long, {_binaries(_SAYS)}").unionByName(says.mapInArrow(said, f"bucket long, {_binaries(_SAYS)}"))
 
     def scored(part: DataFrame) -> DataFrame:
         rows = part.mapInArrow(shipped, f"bucket long, {doc}, {_binaries(['row', 'low', 'high', 'u', 'w'])}")

@@ -574,6 +574,64 @@ def test_lm_words_after_a_word_sum_to_one(spark):
         assert min(p) > 0 and sum(p) == pytest.approx(1, rel=1e-9)
 
 
+def test_lm_sweeps_as_by_hand(spark, monkeypatch):
+    """Sweeps over frequent pairs in arrays and over rarer ones in rows seat as a plain loop over
+    all pairs does; the former aren't a row each."""
+    monkeypatch.setattr(lm, "TOGETHER", 5)
+    seats, write = [], lm.materialise
+
+    def written(df, name):
+        out = write(df, name)
+        seats.extend([out.count()] if name == "seats" else [])
+        return out
+
+    monkeypatch.setattr(lm, "materialise", written)
+    counts = [(u - 4, w - 4, 1 + (u * w) % 4 * 7) for u in range(18) for w in range(18) if (u + w) % 3]
+    occurs = Counter()
+    for _, w, c in counts:
+        occurs[w] += c
+    v = len(occurs)
+    many = [x for x in counts if x[2] > 1]
+    rows = spark.createDataFrame(many, "u long, w long, c long")
+    model = lm.sample(rows, spark.createDataFrame(list(occurs.items()), "code long, c long"), v, 0)
+    rare = sum(u < 0 or w < 0 for u, w, _ in many)
+    assert 0 < rare < len(many) - 50 and max(seats) <= max(rare, rows.rdd.getNumPartitions())
+
+    u, w, c = np.array(many).T
+    code = np.array(sorted(occurs))
+    n, at_u, at_w = np.array([occurs[x] for x in code]), np.searchsorted(code, u), np.searchsorted(code, w)
+    summed = lambda at, x: np.bincount(at, x, v).astype(np.int64)
+    n1_u, n1_w = n - summed(at_u, c), n - summed(at_w, c)
+    t, top, p, root, kept = np.ones(len(c), np.int64), np.ones(v, np.int64), np.full(v, 1 / (v + 1)), v, 0
+    total = n1_u + summed(at_u, t)
+    rng = np.random.default_rng(0)  # not drawn from: no dish has many customers
+
+    def drawn(sweep, level, *codes):
+        key = np.full(len(codes[0]), 11 + 2 * sweep + level, np.uint64)
+        for x in codes:
+            key = lm.mix(lm.mix(key) + x.astype(np.int64).view(np.uint64))
+        return lm.mix(key)
+
+    bases, tables = [], []
+    for sweep in range(lm.SWEEPS):
+        t = lm.seat(c, t, p[at_w], *lm.CONTEXT, rng, total=total[at_u], key=drawn(sweep, 0, u, w))
+        r = n1_w + summed(at_w, t)
+        top = lm.seat(r, top, np.full(v, 1 / (v + 1)), *lm.PARENT, rng, total=np.full(v, root), key=drawn(sweep, 1, code))
+        root, total = top.sum(), n1_u + summed(at_u, t)
+        p = (r - lm.PARENT[0] * top + (lm.PARENT[1] + lm.PARENT[0] * root) / (v + 1)) / (lm.PARENT[1] + r.sum())
+        if sweep >= lm.BURN_IN:
+            kept = kept + t
+            bases.append(p)
+            tables.append(total)
+    seen = c - lm.CONTEXT[0] * kept / len(bases)
+    got = {(r["u"], r["w"]): (r["c"], r["seen"]) for r in model.pairs.collect()}
+    assert got == {(x, y): (m, pytest.approx(z)) for x, y, m, z in zip(u.tolist(), w.tolist(), c.tolist(), seen.tolist())}
+    of_w = {r["w"]: [r[x] for x in lm.BASES] for r in model.words.collect()}
+    of_u = {r["u"]: [r[x] for x in lm.TABLES] for r in model.contexts.collect()}
+    assert of_w == {x: pytest.approx(y) for x, y in zip(code.tolist(), np.array(bases).T.tolist())}
+    assert {x: of_u.get(x, [occurs[x]] * len(tables)) for x in occurs} == dict(zip(code.tolist(), np.array(tables).T.tolist()))
+
+
 def test_seating_keeps_bounds():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 50, 100_000])
