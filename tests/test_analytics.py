@@ -1,5 +1,6 @@
 """Registered queries against their SQL, and hand-computed cases of the scalars."""
 
+import json
 import math
 from pathlib import Path
 
@@ -288,6 +289,33 @@ def test_nested_ingest(spark, tmp_path):
     assert [sum(c[k] for c in told) for k in ("payloads", "accepted", "dead")] == [6, 3, dead.count()]
 
 
+def test_ingest_keeps_all_documents_of_a_retrieval(spark):
+    """The best of 250 documents and the only two alike are behind the hundredth; another
+    retrieval of the trace has 101, a third one none."""
+    docs = [{"document_id": f"d{i}", "title": f"title {i}", "final_score": i / 1000, "content": f"two {chr(97 + i % 26) * (3 + i // 26)}"} for i in range(250)]
+    docs[249]["content"] = docs[201]["content"] = "these three words"
+    line = json.dumps({"application": "a", "trace_id": "t", "retrievals": [{"query": "q", "documents": docs}, {"query": "r", "documents": docs[:101]}, {"query": "s"}]})
+    prices = spark.createDataFrame([], "provider string, name string, input_cost_per_1k double, output_cost_per_1k double, is_local boolean")
+    log = nested.ingest(None, nested.parsed(spark.createDataFrame([(1, line)], "seq long, value string")))
+    kids = nested.children(log, prices)
+    got = kids["retrievals"].orderBy("retrieval_no").select("num_results", "context_tokens", "top_score").collect()
+    assert [tuple(r) for r in got] == [(250, 248 * 2 + 2 * 3, 0.249), (101, 202, 0.1), (0, 0, None)]
+    assert sorted((r["retrieval_no"], r["rank"]) for r in kids["documents"].collect()) == [(n, i + 1) for n, k in ((0, 250), (1, 101)) for i in range(k)]
+    r = nested.totals(log, kids).first()
+    assert (r["documents"], r["context_tokens"], r["duplicates"]) == (351, 704, 2)
+
+
+def test_trace_ingest_equals_sql_for_long_orders(spark, tmp_path):
+    """Orders of few lines, and 24 of some 200, each of which is a document."""
+    con = duckdb.connect()
+    for t, rows in (("lineitem", "* replace (if(l_orderkey < 300, l_orderkey, 300 + l_orderkey % 24) as l_orderkey)"), ("part", "*")):
+        con.execute(f"create table {t} as select {rows} from read_parquet('{AT}/{t}.parquet')")
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    ours, said = registry.QUERIES["trace_ingest"](spark, str(tmp_path)).toPandas(), con.execute(registry.SQL["trace_ingest"]).fetchdf()
+    assert said["documents"].nlargest(24).min() > 100
+    assert _rows(ours) == _rows(said)
+
+
 def test_stream_rollup_and_sessions(spark, tmp_path):
     """Run as streams, the windows are those of the whole table."""
     s = spark.read.parquet(f"{AT}/events.parquet").select(F.col("event_id").alias("span_id"), F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("start_time"), F.col("event_type").alias("kind"), (F.col("event_type") == "error").alias("failed"))
